@@ -29,8 +29,14 @@ BASE_INV = pow(BASE, -1, 1 << 64)
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Set the Arrow batch size that the operators count on."""
+    """Set the Arrow batch size that the operators count on; on a local master, let Python workers find this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    sc = spark.sparkContext
+    if sc.master.startswith("local"):
+        root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+        path = sc.environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
+        if root not in path.split(os.pathsep):
+            sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, path) if x)
     return spark
 
 
