@@ -1,10 +1,12 @@
 """The queries of this subpackage, by name."""
 
 from .bpe import op1_byte_bpe
+from .substrings import op8_suffix_dedup
+from .windows import op9_window_dedup
 
 
 def queries():
-    return {f.__name__: f for f in (op1_byte_bpe,)}
+    return {f.__name__: f for f in (op1_byte_bpe, op8_suffix_dedup, op9_window_dedup)}
 
 
 def oracle_sql():
