@@ -1,0 +1,43 @@
+"""Connected components of links, by alternating large and small stars.
+
+Every round hangs each node's larger neighbours, then its smaller ones, on the
+smallest node it sees, until all links point from a node to its component's
+smallest. Links stay in DataFrames and go to the shared folder between rounds.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .shared import dropped, written
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, component) of every node that a link (a, b) touches; component is the smallest node reachable.
+
+    Loops and null ends are ignored; repeated links do no harm.
+    """
+    edges = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "links")
+    mark = _mark(edges)
+    while mark[0]:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # large star: larger neighbours move to the smallest
+        large = both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b").filter("a < b").distinct()
+        # small star: a node and its smaller neighbours move to the smallest of these
+        small = large.groupBy("b").agg(F.min("a").alias("m"))
+        after = large.join(small, "b").select(F.col("m").alias("x"), F.explode(F.array("a", "b")).alias("y")).filter("x < y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+        after = written(after, "links")
+        dropped(edges)
+        edges, before, mark = after, mark, _mark(after)
+        if mark == before:
+            break
+    return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+
+
+def _mark(edges: DataFrame) -> tuple:
+    """Changes whenever the set of links does."""
+    h = F.xxhash64("a", "b")
+    r = edges.agg(F.count("*"), F.sum(F.shiftright(h, 24).cast("decimal(38,0)")), F.bit_xor(h)).first()
+    return tuple(r)
