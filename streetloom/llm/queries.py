@@ -1,13 +1,21 @@
-"""The queries of this subpackage, by name."""
+"""The queries of this subpackage, by name, and their SQL."""
 
 from .bpe import op1_byte_bpe
+from .mixing import op10_pfair_mix
+from .neardup import op7_lattice_neardup
+from .ngram_join import op6_ngram_join
+from .quality import op5_quality
+from .secrets import op3_secret_scan
 from .substrings import op8_suffix_dedup
+from .token_counts import op2_token_counts
+from .topk import OP4_SQL, op4_cover_topk
 from .windows import op9_window_dedup
 
 
 def queries():
-    return {f.__name__: f for f in (op1_byte_bpe, op8_suffix_dedup, op9_window_dedup)}
+    ops = (op1_byte_bpe, op2_token_counts, op3_secret_scan, op4_cover_topk, op5_quality, op6_ngram_join, op7_lattice_neardup, op8_suffix_dedup, op9_window_dedup, op10_pfair_mix)
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql():
-    return {}
+    return {"op4_cover_topk": OP4_SQL}
