@@ -51,8 +51,8 @@ def entropy(s: str) -> float:
     return -sum(s.count(c) / len(s) * log2(s.count(c) / len(s)) for c in set(s))
 
 
-def _runs(data: np.ndarray, inside: np.ndarray, least: int) -> np.ndarray:
-    """Starts of runs of at least so many bytes of a class; a run may cross documents, a superset of those within."""
+def _runs(data: np.ndarray, inside: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of runs of at least so many bytes of a class; a run may cross documents, a superset of those within."""
     m = np.zeros(len(data) + 2, np.int8)
     m[1:-1] = inside[data]
     edge = np.diff(m)
@@ -63,17 +63,23 @@ def _runs(data: np.ndarray, inside: np.ndarray, least: int) -> np.ndarray:
 def _likely(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Which documents may hold a match: a vectorised search that misses none."""
     out = np.zeros(len(offsets), bool)
-    for inside, least in ((IN_HEX, HEX_LENGTH), (IN_WIDE, min(WIDE_LENGTH, ACCESS_LENGTH))):
-        for a, b in zip(*_runs(data, inside, least), strict=True):
-            first, last = np.searchsorted(offsets, (a, b - 1), "right") - 1
-            out[first : last + 1] = True
-    raw = data.tobytes().lower()
-    for word in KEYWORDS:
-        at = raw.find(word)
+    digits = np.concatenate([[0], np.cumsum((data >= 48) & (data <= 57))])
+    for inside, least in ((IN_HEX, HEX_LENGTH), (IN_WIDE, WIDE_LENGTH)):
+        start, end = _runs(data, inside, least)
+        if inside is IN_WIDE:  # such a candidate has a digit
+            some = digits[end] > digits[start]
+            start, end = start[some], end[some]
+        first, last = (np.searchsorted(offsets, x, "right") - 1 for x in (start, end - 1))
+        for a, b in zip(first.tolist(), last.tolist(), strict=True):
+            out[a : b + 1] = True
+    raw = data.tobytes()
+    low = raw.lower()
+    for where, word in ((raw, b"AKIA"), *((low, w) for w in KEYWORDS)):
+        at = where.find(word)
         while at >= 0:
             k = int(np.searchsorted(offsets, at, "right")) - 1
             out[k] = True
-            at = raw.find(word, int(offsets[k + 1]))  # one is enough
+            at = where.find(word, int(offsets[k + 1]))  # one is enough
     return out[:-1]
 
 
@@ -127,14 +133,14 @@ def find_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_
     by_owner = values.groupBy("hash", "owner", "repository").agg(F.lit(1).alias("one")).groupBy("hash", "owner").agg(F.count("*").alias("repositories"))
     owned = by_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
     live = written(owned.filter((F.col("owners") == 1) & (F.col("repositories") <= LIVE_REPOSITORIES)).select("hash"), "live")
-    mine = values.select("row", "hash").join(live, "hash").groupBy("row").agg(F.collect_set("hash").alias("live"))
-    got = scanned.join(mine, "row", "left").withColumn("live", F.coalesce("live", F.array().cast("array<long>")))
+    mine = values.select("row", "hash").join(live, "hash").groupBy("row").agg(F.collect_set("hash").alias("__live"))
+    got = scanned.join(mine, "row", "left").withColumn("__live", F.coalesce("__live", F.array().cast("array<long>")))
     return got.select(
         "id",
         F.filter("found", lambda s: s["kind"] < 3).alias("base"),
-        F.array_sort(F.filter("found", lambda s: (s["kind"] < 3) | F.array_contains("live", s["hash"]))).alias("spans"),
-        F.size(F.filter("found", lambda s: F.array_contains("live", s["hash"]))).cast("long").alias("live"),
-        F.size(F.filter("found", lambda s: ~F.array_contains("live", s["hash"]))).cast("long").alias("copied"),
+        F.array_sort(F.filter("found", lambda s: (s["kind"] < 3) | F.array_contains("__live", s["hash"]))).alias("spans"),
+        F.size(F.filter("found", lambda s: F.array_contains("__live", s["hash"]))).cast("long").alias("live"),
+        F.size(F.filter("found", lambda s: ~F.array_contains("__live", s["hash"]))).cast("long").alias("copied"),
     )
 
 
