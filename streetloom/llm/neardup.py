@@ -25,16 +25,15 @@ from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
 from .shared import U64, mix, prepare, table, written
 from .topk import sound
 
-TABLES = 4
-#: Cells that a vector looks into besides its own, in each table.
-PROBES = 12
+#: Tables, and cells that a vector looks into besides its own in each table; for each block of eight dimensions.
+TABLES, PROBES = 4, 12
 #: Cell width: a pair at the threshold differs by about this much in each projected coordinate.
 STEP = 0.25
 #: Vectors that a cell of the densest region may hold before a further block of eight dimensions is hashed, and the
@@ -121,6 +120,8 @@ def _matrix(col: pa.Array, rows: np.ndarray) -> np.ndarray:
 
 
 def _listed(blocks: int):
+    tables, probes = TABLES * blocks, PROBES * blocks
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             ids, col = b.column(0).to_numpy(), b.column(1)
@@ -129,8 +130,8 @@ def _listed(blocks: int):
                 rows = np.flatnonzero(lengths == dim)
                 unit = units(_matrix(col, rows))
                 keys, own, who = [], [], []
-                for t in range(TABLES):
-                    mine, near = cells(unit, t, blocks, PROBES, STEP)
+                for t in range(tables):
+                    mine, near = cells(unit, t, blocks, probes, STEP)
                     keys += [mine, near.ravel()]
                     own += [np.ones(len(mine), bool), np.zeros(near.size, bool)]
                     who += [rows, np.repeat(rows, near.shape[1])]
@@ -226,13 +227,13 @@ def near_duplicates(df: DataFrame, least: float = 0.9, id: str = "vec_id", vec:
     """id, n_links, component_id and kept of each row; rows link at a cosine of least or more."""
     prepare(df.sparkSession)
     rows = df.select(F.col(id).cast("long").alias("id"), F.col(vec).alias("v"))
-    good = rows.filter(F.col("id").isNotNull() & sound("v") & F.exists("v", lambda x: x != 0)).withColumn("h", F.xxhash64("v"))
+    good = rows.filter(F.col("id").isNotNull() & sound("v") & F.exists("v", lambda x: x != 0))
     # ids of classes are their smallest; equal ids of different vectors meet again as links below
     classes = written(good.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "vectors")
     n = classes.count()
     blocks = max(1, round(log(max(n / OCCUPANCY, 1)) / log(CELLS)))
     listed = classes.select("rep", "v").mapInArrow(_listed(blocks), classes.selectExpr("rep AS key", "true AS own", "rep", "v").schema)
-    buckets = max(1, ceil(n * TABLES * (1 + PROBES) / BUCKET))
+    buckets = max(1, ceil(n * TABLES * blocks * (1 + PROBES * blocks) / BUCKET))
     links = listed.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).groupBy("bucket").applyInArrow(_met(least), "a long, b long")
     shared_ids = good.join(classes.select("v", "rep"), "v").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b").select("a", "b")
     named = written(components(links.unionByName(shared_ids)), "components")
