@@ -95,7 +95,7 @@ def count_tokens(blocks: DataFrame, end: int = END, width: int = 2) -> DataFrame
                 inner.append((np.diff(at) - 1).astype(np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(head, pa.int64()), pa.array(tail, pa.int64()), pa.array(inner, pa.list_(pa.int64()))], ["file", "block", "n", "head", "tail", "inner"])
 
-    sums = blocks.select("file", "block", "payload").mapInArrow(run, f"file {blocks.schema['file'].dataType.simpleString()}, block long, n long, head long, tail long, inner array<long>")
+    sums = blocks.select("file", F.col("block").cast("long").alias("block"), "payload").mapInArrow(run, f"file {blocks.schema['file'].dataType.simpleString()}, block long, n long, head long, tail long, inner array<long>")
     # the scan: separators before a block, and the tokens of the document that is open at its start
     order = Window.partitionBy("file").orderBy("block")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
