@@ -52,7 +52,7 @@ def blocked(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES)
     return out.repartition(blocks, "block"), total
 
 
-def pieces(table: pa.Table, limit: int = 2 << 20):
+def pieces(table: pa.Table, limit: int = 512 << 10):
     """(data, offsets, doc_ids, first row) of runs of rows of a block with about limit bytes of text."""
     table = table.combine_chunks()
     if not table.num_rows:
@@ -83,17 +83,17 @@ def unpack(blob: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(f"<u{blob[0]}").ravel(), dtype=U64)
 
 
-def pack_bits(bits: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(1).compress(np.packbits(bits).tobytes())
+def squeeze(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(1).compress(x.tobytes())
 
 
-def unpack_bits(blob: bytes, n: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8), count=n).astype(bool)
+def unsqueeze(blob: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
 
 
-def member(some: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Which of values are in the sorted array some."""
-    out = np.zeros(len(values), bool)
+def places(some: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Where each of values stands in the sorted array some, or -1."""
+    out = np.full(len(values), -1, np.int64)
     if not len(some) or not len(values):
         return out
     bits = U64((1 << max(16, min(24, (8 * len(some)).bit_length()))) - 1)
@@ -102,10 +102,16 @@ def member(some: np.ndarray, values: np.ndarray) -> np.ndarray:
     likely = np.flatnonzero(table[values & bits])
     found = values[likely]
     at = np.minimum(np.searchsorted(some, found), len(some) - 1)
-    out[likely] = some[at] == found
+    same = some[at] == found
+    out[likely[same]] = at[same]
     return out
 
 
+def member(some: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which of values are in the sorted array some."""
+    return places(some, values) >= 0
+
+
 class Sketch:
     """The layout of a count-min sketch for about so many keys: depth rows of 2**bits counters."""
 
@@ -117,67 +123,79 @@ class Sketch:
         return mix(keys, 101 + row) >> U64(64 - self.bits)
 
     def sparse(self, keys: np.ndarray, block: int):
-        """(owner, block, sorted counters, which of these stand at two or more) for each row and range."""
+        """(owner, block, sorted counters, what they stand at, up to 255) for each row and range."""
         for row in range(self.depth):
             values = np.sort(self.counters(keys, row))
             first = np.ones(len(values), bool)
             first[1:] = values[1:] != values[:-1]
             starts = np.flatnonzero(first)
-            values, twice = values[starts], np.diff(starts, append=len(values)) > 1
+            values, counts = values[starts], np.minimum(np.diff(starts, append=len(values)), 255).astype(np.uint8)
             cuts = np.searchsorted(values, np.arange(0, 1 << self.bits, 1 << OWNED, dtype=U64))
             for k, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(values)], strict=True)):
                 if b > a:
-                    yield row << 32 | k, block, pack(values[a:b] - U64(k << OWNED)), pack_bits(twice[a:b])
+                    yield row << 32 | k, block, pack(values[a:b] - U64(k << OWNED)), squeeze(counts[a:b])
 
-    def repeated(self, keys: np.ndarray, answers: dict[int, np.ndarray]) -> np.ndarray:
-        """Which keys may occur twice, by the owners' answers (sorted counters by row)."""
-        out = np.ones(len(keys), bool)
+    def estimates(self, keys: np.ndarray, answers: dict[int, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """How often each key occurs at most, up to 255, by the owners' answers; never less than it does, or than 1."""
+        out = np.full(len(keys), 255, np.uint8)
+        at = np.arange(len(keys))
         for row in range(self.depth):
-            at = np.flatnonzero(out)
-            out[at] = member(answers.get(row, np.zeros(0, U64)), self.counters(keys[at], row))
+            values, counts = answers.get(row, (np.zeros(0, U64), np.zeros(0, np.uint8)))
+            where = places(values, self.counters(keys[at], row))
+            out[at[where < 0]] = 1
+            at, where = at[where >= 0], where[where >= 0]
+            out[at] = np.minimum(out[at], counts[where])
         return out
 
+    def repeated(self, keys: np.ndarray, answers: dict[int, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Which keys may occur twice."""
+        return self.estimates(keys, answers) > 1
+
 
 def merged(group: pa.Table) -> pa.Table:
     """An owner's work: add up all blocks' counters of one range, and list for each block those at two or more."""
-    counts = np.zeros(1 << OWNED, np.uint8)
+    total = np.zeros(1 << OWNED, np.uint8)
     owner = group.column("owner")[0].as_py()
-    sent = []
-    for block, blob, twice in zip(group.column("block").to_pylist(), group.column("blob").to_pylist(), group.column("twice").to_pylist(), strict=True):
+    blocks, blobs = group.column("block").to_pylist(), group.column("blob").to_pylist()
+    for blob, counts in zip(blobs, group.column("counts").to_pylist(), strict=True):
+        values, more = unpack(blob).astype(np.uint32), unsqueeze(counts)
+        now = total[values]
+        total[values] = now + np.minimum(more, 255 - now)
+    out = []
+    for block, blob in zip(blocks, blobs, strict=True):
         values = unpack(blob).astype(np.uint32)
-        more = unpack_bits(twice, len(values))
-        counts[values] += (counts[values] < 2).astype(np.uint8)
-        counts[values[more]] = 2
-        sent.append((block, blob))
-    blocks, blobs = [], []
-    for block, blob in sent:
-        values = unpack(blob).astype(np.uint32)
-        again = values[counts[values] >= 2]
-        if len(again):
-            blocks.append(block)
-            blobs.append(pack(again))
-    return pa.table({"block": pa.array(blocks, pa.int32()), "owner": pa.array([owner] * len(blocks), pa.int64()), "blob": pa.array(blobs, pa.binary())})
+        counts = total[values]
+        again = counts >= 2
+        if again.any():
+            out.append((block, owner, pack(values[again]), squeeze(counts[again])))
+    return rows_of(ANSWER, out)
+
+
+def rows_of(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
+    cols = list(zip(*rows, strict=True)) or [()] * len(schema)
+    return pa.table([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
 
-def answers(table: pa.Table) -> dict[int, np.ndarray]:
-    """Sorted counters by row, from the owners' answers to one block."""
+SENT = pa.schema([("owner", pa.int64()), ("block", pa.int32()), ("blob", pa.binary()), ("counts", pa.binary())])
+ANSWER = pa.schema([("block", pa.int32()), ("owner", pa.int64()), ("blob", pa.binary()), ("counts", pa.binary())])
+SENT_SQL, ANSWER_SQL = "owner long, block int, blob binary, counts binary", "block int, owner long, blob binary, counts binary"
+
+
+def answers(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """(sorted counters, what they stand at) by row, from the owners' answers to one block."""
     rows: dict[int, list] = {}
-    for owner, blob in sorted(zip(table.column("owner").to_pylist(), table.column("blob").to_pylist(), strict=True)):
-        rows.setdefault(owner >> 32, []).append(unpack(blob) + U64((owner & 0xFFFFFFFF) << OWNED))
-    return {row: np.concatenate(parts) for row, parts in rows.items()}
+    for owner, blob, counts in sorted(zip(*(table.column(c).to_pylist() for c in ("owner", "blob", "counts")), strict=True)):
+        rows.setdefault(owner >> 32, []).append((unpack(blob) + U64((owner & 0xFFFFFFFF) << OWNED), unsqueeze(counts)))
+    return {row: tuple(np.concatenate(x) for x in zip(*parts, strict=True)) for row, parts in rows.items()}
 
 
 def repeated_keys(blocks: DataFrame, keys_of: Callable[[pa.Table], np.ndarray], sketch: Sketch) -> DataFrame:
-    """Owners' answers (block, owner, blob) on the keys that keys_of finds in each block."""
+    """Owners' answers on the keys that keys_of finds in each block."""
 
     def sparse(table: pa.Table) -> pa.Table:
-        keys = keys_of(table)
-        rows = list(sketch.sparse(keys, table.column("block")[0].as_py()))
-        cols = list(zip(*rows, strict=True)) or [()] * 4
-        return pa.table({"owner": pa.array(cols[0], pa.int64()), "block": pa.array(cols[1], pa.int32()), "blob": pa.array(cols[2], pa.binary()), "twice": pa.array(cols[3], pa.binary())})
+        return rows_of(SENT, list(sketch.sparse(keys_of(table), table.column("block")[0].as_py())))
 
-    sent = blocks.groupBy("block").applyInArrow(sparse, "owner long, block int, blob binary, twice binary")
-    return sent.groupBy("owner").applyInArrow(merged, "block int, owner long, blob binary")
+    return blocks.groupBy("block").applyInArrow(sparse, SENT_SQL).groupBy("owner").applyInArrow(merged, ANSWER_SQL)
 
 
 def with_answers(blocks: DataFrame, replies: DataFrame, work: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
@@ -195,20 +213,23 @@ def with_answers(blocks: DataFrame, replies: DataFrame, work: Callable[[pa.Table
     return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, fields)
 
 
-#: A key's first place: entries are sorted by key, and each key stands once for each block.
-ENTRY = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("at", "<i8")])
+#: A key of 96 bits, a document, and what else its block wants to hear back: each key stands once for each block.
+ENTRY = np.dtype([("a", "<u8"), ("b", "<u4"), ("doc", "<i8"), ("at", "<i8")])
+
+
+def entries_of(a: np.ndarray, b: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    out = np.empty(len(a), ENTRY)
+    out["a"], out["b"], out["doc"], out["at"] = a, b >> U64(32), doc, at
+    return out
 
 
 def first_entries(a: np.ndarray, b: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
     """One entry for each key (a, b): its smallest (doc, at)."""
-    order = np.lexsort((at, doc, b, a))
-    out = np.empty(len(order), ENTRY)
-    out["a"], out["b"], out["doc"], out["at"] = a[order], b[order], doc[order], at[order]
-    if len(out):
-        keep = np.ones(len(out), bool)
-        keep[1:] = (out["a"][1:] != out["a"][:-1]) | (out["b"][1:] != out["b"][:-1])
-        out = out[keep]
-    return out
+    every = entries_of(a, b, doc, at)
+    every = every[np.lexsort((at, doc, every["b"], a))]
+    keep = np.ones(len(every), bool)
+    keep[1:] = (every["a"][1:] != every["a"][:-1]) | (every["b"][1:] != every["b"][:-1])
+    return every[keep]
 
 
 def dealt(entries: np.ndarray, block: int, owners: int):
@@ -221,40 +242,46 @@ def dealt(entries: np.ndarray, block: int, owners: int):
     cuts = np.searchsorted(owner, np.arange(owners + 1))
     for k in range(owners):
         if cuts[k + 1] > cuts[k]:
-            yield k, block, zstandard.ZstdCompressor(1).compress(entries[cuts[k] : cuts[k + 1]].tobytes())
-
-
-def _earlier(group: pa.Table) -> pa.Table:
-    """An owner's work: tell each block which of its keys come earlier in another block."""
-    blobs = [np.frombuffer(zstandard.ZstdDecompressor().decompress(x), ENTRY) for x in group.column("blob").to_pylist()]
-    blocks = group.column("block").to_pylist()
-    every = np.concatenate(blobs)
-    source = np.repeat(np.arange(len(blobs)), [len(x) for x in blobs])
-    order = np.lexsort((every["at"], every["doc"], every["b"], every["a"]))
-    every, source = every[order], source[order]
-    new = np.ones(len(every), bool)
-    new[1:] = (every["a"][1:] != every["a"][:-1]) | (every["b"][1:] != every["b"][:-1])
-    first = np.flatnonzero(new)[np.cumsum(new) - 1]
-    late = (every["doc"] != every["doc"][first]) | (every["at"] != every["at"][first])
-    keys, source, where = every["a"][late], source[late], every["doc"][first][late]
-    order = np.argsort(source, kind="stable")
-    cuts = np.searchsorted(source[order], np.arange(len(blobs) + 1))
-    out_blocks, out = [], []
-    for k in range(len(blobs)):
-        part = order[cuts[k] : cuts[k + 1]]
-        if len(part):
-            out_blocks.append(blocks[k])
-            out.append(pack(keys[part]))
-    del where
-    return pa.table({"block": pa.array(out_blocks, pa.int32()), "blob": pa.array(out, pa.binary())})
-
-
-def earlier_elsewhere(sent: DataFrame) -> DataFrame:
-    """(block, blob): of the entries (owner, block, blob) that blocks sent, the keys (first halves, sorted) that occur earlier in another block."""
-    return sent.groupBy("owner").applyInArrow(_earlier, "block int, blob binary")
+            yield k, block, freeze(entries[cuts[k] : cuts[k + 1]])
+
+
+def freeze(entries: np.ndarray) -> bytes:
+    """Entries byte plane by byte plane, which compresses ids and places to what they need."""
+    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(entries.view(np.uint8).reshape(len(entries), -1).T).tobytes())
+
+
+def thaw(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(ENTRY.itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(ENTRY).ravel()
+
+
+def earlier_elsewhere(sent: DataFrame, tell: str = "a") -> DataFrame:
+    """(block, blob): of the entries (owner, block, blob) that blocks sent, those whose key has a smaller document in another block; as their keys' first halves, or as the field at.
+
+    A document belongs to one block, and a block sends its first entry of each key.
+    """
+
+    def earlier(group: pa.Table) -> pa.Table:
+        blobs = [thaw(x) for x in group.column("blob").to_pylist()]
+        blocks = group.column("block").to_pylist()
+        every = np.concatenate(blobs)
+        source = np.repeat(np.arange(len(blobs)), [len(x) for x in blobs])
+        order = np.lexsort((every["doc"], every["b"], every["a"]))
+        every, source = every[order], source[order]
+        new = np.ones(len(every), bool)
+        new[1:] = (every["a"][1:] != every["a"][:-1]) | (every["b"][1:] != every["b"][:-1])
+        first = np.flatnonzero(new)[np.cumsum(new) - 1]
+        late = np.flatnonzero(every["doc"] != every["doc"][first])
+        told, source = every[tell][late].astype(U64), source[late]
+        order = np.lexsort((told, source))
+        told, cuts = told[order], np.searchsorted(source[order], np.arange(len(blobs) + 1))
+        some = [k for k in range(len(blobs)) if cuts[k + 1] > cuts[k]]
+        return pa.table({"block": pa.array([blocks[k] for k in some], pa.int32()), "blob": pa.array([pack(told[cuts[k] : cuts[k + 1]]) for k in some], pa.binary())})
+
+    return sent.groupBy("owner").applyInArrow(earlier, "block int, blob binary")
 
 
 def key_set(table: pa.Table) -> np.ndarray:
-    """The keys of all answers to a block, sorted."""
+    """What all answers to a block tell, sorted."""
     parts = [unpack(x) for x in table.column("blob").to_pylist()]
     return np.sort(np.concatenate(parts)) if parts else np.zeros(0, U64)

@@ -6,6 +6,7 @@ byte buffer plus offsets) lets numpy work on a whole batch at once.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -58,9 +59,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/streetloom-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    released(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs now: it does so when the driver's garbage is collected, which may be much later."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def dropped(df: DataFrame) -> None:
     """Delete the files behind a DataFrame made by written() that is no longer needed."""
     spark = df.sparkSession

@@ -6,11 +6,13 @@ phrases that overlap by width - 1 bytes; every string of width bytes lies in
 exactly one phrase, and equal strings hold the same trigger at the same place.
 So a phrase whose trigger is unique in the corpus holds no repeat at all, and a
 phrase that stands earlier as a whole repeats in all its strings. What is left
-is the dictionary: the first occurrence of each distinct phrase whose trigger
-also stands in other phrases. Each block sorts the suffixes of its part of the
-dictionary (prefix doubling up to width bytes), so that equal strings are
-neighbours; the parse gives their order in the corpus; and the groups of all
-blocks are combined by 128 bits of hash of their first width bytes. Merging
+is the dictionary: the first occurrence of each distinct phrase with a repeated
+trigger. Strings of a phrase that hold the trigger at nearly the same place share a
+core of most of their bytes; only where other phrases have that core too can they
+repeat. Each block sorts these suffixes of its part of the dictionary (prefix
+doubling up to width bytes), so that equal strings are neighbours; the parse
+gives their order in the corpus; and the groups of all blocks are combined by
+96 bits of hash of their first width bytes. Merging
 the arrays themselves would need ranges of suffixes, and a passage that a third
 of all documents share would fall into one range.
 
@@ -30,16 +32,20 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import Sketch, answers, blocked, dealt, earlier_elsewhere, first_entries, key_set, member, merged, pieces, repeated_keys, with_answers
-from .shared import BYTE_VALUES, Rolling, U64, mix, table, written
+from .exchange import ANSWER_SQL, Sketch, answers, blocked, dealt, earlier_elsewhere, entries_of, key_set, merged, pieces, repeated_keys, with_answers
+from .shared import BYTE_VALUES, Rolling, U64, dropped, mix, table, written
 
 #: Bytes of a trigger. Shorter ones recur more often in unrelated text; longer ones lie further apart.
 TRIGGER = 32
 #: The position's bits in a key of the sliding minimum.
 PLACE = 30
 OWNER_KEYS = 2_000_000
+#: Rows of the sketches, and places of a trigger that one core stands for.
+DEPTH, GROUP = 2, 18
+#: Bytes of text in a block, on average; sorting suffixes takes about a hundred bytes of memory for each.
+BLOCK_BYTES = 5 << 20
 OTHER_VALUES = mix(BYTE_VALUES, 1313)
-ROWS = "kind int, owner long, block int, blob binary, twice binary"
+ROWS = "kind int, owner long, block int, blob binary, counts binary"
 
 
 def _freeze(state) -> bytes:
@@ -52,7 +58,7 @@ def _thaw(blob: bytes):
 
 def _rows(rows: list[tuple]) -> pa.Table:
     cols = list(zip(*rows, strict=True)) or [()] * 5
-    return pa.table({n: pa.array(c, t) for n, c, t in zip(("kind", "owner", "block", "blob", "twice"), cols, (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)})
+    return pa.table({n: pa.array(c, t) for n, c, t in zip(("kind", "owner", "block", "blob", "counts"), cols, (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)})
 
 
 def _ordered(t: pa.Table) -> pa.Table:
@@ -92,6 +98,31 @@ def phrases(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[Rolling,
     return rolling, place[first], starts[first], starts[last]
 
 
+def core_hashes(rolling: Rolling, place: np.ndarray, low: np.ndarray, high: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, which count) of what the strings of a phrase share, by groups of GROUP places of the trigger within them.
+
+    low and high are the least and greatest place; [phrase, group] each.
+    """
+    span = width - TRIGGER
+    groups = np.arange(0, span + 1, GROUP)
+    there = (low[:, None] <= groups + GROUP - 1) & (high[:, None] >= groups)
+    start = np.where(there, place[:, None] - groups, 0)
+    end = np.where(there, place[:, None] + TRIGGER + np.maximum(0, span - groups - GROUP + 1), 0)
+    return mix(rolling.of(start, end) + groups.astype(U64), 21), there
+
+
+def merged_spans(row: np.ndarray, at: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of bytes, those of a row that touch made one, by row and start."""
+    a, z = (row.astype(np.int64) << 40) + at, (row.astype(np.int64) << 40) + end
+    order = np.argsort(a, kind="stable")
+    a, z = a[order], np.maximum.accumulate(z[order]) if len(order) else z
+    new = np.ones(len(a), bool)
+    new[1:] = a[1:] > z[:-1]
+    first = np.flatnonzero(new)
+    low = (1 << 40) - 1
+    return a[first] >> 40, a[first] & low, z[np.append(first[1:], len(a)) - 1] & low if len(a) else z
+
+
 def suffix_ranks(data: np.ndarray, width: int) -> np.ndarray:
     """For each place with width bytes from there on: the rank of those bytes, by prefix doubling."""
     n = len(data) - width + 1
@@ -113,8 +144,8 @@ def dedup_substrings(docs: DataFrame, width: int = 100, text: str = "text") -> D
     """doc_id, n_bytes, n_removed, n_spans and kept (the bytes left) of each document."""
     if width < TRIGGER:
         raise ValueError(f"width must be {TRIGGER} or more")
-    blocks, total = blocked(docs, text)
-    sketch = Sketch(total // 24, 1)
+    blocks, total = blocked(docs, text, BLOCK_BYTES)
+    sketch = Sketch(total // 24, DEPTH)
     owners = max(1, total // 50 // OWNER_KEYS)
 
     def triggers(t: pa.Table) -> np.ndarray:
@@ -138,59 +169,70 @@ def dedup_substrings(docs: DataFrame, width: int = 100, text: str = "text") -> D
             doc = np.searchsorted(offsets, first, "right") - 1
             a = mix(rolling.of(first, end) + (end - first).astype(U64))
             b = mix(Rolling(OTHER_VALUES[data]).of(first, end))
-            found.append((trigger, a, b, ids[doc], doc + row, first - offsets[doc], end - first, first, np.full(len(at), len(held))))
+            found.append((a, b, ids[doc], doc + row, first - offsets[doc], end - first, place[at] - first, first, np.full(len(at), len(held))))
             held.append(data)
         if not found:
             return _rows([])
-        trigger, a, b, ids, row, at, size, start, piece = (np.concatenate(c) for c in zip(*found, strict=True))
-        entries = first_entries(a, b, ids, at)
+        a, b, ids, row, at, size, trigger, start, piece = (np.concatenate(c) for c in zip(*found, strict=True))
         # of the phrases that stand several times in this block, the first may be first in the corpus
         order = np.lexsort((at, ids, b, a))
         head = np.ones(len(order), bool)
         head[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
-        lead = order[np.flatnonzero(head)[np.cumsum(head) - 1]]
+        lead = order[head][np.cumsum(head) - 1]
         late = np.zeros(len(order), bool)
         late[order] = (ids[order] != ids[lead]) | (at[order] != at[lead])
-        texts = [None if z else held[p][x : x + n].tobytes() for p, x, n, z in zip(piece.tolist(), start.tolist(), size.tolist(), late.tolist(), strict=True)]
-        state = {"row": row, "at": at, "size": size, "late": late, "a": a, "trigger": trigger, "doc": ids, "texts": texts}
-        return _rows([(0, owner, block, blob, None) for owner, _, blob in dealt(entries, block, owners)] + [(1, 0, block, _freeze(state), None)])
+        mine = np.flatnonzero(~late)
+        mine = mine[np.lexsort((at[mine], row[mine]))]
+        state = {"gone": merged_spans(row[late], at[late], at[late] + size[late]), "row": row[mine].astype(np.int32), "at": at[mine], "size": size[mine].astype(np.int32), "trigger": trigger[mine].astype(np.int16 if width < 1 << 14 else np.int32), "doc": ids[mine]}
+        state["texts"] = [held[p][x : x + n].tobytes() for p, x, n in zip(piece[mine].tolist(), start[mine].tolist(), size[mine].tolist(), strict=True)]
+        # repeated rows of a document give the same key twice; the owner hears of it once
+        place = np.empty(len(order), np.int64)
+        place[mine] = np.arange(len(mine))
+        once = order[head]
+        return _rows([(0, owner, block, blob, None) for owner, _, blob in dealt(entries_of(a[once], b[once], ids[once], place[once]), block, owners)] + [(1, 0, block, _freeze(state), None)])
+
+    def cores(s: dict):
+        """(hashes of the strings' data, start of each phrase in it, cores, which count) of a state's phrases."""
+        data = np.frombuffer(b"".join(s["texts"]), np.uint8)
+        start = np.cumsum(s["size"], dtype=np.int64) - s["size"]
+        trigger = s["trigger"].astype(np.int64)
+        rolling = Rolling(BYTE_VALUES[data])
+        # the trigger's place in the phrase's first string is its greatest
+        return start, *core_hashes(rolling, start + trigger, trigger - (s["size"] - width), trigger, width)
 
     def dictionary(t: pa.Table, replies: pa.Table) -> pa.Table:
-        """First occurrences of phrases: a sketch of their triggers; what is known to go already."""
+        """First occurrences of phrases: a sketch of their cores; what is known to go already."""
         block, s = t.column("block")[0].as_py(), _thaw(t.column("blob")[0].as_py())
-        late = s["late"] | member(key_set(replies), s["a"])
-        keep = np.flatnonzero(~late)
-        state = {"row": s["row"][late], "at": s["at"][late], "end": s["at"][late] + s["size"][late]}
-        state["first"] = {k: s[k][keep] for k in ("row", "at", "size", "trigger", "doc")} | {"texts": [s["texts"][i] for i in keep.tolist()]}
-        return _rows([(0, owner, block, blob, twice) for owner, _, blob, twice in sketch.sparse(s["trigger"][keep], block)] + [(1, 0, block, _freeze(state), None)])
+        late = np.zeros(len(s["row"]), bool)
+        late[key_set(replies).astype(np.int64)] = True
+        row, at, end = s.pop("gone")
+        mine = ~late
+        state = {"gone": merged_spans(np.append(row, s["row"][late]), np.append(at, s["at"][late]), np.append(end, s["at"][late] + s["size"][late]))}
+        state |= {k: s[k][mine] for k in ("row", "at", "size", "trigger", "doc")} | {"texts": [x for x, z in zip(s["texts"], late.tolist(), strict=True) if not z]}
+        _, keys, there = cores(state)
+        return _rows([(0, owner, block, blob, counts) for owner, _, blob, counts in sketch.sparse(keys[there], block)] + [(1, 0, block, _freeze(state), None)])
 
     def suffixes(t: pa.Table, replies: pa.Table) -> pa.Table:
-        """Sort the suffixes of the dictionary's phrases whose triggers other phrases hold too; send one entry a group."""
-        block, state = t.column("block")[0].as_py(), _thaw(t.column("blob")[0].as_py())
-        f = state.pop("first")
-        use = np.flatnonzero(sketch.repeated(f["trigger"], answers(replies)))
-        order = use[np.lexsort((f["at"][use], f["row"][use]))]
-        # phrases that overlap in a document become one stretch
-        parts, rows, ats, docs, base = [], [], [], [], 0
-        row, at, size, doc = (f[k][order] for k in ("row", "at", "size", "doc"))
-        joins = np.zeros(len(order), bool)
-        joins[1:] = (row[1:] == row[:-1]) & (at[1:] + width - 1 == at[:-1] + size[:-1])
-        starts = []
-        for i, k in enumerate(order.tolist()):
-            part = f["texts"][k][width - 1 :] if joins[i] else f["texts"][k]
-            n = int(size[i]) - width + 1
-            begin = base - (width - 1) if joins[i] else base
-            starts.append(np.arange(begin, begin + n))
-            rows.append(np.full(n, row[i]))
-            ats.append(np.arange(at[i], at[i] + n))
-            docs.append(np.full(n, doc[i]))
-            parts.append(part)
-            base += len(part)
-        if not parts:
-            state["open"] = None
-            return _rows([(1, 0, block, _freeze(state), None)])
-        starts, rows, ats, docs = (np.concatenate(x) for x in (starts, rows, ats, docs))
-        data = np.frombuffer(b"".join(parts), np.uint8)
+        """Sort those suffixes of the dictionary whose cores other phrases hold too; send one entry a group."""
+        block, s = t.column("block")[0].as_py(), _thaw(t.column("blob")[0].as_py())
+        start, keys, there = cores(s)
+        there[there] = sketch.repeated(keys[there], answers(replies))
+        phrase, group = np.nonzero(there)
+        trigger, size = s["trigger"].astype(np.int64)[phrase], s["size"].astype(np.int64)[phrase]
+        # a string at the phrase's place k has the trigger at its place trigger - k
+        first = np.maximum(0, trigger - (group + 1) * GROUP + 1)
+        last = np.minimum(size - width, trigger - group * GROUP)
+        n = last - first + 1
+        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+        phrase = np.repeat(phrase, n)
+        if not len(k):
+            return _rows([(1, 0, block, _freeze({"gone": s["gone"]}), None)])
+        # only phrases with such strings are sorted
+        used = np.unique(phrase)
+        data = np.frombuffer(b"".join(s["texts"][i] for i in used.tolist()), np.uint8)
+        start = np.zeros(len(s["size"]), np.int64)
+        start[used] = np.cumsum(s["size"][used], dtype=np.int64) - s["size"][used]
+        starts, rows, ats, docs = start[phrase] + k, s["row"][phrase].astype(np.int64), s["at"][phrase] + k, s["doc"][phrase]
         rank = suffix_ranks(data, width)[starts]
         order = np.lexsort((ats, docs, rank))
         head = np.ones(len(order), bool)
@@ -198,27 +240,23 @@ def dedup_substrings(docs: DataFrame, width: int = 100, text: str = "text") -> D
         lead = order[np.flatnonzero(head)[np.cumsum(head) - 1]]
         late = np.zeros(len(order), bool)
         late[order] = (docs[order] != docs[lead]) | (ats[order] != ats[lead])
-        state |= {"row": np.append(state["row"], rows[late]), "at": np.append(state["at"], ats[late]), "end": np.append(state["end"], ats[late] + width)}
-        at = order[head]
-        a = mix(Rolling(BYTE_VALUES[data]).of(starts[at], starts[at] + width))
-        b = mix(Rolling(OTHER_VALUES[data]).of(starts[at], starts[at] + width))
-        state["open"] = (a, rows[at], ats[at])
-        entries = first_entries(a, b, docs[at], ats[at])
-        return _rows([(0, owner, block, blob, None) for owner, _, blob in dealt(entries, block, owners)] + [(1, 0, block, _freeze(state), None)])
+        row, at, end = s["gone"]
+        gone = merged_spans(np.append(row, rows[late]), np.append(at, ats[late]), np.append(end, ats[late] + width))
+        one = order[head]
+        a = mix(Rolling(BYTE_VALUES[data]).of(starts[one], starts[one] + width))
+        b = mix(Rolling(OTHER_VALUES[data]).of(starts[one], starts[one] + width))
+        entries = entries_of(a, b, docs[one], rows[one] << 40 | ats[one])
+        return _rows([(0, owner, block, blob, None) for owner, _, blob in dealt(entries, block, owners)] + [(1, 0, block, _freeze({"gone": gone}), None)])
 
     def remove(t: pa.Table, replies: pa.Table) -> pa.Table:
         t = _ordered(t)
         row = at = end = np.zeros(0, np.int64)
         mine = replies.filter(pa.compute.equal(replies.column("kind"), 1))
         if mine.num_rows:
-            state = _thaw(mine.column("blob")[0].as_py())
-            row, at, end = state["row"], state["at"], state["end"]
-            if state["open"]:
-                a, rows, ats = state["open"]
-                late = member(key_set(replies.filter(pa.compute.equal(replies.column("kind"), 0))), a)
-                row, at, end = np.append(row, rows[late]), np.append(at, ats[late]), np.append(end, ats[late] + width)
-        order = np.argsort(row, kind="stable")
-        row, at, end = row[order], at[order], end[order]
+            row, at, end = _thaw(mine.column("blob")[0].as_py())["gone"]
+        told = key_set(replies.filter(pa.compute.equal(replies.column("kind"), 0))).astype(np.int64)
+        places = told & ((1 << 40) - 1)
+        row, at, end = merged_spans(np.append(row, told >> 40), np.append(at, places), np.append(end, places + width))
         cuts = np.searchsorted(row, np.arange(t.num_rows + 1))
         n_bytes, n_removed, n_spans, kept = [], [], [], []
         for k, x in enumerate(t.column("text").cast(pa.large_binary()).to_pylist()):
@@ -240,10 +278,12 @@ def dedup_substrings(docs: DataFrame, width: int = 100, text: str = "text") -> D
     sent = lambda rows: rows.filter("kind = 0").select("owner", "block", "blob")
     states = lambda rows: rows.filter("kind = 1").select("block", "blob")
     parsed = written(with_answers(blocks, repeated_keys(blocks, triggers, sketch), parse, ROWS), "parse")
-    firsts = written(with_answers(states(parsed), earlier_elsewhere(sent(parsed)), dictionary, ROWS), "dictionary")
-    shared = firsts.filter("kind = 0").select("owner", "block", "blob", "twice").groupBy("owner").applyInArrow(merged, "block int, owner long, blob binary")
+    firsts = written(with_answers(states(parsed), earlier_elsewhere(sent(parsed), "at"), dictionary, ROWS), "dictionary")
+    dropped(parsed)
+    shared = firsts.filter("kind = 0").select("owner", "block", "blob", "counts").groupBy("owner").applyInArrow(merged, ANSWER_SQL)
     sorted_ = written(with_answers(states(firsts), shared, suffixes, ROWS), "suffixes")
-    replies = earlier_elsewhere(sent(sorted_)).withColumn("kind", F.lit(0)).unionByName(states(sorted_).withColumn("kind", F.lit(1)))
+    dropped(firsts)
+    replies = earlier_elsewhere(sent(sorted_), "at").withColumn("kind", F.lit(0)).unionByName(states(sorted_).withColumn("kind", F.lit(1)))
     return with_answers(blocks, replies, remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
