@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from .shared import batches, blank, prepare, table, text_buffer
 
 #: Bytes that a filter sees, filters, and bytes between the starts of chunks (a chunk is two of these long).
-WIDTH, FILTERS, STRIDE = 6, 16, 256
+WIDTH, FILTERS, STRIDE = 6, 24, 256
 #: The sample: documents of each label, and bytes of text in all.
 SAMPLE, SAMPLE_BYTES = 1_500, 16 << 20
 EPOCHS, BATCH, RATE, DECAY = 14, 32, 0.02, 1e-4
@@ -71,13 +71,13 @@ class Network:
 
     def _segments(self, data: np.ndarray, offsets: np.ndarray, pairs: list[np.ndarray]):
         """(maxima over stretches of STRIDE bytes, the document of each stretch, number of documents)."""
-        spread, starts, doc = layout(data, offsets)
+        spread, starts, ends, doc = layout(data, offsets)
         tops = np.empty((len(starts), FILTERS), np.float32)
-        ends = np.append(starts[1:], len(spread) - (WIDTH - 1))
         a = 0
         while a < len(starts):
             z = max(a + 1, int(np.searchsorted(ends, starts[a] + PART, "right")))
-            tops[a:z] = np.maximum.reduceat(respond(spread[starts[a] : ends[z - 1] + WIDTH - 1], pairs), starts[a:z] - starts[a], axis=0)
+            cuts = np.stack([starts[a:z], ends[a:z]], 1).ravel()[:-1] - starts[a]
+            tops[a:z] = np.maximum.reduceat(respond(spread[starts[a] : ends[z - 1] + WIDTH - 1], pairs), cuts, axis=0)[::2]
             a = z
         return tops, doc, len(offsets) - 1
 
@@ -108,7 +108,7 @@ PART = 128 << 10
 
 
 def layout(data: np.ndarray, offsets: np.ndarray):
-    """Bytes with WIDTH - 1 zeros after each document, where stretches start, and their documents; empty documents have none."""
+    """Bytes with WIDTH - 1 zeros after each document, where stretches start and end, and their documents; empty documents have none."""
     sizes = np.diff(offsets)
     n = len(sizes)
     place = np.repeat(np.arange(n) * (WIDTH - 1), sizes) + np.arange(len(data))
@@ -118,7 +118,7 @@ def layout(data: np.ndarray, offsets: np.ndarray):
     stretches = -(-sizes // STRIDE)
     doc = np.repeat(np.arange(n), stretches)
     starts = np.repeat(begin, stretches) + (np.arange(len(doc)) - np.repeat(np.cumsum(stretches) - stretches, stretches)) * STRIDE
-    return spread, starts, doc
+    return spread, starts, np.minimum(starts + STRIDE, (begin + sizes)[doc]), doc
 
 
 def respond(spread: np.ndarray, pairs: list[np.ndarray]) -> np.ndarray:
@@ -159,16 +159,15 @@ def train(texts: list[bytes], labels: np.ndarray) -> Network:
 def _gradients(net: Network, texts: list[bytes], labels: np.ndarray):
     data = np.frombuffer(b"".join(texts), np.uint8)
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    spread, starts, doc = layout(data, offsets)
+    spread, starts, ends, doc = layout(data, offsets)
     pairs = net.pairs()
-    ends = np.append(starts[1:], len(spread) - (WIDTH - 1))
     tops, at = np.empty((len(starts), FILTERS), np.float32), np.empty((len(starts), FILTERS), np.int64)
     columns = np.arange(FILTERS)
     a = 0
     while a < len(starts):
         z = max(a + 1, int(np.searchsorted(ends, starts[a] + PART, "right")))
         got = respond(spread[starts[a] : ends[z - 1] + WIDTH - 1], pairs)
-        # the padding between documents is at most WIDTH - 1 places of a stretch; stretches are cut to equal length for argmax
+        # a short stretch repeats its last place
         idx = np.minimum(np.arange(STRIDE)[None, :], (ends[a:z] - starts[a:z])[:, None] - 1) + (starts[a:z] - starts[a])[:, None]
         best = got[idx].argmax(1)
         at[a:z] = starts[a:z, None] + np.minimum(best, (ends[a:z] - starts[a:z])[:, None] - 1)
@@ -187,8 +186,11 @@ def _gradients(net: Network, texts: list[bytes], labels: np.ndarray):
     per[doc[heads]] = size
     flow = error[doc][:, None] * net.weights[None, :FILTERS] / per[doc][:, None]
     top = soft >= np.maximum.reduceat(soft, heads, axis=0)[np.repeat(np.arange(len(heads)), size)]
+    # neighbouring chunks share a stretch, so maxima tie; the first counts
+    seen = np.cumsum(top, axis=0)
+    top &= seen - np.repeat(seen[heads] - top[heads], size, axis=0) == 1
     flow = (flow + error[doc][:, None] * net.weights[None, FILTERS:] * top) * active
-    g_bias = flow.sum(0).astype(np.float32)
+    g_bias = flow.sum(0)
     source = np.where(second, np.vstack([at[1:], at[-1:]]), at)
     g_tables = np.zeros_like(net.tables)
     for k in range(WIDTH):
@@ -219,7 +221,12 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> Network:
         last = r["h"]
     got = rows.filter(F.col("h") <= last).orderBy("h").limit(2 * SAMPLE).toArrow() if last is not None else None
     texts = [x.encode() for x in got.column("text").to_pylist()] if got else []
-    return train(texts, got.column("quality").to_numpy().astype(np.float64) if got else np.zeros(0))
+    net = train(texts, got.column("quality").to_numpy().astype(np.float64) if got else np.zeros(0))
+    # the sample holds as many of each label as there are, up to SAMPLE; scores are for the labels as they are
+    there, here = ({r["quality"]: r["count"] for r in df.groupBy("quality").count().collect()} for df in (known, picked))
+    if got and len(there) == 2:
+        net.base += float(np.log(there[1] / there[0]) - np.log(here[1] / here[0]))
+    return net
 
 
 def score(docs: DataFrame, net: Network, text: str = "text", out: str = "score", keep: list[str] | None = None) -> DataFrame:
