@@ -5,8 +5,9 @@ are all *compatible*: BPE, run on the two tokens' bytes alone, gives the same
 two tokens back. So a non-deterministic transducer guesses tokens along the
 vocabulary's trie and checks each guess against the token before it. Its
 subset construction is done lazily: a state is the set of guesses still open,
-with the tokens on which they differ; whatever all guesses share is emitted at
-once. Guesses are no longer than the longest token, so lookahead is bounded.
+each a trie node and the token that it follows, and a transition gives the last
+token of what has been read. Tokens on which all open guesses agree are
+certain; guesses are no longer than the longest token, so lookahead is bounded.
 
 Decoding. Token bytes are gathered by id; ``Utf8Machine`` cuts the byte stream
 at character borders, so that text can be shown before a stream has ended.
@@ -24,7 +25,7 @@ import sys
 import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import islice
 
 import numpy as np
@@ -36,8 +37,12 @@ from pyspark.sql import types as T
 from .shared import blank, prepare, table
 
 #: Transitions and pieces that a worker keeps; beyond them it starts afresh, which only costs time.
-MAX_TRANSITIONS = 500_000
+MAX_TRANSITIONS = 600_000
 MAX_PIECES = 400_000
+#: Bits of a token in a packed number, all set for no token; bytes of a piece that are held before tokens are emitted.
+BITS = 20
+NONE = (1 << BITS) - 1
+LONG_PIECE = 4096
 #: Texts longer than this are split piece by piece, not in one list.
 LONG_TEXT = 1 << 20
 
@@ -84,6 +89,8 @@ class Transducer:
         self.pairs: dict[tuple[int, int], int] = {}
         self.children: list[dict[int, int]] = [{}]
         self.token_at: list[int] = [-1]
+        self.depth: list[int] = [0]
+        self.length = {rank: len(token) for token, rank in ranks.items()}
         for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
             if len(token) > 1:
                 parts = self.merge(token, rank)
@@ -98,6 +105,7 @@ class Transducer:
                     after = self.children[node][byte] = len(self.children)
                     self.children.append({})
                     self.token_at.append(-1)
+                    self.depth.append(self.depth[node] + 1)
                 node = after
             self.token_at[node] = rank
         self._reset()
@@ -137,72 +145,80 @@ class Transducer:
                 limit, right = right + 1, b[0]
 
     def _reset(self) -> None:
-        #: A guess is (trie node, tokens not yet emitted); a state (last token emitted, guesses).
-        start = (-1, ((0, ()),))
-        self.states: list[tuple] = [start]
-        self.ids: dict[tuple, int] = {start: 0}
-        self.last: list[tuple[int, ...]] = [()]
-        self.delta: dict[int, tuple[int, tuple[int, ...]]] = {}
+        #: A guess is a trie node and the token before it, in one number; a state is its open guesses, longest first.
+        start = (NONE,)
+        self.states: list[tuple[int, ...]] = [start]
+        self.ids: dict[tuple[int, ...], int] = {start: 0}
+        #: By state and byte: the next state, and the last token of what has been read, in one number.
+        self.delta: dict[int, int] = {}
         #: Of pairs of tokens: whether they are compatible.
         self.settled: dict[int, bool] = {}
 
-    def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        before, guesses = self.states[state]
-        after = []
+    def _step(self, state: int, byte: int) -> int:
         children, token_at, settled = self.children, self.token_at, self.settled
-        shortest = None
-        for node, pending in guesses:
-            node = children[node].get(byte)
+        after, found = [], -1
+        for guess in self.states[state]:
+            before = guess & NONE
+            node = children[guess >> BITS].get(byte)
             if node is None:
                 continue
             if children[node]:
-                after.append((node, pending))
-                if shortest is None or len(pending) < len(shortest):
-                    shortest = pending
+                after.append(node << BITS | before)
             token = token_at[node]
-            if token >= 0:
-                prev = pending[-1] if pending else before
-                if prev >= 0:
-                    fits = settled.get(pair := prev << 32 | token)
+            if token >= 0 and found < 0:
+                if before == NONE:
+                    found = token
+                else:
+                    fits = settled.get(before << BITS | token)
                     if fits is None:
-                        fits = settled[pair] = self.compatible(prev, token)
-                    if not fits:
-                        continue
-                pending = (*pending, token)
-                after.append((0, pending))
-                if shortest is None or len(pending) < len(shortest):
-                    shortest = pending
-        shared = 0
-        while shared < len(shortest) and all(g[1][shared] == shortest[shared] for g in after):
-            shared += 1
-        emitted = shortest[:shared]
-        if shared:
-            before = emitted[-1]
-            after = [(n, p[shared:]) for n, p in after]
-        key = (before, tuple(after))
+                        fits = settled[before << BITS | token] = self.compatible(before, token)
+                    if fits:
+                        found = token  # no other can fit: what has been read has one encoding
+        after.append(found)
+        key = tuple(after)
         number = self.ids.get(key)
         if number is None:
             number = self.ids[key] = len(self.states)
             self.states.append(key)
-            self.last.append(next(p for n, p in after if n == 0))
-        self.delta[state << 8 | byte] = out = (number, emitted)
+        self.delta[state << 8 | byte] = out = number << BITS | found
         return out
 
     def encode(self, piece: bytes) -> list[int]:
+        """A piece's tokens. Those before all open guesses are certain, so a long piece is emitted in parts."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
         if len(self.delta) > MAX_TRANSITIONS:
             self._reset()
-        state, out, delta = 0, [], self.delta
+        state, ends, out, delta = 0, [], [], self.delta
         for byte in piece:
             to = delta.get(state << 8 | byte)
             if to is None:
                 to = self._step(state, byte)
-            state, emitted = to
-            if emitted:
-                out += emitted
-        return out + [*self.last[state]]
+            state = to >> BITS
+            ends.append(to & NONE)
+            if len(ends) >= LONG_PIECE:
+                out += self._emit(ends, self._certain(state, ends))
+        return out + self._emit(ends, len(ends))
+
+    def _certain(self, state: int, ends: list[int]) -> int:
+        """How many bytes all open guesses agree on: where the ways back from their starts meet."""
+        starts = {len(ends) - self.depth[g >> BITS] for g in self.states[state]}
+        while len(starts) > 1:
+            last = max(starts)
+            starts.remove(last)
+            starts.add(last - self.length[ends[last - 1]])
+        return starts.pop()
+
+    def _emit(self, ends: list[int], upto: int) -> list[int]:
+        """The tokens of the first bytes, from the last one back; the bytes go."""
+        out, at = [], upto
+        while at > 0:
+            out.append(ends[at - 1])
+            at -= self.length[ends[at - 1]]
+        del ends[:upto]
+        out.reverse()
+        return out
 
 
 class Pieces(dict):
@@ -228,9 +244,7 @@ class ByteBPE:
     """A byte-level BPE codec made from ranks and a split pattern."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.fst = Transducer(ranks)
-        self.pieces = Pieces(self.fst)
-        self.split = splitter(pattern)
+        self.ranks, self.pattern = ranks, pattern
         size = max(ranks.values(), default=-1) + 1
         by_id: list[bytes | None] = [None] * size
         for token, rank in ranks.items():
@@ -238,6 +252,14 @@ class ByteBPE:
         self.known = np.array([t is not None for t in by_id], bool)
         self.tokens = pa.array([t or b"" for t in by_id], pa.large_binary())
 
+    @cached_property
+    def pieces(self) -> Pieces:
+        return Pieces(Transducer(self.ranks))
+
+    @cached_property
+    def split(self) -> re.Pattern:
+        return splitter(self.pattern)
+
     def encode(self, text: str) -> np.ndarray:
         """int32 ids of a text, without special tokens."""
         get = self.pieces.__getitem__
@@ -330,7 +352,7 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(vocabulary, pattern)
-        gc.freeze()  # the codec's many small objects needn't be visited again and again
+        gc.set_threshold(100_000, 20, 100)  # the transducer's many small tuples needn't be visited again and again
         for b in it:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], _array([bpe.encode(x) for x in b.column(len(keep)).to_pylist()])], [*keep, ids])
 
