@@ -174,26 +174,22 @@ def line_length(raw: bytes | None, axis_order: str = "xy") -> float | None:
     return total
 
 
-def _series(fn, schema: str):
-    @F.pandas_udf(schema)
-    def run(it: Iterator[pd.Series]) -> Iterator[pd.Series | pd.DataFrame]:
-        for s in it:
-            yield fn(s)
-
-    return run
-
-
 def centroid_xy(geometry: Column) -> Column:
     """struct<x, y> of a geometry's centroid; of a point, itself."""
 
+    @F.pandas_udf("x double, y double")
     def run(s: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([c or (None, None) for c in map(centroid, s)], columns=["x", "y"], dtype=float)
 
-    return _series(run, "x double, y double")(geometry)
+    return run(geometry)
 
 
 def length_spheroid(geometry: Column, axis_order: str = "xy") -> Column:
-    return _series(lambda s: s.map(lambda g: line_length(g, axis_order), na_action="ignore").astype(float), "double")(geometry)
+    @F.pandas_udf("double")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda g: line_length(g, axis_order), na_action="ignore").astype(float)
+
+    return run(geometry)
 
 
 def _encoded(head: bytes, *coordinates: Column) -> Column:

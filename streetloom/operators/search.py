@@ -127,7 +127,7 @@ class _Growing:
                 up[x] = y
                 kept.append((w, a, b))
         whole = len(kept) == len(self.nodes)
-        return (sum(w for w, _, _ in kept) if whole else inf), kept
+        return (sum((w for w, _, _ in kept), 0.0) if whole else inf), kept
 
     def add(self, node: int) -> None:
         self.tree = self._with(node)[1]

@@ -32,8 +32,9 @@ def shortest(edges: DataFrame, seeds: DataFrame, limit=None, pinned: bool = Fals
         if limit is not None:
             offers = offers.filter(F.col("offer.dist") <= limit)
         best = offers.groupBy(*keys).agg(F.min("offer").alias("offer"))
-        here = F.struct("dist", "label", "hops", F.coalesce("parent", F.lit("").cast(own["node"])).alias("parent"))
-        better = F.col("dist").isNull() | (F.col("offer").isNotNull() & (F.struct("offer.dist", "offer.label", "offer.hops", F.col("offer.parent")) < here))
+        # a null parent, a seed's, is less than any other, so no offer of the same distance, label and hops beats it
+        here = F.struct("dist", "label", "hops", "parent")
+        better = F.col("dist").isNull() | (F.col("offer").isNotNull() & (F.col("offer") < here))
         if pinned:
             better = F.col("dist").isNull() | (better & ~F.col("seed"))
         both = state.join(best, keys, "full_outer").withColumn("better", F.coalesce(better, F.lit(False)))
