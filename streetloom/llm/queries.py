@@ -1,5 +1,6 @@
 """The queries of this subpackage, by name, and their SQL."""
 
+from . import sql
 from .bpe import op1_byte_bpe
 from .mixing import op10_pfair_mix
 from .neardup import op7_lattice_neardup
@@ -8,7 +9,7 @@ from .quality import op5_quality
 from .secrets import op3_secret_scan
 from .substrings import op8_suffix_dedup
 from .token_counts import op2_token_counts
-from .topk import OP4_SQL, op4_cover_topk
+from .topk import op4_cover_topk
 from .windows import op9_window_dedup
 
 
@@ -18,4 +19,10 @@ def queries():
 
 
 def oracle_sql():
-    return {"op4_cover_topk": OP4_SQL}
+    return {
+        "op4_cover_topk": sql.OP4_COVER_TOPK,
+        "op6_ngram_join": sql.OP6_NGRAM_JOIN,
+        "op7_lattice_neardup": sql.OP7_LATTICE_NEARDUP,
+        "op8_suffix_dedup": sql.OP8_SUFFIX_DEDUP,
+        "op9_window_dedup": sql.OP9_WINDOW_DEDUP,
+    }
