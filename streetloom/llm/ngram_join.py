@@ -3,16 +3,17 @@
 1. A count-min sketch finds the n-grams that may stand in two documents. A set
    of which less than the threshold is such can link with nothing and is done.
 2. Equal sets become one class; the smallest doc_id stands for it.
-3. Once more for classes. What remains is ordered: n-grams of one class first,
-   then by hash. Sets that link share an n-gram among the first
+3. Once more for classes. What remains is ordered by the sketch's counts, n-grams
+   of one class first, and then by hash. Sets that link share an n-gram among the first
    n - ceil(t n) + 1, their prefix (and n-grams of one class match nothing).
-4. Each class is compared with the smallest class under its first prefix
-   n-grams, which joins most of each group of copies in linear work.
-5. Exact rest: a tile is a prefix n-gram and a band of set sizes; sets visit
-   the next larger band, as linked sizes differ by the threshold at most. Tiles
-   whose members already share a component hold nothing new. In the others,
-   bit counts of hashed bitmaps bound overlaps from above for all pairs of
-   different components, and what passes is settled by intersecting sorted arrays.
+4. A tile is a prefix n-gram and a band of set sizes; sets visit the next larger
+   band, as linked sizes differ by the threshold at most. In a few rounds each
+   member is compared with one member of its tile, which joins most of each
+   group of copies in linear work. Bit counts of hashed bitmaps bound overlaps
+   from above, and what passes is settled by intersecting sorted arrays.
+5. Exact rest: tiles whose members share a component by now hold nothing new.
+   The others give all their pairs of different components, each pair once, to the
+   same bitmaps and intersections.
 
 Tiles with many members are cut into chunks that meet pairwise. Sets are
 compared by 64-bit hashes of their n-grams. Null and empty texts have empty sets and
@@ -39,10 +40,10 @@ LOWER = BYTE_VALUES.copy()
 LOWER[ord("A") : ord("Z") + 1] = BYTE_VALUES[ord("a") : ord("z") + 1]
 WORD_BYTES = 5
 DEPTH = 2
-#: Classes under so many of a set's first prefix n-grams are compared in step 4.
-LEADERS = 3
-#: Members of a tile that meet in one task.
-TILE = 512
+#: Rounds of comparing with one member of each tile; the first round looks at so many of a set's first prefix n-grams.
+ROUNDS, LEADERS = 3, 3
+#: Members of a chunk of a tile, and bits of a bitmap for each n-gram.
+TILE, BITS = 512, 4
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
@@ -69,10 +70,23 @@ def least_overlap(n: int, num: int, den: int) -> int:
     return -(-n * num // den)
 
 
-def _signature(hashes: np.ndarray, bits: int) -> np.ndarray:
+def signature(hashes: np.ndarray) -> np.ndarray:
+    """A bitmap of at least BITS bits for each hash, a power of two; halves that are or-ed give the bitmap of half the size."""
+    bits = max(64, 1 << ceil(log(max(BITS * len(hashes), 1), 2)))
     out = np.zeros(bits, bool)
     out[(mix(hashes, 5) & U64(bits - 1)).astype(np.int64)] = True
-    return np.packbits(out).view(U64)
+    return np.packbits(out, bitorder="little").view(U64)
+
+
+def folded(bitmap: np.ndarray, size: int) -> np.ndarray:
+    return np.bitwise_or.reduce(bitmap.reshape(-1, size), axis=0)
+
+
+def most_shared(a: np.ndarray, own_a: int, b: np.ndarray, own_b: int) -> int:
+    """An upper bound of the overlap of two sets: each bit of one that the other lacks is an element that they don't share."""
+    size = min(len(a), len(b))
+    a, b = folded(a, size), folded(b, size)
+    return min(own_a - int(np.bitwise_count(a & ~b).sum()), own_b - int(np.bitwise_count(b & ~a).sum()))
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (4, 5), text: str = "text") -> DataFrame:
@@ -124,16 +138,17 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int
         out = []
         for rep, n, blob in zip(t.column("rep").to_pylist(), t.column("n").to_pylist(), t.column("set").to_pylist(), strict=True):
             s = np.frombuffer(blob, U64)
-            s = s[sketch.repeated(s, flagged)]
+            often = sketch.estimates(s, flagged)
+            s, often = s[often > 1], often[often > 1]
             # n-grams of this class alone come first in the order, and match nothing
             keys = n - least_overlap(n, num, den) + 1 - (n - len(s))
             if keys > 0:
-                out.append((rep, n, int(log(n) / ratio + 1e-9), s.tobytes(), s[:keys].view(np.int64).tolist()))
-        cols = list(zip(*out, strict=True)) or [()] * 5
-        return pa.table({n: pa.array(c, y) for n, c, y in zip(("rep", "n", "band", "set", "keys"), cols, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())), strict=True)})
+                out.append((rep, n, int(log(n) / ratio + 1e-9), len(s), signature(s).tobytes(), s.tobytes(), s[np.argsort(often, kind="stable")][:keys].view(np.int64).tolist()))
+        cols = list(zip(*out, strict=True)) or [()] * 7
+        return pa.table({n: pa.array(c, y) for n, c, y in zip(("rep", "n", "band", "own", "bits", "set", "keys"), cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())), strict=True)})
 
     reps = written(reps, "reps").repartition("block")
-    open_sets = written(with_answers(reps, repeated_keys(reps, set_keys, sketch), prefixes, "rep long, n long, band int, set binary, keys array<long>"), "prefixes")
+    open_sets = written(with_answers(reps, repeated_keys(reps, set_keys, sketch), prefixes, "rep long, n long, band int, own long, bits binary, set binary, keys array<long>"), "prefixes")
     sets = open_sets.select("rep", "n", "set")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -152,57 +167,52 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int
 
         return both.mapInArrow(run, "a long, b long")
 
-    entries = open_sets.select("rep", "n", "band", F.posexplode("keys").alias("place", "key"))
-    leaders = entries.groupBy("key", "band").agg(F.min("rep").alias("a"))
-    first = entries.filter(F.col("place") < LEADERS).join(leaders, ["key", "band"]).select("a", F.col("rep").alias("b")).filter("a < b").distinct()
-    links = written(verified(first), "leader-links")
-    labels = written(components(links), "labels")
-
-    placed = entries.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep"))
-    visits = placed.select("rep", "n", "label", "key", F.explode(F.array("band", F.col("band") + 1)).alias("tile"))
-    mixed = visits.groupBy("key", "tile").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members")).filter("lo < hi").select("key", "tile", F.ceil(F.col("members") / TILE).cast("int").alias("chunks"))
-    calls = visits.join(mixed, ["key", "tile"]).groupBy("rep", "label").agg(F.collect_list(F.struct("key", "tile", "chunks")).alias("tiles"))
-    members = open_sets.select("rep", "n", "band", "set").join(calls, "rep")
-    call = "struct<key long, tile int, i int, j int, rep long, n long, label long, visitor boolean, chunk int, own long, bits binary>"
-
-    def sign(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A member's bitmap for each tile that it goes to; in a cut tile, once for each other chunk."""
-        for b in it:
-            for r in b.to_pylist():
-                s, out, made = np.frombuffer(r["set"], U64), [], {}
-                for t in r["tiles"]:
-                    bits = max(64, 1 << ceil(log(8 * (den / num) ** (t["tile"] + 1), 2)))
-                    if bits not in made:
-                        made[bits] = _signature(s, bits).tobytes()
-                    chunk = int(mix(np.array([r["rep"]], np.int64).view(U64), 9)[0] % U64(t["chunks"]))
-                    for other in range(t["chunks"]):
-                        out.append((t["key"], t["tile"], min(chunk, other), max(chunk, other), r["rep"], r["n"], r["label"], r["band"] != t["tile"], chunk, len(s), made[bits]))
-                names = ("key", "tile", "i", "j", "rep", "n", "label", "visitor", "chunk", "own", "bits")
-                types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
-
-    def meet(t: pa.Table) -> pa.Table:
-        """Pairs of a tile whose bit counts allow a link."""
-        n, label, visitor, chunk, own, rep = (t.column(c).to_numpy() for c in ("n", "label", "visitor", "chunk", "own", "rep"))
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        bits = np.stack([np.frombuffer(x, U64) for x in t.column("bits").to_pylist()])
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for x in range(len(n)):
-            if chunk[x] != i:
-                continue
-            with_x = (label != label[x]) & ~(visitor & visitor[x]) & (den * np.minimum(n, n[x]) >= num * np.maximum(n, n[x]))
-            with_x &= (chunk == j) if i != j else (np.arange(len(n)) > x)
-            y = np.flatnonzero(with_x)
-            most = np.minimum(own[x] - np.bitwise_count(bits[x] & ~bits[y]).sum(1, dtype=np.int64), own[y] - np.bitwise_count(bits[y] & ~bits[x]).sum(1, dtype=np.int64))
-            y = y[(num + den) * most >= num * (n[x] + n[y])]
-            left.append(np.full(len(y), rep[x]))
-            right.append(rep[y])
-        left, right = np.concatenate(left), np.concatenate(right)
-        return pa.table({"a": np.minimum(left, right), "b": np.maximum(left, right)})
-
-    tiles = members.mapInArrow(sign, _fields(call))
-    pairs = tiles.groupBy("key", "tile", "i", "j").applyInArrow(meet, "a long, b long").filter("a < b").distinct()
-    more = verified(pairs)
+    def bounded(pairs: DataFrame) -> DataFrame:
+        """The pairs whose bitmaps allow a link."""
+        bits = lambda k: open_sets.select(F.col("rep").alias(k), F.col("n").alias(f"n{k}"), F.col("own").alias(f"own{k}"), F.col("bits").alias(f"bits{k}"))
+        both = pairs.join(bits("a"), "a").join(bits("b"), "b").select("a", "b", "na", "nb", "owna", "ownb", "bitsa", "bitsb")
+
+        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t in it:
+                keep = [(num + den) * most_shared(np.frombuffer(x, U64), oa, np.frombuffer(y, U64), ob) >= num * (na + nb) for na, nb, oa, ob, x, y in zip(*(t.column(i).to_pylist() for i in range(2, 8)), strict=True)]
+                yield t.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+        return both.mapInArrow(run, "a long, b long")
+
+    entries = open_sets.select("rep", "n", "own", "band", F.posexplode("keys").alias("place", "key"))
+    links = None
+
+    def may_link(na: str, oa: str, pa_: str, nb: str, ob: str, pb: str):
+        """Whether sizes allow a link, and places of a common n-gram do: it splits both orders, and no more than the shorter part is shared on either side."""
+        before, after = F.least(pa_, pb), F.least(F.col(oa) - F.col(pa_), F.col(ob) - F.col(pb))
+        return (den * F.least(na, nb) >= num * F.greatest(na, nb)) & ((num + den) * (before + after) >= num * (F.col(na) + F.col(nb)))
+
+    def mixed_tiles(labels: DataFrame | None, seed: int) -> tuple[DataFrame, DataFrame]:
+        """(visits of classes to tiles, the tiles whose members have different components, with the first member by a hash)."""
+        placed = entries.withColumn("label", F.col("rep")) if labels is None else entries.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep"))
+        at = F.array(F.struct(F.col("band").alias("tile"), F.lit(False).alias("visitor")), F.struct((F.col("band") + 1).alias("tile"), F.lit(True).alias("visitor")))
+        visits = placed.select("rep", "n", "own", "label", "key", "place", F.explode(at).alias("t")).select("rep", "n", "own", "label", "key", "place", "t.*")
+        order = F.col("rep") if labels is None else F.xxhash64("rep", F.lit(seed))
+        tiles = visits.groupBy("key", "tile").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("visitor").alias("strangers"), F.count("*").alias("members"), F.min(F.struct(order.alias("o"), "rep", "n", "label", "own", "place")).alias("lead"))
+        return visits, tiles.filter("lo < hi AND NOT strangers")
+
+    labels = None
+    for seed in range(ROUNDS):
+        visits, tiles = mixed_tiles(labels, seed)
+        there = visits.filter(F.col("place") < LEADERS) if labels is None else visits
+        near = (F.col("label") != F.col("lead.label")) & may_link("n", "own", "place", "lead.n", "lead.own", "lead.place")
+        asked = there.join(tiles.select("key", "tile", "lead"), ["key", "tile"]).filter(near).select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b")).distinct()
+        new = verified(bounded(asked))
+        links = written(new if links is None else links.unionByName(new), "leader-links")
+        labels = written(components(links), "labels")
+
+    visits, mixed = mixed_tiles(labels, 0)
+    here = visits.join(mixed.select("key", "tile", F.ceil(F.col("members") / TILE).cast("int").alias("chunks")), ["key", "tile"])
+    left = here.select("key", "tile", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("own").alias("oa"), F.col("place").alias("pa"), F.col("label").alias("la"), F.col("visitor").alias("va"), F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int").alias("chunk"))
+    right = here.select("key", "tile", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("own").alias("ob"), F.col("place").alias("pb"), F.col("label").alias("lb"), F.col("visitor").alias("vb"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    apart = (F.col("a") != F.col("b")) & (F.col("la") < F.col("lb")) & ~(F.col("va") & F.col("vb"))
+    pairs = left.join(right, ["key", "tile", "chunk"]).filter(apart & may_link("na", "oa", "pa", "nb", "ob", "pb")).select("a", "b").distinct()
+    more = verified(bounded(pairs))
     # rows that share a doc_id are one document: it links the classes of its texts
     owners = rows.filter("sa is not null").join(classes, ["n", "sa", "sb"]).groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b")
     final = written(components(links.unionByName(more).unionByName(owners.select("a", "b"))), "components")
@@ -213,10 +223,6 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int
     return one.unionByName(lost)
 
 
-def _fields(struct: str) -> str:
-    return struct.removeprefix("struct<").removesuffix(">")
-
-
 def op6_ngram_join(spark, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of distinct 5-word shingles overlap by 80 % or more; see the module for nulls, ties and repeated rows."""
     return jaccard_components(table(spark, sf_dir, "documents"))

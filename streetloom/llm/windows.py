@@ -3,7 +3,7 @@
 A window is ``width`` consecutive words. First pass: each block of documents
 sketches its windows' hashes; merged sketches overestimate how often each
 occurs, so a window estimated once is unique. Second pass: windows estimated
-repeated are grouped by 128 bits of hash to find the first document of each.
+repeated are grouped by 96 bits of hash to find the first document of each.
 Third pass: a word goes if a window that covers it starts in a smaller doc_id too.
 
 Null or empty texts have no words. A null doc_id counts as smaller than all

@@ -77,6 +77,7 @@ def test_suffix_ranks_order_as_bytes_do():
 @pytest.mark.parametrize("many", [False, True])
 def test_ngram_join(spark, rows, many, monkeypatch):
     if not many:
+        monkeypatch.setattr(ngram_join, "ROUNDS", 1)
         monkeypatch.setattr(ngram_join, "LEADERS", 0)  # all work falls to the tiles
         monkeypatch.setattr(ngram_join, "TILE", 2)
     df = small(spark) if many else docs_frame(spark, rows)
