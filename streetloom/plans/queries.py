@@ -475,7 +475,7 @@ def greedy_reduced_pareto(spark, sf_dir):
 @query()
 def budgeted_search(spark, sf_dir):
     nodes, links = reduced(spark, sf_dir)
-    return _flat(search.budgeted_search(nodes, links, [0], budget=float(LIMIT), iterations=20))
+    return _flat(search.budgeted_search(nodes, links, [0], budget=float(LIMIT)))
 
 
 @query("SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice / (1 + o_orderkey), o_orderkey) AS INTEGER) AS rank FROM orders QUALIFY rank <= 32")

@@ -274,3 +274,17 @@ def test_nearest(spark):
 def test_names_of_nodes(spark):
     df = spark.createDataFrame([(7,)], "id long")
     assert tuple(df.select(connector_node("id"), building_node("id")).first()) == ("c:7", "b:7")
+
+
+def test_registered_search_grows_until_nothing_fits(spark, monkeypatch):
+    """A star whose leaves cost more and more: the most buildings within budget are the longest prefix that fits, beyond 20 rounds."""
+    from streetloom.plans import queries
+
+    budget = float(queries.LIMIT)
+    costs = [k * budget / 15.25 for k in range(1, 41)]
+    best = max(k for k in range(41) if sum(costs[:k]) <= budget * (1 + k))
+    assert 20 < best < 40
+    monkeypatch.setattr(queries, "reduced", lambda *_: reduced(spark, [1] * 41, [(0, k + 1, c) for k, c in enumerate(costs)]))
+    r = queries.QUERIES["budgeted_search"](spark, "").first()
+    assert sorted(map(int, r["selected"].split())) == list(range(best + 1))
+    assert r["total_buildings"] == best + 1 and r["tree_weight"] == pytest.approx(sum(costs[:best]))
