@@ -2,13 +2,13 @@
 
 Base kinds are fixed patterns. Beyond them every long run of key-like
 characters that mixes letters and digits at high entropy is a candidate. All
-candidates' hashes are counted by distinct repositories and owners over the
-whole corpus: what several owners hold is a widely copied example, what one
-owner holds in few repositories looks like a live credential. Candidates of the
-second sort become spans of the kind ``owned``.
+candidates' hashes are looked up by owner over the whole corpus: what several
+owners hold is a widely copied example, what one owner holds, in however many
+documents, looks like a live credential. Candidates of the second sort become
+spans of the kind ``owned``.
 
-Null and empty texts hold nothing; a null owner or repository counts as one
-more of its kind; repeated rows are reported each. Offsets are code points.
+Null and empty texts hold nothing; a null owner counts as one more owner;
+repeated rows are reported each. Offsets are code points.
 """
 
 from __future__ import annotations
@@ -34,8 +34,6 @@ KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 #: A candidate beyond the base kinds: length, and bits of entropy a character.
 WIDE_LENGTH, WIDE_BITS = 20, 3.5
 WIDE = re.compile(rf"[A-Za-z0-9+/_=-]{{{WIDE_LENGTH},}}")
-#: A live-looking secret has one owner, and stands in so many repositories at most.
-LIVE_REPOSITORIES = 3
 
 
 def _class(chars: str) -> np.ndarray:
@@ -111,28 +109,27 @@ def scan(text: str) -> list[tuple[int, int, int, int, str]]:
 SPAN = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("hash", pa.int64())])
 
 
-def find_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_id", id: str = "doc_id", text: str = "text") -> DataFrame:
+def find_secrets(docs: DataFrame, owner: str = "source", id: str = "doc_id", text: str = "text") -> DataFrame:
     """The id, base (spans of base kinds), spans (all), and of the candidates: live and copied, how many there are of each; a span is (start, kind, end, hash of the value)."""
     prepare(docs.sparkSession)
-    source = docs.select(F.col(id).alias("id"), F.xxhash64(owner).alias("owner"), F.xxhash64(repository).alias("repository"), blank(text).alias("text"))
+    source = docs.select(F.col(id).alias("id"), F.xxhash64(owner).alias("owner"), blank(text).alias("text"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it, 4 << 20):
-            col = b.column(3)
+            col = b.column(2)
             data, offsets = text_buffer(col)
             spans: list[list] = [[]] * b.num_rows
             for k in np.flatnonzero(_likely(data, offsets)).tolist():
                 spans[k] = [{"start": s, "kind": kind, "end": e, "hash": xxhash.xxh64_intdigest(v.encode()) - 2**63} for s, kind, e, v in scan(col[k].as_py())]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(spans, pa.list_(SPAN))], ["id", "owner", "repository", "found"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(spans, pa.list_(SPAN))], ["id", "owner", "found"])
 
     span = "struct<start long, kind int, end long, hash long>"
-    scanned = source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, owner long, repository long, found array<{span}>")
+    scanned = source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, owner long, found array<{span}>")
     scanned = written(scanned.withColumn("row", F.monotonically_increasing_id()), "scanned")
-    # one row for each value in a document; counted by owner first, so that a value copied everywhere stays a few rows
-    values = scanned.filter(F.size("found") > 0).select("row", "owner", "repository", F.explode(F.array_distinct(F.col("found.hash"))).alias("hash"))
-    by_owner = values.groupBy("hash", "owner", "repository").agg(F.lit(1).alias("one")).groupBy("hash", "owner").agg(F.count("*").alias("repositories"))
-    owned = by_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
-    live = written(owned.filter((F.col("owners") == 1) & (F.col("repositories") <= LIVE_REPOSITORIES)).select("hash"), "live")
+    # one row for each value in a document; the least and greatest owner tell whether there is one, so a value copied everywhere stays a few rows
+    values = scanned.filter(F.size("found") > 0).select("row", "owner", F.explode(F.array_distinct(F.col("found.hash"))).alias("hash"))
+    owned = values.groupBy("hash").agg(F.min("owner").alias("least"), F.max("owner").alias("most"))
+    live = written(owned.filter("least = most").select("hash"), "live")
     mine = values.select("row", "hash").join(live, "hash").groupBy("row").agg(F.collect_set("hash").alias("__live"))
     got = scanned.join(mine, "row", "left").withColumn("__live", F.coalesce("__live", F.array().cast("array<long>")))
     return got.select(
@@ -153,7 +150,7 @@ def named(spans: str):
 def redact(docs: DataFrame, owner: str = "source", id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with every secret of find_secrets replaced by its kind in brackets; texts without any stay as they are, null ones too."""
     keyed = docs.withColumn("__key", F.struct(F.col(id).alias("id"), F.xxhash64(text).alias("text")))
-    found = find_secrets(keyed, owner, id, "__key", text).filter(F.size("spans") > 0).dropDuplicates(["id"])
+    found = find_secrets(keyed, owner, "__key", text).filter(F.size("spans") > 0).dropDuplicates(["id"])
     # the spans go to the documents, few as they are; a span that overlaps the one before only moves its end
     joined = keyed.join(found.select(F.col("id").alias("__key"), "spans"), "__key", "left")
     kinds = F.array(*(F.lit(f"[{k}]") for k in KINDS))

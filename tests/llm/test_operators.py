@@ -155,6 +155,18 @@ def test_secrets(spark):
     assert clean[12] == texts[12]
 
 
+def test_one_owner_holds_a_secret_in_many_documents(spark):
+    mine, shared = "Zk3vQ9xT7rLm2Wp8Yb4N", "Hq7Zt2Lw9Kc4Xv6Bn8Md"
+    rows = [(n, f"doc {n % 7} {mine}", "a") for n in range(14)]  # exact copies among them
+    rows += [(100 + n, f"doc {n} {shared}", "a" if n else "b") for n in range(6)]
+    rows += [(200 + n, f"null's own {mine[::-1]}", None) for n in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["id"]: (len(r["spans"]), r["live"], r["copied"]) for r in secrets.find_secrets(df).collect()}
+    assert got == {i: (0, 0, 1) if 100 <= i < 200 else (1, 1, 0) for i, _, _ in rows}
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}
+    assert clean == {i: t.replace(mine, "[owned]").replace(mine[::-1], "[owned]") for i, t, _ in rows}
+
+
 def test_bpe_matches_the_library(spark, rows):
     import public_tokenizers
     import tiktoken
