@@ -14,8 +14,8 @@ from streetloom.llm import bpe, mixing, ngram_join, quality, secrets
 from streetloom.llm.shared import prepare, table, written
 
 
-#: A document goes if its score, the probability that it is good, is below this.
-REJECTED = 0.25
+#: A document goes if its score, the probability that it is good, is below this: if the classifier predicts it as 0.
+REJECTED = quality.DECISION
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

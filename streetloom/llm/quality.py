@@ -32,6 +32,8 @@ WIDTH, FILTERS, STRIDE = 6, 24, 256
 #: The sample: documents of each label, and bytes of text in all.
 SAMPLE, SAMPLE_BYTES = 1_500, 16 << 20
 EPOCHS, BATCH, RATE, DECAY = 14, 32, 0.02, 1e-4
+#: From this score on a document is predicted as 1.
+DECISION = 0.5
 
 
 class Network:
@@ -250,4 +252,4 @@ def op5_quality(spark, sf_dir: str) -> DataFrame:
     """Score every document; a third by crc32 is held out from training. See the module for nulls and empty texts."""
     docs = table(spark, sf_dir, "documents")
     net = fit(docs, table(spark, sf_dir, "labels"))
-    return score(docs, net, keep=["doc_id"]).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return score(docs, net, keep=["doc_id"]).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= DECISION).cast("int").alias("predicted"))

@@ -52,3 +52,14 @@ def test_stages(spark):
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
     want = sorted((r["doc_id"], library.encode_ordinary(r["text"])) for r in before.collect())
     assert sorted((r["doc_id"], r["ids"]) for r in after.collect()) == want
+
+
+def test_what_the_classifier_predicts_as_junk_goes(spark, monkeypatch):
+    import numpy as np
+
+    docs = spark.createDataFrame([(1, "some text"), (2, "")], "doc_id long, text string")
+    for score, kept in ((0.3, 0), (0.49, 0), (0.51, 2)):
+        net = quality.Network.fresh([])
+        net.base = float(np.log(score / (1 - score)))  # no weights, so it is every text's score
+        monkeypatch.setattr(quality, "fit", lambda *_, net=net: net)
+        assert cp.keep_quality(spark, docs, SMALL).count() == kept
