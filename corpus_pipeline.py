@@ -6,6 +6,8 @@ shared folder and read again. Stages but the last return the columns of document
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -47,10 +49,24 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).repartitionByRange("__slot", "__source").sortWithinPartitions("__slot", "__source", "__offset").select(*docs.columns)
 
 
+def positions(docs: DataFrame) -> DataFrame:
+    """docs, read from a Parquet folder, with position: a row's number from 0 on in the order of writing, by part files and rows within each.
+
+    Reading alone doesn't keep that order: Spark deals the files out by length.
+    """
+    part = lambda pattern: F.regexp_extract("__file", pattern, 1).try_cast("long")
+    rows = docs.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    files = rows.groupBy("__file").agg(F.count("*").alias("n")).orderBy(part(r"^part-(\d+)"), part(r"-c(\d+)[^-]*$"), "__file").collect()
+    starts = accumulate((r["n"] for r in files), initial=0)
+    bases = docs.sparkSession.createDataFrame([(r["__file"], at) for r, at in zip(files, starts, strict=False)], "__file string, __base long")
+    return rows.join(F.broadcast(bases), "__file").select(*docs.columns, (F.col("__base") + F.col("__row")).alias("position"))
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document."""
-    got = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=["doc_id", "lang", "source"])
-    return got.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """Token ids of each document, and its position in the mix; rows come in that order."""
+    ordered = positions(docs).orderBy("position")
+    got = bpe.encode(ordered, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=["doc_id", "lang", "source", "position"])
+    return got.select("doc_id", "lang", "source", "position", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
 STAGES = [

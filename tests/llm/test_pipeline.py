@@ -63,3 +63,27 @@ def test_what_the_classifier_predicts_as_junk_goes(spark, monkeypatch):
         net.base = float(np.log(score / (1 - score)))  # no weights, so it is every text's score
         monkeypatch.setattr(quality, "fit", lambda *_, net=net: net)
         assert cp.keep_quality(spark, docs, SMALL).count() == kept
+
+
+def test_final_rows_keep_the_mix(spark, tmp_path, monkeypatch):
+    import random
+
+    from streetloom.llm import mixing
+
+    rnd = random.Random(4)
+    rows = []
+    for n in range(240):  # lengths that leave part files of different sizes
+        words = [f"{rnd.choice('abcdefgh')}{rnd.randrange(10 ** rnd.randint(1, 6))}" for _ in range(rnd.randint(20, 3000))]
+        rows.append((n, " ".join(words), f"s{n % 4 if n % 3 else 0}", "en"))
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(cp, "STAGES", cp.STAGES[-2:])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        mixed = mixing.mix(spark.read.parquet(f"{tmp_path}/documents.parquet")).select("__slot", "__offset", "doc_id", "source").collect()
+        got = [tuple(r) for r in cp.run(spark, str(tmp_path)).select("doc_id", "source", "position").collect()]
+        names = written(cp.mix_sources(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), ""), "test").inputFiles()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(names) > 3
+    want = [(r["doc_id"], r["source"], k) for k, r in enumerate(sorted(mixed, key=lambda r: (r["__slot"], r["__offset"])))]
+    assert got == want
