@@ -66,6 +66,15 @@ def _ordered(t: pa.Table) -> pa.Table:
     return t.sort_by([("doc_id", "ascending"), ("text", "ascending")])
 
 
+def _heads(t: pa.Table) -> np.ndarray:
+    """Which rows of an ordered block differ from the row before; the others lose what that one loses."""
+    ids, texts = t.column("doc_id").to_numpy(), t.column("text")
+    head = np.ones(len(ids), bool)
+    for k in np.flatnonzero(ids[1:] == ids[:-1]).tolist():
+        head[k + 1] = texts[k].as_py() != texts[k + 1].as_py()
+    return head
+
+
 def phrases(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[Rolling, np.ndarray, np.ndarray, np.ndarray]:
     """(hashes of the data, then for each phrase: trigger's place, first and last start of its strings)."""
     n = len(data)
@@ -159,7 +168,8 @@ def dedup_substrings(docs: DataFrame, width: int = 100, text: str = "text") -> D
         """Phrases with repeated triggers: their hashes for the owners, and all about them for this block."""
         block, flagged = t.column("block")[0].as_py(), answers(replies)
         found, held = [], []
-        for data, offsets, ids, row in pieces(_ordered(t)):
+        t = _ordered(t)
+        for data, offsets, ids, row in pieces(t.filter(pa.array(_heads(t)))):
             rolling, place, first, last = phrases(data, offsets, width)
             trigger = rolling.of(place, place + TRIGGER)
             at = np.flatnonzero(sketch.repeated(trigger, flagged))
@@ -185,7 +195,7 @@ def dedup_substrings(docs: DataFrame, width: int = 100, text: str = "text") -> D
         mine = mine[np.lexsort((at[mine], row[mine]))]
         state = {"gone": merged_spans(row[late], at[late], at[late] + size[late]), "row": row[mine].astype(np.int32), "at": at[mine], "size": size[mine].astype(np.int32), "trigger": trigger[mine].astype(np.int16 if width < 1 << 14 else np.int32), "doc": ids[mine]}
         state["texts"] = [held[p][x : x + n].tobytes() for p, x, n in zip(piece[mine].tolist(), start[mine].tolist(), size[mine].tolist(), strict=True)]
-        # repeated rows of a document give the same key twice; the owner hears of it once
+        # a key may stand several times in a document; the owner hears of it once
         place = np.empty(len(order), np.int64)
         place[mine] = np.arange(len(mine))
         once = order[head]
@@ -257,15 +267,17 @@ def dedup_substrings(docs: DataFrame, width: int = 100, text: str = "text") -> D
         told = key_set(replies.filter(pa.compute.equal(replies.column("kind"), 0))).astype(np.int64)
         places = told & ((1 << 40) - 1)
         row, at, end = merged_spans(np.append(row, told >> 40), np.append(at, places), np.append(end, places + width))
+        like = np.cumsum(_heads(t)) - 1  # spans are of the rows that differ
         cuts = np.searchsorted(row, np.arange(t.num_rows + 1))
         n_bytes, n_removed, n_spans, kept = [], [], [], []
         for k, x in enumerate(t.column("text").cast(pa.large_binary()).to_pylist()):
             spans = 0
             n_bytes.append(len(x))
-            if cuts[k + 1] > cuts[k]:
+            a, z = cuts[like[k]], cuts[like[k] + 1]
+            if z > a:
                 cover = np.zeros(len(x) + 1, np.int32)
-                np.add.at(cover, at[cuts[k] : cuts[k + 1]], 1)
-                np.add.at(cover, end[cuts[k] : cuts[k + 1]], -1)
+                np.add.at(cover, at[a:z], 1)
+                np.add.at(cover, end[a:z], -1)
                 keep = np.cumsum(cover[:-1]) == 0
                 spans = int(np.count_nonzero(~keep[1:] & keep[:-1])) + int(not keep[0])
                 x = np.frombuffer(x, np.uint8)[keep].tobytes()

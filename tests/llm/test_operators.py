@@ -66,6 +66,17 @@ def test_substrings(spark, rows, many):
     same(kept(substrings.dedup_substrings(df), "doc_id", "n_bytes", "n_removed", "n_spans"), brute.substrings(pairs(df)))
 
 
+def test_substrings_of_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "BLOCK_BYTES", 2 << 10)  # most holders of a text lie in different blocks
+    rnd = random.Random(9)
+    rows = []
+    for n in range(12):
+        t = "".join(rnd.choice("abcdefghijklmnop ") for _ in range(500))
+        rows += [(n, t)] + [(100 + n, t)] * 3 + [(200 + n, "x" * n + t[50:300] + str(n) * 130)] * 4
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    same(kept(substrings.dedup_substrings(df), "doc_id", "n_bytes", "n_removed", "n_spans"), brute.substrings(rows))
+
+
 def test_suffix_ranks_order_as_bytes_do():
     data = np.frombuffer(b"abracadabra" * 30 + b"abracadabrb" * 20, np.uint8)
     rank = substrings.suffix_ranks(data, 40)
