@@ -1,7 +1,7 @@
 """Blocks of documents that exchange hashes: which keys occur more than once, and where each key occurs first.
 
-Documents are dealt to blocks by a hash of doc_id; a block is a bounded unit of
-work. A corpus-wide question about hashed keys (windows, shingles, anchors)
+Documents are dealt to blocks by a hash of doc_id and text, so that neither a null
+nor a repeated doc_id makes a large block; a block is a bounded unit of work. A corpus-wide question about hashed keys (windows, shingles, anchors)
 takes two shuffles of hashes and none of texts: each block sends its keys to
 the owners of ranges of the key space, and each owner answers each block about
 that block's own keys only. So a key that a third of all documents hold costs
@@ -44,7 +44,7 @@ def blocked(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES)
     total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     blocks = max(ceil(total / block_bytes), spark.sparkContext.defaultParallelism)
     out = docs.select(
-        F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"),
+        F.pmod(F.xxhash64("doc_id", text), F.lit(blocks)).cast("int").alias("block"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"),
         F.col("doc_id").isNotNull().alias("has_id"),
         blank(text).alias("text"),
@@ -52,6 +52,11 @@ def blocked(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES)
     return out.repartition(blocks, "block"), total
 
 
+def ordered(table: pa.Table) -> pa.Table:
+    """A block's rows in an order that doesn't depend on how they arrived."""
+    return table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+
+
 def pieces(table: pa.Table, limit: int = 512 << 10):
     """(data, offsets, doc_ids, first row) of runs of rows of a block with about limit bytes of text."""
     table = table.combine_chunks()
@@ -130,10 +135,9 @@ class Sketch:
             first[1:] = values[1:] != values[:-1]
             starts = np.flatnonzero(first)
             values, counts = values[starts], np.minimum(np.diff(starts, append=len(values)), 255).astype(np.uint8)
-            cuts = np.searchsorted(values, np.arange(0, 1 << self.bits, 1 << OWNED, dtype=U64))
-            for k, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(values)], strict=True)):
-                if b > a:
-                    yield row << 32 | k, block, pack(values[a:b] - U64(k << OWNED)), squeeze(counts[a:b])
+            owners, cuts = np.unique(values >> U64(OWNED), return_index=True)
+            for k, a, b in zip(owners.tolist(), cuts, np.append(cuts[1:], len(values)), strict=False):
+                yield row << 32 | k, block, pack(values[a:b] - U64(k << OWNED)), squeeze(counts[a:b])
 
     def estimates(self, keys: np.ndarray, answers: dict[int, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """How often each key occurs at most, up to 255, by the owners' answers; never less than it does, or than 1."""
@@ -213,36 +217,35 @@ def with_answers(blocks: DataFrame, replies: DataFrame, work: Callable[[pa.Table
     return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, fields)
 
 
-#: A key of 96 bits, a document, and what else its block wants to hear back: each key stands once for each block.
-ENTRY = np.dtype([("a", "<u8"), ("b", "<u4"), ("doc", "<i8"), ("at", "<i8")])
+#: A key of 128 bits, made of two independent hashes, a document, and what its block wants to hear back: each key stands once for each block.
+ENTRY = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("at", "<i8")])
 
 
 def entries_of(a: np.ndarray, b: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
     out = np.empty(len(a), ENTRY)
-    out["a"], out["b"], out["doc"], out["at"] = a, b >> U64(32), doc, at
+    out["a"], out["b"], out["doc"], out["at"] = a, b, doc, at
     return out
 
 
-def first_entries(a: np.ndarray, b: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """One entry for each key (a, b): its smallest (doc, at)."""
-    every = entries_of(a, b, doc, at)
-    every = every[np.lexsort((at, doc, every["b"], a))]
-    keep = np.ones(len(every), bool)
-    keep[1:] = (every["a"][1:] != every["a"][:-1]) | (every["b"][1:] != every["b"][:-1])
-    return every[keep]
+def heads(*keys: np.ndarray) -> np.ndarray:
+    """Where sorted rows differ from the row before."""
+    out = np.ones(len(keys[0]), bool)
+    out[1:] = False
+    for k in keys:
+        out[1:] |= k[1:] != k[:-1]
+    return out
 
 
 def dealt(entries: np.ndarray, block: int, owners: int):
     """(owner, block, blob) of entries, by the top bits of their keys."""
     if not len(entries):
         return
-    owner = (entries["a"] >> U64(40)) % U64(owners)
+    owner = (entries["a"] >> U64(24)) % U64(owners)
     order = np.argsort(owner, kind="stable")
-    entries, owner = entries[order], owner[order]
-    cuts = np.searchsorted(owner, np.arange(owners + 1))
-    for k in range(owners):
-        if cuts[k + 1] > cuts[k]:
-            yield k, block, freeze(entries[cuts[k] : cuts[k + 1]])
+    entries = entries[order]
+    names, cuts = np.unique(owner[order], return_index=True)
+    for k, a, b in zip(names.tolist(), cuts, np.append(cuts[1:], len(entries)), strict=True):
+        yield k, block, freeze(entries[a:b])
 
 
 def freeze(entries: np.ndarray) -> bytes:
@@ -255,11 +258,8 @@ def thaw(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(ENTRY).ravel()
 
 
-def earlier_elsewhere(sent: DataFrame, tell: str = "a") -> DataFrame:
-    """(block, blob): of the entries (owner, block, blob) that blocks sent, those whose key has a smaller document in another block; as their keys' first halves, or as the field at.
-
-    A document belongs to one block, and a block sends its first entry of each key.
-    """
+def earlier_elsewhere(sent: DataFrame) -> DataFrame:
+    """(block, blob): of the entries (owner, block, blob) that blocks sent, the field at of those whose key has a smaller document in another entry."""
 
     def earlier(group: pa.Table) -> pa.Table:
         blobs = [thaw(x) for x in group.column("blob").to_pylist()]
@@ -268,11 +268,10 @@ def earlier_elsewhere(sent: DataFrame, tell: str = "a") -> DataFrame:
         source = np.repeat(np.arange(len(blobs)), [len(x) for x in blobs])
         order = np.lexsort((every["doc"], every["b"], every["a"]))
         every, source = every[order], source[order]
-        new = np.ones(len(every), bool)
-        new[1:] = (every["a"][1:] != every["a"][:-1]) | (every["b"][1:] != every["b"][:-1])
+        new = heads(every["a"], every["b"])
         first = np.flatnonzero(new)[np.cumsum(new) - 1]
         late = np.flatnonzero(every["doc"] != every["doc"][first])
-        told, source = every[tell][late].astype(U64), source[late]
+        told, source = every["at"][late].astype(U64), source[late]
         order = np.lexsort((told, source))
         told, cuts = told[order], np.searchsorted(source[order], np.arange(len(blobs) + 1))
         some = [k for k in range(len(blobs)) if cuts[k + 1] > cuts[k]]

@@ -7,53 +7,30 @@ byte buffer plus offsets) lets numpy work on a whole batch at once.
 from __future__ import annotations
 
 import gc
-import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import dropped, shared_dir, ship_package  # noqa: F401
+
 #: Rows in an Arrow batch. Small, so that a batch of very long documents still fits a worker's memory.
 BATCH_ROWS = 256
 
-#: Bytes of text that one block of documents holds on average; blocks are the units that exchange hashes.
-BLOCK_BYTES = 24 << 20
-
 U64 = np.uint64
-#: An odd multiplier for polynomial hashes modulo 2**64, and its inverse.
-BASE = 0x9E3779B97F4A7C15
-BASE_INV = pow(BASE, -1, 1 << 64)
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Set the Arrow batch size that the operators count on; on a local master, let Python workers find this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    sc = spark.sparkContext
-    if sc.master.startswith("local"):
-        root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-        path = sc.environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
-        if root not in path.split(os.pathsep):
-            sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, path) if x)
+    ship_package(spark)
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one where it is unset on a local master."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    path = os.path.join(tempfile.gettempdir(), "streetloom-shared")
-    os.makedirs(path, exist_ok=True)
-    spark.sparkContext.setCheckpointDir(path)
-    return f"file://{path}"
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: later jobs don't depend on the executors that made it."""
     spark = df.sparkSession
@@ -69,15 +46,6 @@ def released(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def dropped(df: DataFrame) -> None:
-    """Delete the files behind a DataFrame made by written() that is no longer needed."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/streetloom-" in path:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -116,45 +84,92 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x
 
 
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; kept and grown by doubling."""
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        size = max(1 << 16, 1 << max(n - 1, 1).bit_length())
-        out = np.empty(size, U64)
-        out[0] = 1
-        filled = 1
-        while filled < size:
-            step = min(filled, size - filled)
-            np.multiply(out[:step], U64(pow(base, filled, 1 << 64)), out=out[filled : filled + step])
-            filled += step
-        _POWERS[base] = have = out
-    return have[:n]
-
-
-class Rolling:
-    """Polynomial hashes of any byte ranges of a buffer, from one prefix sum (modulo 2**64).
-
-    Bytes are first replaced by random 64-bit values, so that patterns of small
-    numbers cannot cancel; ranges with equal bytes have equal hashes wherever they stand.
-    """
-
-    #: A buffer is hashed in pieces of so many elements, which bounds the tables of powers.
-    def __init__(self, values: np.ndarray):
-        n = len(values)
-        self.sums = np.empty(n + 1, U64)
-        self.sums[0] = 0
-        np.cumsum(values * powers(BASE, n), out=self.sums[1:])
-        self.inverse = powers(BASE_INV, n + 1)
+def paired(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of two; not linear, so that patterns in sequences of hashes cannot cancel."""
+    out = x * U64(0x9E3779B97F4A7C15)
+    out += y
+    out ^= out >> U64(32)
+    out *= U64(0xD6E8FEB86659FD93)
+    out ^= out >> U64(29)
+    out *= U64(0xBF58476D1CE4E5B9)
+    out ^= out >> U64(32)
+    return out
+
+
+def run_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each width neighbouring hashes, by doubling; the last step overlaps."""
+    out, have = hashes, 1
+    while have < width:
+        step = min(have, width - have)
+        if len(out) <= step:
+            return np.zeros(0, U64)
+        out = paired(out[:-step], out[step:])
+        have += step
+    return out
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on as one number, zeros after the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+#: Longer byte ranges are hashed by a library, one by one.
+LONG_RANGE = 256
+
+
+def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of byte ranges, eight bytes at a time; seeds give independent hashes."""
+    size, view = end - start, eights(data)
+    out = mix(size.astype(U64), seed + 1)
+    long = size > LONG_RANGE
+    at = np.flatnonzero(~long & (size > 0))
+    done = 0
+    while len(at):
+        rest = size[at] - done
+        x = view[start[at] + done]
+        short = rest < 8
+        x[short] &= (U64(1) << (8 * rest[short]).astype(U64)) - U64(1)
+        out[at] = paired(out[at], x)
+        at = at[rest > 8]
+        done += 8
+    for k in np.flatnonzero(long).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(data[start[k] : end[k]].tobytes(), seed)
+    return out
+
+
+class ByteHashes:
+    """Hashes of byte ranges of a buffer that have SPAN bytes at least: of overlapping spans, combined."""
+
+    SPAN = 32
+
+    def __init__(self, data: np.ndarray, seed: int = 0):
+        #: A hash of each SPAN bytes.
+        self.spans = run_hashes_of_bytes(data, self.SPAN, seed)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.sums[end] - self.sums[start]) * self.inverse[start]
-
+        size = end - start
+        out = mix(size.astype(U64), 5)
+        for k in range(-(-int(size.max(initial=0)) // self.SPAN)):
+            at = np.flatnonzero(size > k * self.SPAN) if k else np.flatnonzero(size >= self.SPAN)
+            out[at] = paired(out[at], self.spans[np.minimum(start[at] + k * self.SPAN, end[at] - self.SPAN)])
+        return out
+
+
+def run_hashes_of_bytes(data: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
+    """A hash of each width bytes (8 times a power of two)."""
+    n = len(data) - 7
+    if n <= 0:
+        return np.zeros(0, U64)
+    out, have = mix(eights(data)[:n], seed + 1), 8
+    while have < width:
+        if len(out) <= have:
+            return np.zeros(0, U64)
+        out = paired(out[:-have], out[have:])
+        have *= 2
+    return out
 
-BYTE_VALUES = mix(np.arange(1, 257, dtype=U64), 77)
 
 #: White space as the word rules of the corpus operators have it: space and \x09-\x0D.
 SPACE = np.zeros(256, bool)
@@ -178,17 +193,6 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, end, np.searchsorted(offsets, start, "right") - 1
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    r = Rolling(BYTE_VALUES[data])
-    return mix(r.of(start, end) + (end - start).astype(U64))
-
-
-def window_hashes(hashes: np.ndarray, first: np.ndarray, width: int | np.ndarray, seed: int) -> np.ndarray:
-    """A hash of the word sequence hashes[first : first + width], for each first."""
-    r = Rolling(mix(hashes, seed))
-    return mix(r.of(first, first + width), seed + 1)
-
-
 def batches(it: Iterator[pa.RecordBatch], limit: int = 8 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Join small Arrow batches up to about limit bytes of text, and cut larger ones."""
     held: list[pa.RecordBatch] = []

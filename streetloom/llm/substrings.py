@@ -12,7 +12,7 @@ core of most of their bytes; only where other phrases have that core too can the
 repeat. Each block sorts these suffixes of its part of the dictionary (prefix
 doubling up to width bytes), so that equal strings are neighbours; the parse
 gives their order in the corpus; and the groups of all blocks are combined by
-96 bits of hash of their first width bytes. Merging
+128 bits, two independent hashes, of their first width bytes. Merging
 the arrays themselves would need ranges of suffixes, and a passage that a third
 of all documents share would fall into one range.
 
@@ -32,11 +32,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import ANSWER_SQL, Sketch, answers, blocked, dealt, earlier_elsewhere, entries_of, key_set, merged, pieces, repeated_keys, with_answers
-from .shared import BYTE_VALUES, Rolling, U64, dropped, mix, table, written
+from .exchange import ANSWER_SQL, Sketch, answers, blocked, dealt, earlier_elsewhere, entries_of, heads, key_set, merged, ordered, pieces, repeated_keys, with_answers
+from .shared import ByteHashes, U64, dropped, mix, table, written
 
 #: Bytes of a trigger. Shorter ones recur more often in unrelated text; longer ones lie further apart.
-TRIGGER = 32
+TRIGGER = ByteHashes.SPAN
 #: The position's bits in a key of the sliding minimum.
 PLACE = 30
 OWNER_KEYS = 2_000_000
@@ -44,7 +44,6 @@ OWNER_KEYS = 2_000_000
 DEPTH, GROUP = 2, 18
 #: Bytes of text in a block, on average; sorting suffixes takes about a hundred bytes of memory for each.
 BLOCK_BYTES = 5 << 20
-OTHER_VALUES = mix(BYTE_VALUES, 1313)
 ROWS = "kind int, owner long, block int, blob binary, counts binary"
 
 
@@ -61,11 +60,6 @@ def _rows(rows: list[tuple]) -> pa.Table:
     return pa.table({n: pa.array(c, t) for n, c, t in zip(("kind", "owner", "block", "blob", "counts"), cols, (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)})
 
 
-def _ordered(t: pa.Table) -> pa.Table:
-    """A block's rows in an order that doesn't depend on how they arrived."""
-    return t.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-
-
 def _heads(t: pa.Table) -> np.ndarray:
     """Which rows of an ordered block differ from the row before; the others lose what that one loses."""
     ids, texts = t.column("doc_id").to_numpy(), t.column("text")
@@ -75,17 +69,14 @@ def _heads(t: pa.Table) -> np.ndarray:
     return head
 
 
-def phrases(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[Rolling, np.ndarray, np.ndarray, np.ndarray]:
+def phrases(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[ByteHashes, np.ndarray, np.ndarray, np.ndarray]:
     """(hashes of the data, then for each phrase: trigger's place, first and last start of its strings)."""
     n = len(data)
-    rolling = Rolling(BYTE_VALUES[data])
+    hashes = ByteHashes(data)
     if n < width:
         z = np.zeros(0, np.int64)
-        return rolling, z, z, z
-    s = rolling.sums
-    low = (s[TRIGGER:] - s[:-TRIGGER]) * rolling.inverse[: n - TRIGGER + 1]
-    low >>= U64(PLACE)
-    low <<= U64(PLACE)
+        return hashes, z, z, z
+    low = hashes.spans >> U64(PLACE) << U64(PLACE)
     low |= np.arange(len(low), dtype=U64)
     span, have = width - TRIGGER + 1, 1
     while have * 2 <= span:
@@ -104,10 +95,10 @@ def phrases(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[Rolling,
     new[1:] = place[1:] != place[:-1]
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(starts)) - 1
-    return rolling, place[first], starts[first], starts[last]
+    return hashes, place[first], starts[first], starts[last]
 
 
-def core_hashes(rolling: Rolling, place: np.ndarray, low: np.ndarray, high: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+def core_hashes(hashes: ByteHashes, place: np.ndarray, low: np.ndarray, high: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, which count) of what the strings of a phrase share, by groups of GROUP places of the trigger within them.
 
     low and high are the least and greatest place; [phrase, group] each.
@@ -117,7 +108,7 @@ def core_hashes(rolling: Rolling, place: np.ndarray, low: np.ndarray, high: np.n
     there = (low[:, None] <= groups + GROUP - 1) & (high[:, None] >= groups)
     start = np.where(there, place[:, None] - groups, 0)
     end = np.where(there, place[:, None] + TRIGGER + np.maximum(0, span - groups - GROUP + 1), 0)
-    return mix(rolling.of(start, end) + groups.astype(U64), 21), there
+    return mix(hashes.of(start.ravel(), end.ravel()).reshape(start.shape) + groups.astype(U64), 21), there
 
 
 def merged_spans(row: np.ndarray, at: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -160,25 +151,24 @@ def dedup_substrings(docs: DataFrame, width: int = 100, text: str = "text") -> D
     def triggers(t: pa.Table) -> np.ndarray:
         out = [np.zeros(0, U64)]
         for data, offsets, _, _ in pieces(t):
-            rolling, place, _, _ = phrases(data, offsets, width)
-            out.append(rolling.of(place, place + TRIGGER))
+            hashes, place, _, _ = phrases(data, offsets, width)
+            out.append(hashes.spans[place])
         return np.concatenate(out)
 
     def parse(t: pa.Table, replies: pa.Table) -> pa.Table:
         """Phrases with repeated triggers: their hashes for the owners, and all about them for this block."""
         block, flagged = t.column("block")[0].as_py(), answers(replies)
         found, held = [], []
-        t = _ordered(t)
+        t = ordered(t)
         for data, offsets, ids, row in pieces(t.filter(pa.array(_heads(t)))):
-            rolling, place, first, last = phrases(data, offsets, width)
-            trigger = rolling.of(place, place + TRIGGER)
+            hashes, place, first, last = phrases(data, offsets, width)
+            trigger = hashes.spans[place]
             at = np.flatnonzero(sketch.repeated(trigger, flagged))
             if not len(at):
                 continue
             trigger, first, end = trigger[at], first[at], last[at] + width
             doc = np.searchsorted(offsets, first, "right") - 1
-            a = mix(rolling.of(first, end) + (end - first).astype(U64))
-            b = mix(Rolling(OTHER_VALUES[data]).of(first, end))
+            a, b = hashes.of(first, end), ByteHashes(data, 1).of(first, end)
             found.append((a, b, ids[doc], doc + row, first - offsets[doc], end - first, place[at] - first, first, np.full(len(at), len(held))))
             held.append(data)
         if not found:
@@ -186,8 +176,7 @@ def dedup_substrings(docs: DataFrame, width: int = 100, text: str = "text") -> D
         a, b, ids, row, at, size, trigger, start, piece = (np.concatenate(c) for c in zip(*found, strict=True))
         # of the phrases that stand several times in this block, the first may be first in the corpus
         order = np.lexsort((at, ids, b, a))
-        head = np.ones(len(order), bool)
-        head[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+        head = heads(a[order], b[order])
         lead = order[head][np.cumsum(head) - 1]
         late = np.zeros(len(order), bool)
         late[order] = (ids[order] != ids[lead]) | (at[order] != at[lead])
@@ -206,9 +195,9 @@ def dedup_substrings(docs: DataFrame, width: int = 100, text: str = "text") -> D
         data = np.frombuffer(b"".join(s["texts"]), np.uint8)
         start = np.cumsum(s["size"], dtype=np.int64) - s["size"]
         trigger = s["trigger"].astype(np.int64)
-        rolling = Rolling(BYTE_VALUES[data])
+        hashes = ByteHashes(data)
         # the trigger's place in the phrase's first string is its greatest
-        return start, *core_hashes(rolling, start + trigger, trigger - (s["size"] - width), trigger, width)
+        return start, *core_hashes(hashes, start + trigger, trigger - (s["size"] - width), trigger, width)
 
     def dictionary(t: pa.Table, replies: pa.Table) -> pa.Table:
         """First occurrences of phrases: a sketch of their cores; what is known to go already."""
@@ -245,21 +234,19 @@ def dedup_substrings(docs: DataFrame, width: int = 100, text: str = "text") -> D
         starts, rows, ats, docs = start[phrase] + k, s["row"][phrase].astype(np.int64), s["at"][phrase] + k, s["doc"][phrase]
         rank = suffix_ranks(data, width)[starts]
         order = np.lexsort((ats, docs, rank))
-        head = np.ones(len(order), bool)
-        head[1:] = rank[order][1:] != rank[order][:-1]
+        head = heads(rank[order])
         lead = order[np.flatnonzero(head)[np.cumsum(head) - 1]]
         late = np.zeros(len(order), bool)
         late[order] = (docs[order] != docs[lead]) | (ats[order] != ats[lead])
         row, at, end = s["gone"]
         gone = merged_spans(np.append(row, rows[late]), np.append(at, ats[late]), np.append(end, ats[late] + width))
         one = order[head]
-        a = mix(Rolling(BYTE_VALUES[data]).of(starts[one], starts[one] + width))
-        b = mix(Rolling(OTHER_VALUES[data]).of(starts[one], starts[one] + width))
+        a, b = (ByteHashes(data, seed).of(starts[one], starts[one] + width) for seed in (0, 1))
         entries = entries_of(a, b, docs[one], rows[one] << 40 | ats[one])
         return _rows([(0, owner, block, blob, None) for owner, _, blob in dealt(entries, block, owners)] + [(1, 0, block, _freeze({"gone": gone}), None)])
 
     def remove(t: pa.Table, replies: pa.Table) -> pa.Table:
-        t = _ordered(t)
+        t = ordered(t)
         row = at = end = np.zeros(0, np.int64)
         mine = replies.filter(pa.compute.equal(replies.column("kind"), 1))
         if mine.num_rows:
@@ -290,12 +277,12 @@ def dedup_substrings(docs: DataFrame, width: int = 100, text: str = "text") -> D
     sent = lambda rows: rows.filter("kind = 0").select("owner", "block", "blob")
     states = lambda rows: rows.filter("kind = 1").select("block", "blob")
     parsed = written(with_answers(blocks, repeated_keys(blocks, triggers, sketch), parse, ROWS), "parse")
-    firsts = written(with_answers(states(parsed), earlier_elsewhere(sent(parsed), "at"), dictionary, ROWS), "dictionary")
+    firsts = written(with_answers(states(parsed), earlier_elsewhere(sent(parsed)), dictionary, ROWS), "dictionary")
     dropped(parsed)
     shared = firsts.filter("kind = 0").select("owner", "block", "blob", "counts").groupBy("owner").applyInArrow(merged, ANSWER_SQL)
     sorted_ = written(with_answers(states(firsts), shared, suffixes, ROWS), "suffixes")
     dropped(firsts)
-    replies = earlier_elsewhere(sent(sorted_), "at").withColumn("kind", F.lit(0)).unionByName(states(sorted_).withColumn("kind", F.lit(1)))
+    replies = earlier_elsewhere(sent(sorted_)).withColumn("kind", F.lit(0)).unionByName(states(sorted_).withColumn("kind", F.lit(1)))
     return with_answers(blocks, replies, remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 

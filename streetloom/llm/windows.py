@@ -3,12 +3,14 @@
 A window is ``width`` consecutive words. First pass: each block of documents
 sketches its windows' hashes; merged sketches overestimate how often each
 occurs, so a window estimated once is unique. Second pass: windows estimated
-repeated are grouped by 96 bits of hash to find the first document of each.
-Third pass: a word goes if a window that covers it starts in a smaller doc_id too.
+repeated are grouped by 128 bits, two independent hashes of their words, to find the
+first document of each. Third pass: a word goes if a window that covers it starts in a
+smaller doc_id too.
 
 Null or empty texts have no words. A null doc_id counts as smaller than all
 others; rows that share a doc_id don't cover one another, so all of them keep
-their words. Other columns are ignored, whatever they are called.
+their words. Other columns are ignored, whatever they are called. A document is never
+cut: a worker holds about thirty times the bytes of its longest text.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import Sketch, answers, blocked, dealt, earlier_elsewhere, first_entries, key_set, member, pieces, repeated_keys, with_answers
-from .shared import BYTE_VALUES, Rolling, U64, mix, table, window_hashes, words
+from .exchange import Sketch, answers, blocked, dealt, earlier_elsewhere, entries_of, heads, key_set, ordered, pieces, repeated_keys, with_answers
+from .shared import U64, range_hashes, run_hashes, table, words
 
 #: Counters of the sketch: rows.
 DEPTH = 2
@@ -30,19 +32,19 @@ DEPTH = 2
 WORD_BYTES = 5
 #: Entries that an owner groups at a time, about.
 OWNER_KEYS = 2_000_000
-OTHER_VALUES = mix(BYTE_VALUES, 991)
 
 
-def _windows(data, offsets, width):
-    """(first word of each window, its document, words' start, end and document)."""
-    start, end, doc = words(data, offsets)
-    first = np.flatnonzero(doc[: len(doc) - width + 1] == doc[width - 1 :]) if len(doc) >= width else np.zeros(0, np.int64)
-    return first, doc, start, end
+class _Windows:
+    """A piece's windows: first word and document of each, and hashes by seed."""
 
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, width: int):
+        self.data, self.width = data, width
+        self.start, self.end, self.doc = words(data, offsets)
+        some = len(self.doc) >= width
+        self.first = np.flatnonzero(self.doc[: len(self.doc) - width + 1] == self.doc[width - 1 :]) if some else np.zeros(0, np.int64)
 
-def _hashes(data, start, end, first, width, values, seed):
-    h = mix(Rolling(values[data]).of(start, end) + (end - start).astype(U64))
-    return window_hashes(h, first, width, seed)
+    def hashes(self, seed: int) -> np.ndarray:
+        return run_hashes(range_hashes(self.data, self.start, self.end, seed), self.width)[self.first] if len(self.first) else np.zeros(0, U64)
 
 
 def dedup_windows(docs: DataFrame, width: int = 13, text: str = "text") -> DataFrame:
@@ -52,42 +54,40 @@ def dedup_windows(docs: DataFrame, width: int = 13, text: str = "text") -> DataF
     owners = max(1, total // WORD_BYTES // OWNER_KEYS)
 
     def keys_of(t: pa.Table) -> np.ndarray:
-        out = [np.zeros(0, U64)]
-        for data, offsets, _, _ in pieces(t):
-            first, _, start, end = _windows(data, offsets, width)
-            out.append(_hashes(data, start, end, first, width, BYTE_VALUES, 1))
-        return np.concatenate(out)
+        return np.concatenate([np.zeros(0, U64), *(_Windows(data, offsets, width).hashes(1) for data, offsets, _, _ in pieces(t))])
 
     def candidates(t: pa.Table, replies: pa.Table) -> pa.Table:
-        """The windows estimated repeated, with the smallest doc_id that each has in this block."""
+        """The windows estimated repeated: of each, the smallest doc_id in this block and the window's place there."""
         flagged = answers(replies)
-        parts = []
-        for data, offsets, ids, _ in pieces(t):
-            first, doc, start, end = _windows(data, offsets, width)
-            a = _hashes(data, start, end, first, width, BYTE_VALUES, 1)
+        parts, before = [], 0
+        for data, offsets, ids, _ in pieces(ordered(t)):
+            w = _Windows(data, offsets, width)
+            a = w.hashes(1)
             at = np.flatnonzero(sketch.repeated(a, flagged))
             if len(at):
-                parts.append((a[at], _hashes(data, start, end, first[at], width, OTHER_VALUES, 2), ids[doc[first[at]]]))
-        if parts:
-            a, b, d = (np.concatenate(x) for x in zip(*parts, strict=True))
-        else:
-            a, b, d = np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.int64)
-        rows = list(zip(*dealt(first_entries(a, b, d, np.zeros(len(d), np.int64)), t.column("block")[0].as_py(), owners), strict=True)) or [()] * 3
-        return pa.table({"owner": pa.array(rows[0], pa.int32()), "block": pa.array(rows[1], pa.int32()), "blob": pa.array(rows[2], pa.binary())})
+                parts.append((a[at], w.hashes(2)[at], ids[w.doc[w.first[at]]], at + before))
+            before += len(a)
+        if not parts:
+            return pa.table({"owner": pa.array([], pa.int32()), "block": pa.array([], pa.int32()), "blob": pa.array([], pa.binary())})
+        a, b, doc, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((at, b, a))  # places follow doc_ids
+        order = order[heads(a[order], b[order])]
+        sent = list(dealt(entries_of(a[order], b[order], doc[order], at[order]), t.column("block")[0].as_py(), owners))
+        return pa.table({n: pa.array(c, y) for n, c, y in zip(("owner", "block", "blob"), zip(*sent, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)})
 
     def remove(t: pa.Table, replies: pa.Table) -> pa.Table:
-        gone_keys = key_set(replies)
-        kept_pieces = [(data, offsets, ids, *_windows(data, offsets, width)) for data, offsets, ids, _ in pieces(t)]
-        keys = [_hashes(p[0], p[5], p[6], p[3], width, BYTE_VALUES, 1) for p in kept_pieces]
-        gone = _later_in_block(keys, [p[2][p[4][p[3]]] for p in kept_pieces])
-        n_words, n_removed, kept = [], [], []
-        for (data, offsets, _, first, doc, start, _), a, late in zip(kept_pieces, keys, gone, strict=True):
-            bad = first[late | member(gone_keys, a)]
-            cover = np.zeros(len(doc) + 1, np.int32)
-            np.add.at(cover, bad, 1)
-            np.add.at(cover, bad + width, -1)
+        t = ordered(t)
+        held = [(data, offsets, ids, _Windows(data, offsets, width)) for data, offsets, ids, _ in pieces(t)]
+        late = _late(held, key_set(replies).astype(np.int64))
+        n_words, n_removed, kept, at = [], [], [], 0
+        for data, offsets, _, w in held:
+            bad = w.first[late[at : at + len(w.first)]]
+            at += len(w.first)
+            cover = np.zeros(len(w.doc) + 1, np.int32)
+            cover[bad] += 1
+            cover[bad + width] -= 1
             keep = np.cumsum(cover[:-1]) == 0
-            cuts = np.searchsorted(doc, np.arange(len(offsets)))
+            cuts = np.searchsorted(w.doc, np.arange(len(offsets)))
             raw = data.tobytes()
             for k in range(len(offsets) - 1):
                 mine = keep[cuts[k] : cuts[k + 1]]
@@ -103,24 +103,23 @@ def dedup_windows(docs: DataFrame, width: int = 13, text: str = "text") -> DataF
     return with_answers(blocks, earlier_elsewhere(sent), remove, "doc_id long, n_words long, n_removed long, kept binary")
 
 
-def _later_in_block(keys: list[np.ndarray], docs: list[np.ndarray]) -> list[np.ndarray]:
-    """Which windows have an equal one in a smaller doc_id of the same block."""
-    every = np.concatenate([*keys, np.zeros(0, U64)])
-    ids = np.concatenate([*docs, np.zeros(0, np.int64)])
-    order = np.argsort(every)
-    ranked = every[order]
-    same = np.zeros(len(every), bool)
-    same[1:] = ranked[1:] == ranked[:-1]
-    twice = same.copy()
-    twice[:-1] |= same[1:]
-    at = order[twice]
-    late = np.zeros(len(every), bool)
+def _late(held: list, told: np.ndarray) -> np.ndarray:
+    """Which of a block's windows start in a smaller doc_id too: in this block, or as the owners told of the first window of a group."""
+    a = np.concatenate([np.zeros(0, U64), *(w.hashes(1) for _, _, _, w in held)])
+    docs = np.concatenate([np.zeros(0, np.int64), *(ids[w.doc[w.first]] for _, _, ids, w in held)])
+    late = np.zeros(len(a), bool)
+    late[told] = True
+    order = np.argsort(a, kind="stable")
+    again = ~heads(a[order])
+    again[:-1] |= again[1:]
+    at = np.sort(order[again])
     if len(at):
-        group = np.cumsum(~same[twice]) - 1
-        smallest = np.full(group[-1] + 1, np.iinfo(np.int64).max)
-        np.minimum.at(smallest, group, ids[at])
-        late[at] = ids[at] > smallest[group]
-    return np.split(late, np.cumsum([len(k) for k in keys])[:-1]) if keys else []
+        b = np.concatenate([w.hashes(2) for _, _, _, w in held])[at]
+        order = np.lexsort((at, b, a[at]))
+        at, new = at[order], heads(a[at][order], b[order])
+        lead = at[np.flatnonzero(new)[np.cumsum(new) - 1]]  # has the smallest doc_id
+        late[at] = late[lead] | (docs[at] != docs[lead])
+    return late
 
 
 def op9_window_dedup(spark, sf_dir: str) -> DataFrame:
