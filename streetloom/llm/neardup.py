@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from ..operators.components import connected_components
 from .shared import U64, mix, prepare, table, written
 from .topk import sound
 
@@ -236,7 +236,7 @@ def near_duplicates(df: DataFrame, least: float = 0.9, id: str = "vec_id", vec:
     buckets = max(1, ceil(n * TABLES * blocks * (1 + PROBES * blocks) / BUCKET))
     links = listed.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).groupBy("bucket").applyInArrow(_met(least), "a long, b long")
     shared_ids = good.join(classes.select("v", "rep"), "v").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b").select("a", "b")
-    named = written(components(links.unionByName(shared_ids)), "components")
+    named = written(connected_components(links.unionByName(shared_ids)), "components")
     members = classes.join(named.withColumnRenamed("node", "rep"), "rep")
     chunks = members.groupBy("component").agg(F.ceil(F.count("*") / TILE).cast("int").alias("chunks"))
     placed = members.join(chunks, "component").withColumn("chunk", F.pmod(F.xxhash64("v"), F.col("chunks")).cast("int"))

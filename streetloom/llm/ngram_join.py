@@ -7,18 +7,23 @@
    of one class first, and then by hash. Sets that link share an n-gram among the first
    n - ceil(t n) + 1, their prefix (and n-grams of one class match nothing).
 4. A tile is a prefix n-gram and a band of set sizes; sets visit the next larger
-   band, as linked sizes differ by the threshold at most. In a few rounds each
-   member is compared with one member of its tile, which joins most of each
-   group of copies in linear work. Bit counts of hashed bitmaps bound overlaps
-   from above, and what passes is settled by intersecting sorted arrays.
-5. Exact rest: tiles whose members share a component by now hold nothing new.
-   The others give all their pairs of different components, each pair once, to the
-   same bitmaps and intersections.
+   band, as linked sizes differ by the threshold at most. Two sets that link do so
+   in the tile of the first n-gram that both prefixes hold, where all that they
+   share comes after it in both; a visit to a tile where the set has too little left
+   for the tile's smallest set is left out.
+5. In each round the members of a tile are compared with one of them, first the one
+   with fewest n-grams of its class alone, which joins a group of copies in
+   linear work. Bit counts of hashed bitmaps bound overlaps from above, and what passes
+   is settled by intersecting sorted arrays.
+6. Exact rest: tiles whose members share a component by now hold nothing new.
+   The others give all their pairs of different components that sizes and places
+   allow, each pair once, to the same bitmaps and intersections.
 
 Tiles with many members are cut into chunks that meet pairwise. Sets are
-compared by 64-bit hashes of their n-grams. Null and empty texts have empty sets and
-link with nothing, and so do rows without a doc_id (their component is null);
-rows that share a doc_id count as one document. Other columns are ignored.
+compared by 64-bit hashes of their n-grams, equal sets found by 128 bits. Null and empty texts
+have empty sets and link with nothing, and so do rows without a doc_id (their component is
+null); rows that share a doc_id count as one document. Other columns are ignored. A
+document is never cut: a worker holds about fifty times the bytes of its longest text.
 """
 
 from __future__ import annotations
@@ -32,34 +37,35 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import components
+from ..operators.components import connected_components
 from .exchange import Sketch, answers, blocked, pieces, repeated_keys, with_answers
-from .shared import BYTE_VALUES, Rolling, U64, mix, table, words, written
+from .shared import U64, dropped, mix, range_hashes, run_hashes, table, words, written
 
-LOWER = BYTE_VALUES.copy()
-LOWER[ord("A") : ord("Z") + 1] = BYTE_VALUES[ord("a") : ord("z") + 1]
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A") : ord("Z") + 1] += 32
 WORD_BYTES = 5
 DEPTH = 2
 #: Rounds of comparing with one member of each tile; the first round looks at so many of a set's first prefix n-grams.
-ROUNDS, LEADERS = 3, 3
+ROUNDS, LEADERS = 2, 3
 #: Members of a chunk of a tile, and bits of a bitmap for each n-gram.
 TILE, BITS = 512, 4
+#: Up to so many pairs are sent to all executors (16 MB); more are joined by shuffles.
+FEW = 1_000_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
     """Sorted distinct hashes of each document's n-grams; of all its words, if they are fewer."""
+    data = LOWER[data]
     start, end, doc = words(data, offsets)
-    hashes = mix(Rolling(LOWER[data]).of(start, end) + (end - start).astype(U64))
-    rolling = Rolling(mix(hashes, 1))
+    hashes = range_hashes(data, start, end)
     cuts = np.searchsorted(doc, np.arange(len(offsets)))
-    first = np.arange(max(0, len(hashes) - size + 1))
-    every = mix(rolling.of(first, first + size), 2)
+    every = run_hashes(hashes, size)
     out = []
     for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         if z - a >= size:
             out.append(np.unique(every[a : z - size + 1]))
         elif z > a:
-            out.append(mix(rolling.of(np.array([a]), np.array([z])) + U64(z - a), 3))
+            out.append(mix(run_hashes(hashes[a:z], z - a), z - a))
         else:
             out.append(np.zeros(0, U64))
     return out
@@ -147,76 +153,86 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int
         cols = list(zip(*out, strict=True)) or [()] * 7
         return pa.table({n: pa.array(c, y) for n, c, y in zip(("rep", "n", "band", "own", "bits", "set", "keys"), cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())), strict=True)})
 
-    reps = written(reps, "reps").repartition("block")
-    open_sets = written(with_answers(reps, repeated_keys(reps, set_keys, sketch), prefixes, "rep long, n long, band int, own long, bits binary, set binary, keys array<long>"), "prefixes")
-    sets = open_sets.select("rep", "n", "set")
+    reps = written(reps, "reps")
+    dealt = reps.repartition("block")
+    sets = written(with_answers(dealt, repeated_keys(dealt, set_keys, sketch), prefixes, "rep long, n long, band int, own long, bits binary, set binary, keys array<long>"), "prefixes")
+    dropped(reps)
+    entries = sets.select("rep", "n", "own", "band", F.posexplode("keys").alias("place", "key"))
+    held: list[DataFrame] = [sets]
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that link, by intersecting sorted arrays."""
-        left = sets.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("set").alias("sa"))
-        right = sets.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("set").alias("sb"))
-        both = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb")
-
-        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in it:
-                keep = []
-                for na, nb, x, y in zip(*(b.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
-                    overlap = len(np.intersect1d(np.frombuffer(x, U64), np.frombuffer(y, U64), assume_unique=True))
-                    keep.append(den * overlap >= num * (na + nb - overlap))
-                yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+    def few(pairs: DataFrame) -> DataFrame:
+        return F.broadcast(pairs) if pairs.count() <= FEW else pairs
 
-        return both.mapInArrow(run, "a long, b long")
-
-    def bounded(pairs: DataFrame) -> DataFrame:
-        """The pairs whose bitmaps allow a link."""
-        bits = lambda k: open_sets.select(F.col("rep").alias(k), F.col("n").alias(f"n{k}"), F.col("own").alias(f"own{k}"), F.col("bits").alias(f"bits{k}"))
-        both = pairs.join(bits("a"), "a").join(bits("b"), "b").select("a", "b", "na", "nb", "owna", "ownb", "bitsa", "bitsb")
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that link: bitmaps bound the overlap from above, and what passes is settled by intersecting sorted arrays."""
+        pairs = written(pairs, "pairs")
+        ids = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
+        asked = written(sets.join(few(ids), "rep").select("rep", "n", "own", "bits", "set"), "asked")
+        side = lambda k: asked.select(F.col("rep").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("n", "own", "bits", "set")))
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
 
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for t in it:
-                keep = [(num + den) * most_shared(np.frombuffer(x, U64), oa, np.frombuffer(y, U64), ob) >= num * (na + nb) for na, nb, oa, ob, x, y in zip(*(t.column(i).to_pylist() for i in range(2, 8)), strict=True)]
-                yield t.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-        return both.mapInArrow(run, "a long, b long")
-
-    entries = open_sets.select("rep", "n", "own", "band", F.posexplode("keys").alias("place", "key"))
-    links = None
-
-    def may_link(na: str, oa: str, pa_: str, nb: str, ob: str, pb: str):
-        """Whether sizes allow a link, and places of a common n-gram do: it splits both orders, and no more than the shorter part is shared on either side."""
-        before, after = F.least(pa_, pb), F.least(F.col(oa) - F.col(pa_), F.col(ob) - F.col(pb))
-        return (den * F.least(na, nb) >= num * F.greatest(na, nb)) & ((num + den) * (before + after) >= num * (F.col(na) + F.col(nb)))
-
-    def mixed_tiles(labels: DataFrame | None, seed: int) -> tuple[DataFrame, DataFrame]:
-        """(visits of classes to tiles, the tiles whose members have different components, with the first member by a hash)."""
+                keep = []
+                for na, oa, xa, sa, nb, ob, xb, sb in zip(*(t.column(f"{c}_{k}").to_pylist() for k in "ab" for c in ("n", "own", "bits", "set")), strict=True):
+                    good = (num + den) * most_shared(np.frombuffer(xa, U64), oa, np.frombuffer(xb, U64), ob) >= num * (na + nb)
+                    if good:
+                        overlap = len(np.intersect1d(np.frombuffer(sa, U64), np.frombuffer(sb, U64), assume_unique=True))
+                        good = den * overlap >= num * (na + nb - overlap)
+                    keep.append(good)
+                yield t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+        out = written(both.mapInArrow(run, "a long, b long"), "linked")
+        held.append(out)
+        dropped(pairs)
+        dropped(asked)
+        return out
+
+    def enough(own, place, n, other):
+        """Whether a set may link with one of other n-grams if this n-gram is the first of both prefixes that they share: what comes after it must do."""
+        return (num + den) * (F.col(own) - F.col(place)) >= num * (F.col(n) + F.col(other))
+
+    def tiles(labels: DataFrame | None, seed: int) -> tuple[DataFrame, DataFrame]:
+        """(visits of classes to tiles, the tiles whose members have different components): visits that can link with no set of their tile's sizes are left out."""
         placed = entries.withColumn("label", F.col("rep")) if labels is None else entries.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep"))
         at = F.array(F.struct(F.col("band").alias("tile"), F.lit(False).alias("visitor")), F.struct((F.col("band") + 1).alias("tile"), F.lit(True).alias("visitor")))
         visits = placed.select("rep", "n", "own", "label", "key", "place", F.explode(at).alias("t")).select("rep", "n", "own", "label", "key", "place", "t.*")
-        order = F.col("rep") if labels is None else F.xxhash64("rep", F.lit(seed))
-        tiles = visits.groupBy("key", "tile").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("visitor").alias("strangers"), F.count("*").alias("members"), F.min(F.struct(order.alias("o"), "rep", "n", "label", "own", "place")).alias("lead"))
-        return visits, tiles.filter("lo < hi AND NOT strangers")
-
-    labels = None
+        # the set with fewest n-grams of its own is likely to be the one that its copies were made from
+        order = F.struct((F.col("n") - F.col("own")).alias("alone"), F.xxhash64("rep", F.lit(seed)).alias("o"), "rep", "n", "label", "own", "place")
+        sums = [F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("visitor").alias("strangers"), F.min("n").alias("least")]
+        mixed = "lo < hi AND NOT strangers"
+        found = visits.groupBy("key", "tile").agg(*sums).filter(mixed).select("key", "tile", "least")
+        visits = written(visits.join(found, ["key", "tile"]).filter(enough("own", "place", "n", "least")).drop("least"), "visits")
+        return visits, visits.groupBy("key", "tile").agg(*sums, F.count("*").alias("members"), F.min(order).alias("lead")).filter(mixed)
+
+    links = labels = None
     for seed in range(ROUNDS):
-        visits, tiles = mixed_tiles(labels, seed)
+        visits, mixed = tiles(labels, seed)
+        near = (F.col("label") != F.col("lead.label")) & (den * F.least("n", "lead.n") >= num * F.greatest("n", "lead.n")) & enough("own", "place", "n", "lead.n") & enough("lead.own", "lead.place", "lead.n", "n")
         there = visits.filter(F.col("place") < LEADERS) if labels is None else visits
-        near = (F.col("label") != F.col("lead.label")) & may_link("n", "own", "place", "lead.n", "lead.own", "lead.place")
-        asked = there.join(tiles.select("key", "tile", "lead"), ["key", "tile"]).filter(near).select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b")).distinct()
-        new = verified(bounded(asked))
-        links = written(new if links is None else links.unionByName(new), "leader-links")
-        labels = written(components(links), "labels")
-
-    visits, mixed = mixed_tiles(labels, 0)
+        asked = there.join(mixed.select("key", "tile", "lead"), ["key", "tile"]).filter(near).select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b")).distinct()
+        new = verified(asked)
+        links = new if links is None else links.unionByName(new)
+        labels = written(connected_components(links), "labels")
+        dropped(visits)
+        held.append(labels)
+
+    visits, mixed = tiles(labels, ROUNDS)
     here = visits.join(mixed.select("key", "tile", F.ceil(F.col("members") / TILE).cast("int").alias("chunks")), ["key", "tile"])
-    left = here.select("key", "tile", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("own").alias("oa"), F.col("place").alias("pa"), F.col("label").alias("la"), F.col("visitor").alias("va"), F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int").alias("chunk"))
-    right = here.select("key", "tile", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("own").alias("ob"), F.col("place").alias("pb"), F.col("label").alias("lb"), F.col("visitor").alias("vb"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-    apart = (F.col("a") != F.col("b")) & (F.col("la") < F.col("lb")) & ~(F.col("va") & F.col("vb"))
-    pairs = left.join(right, ["key", "tile", "chunk"]).filter(apart & may_link("na", "oa", "pa", "nb", "ob", "pb")).select("a", "b").distinct()
-    more = verified(bounded(pairs))
+    side = lambda k: (F.col(c).alias(f"{c}_{k}") for c in ("n", "own", "place", "label", "visitor"))
+    left = here.select("key", "tile", F.col("rep").alias("a"), *side("a"), F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int").alias("chunk"))
+    right = here.select("key", "tile", F.col("rep").alias("b"), *side("b"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    apart = (F.col("a") != F.col("b")) & (F.col("label_a") < F.col("label_b")) & ~(F.col("visitor_a") & F.col("visitor_b"))
+    sizes = (den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")) & enough("own_a", "place_a", "n_a", "n_b") & enough("own_b", "place_b", "n_b", "n_a")
+    more = verified(left.join(right, ["key", "tile", "chunk"]).filter(apart & sizes).select("a", "b").distinct())
+    dropped(visits)
     # rows that share a doc_id are one document: it links the classes of its texts
-    owners = rows.filter("sa is not null").join(classes, ["n", "sa", "sb"]).groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b")
-    final = written(components(links.unionByName(more).unionByName(owners.select("a", "b"))), "components")
+    owners = rows.filter("sa is not null").join(classes, ["n", "sa", "sb"]).groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b").select("a", "b")
+    every = more.unionByName(owners) if links is None else links.unionByName(more).unionByName(owners)
+    final = written(connected_components(every), "components")
     named = written(classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("n", "sa", "sb", F.coalesce("component", "rep").alias("component")), "named")
+    for df in (*held, final, classes):
+        dropped(df)
     got = rows.select("doc_id", "has_id", "n", "sa", "sb").join(named, ["n", "sa", "sb"], "left").withColumn("component", F.coalesce("component", "doc_id"))
     one = got.filter("has_id").select("doc_id", F.col("n").alias("n_shingles"), F.min("component").over(Window.partitionBy("doc_id")).alias("component_id"))
     lost = got.filter("not has_id").select(F.lit(None).cast("long").alias("doc_id"), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))

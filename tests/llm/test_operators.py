@@ -95,6 +95,40 @@ def test_ngram_join(spark, rows, many, monkeypatch):
     same(ngram_join.jaccard_components(df).collect(), brute.jaccard(pairs(df)))
 
 
+def thue_morse():
+    """Two words whose polynomial hashes modulo powers of two are the same for any base."""
+    x = [bin(n).count("1") % 2 for n in range(1024)]
+    return "".join("ab"[k] for k in x), "".join("ba"[k] for k in x)
+
+
+def test_words_that_fool_polynomial_hashes(spark):
+    a, b = thue_morse()
+    rest = " ".join(f"r{k}" for k in range(12))
+    df = spark.createDataFrame([(1, f"{a} {rest}"), (2, f"{b} {rest}"), (3, a), (4, b)], "doc_id long, text string")
+    assert {r["n_removed"] for r in windows.dedup_windows(df).collect()} == {0}
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(df.filter("doc_id > 2")).collect()} == {3: 3, 4: 4}
+    same(kept(substrings.dedup_substrings(df), "doc_id", "n_bytes", "n_removed", "n_spans"), brute.substrings(pairs(df)))
+
+
+def test_very_long_texts(spark):
+    rnd = random.Random(2)
+    words = [f"{rnd.randrange(10**6):x}" for _ in range(3000)]
+    long = [" ".join(rnd.choice(words) for _ in range(120_000)) for _ in range(2)]
+    rows = [(0, long[0]), (1, long[0] + " " + long[1]), (2, long[1][:300_000]), (3, "a" * 400_000), (4, long[0][:-9])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    same(kept(windows.dedup_windows(df), "doc_id", "n_words", "n_removed"), brute.windows(rows))
+    same(ngram_join.jaccard_components(df).collect(), brute.jaccard(rows))
+    part = [(i, t[:200_000]) for i, t in rows]
+    same(kept(substrings.dedup_substrings(spark.createDataFrame(part, "doc_id long, text string")), "doc_id", "n_bytes", "n_removed", "n_spans"), brute.substrings(part))
+
+
+def test_rows_without_ids_are_spread(spark):
+    from streetloom.llm.exchange import blocked
+
+    df = spark.createDataFrame([(None, f"t{k}") for k in range(400)], "doc_id long, text string")
+    assert blocked(df)[0].select("block").distinct().count() > 4
+
+
 def test_ngram_join_threshold_is_inclusive(spark):
     words = [f"w{k}" for k in range(200)]
     sets = [(1, " ".join(words[:94])), (2, " ".join(words[:76])), (3, " ".join(words[:75])), (4, " ".join(words[60:140]))]
@@ -166,6 +200,16 @@ def test_secrets(spark):
     assert clean[12] == texts[12]
 
 
+def test_redaction_of_long_and_odd_texts(spark):
+    rnd = random.Random(6)
+    own, copied = "Zk3vQ9xT7rLm2Wp8Yb4N", "Hq7Zt2Lw9Kc4Xv6Bn8Md"
+    long = " ".join(rnd.choice(["word", "é", f"token={'q' * 14}", own, copied, "0123456789abcdef"]) for _ in range(60_000))
+    rows = [(1, long, "a", 1), (2, copied, "b", 2), (3, None, "a", 3), (4, "", None, 4), (None, f"x {own}", "a", 5), (1, long, "a", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, spans int")
+    want = long.replace(own, "[owned]").replace(f"token={'q' * 14}", "[assign]").replace("0123456789abcdef", "[hex]")
+    same(secrets.redact(df).collect(), [(1, want, "a", 1), (2, copied, "b", 2), (3, None, "a", 3), (4, "", None, 4), (None, "x [owned]", "a", 5), (1, want, "a", 1)])
+
+
 def test_one_owner_holds_a_secret_in_many_documents(spark):
     mine, shared = "Zk3vQ9xT7rLm2Wp8Yb4N", "Hq7Zt2Lw9Kc4Xv6Bn8Md"
     rows = [(n, f"doc {n % 7} {mine}", "a") for n in range(14)]  # exact copies among them
@@ -228,17 +272,42 @@ def test_token_counts(spark, rows, monkeypatch, tmp_path):
 
 
 def test_schedule_stays_within_one_block():
+    """Against the exact targets, over the whole schedule; and the plain version: the earliest deadline of all released blocks, slot by slot."""
+    from fractions import Fraction
+
     rnd = random.Random(9)
-    for _ in range(20):
-        quota = mixing.shares({f"s{k}": rnd.random() + 0.001 for k in range(rnd.randint(1, 30))}, 512)
-        slots = mixing.schedule(quota)
-        period = sum(quota.values())
-        assert period == 512 and sorted(x for s in slots.values() for x in s) == list(range(512))
-        order = sorted((x, s) for s, xs in slots.items() for x in xs)
-        seen = dict.fromkeys(quota, 0)
-        for t, (_, s) in enumerate(order):
+    cases = [[Fraction(1 / 3), Fraction(0.666), Fraction(0.000667)], [Fraction(1, 10**6), 1 - Fraction(1, 10**6)], [Fraction(1)]]
+    cases += [[Fraction(rnd.random() + 0.001) for _ in range(rnd.randint(1, 12))] for _ in range(12)]
+    for n, case in enumerate(cases):
+        weights = [w / sum(case) for w in case]
+        slots = 30_000 if n == 0 else 1500
+        got = mixing.schedule(weights, slots)
+        order = sorted((x, s) for s, xs in enumerate(got) for x in xs)
+        assert [x for x, _ in order] == list(range(slots))
+        seen = [0] * len(weights)
+        for t, s in order:
             seen[s] += 1
-            assert all(abs(seen[k] - quota[k] * (t + 1) / period) < 1 for k in quota)
+            if n:
+                assert all(abs(seen[k] - w * (t + 1)) < 1 or seen[k] == 1 for k, w in enumerate(weights))
+            elif t % 97 == 0:
+                assert all(abs(seen[k] - w * (t + 1)) < 1 for k, w in enumerate(weights))
+        done = [0] * len(weights)
+        for t, s in order[:300]:
+            ready = [(-(-(done[k] + 1) // w), k) for k, w in enumerate(weights) if done[k] // w <= t]
+            assert s == min((min(d, slots) if not done[k] else d, k) for d, k in ready)[1]
+            done[s] += 1
+
+
+def test_small_sources_share_blocks_and_none_is_too_many(spark):
+    rows = [(n, "x" * 500, f"small{n}") for n in range(3000)] + [(10_000 + n, "y" * 1000, "large") for n in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df, {**{f"small{n}": 1.0 for n in range(3000)}, "large": 7000.0}, block_bytes=4000).collect()
+    assert sorted(r["doc_id"] for r in got if r["__epoch"] == 0) == [i for i, _, _ in rows]
+    assert all(r["__epoch"] == 0 for r in got if r["source"] != "large")
+    slots = max(r["__slot"] for r in got) + 1
+    for t in range(0, slots, 7):
+        served = len({r["__slot"] for r in got if r["source"] == "large" and r["__slot"] <= t})
+        assert abs(served - 0.7 * (t + 1)) < 1
 
 
 def test_mix(spark, rows):
