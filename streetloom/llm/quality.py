@@ -6,8 +6,8 @@ maxima are rectified and pooled once more, by mean and by maximum, and a logisti
 layer makes one probability of them. A filter is a table of weights for each of
 WIDTH byte positions, so inference is table look-ups and sums.
 
-Training uses a bounded sample of labelled rows, chosen by a hash, on the
-driver: SAMPLE documents of each label at most, of SAMPLE_BYTES in all; longer
+Training uses a bounded sample of labelled rows, chosen by a hash, in one task
+of an executor: SAMPLE documents of each label at most, of SAMPLE_BYTES in all; longer
 documents count in full. Everything else, the scoring, runs over all texts.
 
 Null and empty texts get the score of a document without responses. Null
@@ -17,6 +17,7 @@ kind only, or none, every score is the smoothed share of label 1.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -213,28 +214,34 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> Network:
         part = known.filter(F.col("quality") == label).orderBy(F.xxhash64("doc_id", F.lit(label)), "doc_id").limit(SAMPLE)
         picked = part if picked is None else picked.unionByName(part)
     rows = docs.select("doc_id", blank(text).alias("text")).join(F.broadcast(picked), "doc_id").withColumn("h", F.xxhash64("doc_id", "text"))
-    # whole documents by hash until the bytes are used up; SAMPLE is small, so one task can order them
-    sizes = rows.select("h", F.octet_length("text").alias("n")).orderBy("h").limit(2 * SAMPLE).collect()
-    used, last = 0, None
-    for r in sizes:
-        used += r["n"]
-        if used > SAMPLE_BYTES and last is not None:
-            break
-        last = r["h"]
-    got = rows.filter(F.col("h") <= last).orderBy("h").limit(2 * SAMPLE).toArrow() if last is not None else None
-    texts = [x.encode() for x in got.column("text").to_pylist()] if got else []
-    net = train(texts, got.column("quality").to_numpy().astype(np.float64) if got else np.zeros(0))
+    there = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
+    taken = rows.repartition(1).sortWithinPartitions("h", "doc_id").select("text", "quality", "h")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole documents by hash until the bytes are used up; the network comes back in one row."""
+        texts, labels, used = [], [], 0
+        for b in it:
+            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                x = x.encode()
+                used += len(x)
+                if used > SAMPLE_BYTES and texts:
+                    continue
+                texts.append(x)
+                labels.append(y)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((train(texts, np.array(labels, np.float64)), sum(labels), len(labels)))], pa.binary())], ["net"])
+
+    got = taken.mapInArrow(run, "net binary").first()
+    net, ones, n = pickle.loads(got["net"]) if got else (train([], np.zeros(0)), 0, 0)
     # the sample holds as many of each label as there are, up to SAMPLE; scores are for the labels as they are
-    there, here = ({r["quality"]: r["count"] for r in df.groupBy("quality").count().collect()} for df in (known, picked))
-    if got and len(there) == 2:
-        net.base += float(np.log(there[1] / there[0]) - np.log(here[1] / here[0]))
+    if 0 < ones < n:
+        net.base += float(np.log(there[1] / there[0]) - np.log(ones / (n - ones)))
     return net
 
 
 def score(docs: DataFrame, net: Network, text: str = "text", out: str = "score", keep: list[str] | None = None) -> DataFrame:
-    """The columns keep (by default all) of docs, and a probability of label 1 for each text."""
+    """The columns keep (by default all but one called out) of docs, and a probability of label 1 for each text."""
     prepare(docs.sparkSession)
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in docs.columns if c != out] if keep is None else keep
     source = docs.select(*keep, *([] if text in keep else [text]))
     at = source.columns.index(text)
     fields = T.StructType([*source.schema.fields[: len(keep)], T.StructField(out, T.DoubleType())])
