@@ -3,111 +3,125 @@
 A source's documents are cut into blocks of equal bytes, in an order by hash.
 Block j (from 0) of a source of weight w is released at slot floor(j / w) and due at
 slot ceil((j + 1) / w); one block runs in each slot, the released one with
-the earliest deadline. With weights that sum to one every deadline is met, so after any
-number of slots each source is less than one block off its target. Weights
-are integers q over a period: the schedule repeats after as many slots as they
-sum to, so one period is computed once, and each document finds its
-slot by arithmetic.
+the earliest deadline. Weights sum to one as fractions, without rounding, so every deadline is
+met, and after any number of slots each source is less than one block off its target.
 
-A source that ends starts again (the next epoch) until every source has been
-through once: no document is left out, and the weights hold to the end.
+The schedule covers the whole mix: as many slots as it takes until each source
+has been through once at its weight. A source that ends before starts again (the
+next epoch), so no document is left out and the weights hold to the end. Blocks have
+``block_bytes`` of text, or more where the mix would take more than SLOTS slots:
+then it is cut into SLOTS. So the schedule has a bounded size whatever the corpus
+and however many sources there are.
+
+A source whose target is less than one block in the whole mix can't fill a block.
+All such sources share the blocks of a pool that has the sum of their weights and spreads over the
+whole mix; each of them comes once, so it is less than one block off its target too.
 
 A null source counts as the source "". Empty and null texts have no
-bytes and go with the block where they stand; repeated rows each get a place.
+bytes and go with the block where they stand; repeated rows each get a place. A document is
+never cut: it stands in the block where it begins, and blocks that begin and end within one document have no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from fractions import Fraction
 from heapq import heappop, heappush
-from math import ceil, log2
+from math import ceil, isfinite, lcm, log2
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import table
+from .shared import table, written
 
-#: Bytes of text in a block, and slots of a period at least.
+#: Bytes of text in a block, at least, and slots of a schedule, at most.
 BLOCK_BYTES = 64 << 10
-PERIOD = 4096
-#: Sources that one schedule takes; its table has a row for each slot of a period, PERIOD or eight times the sources.
-MAX_SOURCES = 20_000
+SLOTS = 1 << 17
 #: Default target weights: a source's share of all bytes to this power, made to sum to one.
 TEMPERATURE = 0.9
 #: Documents of a source that are ordered together, about.
 CHUNK = 2_000
-
-
-def shares(weights: Mapping[str, float], period: int) -> dict[str, int]:
-    """Whole slots of a period for each source, one at least: largest remainders get what rounding leaves."""
-    if not weights:
-        return {}
-    if min(weights.values()) <= 0:
-        raise ValueError("weights must be positive")
-    total = sum(weights.values())
-    exact = {s: (period - len(weights)) * w / total for s, w in weights.items()}
-    out = {s: 1 + int(x) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[: period - sum(out.values())]:
-        out[s] += 1
-    return out
-
-
-def schedule(quota: Mapping[str, int]) -> dict[str, list[int]]:
-    """The slots of each source's blocks in one period, by earliest deadline among released blocks."""
-    period = sum(quota.values())
-    waiting = [(0, s, 0) for s in sorted(quota)]  # (release, source, block), a heap
-    ready: list[tuple[int, str, int]] = []  # (deadline, source, block)
-    out: dict[str, list[int]] = {s: [] for s in quota}
-    for slot in range(period):
+#: What pooled sources have in place of a number.
+POOL = -1
+
+
+def schedule(weights: Sequence[Fraction], slots: int) -> list[list[int]]:
+    """The slots of each weight's blocks, by earliest deadline among released blocks; weights sum to one. A first block is due at the end at the latest."""
+    whole = lcm(*(w.denominator for w in weights)) if weights else 1
+    parts = [int(w * whole) for w in weights]
+    waiting = [(0, s, 0) for s in range(len(parts))]  # (release, source, block), a heap
+    ready: list[tuple[int, int, int]] = []  # (deadline, source, block)
+    out: list[list[int]] = [[] for _ in parts]
+    for slot in range(slots if parts else 0):
         while waiting and waiting[0][0] <= slot:
             _, s, j = heappop(waiting)
-            heappush(ready, (-(-(j + 1) * period // quota[s]), s, j))
+            due = -(-(j + 1) * whole // parts[s])
+            heappush(ready, (min(due, slots) if j == 0 else due, s, j))
         _, s, j = heappop(ready)
         out[s].append(slot)
-        if j + 1 < quota[s]:
-            heappush(waiting, ((j + 1) * period // quota[s], s, j + 1))
+        heappush(waiting, ((j + 1) * whole // parts[s], s, j + 1))
     return out
 
 
 def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block_bytes: int = BLOCK_BYTES, source: str = "source", text: str = "text", id: str = "doc_id") -> DataFrame:
-    """docs with __source, __epoch, __slot and __offset (bytes of its source before it, in its block's epoch); a row for each epoch of a document.
+    """docs with __source, __epoch, __slot and __offset (bytes of its source, or of the pool, before it); a row for each epoch of a document.
 
     weights names every source; by default TEMPERATURE sets them.
     """
     spark = docs.sparkSession
     rows = docs.withColumn("__source", F.coalesce(F.col(source).cast("string"), F.lit(""))).withColumn("__bytes", F.coalesce(F.octet_length(text), F.lit(0)).cast("long"))
-    totals = rows.groupBy("__source").agg(F.sum("__bytes").alias("bytes"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    size = {r["__source"]: r["bytes"] for r in totals}
+    totals = rows.groupBy("__source").agg(F.sum("__bytes").alias("bytes"), F.count("*").alias("n"))
     if weights is None:
-        weights = {s: max(b, 1) ** TEMPERATURE for s, b in size.items()}
-    elif missing := set(size) - set(weights):
-        raise ValueError(f"no weight for {sorted(missing)[:3]}")
-    quota = shares({s: weights[s] for s in size}, max(PERIOD, 1 << ceil(log2(8 * max(len(size), 1)))))
-    period = sum(quota.values())
-    slots = schedule(quota)
-    blocks = {s: max(1, -(-b // block_bytes)) for s, b in size.items()}
-    slot_of = lambda s, j: j // quota[s] * period + slots[s][j % quota[s]]
-    end = max((slot_of(s, n - 1) + 1 for s, n in blocks.items()), default=0)
-    plan = spark.createDataFrame([(s, quota[s], blocks[s], -(-end * quota[s] // (period * blocks[s])) + 1) for s in size], "__source string, __quota long, __blocks long, __epochs long")
-    places = spark.createDataFrame([(s, j, at) for s in size for j, at in enumerate(slots[s])], "__source string, __turn long, __at long")
+        totals = totals.withColumn("w", F.pow(F.greatest("bytes", F.lit(1)).cast("double"), F.lit(TEMPERATURE)))
+    else:
+        if not all(w > 0 and isfinite(w) for w in weights.values()):
+            raise ValueError("weights must be positive")
+        named = spark.createDataFrame([(s, float(w)) for s, w in weights.items()], "__source string, w double")
+        totals = totals.join(named, "__source", "left")
+    totals = written(totals, "sources")
+    if missing := totals.filter("w IS NULL").limit(3).collect():
+        raise ValueError(f"no weight for {sorted(r['__source'] for r in missing)}")
+    sums = totals.agg(F.sum("w").alias("w"), F.sum("n").alias("n"), F.max(F.col("bytes") / F.col("w")).alias("stretch")).first()
+    # bytes of the mix in which the slowest source gets through once
+    reach = (sums["stretch"] or 0) * (sums["w"] or 0)
+    block = max(block_bytes, ceil(reach / SLOTS))
+    slots = max(1, ceil(reach / block))
+    big = F.col("w") * slots >= sums["w"]
+    large = totals.filter(big).orderBy("__source").collect() if sums["n"] else []  # at most as many as slots
+    pool = totals.filter(~big).agg(F.sum("w").alias("w"), F.sum("bytes").alias("bytes")).first() if sums["n"] else {"w": None}
+    lanes = [(k, r["__source"], Fraction(r["w"]), r["bytes"]) for k, r in enumerate(large)]
+    if pool["w"] is not None:
+        lanes.append((POOL, None, Fraction(pool["w"]), pool["bytes"]))
+    whole = sum(w for _, _, w, _ in lanes)
+    served = schedule([w / whole for _, _, w, _ in lanes], slots)
+    plan, places = [], []
+    for (lane, name, _, size), at in zip(lanes, served, strict=True):
+        n = len(at) if lane == POOL else min(max(1, size // block), len(at))
+        plan.append((name, lane, n, max(1, -(-size // n)), 1 if lane == POOL else -(-len(at) // n)))
+        places.append(np.stack([np.full(len(at), lane), np.arange(len(at)), np.array(at, np.int64)]))
+    plan = spark.createDataFrame(plan, "__source string, __lane long, __blocks long, __size long, __epochs long")
+    flat = np.concatenate(places, axis=1).astype(np.int64) if places else np.zeros((3, 0), np.int64)
+    places = spark.createDataFrame(pa.table({"__lane": flat[0], "__j": flat[1], "__slot": flat[2]}))
 
     # a document's bytes before it in its source: within a chunk of the hash order, and before the chunk
-    bits = max(1, ceil(log2(max(2, sum(r["n"] for r in totals) / CHUNK))))
+    bits = max(1, ceil(log2(max(2, (sums["n"] or 0) / CHUNK))))
+    known = F.broadcast(plan.filter("__source IS NOT NULL").select("__source", "__lane"))
+    rows = rows.join(known, "__source", "left").withColumn("__lane", F.coalesce("__lane", F.lit(POOL)))
+    ties = [f.name for f in docs.schema.fields if not isinstance(f.dataType, T.MapType)]
     rows = rows.withColumn("__hash", F.xxhash64(id, text)).withColumn("__chunk", F.shiftright("__hash", 64 - bits))
-    chunks = rows.groupBy("__source", "__chunk").agg(F.sum("__bytes").alias("__sum"))
-    before = Window.partitionBy("__source").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    chunks = chunks.select("__source", "__chunk", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base"))
-    within = Window.partitionBy("__source", "__chunk").orderBy("__hash", id).rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("__within", F.coalesce(F.sum("__bytes").over(within), F.lit(0))).join(chunks, ["__source", "__chunk"])
-    placed = placed.withColumn("__offset", F.col("__base") + F.col("__within")).join(F.broadcast(plan), "__source")
+    chunks = rows.groupBy("__lane", "__chunk").agg(F.sum("__bytes").alias("__sum"))
+    before = Window.partitionBy("__lane").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.select("__lane", "__chunk", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base"))
+    within = Window.partitionBy("__lane", "__chunk").orderBy("__hash", id, F.xxhash64(*ties)).rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("__within", F.coalesce(F.sum("__bytes").over(within), F.lit(0))).join(chunks, ["__lane", "__chunk"])
+    placed = placed.withColumn("__offset", F.col("__base") + F.col("__within")).join(F.broadcast(plan.drop("__source")), "__lane")
     # an empty document after the last byte stays in the last block
-    block = F.least(F.expr(f"__offset div {block_bytes}"), F.col("__blocks") - 1)
-    placed = placed.withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.col("__epochs") - 1).cast("array<long>"))).withColumn("__j", F.col("__epoch") * F.col("__blocks") + block)
-    placed = placed.withColumn("__turn", F.col("__j") % F.col("__quota")).join(F.broadcast(places), ["__source", "__turn"])
-    placed = placed.withColumn("__slot", F.expr(f"__j div __quota * {period}L") + F.col("__at")).filter((F.col("__slot") < end) | (F.col("__epoch") == 0))
-    return placed.select(*docs.columns, "__source", "__epoch", "__slot", "__offset")
+    turn = F.least(F.expr("__offset div __size"), F.col("__blocks") - 1)
+    placed = placed.withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.col("__epochs") - 1).cast("array<long>"))).withColumn("__j", F.col("__epoch") * F.col("__blocks") + turn)
+    return placed.join(F.broadcast(places), ["__lane", "__j"]).select(*docs.columns, "__source", "__epoch", "__slot", "__offset")
 
 
 def op10_pfair_mix(spark, sf_dir: str) -> DataFrame:
