@@ -8,7 +8,8 @@ documents, looks like a live credential. Candidates of the second sort become
 spans of the kind ``owned``.
 
 Null and empty texts hold nothing; a null owner counts as one more owner;
-repeated rows are reported each. Offsets are code points.
+repeated rows are reported each. Offsets are code points. A text is scanned as a
+whole, however long. Other columns are passed on as they are.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import batches, blank, prepare, table, text_buffer, written
 
@@ -147,22 +149,60 @@ def named(spans: str):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", kinds[s["kind"]], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, owner: str = "source", id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with every secret of find_secrets replaced by its kind in brackets; texts without any stay as they are, null ones too."""
-    keyed = docs.withColumn("__key", F.struct(F.col(id).alias("id"), F.xxhash64(text).alias("text")))
-    found = find_secrets(keyed, owner, "__key", text).filter(F.size("spans") > 0).dropDuplicates(["id"])
-    # the spans go to the documents, few as they are; a span that overlaps the one before only moves its end
-    joined = keyed.join(found.select(F.col("id").alias("__key"), "spans"), "__key", "left")
-    kinds = F.array(*(F.lit(f"[{k}]") for k in KINDS))
-    t = F.col(text)
+def cleaned(text: str, spans) -> str:
+    """A text with each span (start, kind, end) replaced by its kind in brackets; one that overlaps the span before only moves its end."""
+    out, at = [], 0
+    for start, kind, end in sorted(spans):
+        if start >= at:
+            out += [text[at:start], f"[{KINDS[kind]}]"]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
 
-    def step(a, s):
-        clean = F.concat(a["out"], t.substr((a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), kinds[s["kind"]])
-        return F.struct(F.when(s["start"] >= a["at"], clean).otherwise(a["out"]).alias("out"), F.greatest(a["at"], s["end"]).alias("at"))
 
-    whole = F.length(text)
-    clean = F.aggregate("spans", F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")), step, lambda a: F.concat(a["out"], t.substr((a["at"] + 1).cast("int"), whole)))
-    return joined.withColumn(text, F.when(F.col("spans").isNotNull(), clean).otherwise(t)).select(*docs.columns)
+def redact(docs: DataFrame, owner: str = "source", text: str = "text") -> DataFrame:
+    """docs with every secret of find_secrets replaced by its kind in brackets; texts without any stay as they are, null ones too.
+
+    Texts with base kinds only are settled where they are read; only those with other candidates meet the owners' counts.
+    """
+    prepare(docs.sparkSession)
+    names, at = docs.columns, docs.columns.index(text)
+    source = docs.select(*names, F.xxhash64(owner).alias("__owner"))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(it, 4 << 20, text):
+            col = b.column(at)
+            data, offsets = text_buffer(col.fill_null(""))
+            values, spans, clean = [None] * b.num_rows, [None] * b.num_rows, {}
+            for k in np.flatnonzero(_likely(data, offsets)).tolist():
+                x = col[k].as_py()
+                if found := scan(x):
+                    marks = [(s, kind, e, xxhash.xxh64_intdigest(v.encode()) - 2**63) for s, kind, e, v in found]
+                    values[k] = sorted({h for _, _, _, h in marks})
+                    if any(kind == 3 for _, kind, _, _ in marks):
+                        spans[k] = [dict(zip(("start", "kind", "end", "hash"), m, strict=True)) for m in marks]
+                    else:
+                        clean[k] = cleaned(x, [m[:3] for m in marks])
+            if clean:
+                col = pa.array([clean.get(k, x) for k, x in enumerate(col.to_pylist())], col.type)
+            yield pa.RecordBatch.from_arrays([*b.columns[:at], col, *b.columns[at + 1 :], pa.array(values, pa.list_(pa.int64())), pa.array(spans, pa.list_(SPAN))], [*names, "__owner", "__values", "__spans"])
+
+    extra = T.StructType.fromDDL("__values array<long>, __spans array<struct<start long, kind int, end long, hash long>>")
+    scanned = written(source.mapInArrow(run, T.StructType([*source.schema.fields, *extra.fields])), "redacted")
+    owned = scanned.filter("__values IS NOT NULL").select("__owner", F.explode("__values").alias("hash")).groupBy("hash").agg(F.min("__owner").alias("least"), F.max("__owner").alias("most"))
+    open_ = written(scanned.filter("__spans IS NOT NULL").withColumn("__row", F.monotonically_increasing_id()), "candidates")
+    asked = open_.select("__row", F.explode(F.array_distinct(F.filter("__spans", lambda s: s["kind"] == 3)["hash"])).alias("hash"))
+    live = asked.join(owned.filter("least = most").select("hash"), "hash").groupBy("__row").agg(F.collect_set("hash").alias("__live"))
+    some = open_.join(live, "__row", "left").select(*names, "__spans", "__live")
+
+    def settle(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            out = []
+            for x, spans, live in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in (text, "__spans", "__live")), strict=True):
+                live = set(live or ())
+                out.append(cleaned(x, [(s["start"], s["kind"], s["end"]) for s in spans if s["kind"] < 3 or s["hash"] in live]))
+            yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(out, b.column(at).type), *b.columns[at + 1 : len(names)]], names)
+
+    return scanned.filter("__spans IS NULL").select(*names).unionByName(some.mapInArrow(settle, docs.schema))
 
 
 def op3_secret_scan(spark, sf_dir: str) -> DataFrame:
