@@ -2,6 +2,8 @@
 
 import hashlib
 import re
+from fractions import Fraction
+from math import floor
 
 import numpy as np
 
@@ -117,11 +119,11 @@ def cosines(rows, least=0.9):
 
 
 def top_k(rows, k=5):
-    good = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in rows if i is not None and sound(v)]
+    good = [(i, [floor(256 * Fraction(float(x))) for x in v]) for i, v in rows if i is not None and sound(v)]
     out = []
     for q, v in good:
         if q % 50 == 0:
-            got = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in good if i != q and len(w) == len(v))
+            got = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(v, w, strict=True)))), i) for i, w in good if i != q and len(w) == len(v))
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(got[:k])]
     return out
 
