@@ -151,19 +151,20 @@ def vector_frame(spark, rows):
 
 def test_near_duplicates(spark, monkeypatch):
     monkeypatch.setattr(neardup, "TILE", 7)
+    monkeypatch.setattr(neardup, "STRIP", 3)
     rows = vectors()
     same(neardup.near_duplicates(vector_frame(spark, rows)).collect(), brute.cosines(rows))
 
 
-@pytest.mark.parametrize("blocks", [1, 2])
+@pytest.mark.parametrize("blocks", [1, 2, 3, 4])
 def test_lattice_recall_at_the_threshold(blocks):
     rng = np.random.default_rng(1)
-    a = neardup.units(rng.normal(size=(4000, 64)))
+    a = neardup.units(rng.normal(size=(1000, 64)))
     o = rng.normal(size=a.shape)
     o = neardup.units(o - (o * a).sum(1, keepdims=True) * a)
     b = 0.9 * a + np.sqrt(1 - 0.81) * o
     met = np.zeros(len(a), bool)
-    for t in range(neardup.TABLES * blocks):
+    for t in range(neardup.TABLES[blocks - 1]):
         own_a, near_a = neardup.cells(a, t, blocks, neardup.PROBES * blocks, neardup.STEP)
         own_b, near_b = neardup.cells(b, t, blocks, neardup.PROBES * blocks, neardup.STEP)
         met |= (own_a == own_b) | (near_a == own_b[:, None]).any(1) | (near_b == own_a[:, None]).any(1)
@@ -241,7 +242,7 @@ def test_one_owner_holds_a_secret_in_many_documents(spark):
     assert clean == {i: t.replace(mine, "[owned]").replace(mine[::-1], "[owned]") for i, t, _ in rows}
 
 
-def test_bpe_matches_the_library(spark, rows):
+def test_bpe_matches_the_library(spark, rows, monkeypatch):
     import public_tokenizers
     import tiktoken
 
@@ -250,13 +251,20 @@ def test_bpe_matches_the_library(spark, rows):
     texts = rows + [(900, "<|endoftext|> I'll  go  now\x1c 漢字𝄞 ½ ́" + " " * 70), (901, "ab" * 5000)]
     df = docs_frame(spark, texts)
     got = bpe.decode(bpe.encode(df, vocabulary, pattern, keep=["doc_id", "block"]), vocabulary, pattern).collect()
-    same([(r["doc_id"], r["ids"], bytes(r["decoded"])) for r in got], [(i, library.encode_ordinary(t or ""), (t or "").encode()) for i, t in texts])
+    same([(r["doc_id"], r["ids"], r["decoded"]) for r in got], [(i, library.encode_ordinary(t or ""), t or "") for i, t in texts])
     codec = bpe.codec(vocabulary, pattern)
     rnd = random.Random(8)
     for _ in range(3000):
         t = "".join(rnd.choice("ab e\n\t  '12.,*-é漢𝄞\x1c\x85ſ_tshrdl") for _ in range(rnd.randint(0, 40)))
         assert codec.encode(t).tolist() == library.encode_ordinary(t)
-    assert "".join(codec.decode_stream(codec.encode("né漢𝄞!").tolist())) == "né漢𝄞!"
+    ids = codec.encode("né漢𝄞! " * 3)
+    parts = list(codec.decode_stream(ids[k : k + 1] for k in range(len(ids))))
+    assert "".join(parts) == "né漢𝄞! " * 3 and len(parts) > 6
+    for k in range(300):  # long pieces are emitted in parts
+        t = "".join(rnd.choice("abcdet") for _ in range(rnd.randint(60, 700)))
+        assert codec.encode(t).tolist() == library.encode_ordinary(t)
+    monkeypatch.setattr(bpe, "LONG_TEXT", 50)
+    assert codec.encode("some text that is longer, " * 9).tolist() == library.encode_ordinary("some text that is longer, " * 9)
     with pytest.raises(KeyError):
         codec.decode(np.array([50_256]))
 
@@ -273,21 +281,35 @@ def test_utf8_machine_agrees_with_python():
         assert out + machine.close() == data.decode(errors="replace")
 
 
-def test_token_counts(spark, rows, monkeypatch, tmp_path):
+def test_token_counts(spark, rows, tmp_path):
     import public_tokenizers
+    import tiktoken
 
-    for block in (7, 1 << 18):
-        monkeypatch.setattr(token_counts, "BLOCK_TOKENS", block)
-        vocabulary, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-        df = docs_frame(spark, rows).repartition(3)
-        blocks = token_counts.written(token_counts.write_token_blocks(df, vocabulary, pattern), "test")
-        codec = bpe.codec(vocabulary, pattern)
-        got = token_counts.count_tokens(blocks)
-        assert sorted(r["n_tokens"] for r in got.collect()) == sorted(len(codec.encode(t or "")) for _, t in rows)
-    ids = np.array([50_256, 1, 2, 50_256, 50_256, 3, 4, 5, 6, 7, 8, 9, 50_256, 5, 5], np.uint16)
-    (tmp_path / "a.bin").write_bytes(ids.tobytes())
-    got = token_counts.count_tokens(token_counts.read_token_files(spark, str(tmp_path), block_tokens=2)).orderBy("ordinal")
-    assert [(r["ordinal"], r["n_tokens"]) for r in got.collect()] == [(0, 0), (1, 2), (2, 0), (3, 7), (4, 2)]
+    vocabulary, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.load_ranks(vocabulary), special_tokens={})
+    df = docs_frame(spark, rows + [(900, "long text " * 50_000)]).repartition(3)
+    want = [(i, len(library.encode_ordinary(t or ""))) for i, t in pairs(df)]
+    names = token_counts.written(token_counts.write_token_files(df, f"file://{tmp_path}", vocabulary, pattern), "test")
+    for block in (997, 1 << 18):
+        got = names.join(token_counts.count_tokens(names, f"file://{tmp_path}", block_tokens=block), ["file", "ordinal"], "full")
+        same([(r["id"], r["n_tokens"]) for r in got.collect()], want)
+    with pytest.raises(Exception, match="separator"):
+        token_counts.write_token_files(df, f"file://{tmp_path}", vocabulary, pattern, end=library.encode_ordinary("one")[0]).count()
+
+
+def test_flat_files_of_others(spark, tmp_path):
+    """Against a plain split, for any cut into ranges, with empty documents, an open end and odd bytes."""
+    rnd = random.Random(3)
+    want = []
+    for n in range(12):
+        ids = [rnd.choice([50_256, 1, 2, 3]) if rnd.random() < 0.6 else 7 for _ in range(rnd.randint(0, 60))]
+        (tmp_path / f"{n}.bin").write_bytes(np.array(ids, "<u4").tobytes() + b"x" * (n % 4))
+        parts = " ".join(map(str, ids)).split("50256")
+        sizes = [len(x.split()) for x in parts]
+        want += [(f"{n}.bin", k, x) for k, x in enumerate(sizes) if k < len(sizes) - 1 or x]
+    files = spark.createDataFrame([(f"{n}.bin",) for n in range(12)], "file string")
+    for block in (1, 3, 1000):
+        same(token_counts.count_tokens(files, f"file://{tmp_path}", width=4, block_tokens=block).collect(), want)
 
 
 def test_schedule_stays_within_one_block():
