@@ -9,11 +9,12 @@ each a trie node and the token that it follows, and a transition gives the last
 token of what has been read. Tokens on which all open guesses agree are
 certain; guesses are no longer than the longest token, so lookahead is bounded.
 
-Decoding. Token bytes are gathered by id; ``Utf8Machine`` cuts the byte stream
-at character borders, so that text can be shown before a stream has ended.
+Decoding. Token bytes are fed part by part to ``Utf8Machine``, which gives the
+characters that are whole and holds back the rest, so text can be shown
+before a stream has ended. Malformed bytes become U+FFFD; ``decode_bytes`` gives the bytes as they are.
 
-Inputs: null and empty texts give no ids. Texts of any length are read as a
-stream of matches. Ids outside the vocabulary raise KeyError.
+Inputs: null and empty texts give no ids, null arrays no text. Texts of any length are read as a
+stream of matches, and emitted in parts. Ids outside the vocabulary raise KeyError.
 """
 
 from __future__ import annotations
@@ -39,10 +40,12 @@ from .shared import blank, prepare, table
 #: Transitions and pieces that a worker keeps; beyond them it starts afresh, which only costs time.
 MAX_TRANSITIONS = 600_000
 MAX_PIECES = 400_000
-#: Bits of a token in a packed number, all set for no token; bytes of a piece that are held before tokens are emitted.
+#: Bits of a token in a packed number, all set for no token; bytes of a piece that are read before certain tokens are emitted.
 BITS = 20
 NONE = (1 << BITS) - 1
-LONG_PIECE = 4096
+LOOK = 64
+#: Ids that are decoded at a time.
+PART = 1 << 12
 #: Texts longer than this are split piece by piece, not in one list.
 LONG_TEXT = 1 << 20
 
@@ -184,21 +187,22 @@ class Transducer:
         return out
 
     def encode(self, piece: bytes) -> list[int]:
-        """A piece's tokens. Those before all open guesses are certain, so a long piece is emitted in parts."""
+        """A piece's tokens. Those before all open guesses are certain and emitted after every LOOK bytes; what is held is bounded by the longest token."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
         if len(self.delta) > MAX_TRANSITIONS:
             self._reset()
-        state, ends, out, delta = 0, [], [], self.delta
+        state, ends, out, delta, look = 0, [], [], self.delta, LOOK
         for byte in piece:
             to = delta.get(state << 8 | byte)
             if to is None:
                 to = self._step(state, byte)
             state = to >> BITS
             ends.append(to & NONE)
-            if len(ends) >= LONG_PIECE:
+            if len(ends) >= look:
                 out += self._emit(ends, self._certain(state, ends))
+                look = len(ends) + LOOK
         return out + self._emit(ends, len(ends))
 
     def _certain(self, state: int, ends: list[int]) -> int:
@@ -271,7 +275,7 @@ class ByteBPE:
             parts.append(part)
         return np.frombuffer(b"".join(parts), np.int32)
 
-    def decode(self, ids: np.ndarray) -> bytes:
+    def decode_bytes(self, ids: np.ndarray) -> bytes:
         if not len(ids):
             return b""
         if ids.min() < 0 or ids.max() >= len(self.known) or not self.known[ids].all():
@@ -279,15 +283,18 @@ class ByteBPE:
         got = self.tokens.take(pa.array(ids))
         return got.buffers()[2].to_pybytes()[: int(np.frombuffer(got.buffers()[1], np.int64)[len(got)])]
 
-    def decode_stream(self, ids: Iterable[int]) -> Iterator[str]:
-        """Text as soon as its characters are whole; malformed bytes become U+FFFD."""
+    def decode_stream(self, parts: Iterable[np.ndarray]) -> Iterator[str]:
+        """Text of a stream of ids, as soon as its characters are whole."""
         machine = Utf8Machine()
-        for i in ids:
-            if ready := machine.feed(self.decode(np.array([i], np.int64))):
+        for ids in parts:
+            if ready := machine.feed(self.decode_bytes(ids)):
                 yield ready
         if ready := machine.close():
             yield ready
 
+    def decode(self, ids: np.ndarray) -> str:
+        return "".join(self.decode_stream(ids[a : a + PART] for a in range(0, len(ids), PART)))
+
 
 class Utf8Machine:
     """An incremental UTF-8 automaton: state is how many bytes are missing, and which values may come next."""
@@ -300,9 +307,19 @@ class Utf8Machine:
         self.held = bytearray()
         self.missing, self.lo, self.hi = 0, 0x80, 0xBF
 
+    def whole(self, data: bytes) -> int:
+        """How many bytes end before the last lead byte whose sequence isn't complete."""
+        for back in range(1, min(4, len(data)) + 1):
+            if data[-back] & 0xC0 != 0x80:
+                return len(data) - back if self.START.get(data[-back], (0,))[0] >= back else len(data)
+        return len(data)
+
     def feed(self, data: bytes) -> str:
-        if not self.missing and data.isascii():
-            return data.decode("ascii")
+        if not self.missing and (cut := self.whole(data)):
+            try:  # well-formed bytes leave the machine in its start state, so they can be taken at once
+                return data[:cut].decode() + (self.feed(data[cut:]) if cut < len(data) else "")
+            except UnicodeDecodeError:
+                pass
         out: list[str] = []
         for byte in data:
             if self.missing and self.lo <= byte <= self.hi:
@@ -360,9 +377,9 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids
 
 
 def decode(df: DataFrame, vocabulary: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """df with the bytes that ids stand for; a null array gives no bytes."""
+    """df with the text that ids stand for, by streaming decoding; a null array gives no text."""
     prepare(df.sparkSession)
-    schema = T.StructType([*(f for f in df.schema.fields if f.name != out), T.StructField(out, T.BinaryType())])
+    schema = T.StructType([*(f for f in df.schema.fields if f.name != out), T.StructField(out, T.StringType())])
     names = [f.name for f in schema.fields]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,7 +392,7 @@ def decode(df: DataFrame, vocabulary: str, pattern: str, ids: str = "ids", out:
                 parts.append(bpe.decode(flat[at : at + n]))
                 at += n
             cols = {n: b.column(b.schema.get_field_index(n)) for n in names if n != out}
-            yield pa.RecordBatch.from_arrays([cols.get(n) if n != out else pa.array(parts, pa.binary()) for n in names], names)
+            yield pa.RecordBatch.from_arrays([cols.get(n) if n != out else pa.array(parts, pa.string()) for n in names], names)
 
     return df.mapInArrow(run, schema)
 
@@ -393,5 +410,5 @@ def op1_byte_bpe(spark, sf_dir: str) -> DataFrame:
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
