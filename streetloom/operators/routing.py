@@ -64,7 +64,7 @@ def road_tree(graph: Graph, hub_nodes: Sequence[str]) -> DataFrame:
     steps = []
     for hub in order[1:]:
         target = spark.createDataFrame([(hub,)], "node string")
-        tree = shortest(edges, inside.select("node", F.lit(0).alias("label")))
+        tree = shortest(edges, inside.select("node", F.lit(0).alias("label")), until=hub)
         path = written(path_to_sources(tree, target), "path")
         inside = written(inside.unionByName(path.select("node")).distinct(), "inside")
         steps.append(path)

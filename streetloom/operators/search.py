@@ -196,6 +196,9 @@ class State:
     selected: list[int]
     buildings: int
     cost: float
+    #: Distances to the state that this one grew from and the clusters added since, until the state is expanded.
+    before: tuple[list[float], list[int]]
+    added: list[int]
 
     @property
     def ratio(self) -> float:
@@ -203,37 +206,65 @@ class State:
 
 
 class Reduced:
-    """A reduced graph on the driver."""
+    """A reduced graph on the driver; clusters go by their place in the order of ids."""
 
     def __init__(self, nodes: DataFrame, links: DataFrame):
         if links.count() > LINKS:
             raise ValueError(f"the reduced graph has more than {LINKS} links")
-        self.size = {r["cluster_id"]: r["size"] for r in nodes.select("cluster_id", "size").toLocalIterator()}
-        self.near: dict[int, list[tuple[int, float]]] = {c: [] for c in self.size}
-        for r in links.select("a", "b", "dist").toLocalIterator():
-            self.near[r["a"]].append((r["b"], float(r["dist"])))
-            self.near[r["b"]].append((r["a"], float(r["dist"])))
-
-    def reach(self, sources: Sequence[int]) -> tuple[dict[int, float], dict[int, int]]:
-        """(distance, parent) from the nearest source."""
-        dist, parent, heap = dict.fromkeys(sources, 0.0), {}, [(0.0, s) for s in sorted(sources)]
+        size = dict(sorted((r["cluster_id"], r["size"]) for r in nodes.select("cluster_id", "size").toLocalIterator()))
+        self.ids, self.size = list(size), list(size.values())
+        self.place = {c: k for k, c in enumerate(self.ids)}
+        self.near: list[list[tuple[int, float]]] = [[] for _ in self.ids]
+        self.links = sorted((self.place[r["a"]], self.place[r["b"]], float(r["dist"])) for r in links.select("a", "b", "dist").toLocalIterator())
+        for a, b, w in self.links:
+            self.near[a].append((b, w))
+            self.near[b].append((a, w))
+        self.sizes = np.array(self.size, np.float64)
+
+    def reach(self, before: tuple[list[float], list[int]], added: Sequence[int]) -> tuple[list[float], list[int]]:
+        """(distances, parents) once added clusters are sources too: only what they bring nearer is visited. Of equal ways the older one stays."""
+        dist, parent = before[0].copy(), before[1].copy()
+        heap = [(0.0, s) for s in sorted(added)]
+        for s in added:
+            dist[s], parent[s] = 0.0, -1
         while heap:
             d, u = heappop(heap)
             if d > dist[u]:
                 continue
             for v, w in self.near[u]:
-                if d + w < dist.get(v, inf):
+                if d + w < dist[v]:
                     dist[v], parent[v] = d + w, u
                     heappush(heap, (d + w, v))
         return dist, parent
 
+    def nothing(self) -> tuple[list[float], list[int]]:
+        return [inf] * len(self.ids), [-1] * len(self.ids)
+
     def tree_weight(self, terminals: Sequence[int]) -> float:
-        """Of the spanning tree of terminals' distances."""
-        dist = np.full((len(terminals), len(terminals)), inf)
-        for i, t in enumerate(terminals):
-            from_t, _ = self.reach([t])
-            dist[i] = [from_t.get(u, inf) for u in terminals]
-        return mst_weight(dist)
+        """Of the spanning tree of terminals' distances: the least ways between their cells hold one."""
+        label, dist, heap = {t: t for t in terminals}, dict.fromkeys(terminals, 0.0), [(0.0, t) for t in sorted(set(terminals))]
+        while heap:
+            d, u = heappop(heap)
+            if d > dist[u]:
+                continue
+            for v, w in self.near[u]:
+                if d + w < dist.get(v, inf):
+                    dist[v], label[v] = d + w, label[u]
+                    heappush(heap, (d + w, v))
+        ways = sorted((dist[a] + w + dist[b], label[a], label[b]) for a, b, w in self.links if a in label and b in label and label[a] != label[b])
+        up, total, left = {t: t for t in terminals}, 0.0, len(set(terminals)) - 1
+
+        def find(v):
+            while up[v] != v:
+                up[v] = up[up[v]]
+                v = up[v]
+            return v
+
+        for w, a, b in ways:
+            a, b = find(a), find(b)
+            if a != b:
+                up[a], total, left = b, total + w, left - 1
+        return inf if left > 0 else total
 
 
 def budgeted_search(nodes: DataFrame, links: DataFrame, sources: Sequence[int], budget: float = 300.0, epsilon: float = 1.5, iterations: int = 100) -> DataFrame | None:
@@ -247,21 +278,29 @@ def budgeted_search(nodes: DataFrame, links: DataFrame, sources: Sequence[int],
     if not sources:
         return None
     graph = Reduced(nodes, links)
-    start = State(sources, sum(graph.size[s] for s in sources), 0.0)
-    beam, best = [start], start if start.ratio <= budget else None
+    start = [graph.place[s] for s in sources]
+    first = State(start, sum(graph.size[s] for s in start), 0.0, graph.nothing(), start)
+    beam, best = [first], first if first.ratio <= budget else None
     for _ in range(iterations):
         children = []
         for state in beam:
-            dist, parent = graph.reach(state.selected)
+            reached = dist, parent = graph.reach(state.before, state.added)
             inside = set(state.selected)
-            open_ = [(dist[c] / graph.size[c], c) for c in sorted(dist) if c not in inside and graph.size[c] > 0]
-            for _, c in sorted(open_, key=lambda x: x[0])[:FANOUT]:
+            with np.errstate(all="ignore"):
+                ratio = np.array(dist) / graph.sizes
+            ratio[(graph.sizes <= 0) | np.isnan(ratio)] = inf
+            ratio[state.selected] = inf
+            top = min(FANOUT, len(ratio) - 1)
+            pick = np.flatnonzero(ratio <= np.partition(ratio, top)[top])
+            for c in pick[np.argsort(ratio[pick], kind="stable")][:FANOUT].tolist():
+                if ratio[c] == inf:
+                    break
                 path, at = [], c
                 while at not in inside:
                     path.append(at)
                     at = parent[at]
                 path.reverse()
-                child = State([*state.selected, *path], state.buildings + sum(graph.size[p] for p in path), state.cost + dist[c])
+                child = State([*state.selected, *path], state.buildings + sum(graph.size[p] for p in path), state.cost + dist[c], reached, path)
                 if child.buildings > state.buildings and isfinite(child.ratio) and child.ratio <= budget * epsilon:
                     children.append(child)
         for child in children:
@@ -272,4 +311,5 @@ def budgeted_search(nodes: DataFrame, links: DataFrame, sources: Sequence[int],
         beam = sorted(children, key=lambda s: (s.ratio, -s.buildings, s.cost))[:BEAM]
     if best is None:
         best = min(beam, key=lambda s: (s.ratio, -s.buildings))
-    return _rows(nodes.sparkSession, [(1, best.selected, len(best.selected), best.buildings, graph.tree_weight(best.selected))], "long")
+    selected = [graph.ids[k] for k in best.selected]
+    return _rows(nodes.sparkSession, [(1, selected, len(selected), best.buildings, graph.tree_weight(best.selected))], "long")

@@ -1,50 +1,151 @@
-"""Shortest paths by relaxation in rounds.
+"""Shortest paths by relaxation in rounds, or in one task each where the graph is small.
 
 A round joins the nodes that improved last with their edges, keeps the best
-offer for each node, and adds what improves the state. State and frontier go to
-the shared folder each round. The number of rounds is the most edges on a shortest path.
+offer for each node, and adds what improves the state. The state is a base and the
+improvements since, which are written apart each round; every few rounds they become a new base.
+The number of rounds is the most edges on a shortest path. A graph of few edges, by
+count, is sent to the tasks instead, each of which runs whole searches; results are the same.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from heapq import heappop, heappush
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..storage import dropped, ship_package, written
 
-from ..storage import dropped, written
+#: Edges (both ways) of a graph that is sent to the tasks, at most; rounds between new bases of the state.
+SMALL, COMPACT = 2_000_000, 6
 
 
-def shortest(edges: DataFrame, seeds: DataFrame, limit=None, pinned: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+def shortest(edges: DataFrame, seeds: DataFrame, limit=None, pinned: bool = False, by: tuple[str, ...] = (), until=None) -> DataFrame:
     """(*by, node, dist, label, hops, parent) from seeds (*by, node, label) along edges (src, dst, w).
 
     Of equal distances the smallest label wins, then fewest hops, then the smallest
     parent. With pinned a seed keeps its own label even where another seed is at
-    distance 0. limit bounds distances, inclusively. by separates independent searches.
+    distance 0. limit bounds distances, inclusively. by separates independent searches. With until, a node, nodes farther than it
+    may be missing.
     """
     kind = dict(edges.dtypes)["w"]
     keys = [*by, "node"]
     own = dict(seeds.dtypes)
-    state = seeds.groupBy(*keys).agg(F.min("label").alias("label")).select(*keys, F.lit(0).cast(kind).alias("dist"), "label", F.lit(0).alias("hops"), F.lit(None).cast(own["node"]).alias("parent"), F.lit(True).alias("seed"), F.lit(0).alias("round"))
-    state, number = written(state, "state"), 0
-    edges = written(edges, "edges")
+    state = seeds.groupBy(*keys).agg(F.min("label").alias("label")).select(*keys, F.lit(0).cast(kind).alias("dist"), "label", F.lit(0).alias("hops"), F.lit(None).cast(own["node"]).alias("parent"))
+    edges = written(edges.select("src", "dst", "w"), "edges")
+    if kind in ("bigint", "int", "double") and edges.count() <= SMALL:
+        return _searches(edges, state, limit, pinned, by, until)
+    fresh = base = written(state.withColumn("seed", F.lit(True)), "state")
+    since: list[DataFrame] = []
+    here = ["dist", "label", "hops", "parent"]
     while True:
-        fresh = state.filter(F.col("round") == number)
         offers = fresh.withColumnRenamed("node", "src").join(edges, "src").select(*by, F.col("dst").alias("node"), F.struct((F.col("dist") + F.col("w")).cast(kind).alias("dist"), "label", (F.col("hops") + 1).alias("hops"), F.col("src").alias("parent")).alias("offer"))
-        if limit is not None:
-            offers = offers.filter(F.col("offer.dist") <= limit)
-        best = offers.groupBy(*keys).agg(F.min("offer").alias("offer"))
-        # a null parent, a seed's, is less than any other, so no offer of the same distance, label and hops beats it
-        here = F.struct("dist", "label", "hops", "parent")
-        better = F.col("dist").isNull() | (F.col("offer").isNotNull() & (F.col("offer") < here))
+        bounds = [limit] if limit is not None else []
+        if until is not None:
+            bounds += [r["dist"] for r in _merged([base, *since], keys, here).filter(F.col("node") == F.lit(until)).select("dist").collect()]
+        for bound in bounds:
+            offers = offers.filter(F.col("offer.dist") <= bound)
+        best = written(offers.groupBy(*keys).agg(F.min("offer").alias("offer")), "offers")
+        # only the state of nodes with an offer is looked at; a seed's null parent is less than any other
+        old = _merged([p.join(best.select(*keys), keys, "left_semi") for p in (base, *since)], keys, here)
+        both = best.join(old.select(*keys, F.struct(*here).alias("old"), "seed"), keys, "left")
+        better = F.col("old").isNull() | ((F.col("offer") < F.col("old")) & (~F.col("seed") if pinned else F.lit(True)))
+        fresh = written(both.filter(better).select(*keys, "offer.*", F.coalesce("seed", F.lit(False)).alias("seed")), "state")
+        dropped(best)
+        if fresh.isEmpty():
+            return _merged([base, *since], keys, here).select(*keys, *here)
+        since.append(fresh)
+        if len(since) > COMPACT:
+            spent = [base, *since[:-1]]
+            base, since = written(_merged([base, *since], keys, here), "state"), []
+            for p in spent:
+                dropped(p)
+
+
+def _merged(parts: list[DataFrame], keys: list[str], here: list[str]) -> DataFrame:
+    """The best of all states of each node."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy(*keys).agg(F.min(F.struct(*here)).alias("best"), F.max("seed").alias("seed")).select(*keys, "best.*", "seed") if len(parts) > 1 else out
+
+
+def _searches(edges: DataFrame, state: DataFrame, limit, pinned: bool, by: tuple[str, ...], until) -> DataFrame:
+    """The same by a heap: each task has all edges and runs whole searches."""
+    spark = edges.sparkSession
+    ship_package(spark)
+    sent = spark.sparkContext.broadcast(edges.toArrow())
+    fields = T.StructType(state.schema.fields)
+    names = fields.names
+    wide = len(by)
+
+    def near():
+        """(nodes in their order, where each one's edges begin, their ends, their weights)."""
+        t = sent.value
+        ends = pa.chunked_array([*t.column("src").chunks, *t.column("dst").chunks], t.schema.field("src").type).combine_chunks().dictionary_encode()
+        names = ends.dictionary.to_pylist()
+        order = sorted(range(len(names)), key=names.__getitem__)
+        place = np.empty(len(names), np.int64)
+        place[order] = np.arange(len(names))
+        flat = place[ends.indices.to_numpy()]
+        src, dst = flat[: len(t)], flat[len(t) :]
+        by_src = np.argsort(src, kind="stable")
+        begins = np.searchsorted(src[by_src], np.arange(len(names) + 1))
+        return [names[k] for k in order], begins.tolist(), dst[by_src].tolist(), t.column("w").combine_chunks().take(pa.array(by_src)).to_pylist()
+
+    def search(seeds: list[tuple], names: list, place: dict, begins: list, ends: list, weights: list) -> dict:
+        # nodes by place, which keeps their order; seeds without edges have none
+        lone = {node: (dist, label, hops, parent) for node, dist, label, hops, parent in seeds if node not in place}
+        best: list = [None] * len(names)
+        heap, fixed = [], set()
+        for node, dist, label, hops, _ in seeds:
+            if node in place:
+                best[place[node]] = (dist, label, hops, -1)
+                heap.append((dist, label, hops, place[node]))
         if pinned:
-            better = F.col("dist").isNull() | (better & ~F.col("seed"))
-        both = state.join(best, keys, "full_outer").withColumn("better", F.coalesce(better, F.lit(False)))
-        pick = lambda c: F.when(F.col("better"), F.col(f"offer.{c}")).otherwise(F.col(c)).alias(c)
-        number += 1
-        after = written(both.select(*keys, pick("dist"), pick("label"), pick("hops"), pick("parent"), F.coalesce(F.col("seed"), F.lit(False)).alias("seed"), F.when(F.col("better"), number).otherwise(F.col("round")).cast("int").alias("round")), "state")
-        dropped(state)
-        state = after
-        if state.filter(F.col("round") == number).isEmpty():
-            return state.select(*keys, "dist", "label", "hops", "parent")
+            fixed = {at for *_, at in heap}
+        heap.sort()
+        goal = place.get(until)
+        while heap:
+            dist, label, hops, node = heappop(heap)
+            if best[node][:3] != (dist, label, hops):
+                continue
+            if goal is not None and best[goal] is not None and dist > best[goal][0]:
+                break
+            for k in range(begins[node], begins[node + 1]):
+                to, far = ends[k], dist + weights[k]
+                old = best[to]
+                if old is not None and far > old[0] or limit is not None and far > limit or to in fixed:
+                    continue
+                offer = (far, label, hops + 1, node)
+                if old is None or offer[:3] < old[:3]:
+                    best[to] = offer
+                    heappush(heap, (*offer[:3], to))
+                elif offer[:3] == old[:3] and node < old[3]:
+                    best[to] = offer
+        return {names[k]: (*b[:3], names[b[3]] if b[3] >= 0 else None) for k, b in enumerate(best) if b is not None} | lone
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups: dict[tuple, list] = {}
+        for b in it:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                groups.setdefault(row[:wide], []).append(row[wide:])
+        links = near() if groups else None
+        place = {n: k for k, n in enumerate(links[0])} if links else {}
+        for key, seeds in groups.items():
+            found = search(seeds, links[0], place, *links[1:])
+            cols = [[k] * len(found) for k in key] + [list(found)] + [list(c) for c in zip(*found.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, y) for c, y in zip(cols, kinds, strict=True)], names)
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kinds = [to_arrow_type(f.dataType) for f in fields]
+    dealt = state.repartition(spark.sparkContext.defaultParallelism, *by) if by else state.repartition(1)
+    return dealt.mapInArrow(run, fields)
 
 
 def distances(edges: DataFrame, source, limit=None) -> DataFrame:
@@ -60,24 +161,43 @@ def nearest_source(edges: DataFrame, sources: DataFrame) -> DataFrame:
 
 def path_to_sources(tree: DataFrame, targets: DataFrame, guard: int = 1_000_000) -> DataFrame:
     """(target, pos, node): the chain of parents from each target to a source; targets that weren't reached have none."""
-    tree = tree.select("node", "parent")
-    at = targets.select(F.col("node").alias("target")).distinct().join(tree.withColumnRenamed("node", "target"), "target").select("target", F.col("target").alias("node"), "parent", F.lit(0).alias("pos"))
-    found, step = at, 0
-    at = written(at, "path")
-    found = at
-    parts = [at]
+    tree = written(tree.select("node", "parent"), "tree")
+    wanted = targets.select(F.col("node").alias("target")).distinct()
+    if tree.count() <= SMALL:
+        return _chains(tree, wanted)
+    at = written(wanted.join(tree.withColumnRenamed("node", "target"), "target").select("target", F.col("target").alias("node"), "parent", F.lit(0).alias("pos")), "path")
+    found, held, step = at, 1, 0
     while step < guard:
         step += 1
-        up = at.filter(F.col("parent").isNotNull()).select("target", F.col("parent").alias("node")).join(tree, "node").select("target", "node", "parent", F.lit(step).alias("pos"))
-        at = written(up, "path")
+        at = written(at.filter(F.col("parent").isNotNull()).select("target", F.col("parent").alias("node")).join(tree, "node").select("target", "node", "parent", F.lit(step).alias("pos")), "path")
         if at.isEmpty():
             break
-        parts.append(at)
-    for p in parts[1:]:
-        found = found.unionByName(p)
+        found, held = found.unionByName(at), held + 1
+        if held > 16:  # the plan stays short however long the chain
+            found, held = written(found, "path"), 1
     return found.select("target", "pos", "node")
 
 
+def _chains(tree: DataFrame, wanted: DataFrame) -> DataFrame:
+    spark = tree.sparkSession
+    ship_package(spark)
+    sent = spark.sparkContext.broadcast(tree.toArrow())
+    kind = dict(tree.dtypes)["node"]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t, up = sent.value, None
+        for b in it:
+            up = dict(zip(t.column("node").to_pylist(), t.column("parent").to_pylist(), strict=True)) if up is None else up
+            for target in b.column(0).to_pylist():
+                chain, at = [], target
+                while at is not None and at in up:
+                    chain.append(at)
+                    at = up[at]
+                yield pa.RecordBatch.from_arrays([pa.array([target] * len(chain), b.column(0).type), pa.array(range(len(chain)), pa.int32()), pa.array(chain, b.column(0).type)], ["target", "pos", "node"])
+
+    return wanted.mapInArrow(run, f"target {kind}, pos int, node {kind}")
+
+
 def closure(edges: DataFrame, terminals: DataFrame) -> DataFrame:
     """(a, b, dist): the distance from each terminal (node) to each other one that it reaches."""
     reached = shortest(edges, terminals.select(F.col("node").alias("start"), "node", F.lit(0).alias("label")), by=("start",))

@@ -221,8 +221,6 @@ def test_budgeted_search(spark):
     assert run(budget=10.0, epsilon=1.0)["selected"] == [0]
     assert run(budget=30.0, epsilon=4.0)["selected"] == [0, 1, 2, 3]  # through a state beyond the budget
     assert search.budgeted_search(n, e, []) is None
-    apart = search.budgeted_search(*reduced(spark, [1, 1], []), [0, 1, 0]).first() if False else None
-    assert apart is None
 
 
 def test_search_keeps_disconnected_sources(spark):
@@ -288,3 +286,81 @@ def test_registered_search_grows_until_nothing_fits(spark, monkeypatch):
     r = queries.QUERIES["budgeted_search"](spark, "").first()
     assert sorted(map(int, r["selected"].split())) == list(range(best + 1))
     assert r["total_buildings"] == best + 1 and r["tree_weight"] == pytest.approx(sum(costs[:best]))
+
+
+def test_rounds_and_single_tasks_agree(spark, monkeypatch):
+    from streetloom.operators import components
+
+    rnd = random.Random(11)
+    ways = [(f"n{rnd.randrange(25):02}", f"n{rnd.randrange(25):02}", rnd.randint(0, 4)) for _ in range(45)]
+    edges = spark.createDataFrame(ways + [(b, a, w) for a, b, w in ways], "src string, dst string, w long")
+    seeds = spark.createDataFrame([("n03", 2), ("n07", 1), ("n11", 1), ("alone", 0)], "node string, label int")
+    apart = spark.createDataFrame([("p", "n03", 0), ("p", "n04", 0), ("q", "n09", 0)], "start string, node string, label int")
+    links = spark.createDataFrame([(a, b) for a, b, w in ways[:14]], "a string, b string")
+
+    def results():
+        runs = [traverse.shortest(edges, seeds), traverse.shortest(edges, seeds, pinned=True), traverse.shortest(edges, seeds, limit=3), traverse.shortest(edges, apart, by=("start",))]
+        out = [sorted(map(tuple, r.collect()), key=str) for r in runs]
+        tree = traverse.shortest(edges, seeds, until="n15")
+        out.append(sorted(map(tuple, traverse.path_to_sources(tree, nodes(spark, ["n15"])).collect())))
+        return [*out, sorted(map(tuple, connected_components(links).collect()))]
+
+    once = results()
+    monkeypatch.setattr(traverse, "SMALL", -1)
+    monkeypatch.setattr(traverse, "COMPACT", 2)
+    monkeypatch.setattr(components, "ONE_TASK", -1)
+    assert results() == once
+
+
+def plain_search(sizes, links, sources, budget, epsilon, iterations=100):
+    """The beam search with a fresh search of the whole graph from each state."""
+    near = {}
+    for a, b, w in links:
+        near.setdefault(a, []).append((b, w))
+        near.setdefault(b, []).append((a, w))
+    ratio = lambda s: s[2] / s[1]
+    first = (tuple(sources), sum(sizes[s] for s in sources), 0.0)
+    beam, best = [first], first if ratio(first) <= budget else None
+    for _ in range(iterations):
+        children = []
+        for chosen, count, cost in beam:
+            dist, parent, heap = dict.fromkeys(chosen, 0.0), {}, [(0.0, s) for s in chosen]
+            while heap:
+                d, u = heapq.heappop(heap)
+                for v, w in near.get(u, ()) if d <= dist[u] else ():
+                    if d + w < dist.get(v, inf):
+                        dist[v], parent[v] = d + w, u
+                        heapq.heappush(heap, (d + w, v))
+            for c in sorted((c for c in dist if c not in chosen), key=lambda c: (dist[c] / sizes[c], c))[:32]:
+                path = [c]
+                while parent[path[-1]] not in chosen:
+                    path.append(parent[path[-1]])
+                child = (chosen + tuple(reversed(path)), count + sum(sizes[p] for p in path), cost + dist[c])
+                if ratio(child) <= budget * epsilon:
+                    children.append(child)
+        for c in children:
+            if ratio(c) <= budget and (best is None or (c[1], -c[2]) > (best[1], -best[2])):
+                best = c
+        if not children:
+            break
+        beam = sorted(children, key=lambda s: (ratio(s), -s[1], s[2]))[:24]
+    return best or min(beam, key=lambda s: (ratio(s), -s[1]))
+
+
+def test_budgeted_search_against_a_plain_one(spark):
+    for seed in range(4):
+        rnd = random.Random(seed)
+        n = 60
+        sizes = [rnd.randint(1, 9) for _ in range(n)]
+        links = {(min(p), max(p)): rnd.uniform(1, 100) for p in (rnd.sample(range(n), 2) for _ in range(110))}  # no ties
+        links = [(a, b, w) for (a, b), w in links.items()]
+        sources, budget = rnd.sample(range(n), 2), rnd.uniform(2, 9)
+        got = search.budgeted_search(*reduced(spark, sizes, links), sources, budget, 1.5).first()
+        chosen, count, _ = plain_search(sizes, links, sources, budget, 1.5)
+        assert got["selected"] == list(chosen) and got["total_buildings"] == count
+        near = {}
+        for a, b, w in links:
+            near.setdefault(a, []).append((b, w))
+            near.setdefault(b, []).append((a, w))
+        weight = mst(list(chosen), {a: dijkstra(near, [a]) for a in chosen})
+        assert got["tree_weight"] == pytest.approx(weight) or isinf(weight) and isinf(got["tree_weight"])
