@@ -31,7 +31,7 @@ from .shared import U64, blank, mix, prepare, text_buffer
 
 #: Average bytes of text in a block.
 BLOCK_BYTES = 12 << 20
-#: Counters that an owner merges at a time, as a power of two, and counters for each key.
+#: Counters that an owner merges at a time, as a power of two, and a row's counters for each key.
 OWNED = 24
 ROOM = 4
 #: What a null doc_id counts as: it comes before all others.
@@ -118,11 +118,11 @@ def member(some: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 class Sketch:
-    """The layout of a count-min sketch for about so many keys: depth rows of 2**bits counters."""
+    """The layout of a count-min sketch for about so many keys: depth rows of 2**bits counters, room for each key in a row."""
 
-    def __init__(self, keys: int, depth: int):
+    def __init__(self, keys: int, depth: int, room: int = ROOM):
         self.depth = depth
-        self.bits = max(OWNED, ceil(np.log2(max(keys, 1) * ROOM)))
+        self.bits = max(OWNED, ceil(np.log2(max(keys, 1) * room)))
 
     def counters(self, keys: np.ndarray, row: int) -> np.ndarray:
         return mix(keys, 101 + row) >> U64(64 - self.bits)

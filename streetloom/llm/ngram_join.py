@@ -1,6 +1,6 @@
 """Documents whose sets of word n-grams have a Jaccard similarity of at least a threshold, as components.
 
-1. A count-min sketch finds the n-grams that may stand in two documents. A set
+1. A sketch of hashed counts finds the n-grams that may stand in two documents. A set
    of which less than the threshold is such can link with nothing and is done.
 2. Equal sets become one class; the smallest doc_id stands for it.
 3. Once more for classes. What remains is ordered by the sketch's counts, n-grams
@@ -44,7 +44,8 @@ from .shared import U64, dropped, mix, range_hashes, run_hashes, table, words, w
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 WORD_BYTES = 5
-DEPTH = 2
+#: One row with more room sends half of what two rows do; its false alarms (an eighth at most) only let a set through to the exact steps.
+DEPTH, ROOM = 1, 8
 #: Rounds of comparing with one member of each tile; the first round looks at so many of a set's first prefix n-grams.
 ROUNDS, LEADERS = 2, 3
 #: Members of a chunk of a tile, and bits of a bitmap for each n-gram.
@@ -99,7 +100,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int
     """doc_id, n_shingles and component_id of each document; two link at a Jaccard similarity of threshold (a fraction) or more."""
     num, den = threshold
     blocks, total = blocked(docs, text)
-    sketch = Sketch(total // WORD_BYTES, DEPTH)
+    sketch = Sketch(total // WORD_BYTES, DEPTH, ROOM)
     ratio = log(den / num)
 
     def keys_of(t: pa.Table) -> np.ndarray:
