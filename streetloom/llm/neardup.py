@@ -7,6 +7,10 @@ neighbouring cells that lie nearest. Vectors that meet are verified by cosine
 in double precision, and links become components. The number of blocks follows
 the number of vectors, so that a cell's expected occupancy doesn't grow.
 
+Cells are counted first. One that holds more than a bounded number of entries,
+be it a dense region or the neighbour of one, is cut into pieces of owners and
+pieces of entries that meet in tasks of their own, so no cell is one task's work.
+
 Links never leave a component, so counts of links are then taken exactly
 within components, in tiles of bounded size. What hashing can still miss is a
 link between two components; recall is measured in the tests.
@@ -44,7 +48,10 @@ STEP = 0.25
 #: cells that one block tells apart.
 OCCUPANCY, CELLS = 64, 700
 #: Rows of a tile, rows of it that are compared at once, and rows of a bucket of cells.
-TILE, STRIP, BUCKET = 4_096, 512, 100_000
+TILE, STRIP, BUCKET = 4_096, 512, 10_000
+#: Entries of one cell that are compared in one piece; the owners and the entries of a fuller cell are cut into pieces
+#: of about this size, and every piece of owners meets every piece of entries.
+CROWD = 4_096
 
 
 @lru_cache(1)
@@ -123,28 +130,56 @@ def _matrix(col: pa.Array, rows: np.ndarray) -> np.ndarray:
     return flat[starts[:, None] + np.arange(lengths[rows[0]])].astype(np.float64)
 
 
-def _listed(blocks: int):
+def _entries(col: pa.Array, blocks: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(cells, whether they are the vector's own, rows) of a column of vectors, one dimension at a time."""
     tables, probes = TABLES[blocks - 1], PROBES * blocks
+    lengths = col.value_lengths().to_numpy()
+    for dim in np.unique(lengths):
+        rows = np.flatnonzero(lengths == dim)
+        unit = units(_matrix(col, rows))
+        keys, own, who = [], [], []
+        for t in range(tables):
+            mine, near = cells(unit, t, blocks, probes, STEP)
+            keys += [mine, near.ravel()]
+            own += [np.ones(len(mine), bool), np.zeros(near.size, bool)]
+            who += [rows, np.repeat(rows, near.shape[1])]
+        yield np.concatenate(keys).view(np.int64), np.concatenate(own), np.concatenate(who)
+
+
+def _sizes(blocks: int):
+    """(key, owners, entries) of the cells of each batch."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for keys, own, _ in _entries(b.column(0), blocks):
+                key, at = np.unique(keys, return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.bincount(at[own], minlength=len(key))), pa.array(np.bincount(at))], ["key", "owners", "entries"])
+
+    return run
+
 
+def _listed(blocks: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             ids, col = b.column(0).to_numpy(), b.column(1)
-            lengths = col.value_lengths().to_numpy()
-            for dim in np.unique(lengths):
-                rows = np.flatnonzero(lengths == dim)
-                unit = units(_matrix(col, rows))
-                keys, own, who = [], [], []
-                for t in range(tables):
-                    mine, near = cells(unit, t, blocks, probes, STEP)
-                    keys += [mine, near.ravel()]
-                    own += [np.ones(len(mine), bool), np.zeros(near.size, bool)]
-                    who += [rows, np.repeat(rows, near.shape[1])]
-                who = np.concatenate(who)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(own)), pa.array(ids[who]), col.take(pa.array(who))], ["key", "own", "rep", "v"])
+            for keys, own, who in _entries(col, blocks):
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(own), pa.array(ids[who]), col.take(pa.array(who))], ["key", "own", "rep", "v"])
 
     return run
 
 
+def _dealt(listed: DataFrame, crowds: DataFrame) -> DataFrame:
+    """key, own, asks, rep and v: entries of crowded cells under a key for each pair of a piece of owners and a piece of entries."""
+    x = listed.join(crowds, "key", "left").filter("owners IS NULL OR owners > 0")  # without owners nothing is met
+    i, j = F.pmod(F.xxhash64("v"), F.col("owners")), F.pmod(F.xxhash64("v", F.lit(1)), F.col("entries"))
+    place = lambda i, j, own: F.struct(F.xxhash64("key", i, j).alias("key"), F.lit(own).alias("own"), F.lit(not own).alias("asks"))
+    up_to = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    asking = F.transform(up_to("owners"), lambda k: place(k, j, False))
+    owning = F.when(F.col("own"), F.transform(up_to("entries"), lambda k: place(i, k, True))).otherwise(F.array().cast("array<struct<key:bigint,own:boolean,asks:boolean>>"))
+    plain = F.array(F.struct("key", "own", F.lit(True).alias("asks")))
+    return x.select(F.explode(F.when(F.col("owners").isNull(), plain).otherwise(F.concat(asking, owning))).alias("at"), "rep", "v").select("at.key", "at.own", "at.asks", "rep", "v")
+
+
 def _met(least: float):
     """Links among the rows of a bucket of cells; for each vector, the smallest one it is joined to."""
 
@@ -155,13 +190,13 @@ def _met(least: float):
         out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for dim in np.unique(lengths):
             rows = np.flatnonzero(lengths == dim)
-            key, own, rep = (t.column(c).to_numpy()[rows] for c in ("key", "own", "rep"))
+            key, own, asks, rep = (t.column(c).to_numpy()[rows] for c in ("key", "own", "asks", "rep"))
             unit = units(_matrix(col, rows))
             rough = unit.astype(np.float32)
             owners = np.flatnonzero(own)
             owners = owners[np.argsort(key[owners], kind="stable")]
             low, high = np.searchsorted(key[owners], key, "left"), np.searchsorted(key[owners], key, "right")
-            n = high - low
+            n = np.where(asks, high - low, 0)
             todo = np.flatnonzero(n)
             cuts = np.flatnonzero(np.diff(np.cumsum(n[todo]) // 200_000, prepend=-1))
             for at in np.split(todo, cuts[1:]):
@@ -244,7 +279,10 @@ def near_duplicates(df: DataFrame, least: float = 0.9, id: str = "vec_id", vec:
     blocks = min(len(TABLES), max(1, round(log(max(n / OCCUPANCY, 1)) / log(CELLS))))
     listed = classes.select("rep", "v").mapInArrow(_listed(blocks), classes.selectExpr("rep AS key", "true AS own", "rep", "v").schema)
     buckets = max(1, ceil(n * TABLES[blocks - 1] * (1 + PROBES * blocks) / BUCKET))
-    links = listed.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).groupBy("bucket").applyInArrow(_met(least), "a long, b long")
+    sizes = classes.select("v").mapInArrow(_sizes(blocks), "key long, owners long, entries long").groupBy("key").agg(F.sum("owners").alias("owners"), F.sum("entries").alias("entries"))
+    # written, so that Spark knows its size and broadcasts it only if it is small
+    crowds = written(sizes.filter(F.col("entries") > CROWD).select("key", *(F.ceil(F.col(c) / CROWD).alias(c) for c in ("owners", "entries"))), "crowds")
+    links = _dealt(listed, crowds).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).groupBy("bucket").applyInArrow(_met(least), "a long, b long")
     shared_ids = good.join(classes.select("v", "rep"), "v").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b").select("a", "b")
     named = written(connected_components(links.unionByName(shared_ids)), "components")
     members = classes.join(named.withColumnRenamed("node", "rep"), "rep")

@@ -156,6 +156,15 @@ def test_near_duplicates(spark, monkeypatch):
     same(neardup.near_duplicates(vector_frame(spark, rows)).collect(), brute.cosines(rows))
 
 
+@pytest.mark.parametrize("crowd", [1, 3, 50])
+def test_near_duplicates_in_crowded_cells(spark, monkeypatch, crowd):
+    monkeypatch.setattr(neardup, "CROWD", crowd)
+    rng = np.random.default_rng(5)
+    dense = rng.normal(size=16) + rng.normal(size=(90, 16)) * 0.05
+    rows = [(1000 + n, v.tolist()) for n, v in enumerate(np.vstack([dense, dense[:5]]))] + vectors()
+    same(neardup.near_duplicates(vector_frame(spark, rows)).collect(), brute.cosines(rows))
+
+
 @pytest.mark.parametrize("blocks", [1, 2, 3, 4])
 def test_lattice_recall_at_the_threshold(blocks):
     rng = np.random.default_rng(1)
