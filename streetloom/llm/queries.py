@@ -13,10 +13,11 @@ from .token_counts import op2_token_counts
 from .topk import op4_cover_topk
 from .trie import op13_prefix_trie
 from .windows import op9_window_dedup
+from .wrappers import op11_html_wrapper
 
 
 def queries():
-    ops = (op1_byte_bpe, op2_token_counts, op3_secret_scan, op4_cover_topk, op5_quality, op6_ngram_join, op7_lattice_neardup, op8_suffix_dedup, op9_window_dedup, op10_pfair_mix, op12_drake_clusters, op13_prefix_trie)
+    ops = (op1_byte_bpe, op2_token_counts, op3_secret_scan, op4_cover_topk, op5_quality, op6_ngram_join, op7_lattice_neardup, op8_suffix_dedup, op9_window_dedup, op10_pfair_mix, op11_html_wrapper, op12_drake_clusters, op13_prefix_trie)
     return {f.__name__: f for f in ops}
 
 
