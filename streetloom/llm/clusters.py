@@ -69,8 +69,17 @@ def whole(vectors: np.ndarray) -> np.ndarray:
     return vectors if vectors.dtype == object else vectors.astype(np.int64).astype(object)
 
 
+def _root(d: int) -> float:
+    """Infinite beyond a double, which certifies nothing that isn't so."""
+    try:
+        return math.sqrt(d)
+    except OverflowError:
+        r = math.isqrt(d)
+        return float(r) if r.bit_length() < 1024 else math.inf
+
+
 def roots(d: np.ndarray) -> np.ndarray:
-    return np.sqrt(d.astype(np.float64))
+    return np.sqrt(d) if d.dtype != object else np.array([_root(x) for x in d.ravel().tolist()], float).reshape(d.shape)
 
 
 class Bounds:
@@ -150,7 +159,7 @@ def _vectors(column: pa.Array, width: int, scale: int) -> np.ndarray:
 
 
 def _whole_list(rows: list[list[int]]) -> np.ndarray:
-    return np.array([[int(x) for x in r] for r in rows], object).reshape(len(rows), -1)
+    return np.array(rows, object) if rows else np.zeros((0, 0), object)
 
 
 class DrakeClustering:
@@ -253,7 +262,7 @@ class DrakeClustering:
         before = self.centroids
         self.centroids = np.array([[t // counts[c] for t in total[c]] if counts.get(c) else list(before[c]) for c in range(k)], object)
         used, computed = parts.agg(F.max("used"), F.sum("computed")).first()
-        return np.array([math.sqrt(d) * (1 + SLACK) for d in ((self.centroids - before) ** 2).sum(1)], float), used or 0, computed or 0
+        return np.array([_root(d) * (1 + SLACK) for d in ((self.centroids - before) ** 2).sum(1)], float), used or 0, computed or 0
 
     def digests(self) -> list[str]:
         """SHA-256 of each centroid's components, as decimal integers joined by commas."""
