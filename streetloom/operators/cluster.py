@@ -22,7 +22,7 @@ def cluster_buildings(graph: Graph, limit=100.0) -> DataFrame:
     buildings = graph.nodes.filter(F.col("kind") == BUILDING).select("node", "id")
     edges = written(graph.both_ways(FREE_ACCESS), "edges")
     # beyond the limit from every building no crossing can count
-    cells = shortest(edges, buildings.select("node", F.col("node").alias("label")), limit, pinned=True)
+    cells = shortest(edges, buildings.select("node", F.col("node").alias("label")), limit, pinned=True, parents=False)
     links = frontier_links(edges, cells).filter(F.col("dist") <= limit).select("a", "b")
     groups = connected_components(links, buildings)
     return _numbered(groups).join(buildings, "node").select("node", F.col("id").alias("building_id"), "cluster_id")

@@ -1,206 +1,146 @@
-"""Shortest paths by relaxation in rounds, or in one task each where the graph is small.
+"""Shortest paths over a contracted graph, by relaxation in rounds.
 
-A round joins the nodes that improved last with their edges, keeps the best
-offer for each node, and adds what improves the state. The state is a base and the
-improvements since, which are written apart each round; every few rounds they become a new base.
-The number of rounds is the most edges on a shortest path. A graph of few edges, by
-count, is sent to the tasks instead, each of which runs whole searches; results are the same.
+Dead ends and chains are taken out first (contract.py). On the core a round joins the nodes that improved last with their edges and
+keeps the best offer of each node; STEPS rounds make one job, and the state is written once a job. Core edges are
+dealt by their source once and stay in place; edges of a node with more than HEAVY are dealt in pieces. Nodes that were taken out then get their
+distances level by level, and parents come from one join of the original edges with the whole state.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from heapq import heappop, heappush
-
-import numpy as np
-import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..storage import dropped, ship_package, written
+from ..storage import dropped, written
+from .contract import STEPS, contract, sound
 
-#: Edges (both ways) of a graph that is sent to the tasks, at most; rounds between new bases of the state.
-SMALL, COMPACT = 2_000_000, 6
+#: Edges of a node that lie in one piece.
+HEAVY = 100_000
 
 
-def shortest(edges: DataFrame, seeds: DataFrame, limit=None, pinned: bool = False, by: tuple[str, ...] = (), until=None) -> DataFrame:
+def shortest(edges: DataFrame, seeds: DataFrame, limit=None, pinned: bool = False, by: tuple[str, ...] = (), until=None, parents: bool = True) -> DataFrame:
     """(*by, node, dist, label, hops, parent) from seeds (*by, node, label) along edges (src, dst, w).
 
     Of equal distances the smallest label wins, then fewest hops, then the smallest
     parent. With pinned a seed keeps its own label even where another seed is at
     distance 0. limit bounds distances, inclusively. by separates independent searches. With until, a node, nodes farther than it
-    may be missing.
+    may be missing. Without parents that column is left out. Weights are summed exactly: whole numbers as such, others with 15 digits after the point.
     """
     kind = dict(edges.dtypes)["w"]
+    whole = sound(edges)
+    seeds = seeds.groupBy(*by, "node").agg(F.min("label").alias("label"))
+    keep = seeds.select("node")
+    if until is not None:
+        keep = keep.unionByName(edges.sparkSession.createDataFrame([(until,)], f"node {dict(seeds.dtypes)['node']}"))
+    parts = contract(whole, keep, limit)
+    state = _searched(parts.core, seeds, dict(whole.dtypes)["w"], limit, pinned, by, until)
+    for links in reversed(parts.links):
+        state = state.unionByName(written(_hung(state, links, dict(whole.dtypes)["w"], limit, by), "state"))
+    here = [*by, "node", F.col("dist").cast(kind).alias("dist"), "label", "hops"]
+    if not parents:
+        return state.select(*here)
+    return _with_parents(whole, state, by).select(*here, "parent")
+
+
+def _dealt(core: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Core edges by source and piece, kept in place; (node, pieces) of nodes with more than one."""
+    spark = core.sparkSession
+    heavy = written(core.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n")).filter(F.col("n") > HEAVY).select("node", F.ceil(F.col("n") / HEAVY).cast("int").alias("pieces")), "heavy")
+    own = heavy.select(F.col("node").alias("src"), F.col("pieces").alias("own"))
+    there = heavy.select(F.col("node").alias("dst"), F.col("pieces").alias("pieces"))
+    edges = core.join(own, "src", "left").join(there, "dst", "left").select("src", F.pmod(F.xxhash64("dst"), F.coalesce("own", F.lit(1))).cast("int").alias("piece"), "dst", F.coalesce("pieces", F.lit(1)).alias("pieces"), "w", "h")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return edges.repartition(parts, "src", "piece").sortWithinPartitions("src", "piece").persist(StorageLevel.MEMORY_AND_DISK), heavy
+
+
+def _searched(core: DataFrame, seeds: DataFrame, kind: str, limit, pinned: bool, by: tuple[str, ...], until) -> DataFrame:
+    """The state (*by, node, dist, label, hops) of the core's nodes and the seeds."""
     keys = [*by, "node"]
-    own = dict(seeds.dtypes)
-    state = seeds.groupBy(*keys).agg(F.min("label").alias("label")).select(*keys, F.lit(0).cast(kind).alias("dist"), "label", F.lit(0).alias("hops"), F.lit(None).cast(own["node"]).alias("parent"))
-    edges = written(edges.select("src", "dst", "w"), "edges")
-    if kind in ("bigint", "int", "double") and edges.count() <= SMALL:
-        return _searches(edges, state, limit, pinned, by, until)
-    fresh = base = written(state.withColumn("seed", F.lit(True)), "state")
-    since: list[DataFrame] = []
-    here = ["dist", "label", "hops", "parent"]
+    edges, heavy = _dealt(core)
+    first = seeds.join(heavy, "node", "left").select(*keys, F.lit(0).cast(kind).alias("dist"), "label", F.lit(0).cast("bigint").alias("hops"), F.coalesce("pieces", F.lit(1)).alias("pieces"), F.lit(True).alias("seed"), F.lit(True).alias("fresh"))
+    state = written(first, "state")
+    most = None if limit is None else F.lit(limit).cast(kind)
     while True:
-        offers = fresh.withColumnRenamed("node", "src").join(edges, "src").select(*by, F.col("dst").alias("node"), F.struct((F.col("dist") + F.col("w")).cast(kind).alias("dist"), "label", (F.col("hops") + 1).alias("hops"), F.col("src").alias("parent")).alias("offer"))
-        bounds = [limit] if limit is not None else []
+        step, bound = state, None
         if until is not None:
-            bounds += [r["dist"] for r in _merged([base, *since], keys, here).filter(F.col("node") == F.lit(until)).select("dist").collect()]
-        for bound in bounds:
-            offers = offers.filter(F.col("offer.dist") <= bound)
-        best = written(offers.groupBy(*keys).agg(F.min("offer").alias("offer")), "offers")
-        # only the state of nodes with an offer is looked at; a seed's null parent is less than any other
-        old = _merged([p.join(best.select(*keys), keys, "left_semi") for p in (base, *since)], keys, here)
-        both = best.join(old.select(*keys, F.struct(*here).alias("old"), "seed"), keys, "left")
-        better = F.col("old").isNull() | ((F.col("offer") < F.col("old")) & (~F.col("seed") if pinned else F.lit(True)))
-        fresh = written(both.filter(better).select(*keys, "offer.*", F.coalesce("seed", F.lit(False)).alias("seed")), "state")
-        dropped(best)
-        if fresh.isEmpty():
-            return _merged([base, *since], keys, here).select(*keys, *here)
-        since.append(fresh)
-        if len(since) > COMPACT:
-            spent = [base, *since[:-1]]
-            base, since = written(_merged([base, *since], keys, here), "state"), []
-            for p in spent:
-                dropped(p)
-
-
-def _merged(parts: list[DataFrame], keys: list[str], here: list[str]) -> DataFrame:
-    """The best of all states of each node."""
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy(*keys).agg(F.min(F.struct(*here)).alias("best"), F.max("seed").alias("seed")).select(*keys, "best.*", "seed") if len(parts) > 1 else out
-
-
-def _searches(edges: DataFrame, state: DataFrame, limit, pinned: bool, by: tuple[str, ...], until) -> DataFrame:
-    """The same by a heap: each task has all edges and runs whole searches."""
-    spark = edges.sparkSession
-    ship_package(spark)
-    sent = spark.sparkContext.broadcast(edges.toArrow())
-    fields = T.StructType(state.schema.fields)
-    names = fields.names
-    wide = len(by)
-
-    def near():
-        """(nodes in their order, where each one's edges begin, their ends, their weights)."""
-        t = sent.value
-        ends = pa.chunked_array([*t.column("src").chunks, *t.column("dst").chunks], t.schema.field("src").type).combine_chunks().dictionary_encode()
-        names = ends.dictionary.to_pylist()
-        order = sorted(range(len(names)), key=names.__getitem__)
-        place = np.empty(len(names), np.int64)
-        place[order] = np.arange(len(names))
-        flat = place[ends.indices.to_numpy()]
-        src, dst = flat[: len(t)], flat[len(t) :]
-        by_src = np.argsort(src, kind="stable")
-        begins = np.searchsorted(src[by_src], np.arange(len(names) + 1))
-        return [names[k] for k in order], begins.tolist(), dst[by_src].tolist(), t.column("w").combine_chunks().take(pa.array(by_src)).to_pylist()
-
-    def search(seeds: list[tuple], names: list, place: dict, begins: list, ends: list, weights: list) -> dict:
-        # nodes by place, which keeps their order; seeds without edges have none
-        lone = {node: (dist, label, hops, parent) for node, dist, label, hops, parent in seeds if node not in place}
-        best: list = [None] * len(names)
-        heap, fixed = [], set()
-        for node, dist, label, hops, _ in seeds:
-            if node in place:
-                best[place[node]] = (dist, label, hops, -1)
-                heap.append((dist, label, hops, place[node]))
-        if pinned:
-            fixed = {at for *_, at in heap}
-        heap.sort()
-        goal = place.get(until)
-        while heap:
-            dist, label, hops, node = heappop(heap)
-            if best[node][:3] != (dist, label, hops):
-                continue
-            if goal is not None and best[goal] is not None and dist > best[goal][0]:
-                break
-            for k in range(begins[node], begins[node + 1]):
-                to, far = ends[k], dist + weights[k]
-                old = best[to]
-                if old is not None and far > old[0] or limit is not None and far > limit or to in fixed:
-                    continue
-                offer = (far, label, hops + 1, node)
-                if old is None or offer[:3] < old[:3]:
-                    best[to] = offer
-                    heappush(heap, (*offer[:3], to))
-                elif offer[:3] == old[:3] and node < old[3]:
-                    best[to] = offer
-        return {names[k]: (*b[:3], names[b[3]] if b[3] >= 0 else None) for k, b in enumerate(best) if b is not None} | lone
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: dict[tuple, list] = {}
-        for b in it:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                groups.setdefault(row[:wide], []).append(row[wide:])
-        links = near() if groups else None
-        place = {n: k for k, n in enumerate(links[0])} if links else {}
-        for key, seeds in groups.items():
-            found = search(seeds, links[0], place, *links[1:])
-            cols = [[k] * len(found) for k in key] + [list(found)] + [list(c) for c in zip(*found.values(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, y) for c, y in zip(cols, kinds, strict=True)], names)
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    kinds = [to_arrow_type(f.dataType) for f in fields]
-    dealt = state.repartition(spark.sparkContext.defaultParallelism, *by) if by else state.repartition(1)
-    return dealt.mapInArrow(run, fields)
+            bound = state.filter(F.col("node") == F.lit(until)).agg(F.max("dist")).first()[0]
+        for _ in range(STEPS):
+            fresh = step.filter("fresh").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).select(*by, F.col("node").alias("src"), "piece", "dist", "label", "hops")
+            offer = F.struct((F.col("dist") + F.col("w")).cast(kind).alias("dist"), "label", (F.col("hops") + F.col("h")).alias("hops"))
+            offers = fresh.join(edges, ["src", "piece"]).select(*by, F.col("dst").alias("node"), offer.alias("offer"), F.col("pieces").alias("p"))
+            for b in (most, bound):
+                offers = offers if b is None else offers.filter(F.col("offer.dist") <= b)
+            best = offers.groupBy(*keys).agg(F.min("offer").alias("offer"), F.max("p").alias("p"))
+            both = step.join(best, keys, "full_outer")
+            old = F.struct("dist", "label", "hops")
+            better = F.col("offer").isNotNull() & (F.col("dist").isNull() | ((F.col("offer") < old) & (~F.col("seed") if pinned else F.lit(True))))
+            pick = lambda c: F.when(better, F.col(f"offer.{c}")).otherwise(F.col(c)).alias(c)  # noqa: E731, B023
+            step = both.select(*keys, pick("dist"), pick("label"), pick("hops"), F.coalesce("pieces", "p").alias("pieces"), F.coalesce("seed", F.lit(False)).alias("seed"), better.alias("fresh"))
+        after = written(step, "state")
+        dropped(state)
+        state = after
+        if state.filter("fresh").isEmpty():
+            break
+    edges.unpersist()
+    return state.select(*keys, "dist", "label", "hops")
+
+
+def _hung(state: DataFrame, links: DataFrame, kind: str, limit, by: tuple[str, ...]) -> DataFrame:
+    """States of nodes (node) by ways (node, via, w, h) from nodes that have one."""
+    ways = links.select(F.col("node").alias("inner"), F.col("via").alias("node"), "w", "h")
+    best = F.struct((F.col("dist") + F.col("w")).cast(kind).alias("dist"), "label", (F.col("hops") + F.col("h")).alias("hops"))
+    found = state.join(ways, "node").select(*by, F.col("inner").alias("node"), best.alias("best"))
+    if limit is not None:
+        found = found.filter(F.col("best.dist") <= F.lit(limit).cast(kind))
+    return found.groupBy(*by, "node").agg(F.min("best").alias("best")).select(*by, "node", "best.*")
+
+
+def _with_parents(edges: DataFrame, state: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Of the neighbours that are nearer by the order (dist, hops), the one through which a node has its state; the smallest of several."""
+    far = state.select(*by, F.col("node").alias("src"), F.col("dist").alias("d1"), F.col("label").alias("l1"), F.col("hops").alias("h1"))
+    own = state.filter("hops > 0").select(*by, F.col("node").alias("dst"), F.col("dist").alias("d2"), F.col("label").alias("l2"), F.col("hops").alias("h2"))
+    met = edges.join(far, "src").join(own, [*by, "dst"]).filter("d1 + w = d2 AND l1 <=> l2 AND h1 + 1 = h2")
+    up = met.groupBy(*by, F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
+    return state.join(up, [*by, "node"], "left")
 
 
 def distances(edges: DataFrame, source, limit=None) -> DataFrame:
     """(node, dist) from one node, or from every node of a DataFrame (node)."""
     seeds = source if isinstance(source, DataFrame) else edges.sparkSession.createDataFrame([(source,)], f"node {dict(edges.dtypes)['src']}")
-    return shortest(edges, seeds.select("node", F.lit(0).alias("label")), limit).select("node", "dist")
+    return shortest(edges, seeds.select("node", F.lit(0).alias("label")), limit, parents=False).select("node", "dist")
 
 
 def nearest_source(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(node, dist, label) by the nearest of sources (node, label), each of which keeps its own."""
-    return shortest(edges, sources, pinned=True).select("node", "dist", "label")
-
-
-def path_to_sources(tree: DataFrame, targets: DataFrame, guard: int = 1_000_000) -> DataFrame:
-    """(target, pos, node): the chain of parents from each target to a source; targets that weren't reached have none."""
-    tree = written(tree.select("node", "parent"), "tree")
-    wanted = targets.select(F.col("node").alias("target")).distinct()
-    if tree.count() <= SMALL:
-        return _chains(tree, wanted)
-    at = written(wanted.join(tree.withColumnRenamed("node", "target"), "target").select("target", F.col("target").alias("node"), "parent", F.lit(0).alias("pos")), "path")
-    found, held, step = at, 1, 0
-    while step < guard:
-        step += 1
-        at = written(at.filter(F.col("parent").isNotNull()).select("target", F.col("parent").alias("node")).join(tree, "node").select("target", "node", "parent", F.lit(step).alias("pos")), "path")
-        if at.isEmpty():
-            break
-        found, held = found.unionByName(at), held + 1
-        if held > 16:  # the plan stays short however long the chain
-            found, held = written(found, "path"), 1
-    return found.select("target", "pos", "node")
-
+    return shortest(edges, sources, pinned=True, parents=False).select("node", "dist", "label")
 
-def _chains(tree: DataFrame, wanted: DataFrame) -> DataFrame:
-    spark = tree.sparkSession
-    ship_package(spark)
-    sent = spark.sparkContext.broadcast(tree.toArrow())
-    kind = dict(tree.dtypes)["node"]
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, up = sent.value, None
-        for b in it:
-            up = dict(zip(t.column("node").to_pylist(), t.column("parent").to_pylist(), strict=True)) if up is None else up
-            for target in b.column(0).to_pylist():
-                chain, at = [], target
-                while at is not None and at in up:
-                    chain.append(at)
-                    at = up[at]
-                yield pa.RecordBatch.from_arrays([pa.array([target] * len(chain), b.column(0).type), pa.array(range(len(chain)), pa.int32()), pa.array(chain, b.column(0).type)], ["target", "pos", "node"])
+def path_to_sources(tree: DataFrame, targets: DataFrame) -> DataFrame:
+    """(target, pos, node): the chain of parents from each target to a source; targets that weren't reached have none.
 
-    return wanted.mapInArrow(run, f"target {kind}, pos int, node {kind}")
+    Paths double: with all places before 2^k and every node's 2^k-th ancestor, one join gives all places before 2^(k + 1).
+    """
+    up = written(tree.select("node", F.col("parent").alias("over")), "tree")
+    found = written(targets.select(F.col("node").alias("target")).distinct().join(up.select(F.col("node").alias("target")), "target").select("target", F.lit(0).cast("long").alias("pos"), F.col("target").alias("node")), "path")
+    step = 1
+    up = up.filter("over IS NOT NULL")
+    while True:
+        more = found.join(up, "node").select("target", (F.col("pos") + step).alias("pos"), F.col("over").alias("node"))
+        after = written(found.unionByName(more), "path")
+        if after.count() == found.count():
+            dropped(after)
+            return found
+        dropped(found)
+        found, step = after, 2 * step
+        next_up = written(up.join(up.select(F.col("node").alias("over"), F.col("over").alias("over2")), "over").select("node", F.col("over2").alias("over")), "tree")
+        dropped(up)
+        up = next_up
 
 
 def closure(edges: DataFrame, terminals: DataFrame) -> DataFrame:
     """(a, b, dist): the distance from each terminal (node) to each other one that it reaches."""
-    reached = shortest(edges, terminals.select(F.col("node").alias("start"), "node", F.lit(0).alias("label")), by=("start",))
+    reached = shortest(edges, terminals.select(F.col("node").alias("start"), "node", F.lit(0).alias("label")), by=("start",), parents=False)
     return reached.join(terminals.select("node"), "node").filter("start <> node").select(F.col("start").alias("a"), F.col("node").alias("b"), "dist")
 
 
