@@ -1,36 +1,19 @@
-"""Connected components: by alternating large and small stars, or in one task where links are few."""
+"""Connected components by alternating large and small stars, and the roots of forests by pointer doubling."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import dropped, ship_package, written
-
-#: Up to so many links are joined in one task; the counts decide, the results are the same.
-ONE_TASK = 1_000_000
+from ..storage import dropped, written
 
 
 def connected_components(links: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node, component): the smallest node reachable by links (a, b); nodes (node) adds nodes without links."""
     edges = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "links")
     mark = _mark(edges)
-    if mark[0] <= ONE_TASK:
-        found = _at_once(edges)
-        if nodes is None:
-            return found
-        return nodes.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     while mark[0]:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b").filter("a < b").distinct()
-        small = large.groupBy("b").agg(F.min("a").alias("m"))
-        ends = large.join(small, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b"))
-        after = written(ends.filter("a < b").distinct(), "links")
+        after = written(_stars(edges), "links")
         dropped(edges)
         edges, before, mark = after, mark, _mark(after)
         if mark == before:
@@ -41,27 +24,26 @@ def connected_components(links: DataFrame, nodes: DataFrame | None = None) -> Da
     return nodes.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def _at_once(edges: DataFrame) -> DataFrame:
-    ship_package(edges.sparkSession)
-    kind = dict(edges.dtypes)["a"]
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batches = list(it)
-        if not batches:
-            return
-        t = pa.Table.from_batches(batches)
-        names, flat = np.unique(np.concatenate([t.column(c).to_numpy() for c in "ab"]), return_inverse=True)
-        label, x, y = np.arange(len(names)), flat[: len(t)], flat[len(t) :]
-        while True:
-            low = np.minimum(label[x], label[y])
-            np.minimum.at(label, label[x], low)
-            np.minimum.at(label, label[y], low)
-            label = label[label]
-            if (label[x] == label[y]).all() and (label[label] == label).all():
-                break
-        yield pa.RecordBatch.from_arrays([pa.array(names, t.schema.field("a").type), pa.array(names[label], t.schema.field("a").type)], ["node", "component"])
-
-    return edges.repartition(1).mapInArrow(run, f"node {kind}, component {kind}")
+def _stars(edges: DataFrame) -> DataFrame:
+    """Links (a, b), a < b: larger neighbours move to a node's least one, then so do the smaller ones."""
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    large = both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b").filter("a < b").distinct()
+    small = large.groupBy("b").agg(F.min("a").alias("m"))
+    ends = large.join(small, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b"))
+    return ends.filter("a < b").distinct()
+
+
+def roots(up: DataFrame) -> DataFrame:
+    """(node, root) of a forest (node, up), in which a root is its own: pointers double until none changes."""
+    at = written(up.select("node", F.col("up").alias("root")), "roots")
+    while True:
+        over = at.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        after = written(at.join(over, "root").select("node", F.col("next").alias("root"), (F.col("root") != F.col("next")).alias("moved")), "roots")
+        dropped(at)
+        at = after.select("node", "root")
+        if after.filter("moved").isEmpty():
+            return at
 
 
 def _mark(edges: DataFrame) -> tuple:

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from ..storage import dropped, written
 
-#: Jumps and relaxations in one job; the share of nodes that a level must take out.
-STEPS, WORTH = 3, 0.1
+#: Relaxations in one job; the share of nodes that a level must take out.
+STEPS, WORTH = 6, 0.1
 
 
 @dataclass
@@ -96,13 +96,10 @@ def _walked(arcs: DataFrame, thin: DataFrame, kind: str, limit) -> DataFrame:
     walks = written(first, "walks")
     bound, reach = 2 * thin.count() + 2, 1
     while reach < bound and not walks.filter("next IS NOT NULL").isEmpty():
-        step = walks
-        for _ in range(STEPS):
-            reach *= 2
-            over = step.filter("inner").select(F.col("src").alias("to"), F.col("dst").alias("next"), F.col("to").alias("to2"), F.col("next").alias("next2"), F.col("dead").alias("dead2"), F.col("f").alias("f2"), F.col("r").alias("r2"))
-            jumped = step.filter("next IS NOT NULL").join(over, ["to", "next"]).select("src", "dst", F.col("to2").alias("to"), F.col("next2").alias("next"), F.col("dead2").alias("dead"), "inner", both(F.col("f"), F.col("f2")).alias("f"), both(F.col("r2"), F.col("r")).alias("r"))
-            step = step.filter("next IS NULL").unionByName(jumped)
-        after = written(step, "walks")
+        reach *= 2
+        over = walks.filter("inner").select(F.col("src").alias("to"), F.col("dst").alias("next"), F.col("to").alias("to2"), F.col("next").alias("next2"), F.col("dead").alias("dead2"), F.col("f").alias("f2"), F.col("r").alias("r2"))
+        jumped = walks.filter("next IS NOT NULL").join(over, ["to", "next"]).select("src", "dst", F.col("to2").alias("to"), F.col("next2").alias("next"), F.col("dead2").alias("dead"), "inner", both(F.col("f"), F.col("f2")).alias("f"), both(F.col("r2"), F.col("r")).alias("r"))
+        after = written(walks.filter("next IS NULL").unionByName(jumped), "walks")
         dropped(walks)
         walks = after
     return walks

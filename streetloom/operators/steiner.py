@@ -11,30 +11,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import dropped, written
-from .components import connected_components
+from .components import roots
 from .graph import FULL_WEIGHT, Graph
 from .traverse import frontier_links, nearest_source
 
 
 def spanning_tree(links: DataFrame) -> DataFrame:
-    """(a, b, dist): a minimum spanning forest of links, by Boruvka's rounds; equal lengths are ordered by the ends."""
-    node = dict(links.dtypes)["a"]
+    """(a, b, dist): a minimum spanning forest of links, by Boruvka's rounds; equal lengths are ordered by the ends.
+
+    In a round each tree picks its least link, which makes a forest over the trees once the smaller of two that picked one link is a root;
+    pointers double to the roots, and the live links are named by them. Links between the same two trees leave all but the least, so a round
+    works on what is live alone, at most half as many trees as the one before.
+    """
+    least = F.min(F.struct("dist", "a", "b")).alias("m")
     links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "dist").filter("a < b").groupBy("a", "b").agg(F.min("dist").alias("dist"))
     live = written(links.select("a", "b", "dist", F.col("a").alias("ca"), F.col("b").alias("cb")), "live")
-    tree = written(live.limit(0).select("a", "b", "dist"), "tree")
+    picks = [live.limit(0).select("a", "b", "dist")]
     while not live.isEmpty():
-        ends = live.select("ca", "a", "b", "dist").unionByName(live.select(F.col("cb").alias("ca"), "a", "b", "dist"))
-        picked = ends.groupBy("ca").agg(F.min(F.struct("dist", "a", "b")).alias("m")).select("m.a", "m.b", "m.dist").distinct()
-        after = written(tree.unionByName(picked), "tree")
-        dropped(tree)
-        tree = after
-        names = written(connected_components(tree.select("a", "b")), "names")
-        a, b = (names.select(F.col("node").alias(k), F.col("component").alias(f"n{k}")) for k in "ab")
-        kept = live.select("a", "b", "dist").join(a, "a", "left").join(b, "b", "left").select("a", "b", "dist", F.coalesce("na", "a").cast(node).alias("ca"), F.coalesce("nb", "b").cast(node).alias("cb")).filter("ca <> cb")
-        rest = written(kept, "live")
+        ways = live.select("ca", "cb", "a", "b", "dist").unionByName(live.select(F.col("cb").alias("ca"), F.col("ca").alias("cb"), "a", "b", "dist"))
+        picked = written(ways.groupBy("ca").agg(F.min(F.struct("dist", "a", "b", "cb")).alias("m")).select("ca", "m.*"), "picked")
+        picks.append(picked.select("a", "b", "dist"))
+        mutual = picked.select(F.col("ca").alias("cb"), F.col("cb").alias("back"))
+        up = picked.join(mutual, "cb", "left").select(F.col("ca").alias("node"), F.when((F.col("back") == F.col("ca")) & (F.col("ca") < F.col("cb")), F.col("ca")).otherwise(F.col("cb")).alias("up"))
+        names = roots(up)
+        one, two = (names.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in ("ca", "cb"))
+        between = live.join(one, "ca").join(two, "cb").filter("rca <> rcb").groupBy(F.least("rca", "rcb").alias("ca"), F.greatest("rca", "rcb").alias("cb")).agg(least)
+        rest = written(between.select("m.a", "m.b", "m.dist", "ca", "cb"), "live")
         dropped(live)
         live = rest
-    return tree
+    tree = picks[0]
+    for p in picks[1:]:
+        tree = tree.unionByName(p)
+    return tree.distinct()
 
 
 def tree_weight(terminals: DataFrame, links: DataFrame) -> DataFrame:

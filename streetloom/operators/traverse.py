@@ -43,45 +43,59 @@ def shortest(edges: DataFrame, seeds: DataFrame, limit=None, pinned: bool = Fals
     return _with_parents(whole, state, by).select(*here, "parent")
 
 
-def _dealt(core: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Core edges by source and piece, kept in place; (node, pieces) of nodes with more than one."""
-    spark = core.sparkSession
-    heavy = written(core.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n")).filter(F.col("n") > HEAVY).select("node", F.ceil(F.col("n") / HEAVY).cast("int").alias("pieces")), "heavy")
-    own = heavy.select(F.col("node").alias("src"), F.col("pieces").alias("own"))
-    there = heavy.select(F.col("node").alias("dst"), F.col("pieces").alias("pieces"))
-    edges = core.join(own, "src", "left").join(there, "dst", "left").select("src", F.pmod(F.xxhash64("dst"), F.coalesce("own", F.lit(1))).cast("int").alias("piece"), "dst", F.coalesce("pieces", F.lit(1)).alias("pieces"), "w", "h")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return edges.repartition(parts, "src", "piece").sortWithinPartitions("src", "piece").persist(StorageLevel.MEMORY_AND_DISK), heavy
+def _dealt(core: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Core edges where a state's rows lie, and apart from them, in pieces, those of nodes with more than HEAVY."""
+    parts = int(core.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    heavy = written(core.groupBy("src").agg(F.count("*").alias("n")).filter(F.col("n") > HEAVY).select("src", F.ceil(F.col("n") / HEAVY).cast("int").alias("pieces")), "heavy")
+    if heavy.isEmpty():
+        return core.repartition(parts, "src").sortWithinPartitions("src").persist(StorageLevel.MEMORY_AND_DISK), None
+    light = core.join(heavy, "src", "left_anti").repartition(parts, "src").sortWithinPartitions("src")
+    rest = core.join(heavy, "src").withColumn("piece", F.pmod(F.xxhash64("dst"), F.col("pieces")).cast("int")).repartition(parts, "src", "piece")
+    return light.persist(StorageLevel.MEMORY_AND_DISK), rest.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _searched(core: DataFrame, seeds: DataFrame, kind: str, limit, pinned: bool, by: tuple[str, ...], until) -> DataFrame:
     """The state (*by, node, dist, label, hops) of the core's nodes and the seeds."""
     keys = [*by, "node"]
     edges, heavy = _dealt(core)
-    first = seeds.join(heavy, "node", "left").select(*keys, F.lit(0).cast(kind).alias("dist"), "label", F.lit(0).cast("bigint").alias("hops"), F.coalesce("pieces", F.lit(1)).alias("pieces"), F.lit(True).alias("seed"), F.lit(True).alias("fresh"))
-    state = written(first, "state")
-    most = None if limit is None else F.lit(limit).cast(kind)
+    pieces = None if heavy is None else written(heavy.groupBy("src").agg(F.collect_set("piece").alias("pieces")), "pieces")
+    state = written(seeds.select(*keys, F.lit(0).cast(kind).alias("dist"), "label", F.lit(0).cast("bigint").alias("hops"), F.lit(True).alias("seed"), F.lit(True).alias("fresh")), "state")
+    places = int(state.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    label = dict(seeds.dtypes)["label"]
+    names = ", ".join(f"`{k}`" for k in by)
+    lead = f"{names}, " if by else ""
+    best = f"struct<dist:{kind},label:{label},hops:bigint>"
+
+    def rows(source: str, ways: str, on: str, bounds: list) -> str:
+        """A state's row and its offers come out of one join, so that rounds of a job stand in line and no plan is doubled."""
+        near = " AND ".join(["e.dst IS NOT NULL", *(f"s.dist + e.w <= {b}" for b in bounds)])
+        mine = f"named_struct('node', s.node, 'old', CAST(struct(s.dist, s.label, s.hops) AS {best}), 'offer', CAST(NULL AS {best}), 'seed', s.seed)"
+        theirs = f"named_struct('node', e.dst, 'old', CAST(NULL AS {best}), 'offer', CAST(struct(s.dist + e.w, s.label, s.hops + e.h) AS {best}), 'seed', false)"
+        return f"SELECT {lead}inline(CASE WHEN {near} THEN array({mine}, {theirs}) ELSE array({mine}) END) AS (node, old, offer, seed) FROM {source} s LEFT JOIN {ways} e ON s.node = e.src AND s.fresh{on}"
+
+    def relaxed(source: str, bounds: list) -> str:
+        met = rows(source, "{edges}", "", bounds)
+        if heavy is not None:
+            met += f" UNION ALL {rows(f'(SELECT t.*, explode(p.pieces) AS piece FROM {source} t JOIN {{pieces}} p ON t.node = p.src)', '{heavy}', ' AND s.piece = e.piece', bounds)}"
+        merged = f"SELECT {lead}node, min(old) AS old, min(offer) AS offer, max(seed) AS seed FROM ({met}) GROUP BY {lead}node"
+        better = "offer IS NOT NULL AND (old IS NULL OR offer < old" + (" AND NOT seed)" if pinned else ")")
+        return f"SELECT {lead}node, b.dist, b.label, b.hops, seed, fresh FROM (SELECT {lead}node, CASE WHEN {better} THEN offer ELSE old END AS b, seed, {better} AS fresh FROM ({merged}))"
+
+    spark = state.sparkSession
     while True:
-        step, bound = state, None
+        bounds = [f"CAST('{limit}' AS {kind})"] if limit is not None else []
         if until is not None:
-            bound = state.filter(F.col("node") == F.lit(until)).agg(F.max("dist")).first()[0]
-        for _ in range(STEPS):
-            fresh = step.filter("fresh").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).select(*by, F.col("node").alias("src"), "piece", "dist", "label", "hops")
-            offer = F.struct((F.col("dist") + F.col("w")).cast(kind).alias("dist"), "label", (F.col("hops") + F.col("h")).alias("hops"))
-            offers = fresh.join(edges, ["src", "piece"]).select(*by, F.col("dst").alias("node"), offer.alias("offer"), F.col("pieces").alias("p"))
-            for b in (most, bound):
-                offers = offers if b is None else offers.filter(F.col("offer.dist") <= b)
-            best = offers.groupBy(*keys).agg(F.min("offer").alias("offer"), F.max("p").alias("p"))
-            both = step.join(best, keys, "full_outer")
-            old = F.struct("dist", "label", "hops")
-            better = F.col("offer").isNotNull() & (F.col("dist").isNull() | ((F.col("offer") < old) & (~F.col("seed") if pinned else F.lit(True))))
-            pick = lambda c: F.when(better, F.col(f"offer.{c}")).otherwise(F.col(c)).alias(c)  # noqa: E731, B023
-            step = both.select(*keys, pick("dist"), pick("label"), pick("hops"), F.coalesce("pieces", "p").alias("pieces"), F.coalesce("seed", F.lit(False)).alias("seed"), better.alias("fresh"))
-        after = written(step, "state")
+            bounds += [f"CAST('{r[0]}' AS {kind})" for r in state.filter(F.col("node") == F.lit(until)).agg(F.max("dist").alias("d")).filter("d IS NOT NULL").collect()]
+        steps = STEPS if heavy is None else 1
+        parts = [f"s0 AS (SELECT /*+ REPARTITION({places}, {lead}node) */ * FROM {{state}})", *(f"s{k + 1} AS ({relaxed(f's{k}', bounds)})" for k in range(steps))]
+        given = {"state": state, "edges": edges} | ({} if heavy is None else {"heavy": heavy, "pieces": pieces})
+        after = written(spark.sql(f"WITH {', '.join(parts)} SELECT * FROM s{steps}", **given), "state")
         dropped(state)
         state = after
         if state.filter("fresh").isEmpty():
             break
+    if heavy is not None:
+        heavy.unpersist()
     edges.unpersist()
     return state.select(*keys, "dist", "label", "hops")
 

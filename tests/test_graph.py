@@ -1,6 +1,7 @@
 """Small graphs with known answers, and random ones against plain Python."""
 
 import heapq
+import math
 import random
 from math import inf, isinf
 
@@ -288,28 +289,130 @@ def test_registered_search_grows_until_nothing_fits(spark, monkeypatch):
     assert r["total_buildings"] == best + 1 and r["tree_weight"] == pytest.approx(sum(costs[:best]))
 
 
-def test_rounds_and_single_tasks_agree(spark, monkeypatch):
-    from streetloom.operators import components
-
-    rnd = random.Random(11)
-    ways = [(f"n{rnd.randrange(25):02}", f"n{rnd.randrange(25):02}", rnd.randint(0, 4)) for _ in range(45)]
-    edges = spark.createDataFrame(ways + [(b, a, w) for a, b, w in ways], "src string, dst string, w long")
-    seeds = spark.createDataFrame([("n03", 2), ("n07", 1), ("n11", 1), ("alone", 0)], "node string, label int")
-    apart = spark.createDataFrame([("p", "n03", 0), ("p", "n04", 0), ("q", "n09", 0)], "start string, node string, label int")
-    links = spark.createDataFrame([(a, b) for a, b, w in ways[:14]], "a string, b string")
-
-    def results():
-        runs = [traverse.shortest(edges, seeds), traverse.shortest(edges, seeds, pinned=True), traverse.shortest(edges, seeds, limit=3), traverse.shortest(edges, apart, by=("start",))]
-        out = [sorted(map(tuple, r.collect()), key=str) for r in runs]
-        tree = traverse.shortest(edges, seeds, until="n15")
-        out.append(sorted(map(tuple, traverse.path_to_sources(tree, nodes(spark, ["n15"])).collect())))
-        return [*out, sorted(map(tuple, connected_components(links).collect()))]
-
-    once = results()
-    monkeypatch.setattr(traverse, "SMALL", -1)
-    monkeypatch.setattr(traverse, "COMPACT", 2)
-    monkeypatch.setattr(components, "ONE_TASK", -1)
-    assert results() == once
+def plain_states(ways, seeds, pinned=False, limit=None):
+    """{node: (dist, label, hops, parent)} by trying every edge until nothing improves."""
+    best = {}
+    for node, label in seeds:
+        best[node] = min(best.get(node, (0, label, 0, None)), (0, label, 0, None), key=lambda s: s[1])
+    fixed = set(best) if pinned else set()
+    while True:
+        offers = {}
+        for a, b, w in ways:
+            if a != b and a in best and b not in fixed and (limit is None or best[a][0] + w <= limit):
+                o = (best[a][0] + w, best[a][1], best[a][2] + 1, a)
+                offers[b] = min(offers.get(b, o), o)
+        better = {b: o for b, o in offers.items() if b not in best or o[:3] < best[b][:3] or o[:3] == best[b][:3] and best[b][3] is not None and o[3] < best[b][3]}
+        if not better:
+            return best
+        best |= better
+
+
+def town(rnd, streets=12, length=9, ends=15):
+    """Junctions joined by chains, with dead ends and trees hanging on them, a ring of its own, parallel ways and a far pair."""
+    ways = []
+    for s in range(streets):
+        a, b = rnd.randrange(6), rnd.randrange(6)
+        inner = [f"s{s}_{k}" for k in range(rnd.randrange(length))]
+        ways += list(zip([f"j{a}", *inner], [*inner, f"j{b}"], strict=True))
+    names = sorted({n for w in ways for n in w})
+    for e in range(ends):
+        ways.append((rnd.choice(names), f"e{e}"))
+        names.append(f"e{e}")
+    ways += [("r0", "r1"), ("r1", "r2"), ("r2", "r0"), ("far0", "far1")]
+    return [(a, b, rnd.randint(0, 4)) for a, b in ways], names
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_contracted_searches_are_plain_ones(spark, monkeypatch, seed):
+    from streetloom.operators import contract
+
+    if seed == 1:
+        monkeypatch.setattr(traverse, "HEAVY", 2)  # edges of most nodes lie in several pieces
+    rnd = random.Random(seed)
+    ways, names = town(rnd)
+    ways += [(b, a, w) for a, b, w in ways] + ([(a, b, 1) for a, b in (rnd.sample(names, 2) for _ in range(5))] if seed else [])  # some lead one way only
+    edges = spark.createDataFrame(ways, "src string, dst string, w long")
+    picked = [(n, rnd.randint(0, 2)) for n in rnd.sample(names, 4)] + [("alone", 0)]
+    picked.append((picked[0][0], 5))
+    seeds = spark.createDataFrame(picked, "node string, label int")
+    got = lambda **o: {r["node"]: (r["dist"], r["label"], r["hops"], r["parent"]) for r in traverse.shortest(edges, seeds, **o).collect()}
+    assert got(pinned=True) == plain_states(ways, picked, pinned=True)
+    assert got(limit=5) == plain_states(ways, picked, limit=5)
+    goal = rnd.choice(names)
+    want = plain_states(ways, picked)
+    near = got(until=goal)
+    assert near.get(goal) == want.get(goal) and all(want[n] == s for n, s in near.items() if goal not in want or s[0] < want[goal][0])
+    apart = spark.createDataFrame([(p, n, 0) for p, n in (("p", "j1"), ("p", names[3]), ("q", names[7]))], "start string, node string, label int")
+    rows = traverse.shortest(edges, apart, by=("start",)).collect()
+    for p, s in (("p", [("j1", 0), (names[3], 0)]), ("q", [(names[7], 0)])):
+        assert {r["node"]: (r["dist"], r["label"], r["hops"], r["parent"]) for r in rows if r["start"] == p} == plain_states(ways, s)
+    parts = contract.contract(contract.sound(edges), seeds)
+    assert parts.links and parts.core.select("src").distinct().count() < len(names) / 2
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    from streetloom.operators import contract
+
+    rounds = []
+    for m in (traverse, contract):
+        real = m.written
+        monkeypatch.setattr(m, "written", lambda df, label, real=real: (rounds.append(label), real(df, label))[1])
+    n = 10_000
+    edges = spark.range(n - 1).selectExpr("id AS src", "id + 1 AS dst", "1 + id % 3 AS w")
+    edges = edges.unionByName(edges.selectExpr("dst AS src", "src AS dst", "w"))
+    seeds = spark.createDataFrame([(0, 0)], "node long, label int")
+    tree = traverse.shortest(edges, seeds).orderBy("node").collect()
+    dist = 0
+    for k, r in enumerate(tree):
+        assert (r["node"], r["dist"], r["hops"], r["parent"]) == (k, dist, k, k - 1 if k else None)
+        dist += 1 + k % 3
+    assert len(tree) == n and len(rounds) < 40, rounds
+
+
+def test_unsound_weights_and_doubles(spark):
+    ways = [("a", "b", 0.1), ("b", "c", 0.2), ("c", "d", 0.3), ("a", "d", math.inf), ("a", "x", math.nan), ("a", "y", None), ("d", "d", 1.0)]
+    edges = spark.createDataFrame(ways, "src string, dst string, w double")
+    got = {r["node"]: (r["dist"], r["parent"]) for r in traverse.shortest(edges, spark.createDataFrame([("a", 0)], "node string, label int")).collect()}
+    assert got == {"a": (0.0, None), "b": (0.1, "a"), "c": (0.3, "b"), "d": (0.6, "c")}
+
+
+def test_paths_double(spark):
+    rnd = random.Random(5)
+    up = {0: None} | {k: rnd.randrange(max(0, k - 3), k) for k in range(1, 60)}
+    tree = spark.createDataFrame(list(up.items()), "node long, parent long")
+    got = {}
+    for r in traverse.path_to_sources(tree, spark.createDataFrame([(59,), (30,), (0,), (99,), (30,)], "node long")).collect():
+        got.setdefault(r["target"], {})[r["pos"]] = r["node"]
+    for t in (59, 30, 0):
+        chain = [t]
+        while up[chain[-1]] is not None:
+            chain.append(up[chain[-1]])
+        assert got.pop(t) == dict(enumerate(chain))
+    assert not got
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_spanning_trees(spark, seed):
+    rnd = random.Random(seed)
+    n = 40
+    links = [(rnd.randrange(n), rnd.randrange(n), rnd.randint(0, 6)) for _ in range(70)]
+    tree = [tuple(r) for r in steiner.spanning_tree(spark.createDataFrame(links, "a long, b long, dist long")).collect()]
+    up = {k: k for k in range(n)}
+
+    def find(v):
+        while up[v] != v:
+            v = up[v]
+        return v
+
+    want = []
+    for w, a, b in sorted((w, min(a, b), max(a, b)) for a, b, w in links if a != b):
+        if find(a) != find(b):
+            up[find(a)] = find(b)
+            want.append((a, b, w))
+    assert sorted(tree) == sorted(want)
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame([(a, b) for a, b, _ in links], "a long, b long")).collect()}
+    root = union(range(n), [(a, b) for a, b, _ in links])
+    assert all(root[k] == c for k, c in got.items())
 
 
 def plain_search(sizes, links, sources, budget, epsilon, iterations=100):
