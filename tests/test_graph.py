@@ -260,14 +260,40 @@ def test_sources_and_tree(spark):
 
 def test_nearest(spark):
     rnd = random.Random(3)
-    left = [(f"b{k}", rnd.uniform(0, 50) if k else 5000.0, rnd.uniform(0, 50)) for k in range(80)] + [("tie", 0.5, -3.0), ("null", None, 1.0)]
-    right = [(f"c{k:02}", rnd.uniform(0, 50), rnd.uniform(0, 50)) for k in range(30)] + [("t1", 0.0, -3.0), ("t0", 1.0, -3.0)]
-    for cell in (None, 0.5, 1e6):
-        got = {r["building_id"]: (r["connector_id"], r["distance_m"]) for r in nearest.nearest_join(spark.createDataFrame(left, POINTS), spark.createDataFrame(right, POINTS), cell).collect()}
-        assert len(got) == len(left) and got.pop("null") == (None, None) and got["tie"] == ("t0", 0.5)
-        for i, x, y in left[:-1]:
-            d, c = min((((x - a) ** 2 + (y - b) ** 2) ** 0.5, j) for j, a, b in right)
+    left = [(f"b{k}", rnd.uniform(0, 50) if k else 5000.0, rnd.uniform(0, 50)) for k in range(80)] + [("tie", 0.5, -3.0), ("null", None, 1.0), ("nan", math.nan, 1.0)]
+    right = [(f"c{k:02}", rnd.uniform(0, 50), rnd.uniform(0, 50)) for k in range(30)] + [("t1", 0.0, -3.0), ("t0", 1.0, -3.0), ("t2", 0.0, -3.0), ("lost", None, 0.0)]
+    for leaf in (1, 32):
+        got = {r["building_id"]: (r["connector_id"], r["distance_m"]) for r in nearest.nearest_join(spark.createDataFrame(left, POINTS), spark.createDataFrame(right, POINTS), leaf).collect()}
+        assert len(got) == len(left) and got.pop("null") == got.pop("nan") == (None, None) and got["tie"] == ("t0", 0.5)
+        for i, x, y in left[:-2]:
+            d, c = min((((x - a) ** 2 + (y - b) ** 2) ** 0.5, j) for j, a, b in right[:-1])
             assert got[i][0] == c and abs(got[i][1] - d) < 1e-9
+    none = nearest.nearest_join(spark.createDataFrame(left[:3], POINTS), spark.createDataFrame(right[-1:], POINTS)).collect()
+    assert len(none) == 3 and all(r["connector_id"] is None for r in none)
+
+
+def test_nearest_in_a_dense_place(spark, monkeypatch):
+    """Nine tenths of both sides lie in a millionth of the square: leaves stay bounded, and a block meets few of them."""
+    rnd = random.Random(8)
+    spot = lambda: (rnd.uniform(500, 500.001), rnd.uniform(500, 500.001)) if rnd.random() < 0.9 else (rnd.uniform(0, 1000), rnd.uniform(0, 1000))
+    right = [(f"c{k}", *spot()) for k in range(3000)]
+    left = [(f"b{k}", *spot()) for k in range(2000)]
+    cells, points = nearest.quadtree(spark.createDataFrame(right, "id string, rx double, ry double").withColumn("code", nearest.morton(F.col("rx"), F.col("ry"), 0.0, 0.0, 1000.0)), 32)
+    held = [r["count"] for r in points.groupBy("level", "cell").count().collect()]
+    assert max(held) <= 32 and sum(held) == len(right) and len(cells) > 5
+    met = []
+    real = nearest.written
+    monkeypatch.setattr(nearest, "written", lambda df, label: (met.append((label, real(df, label))), met[-1][1])[1])
+    joined = nearest.nearest_join(spark.createDataFrame(left, POINTS), spark.createDataFrame(right, POINTS)).collect()
+    own = [r["n"] for label, df in met if label == "pairs" for r in df.selectExpr("size(own) AS n").collect()]
+    assert max(own) <= nearest.BLOCK and sum(own) < 8 * len(left)  # a point meets a few leaves, a leaf a block's points at once
+    import numpy as np
+
+    r = np.array([(x, y) for _, x, y in right])
+    for row in joined:
+        d = np.hypot(r[:, 0] - row["lx"], r[:, 1] - row["ly"])
+        assert row["connector_id"] == right[int(d.argmin())][0] and abs(row["distance_m"] - d.min()) < 1e-9
+    assert len(joined) == len(left)
 
 
 def test_names_of_nodes(spark):
