@@ -6,20 +6,21 @@ slot ceil((j + 1) / w); one block runs in each slot, the released one with
 the earliest deadline. Weights sum to one as fractions, without rounding, so every deadline is
 met, and after any number of slots each source is less than one block off its target.
 
-The schedule covers the whole mix: as many slots as it takes until each source
-has been through once at its weight. A source that ends before starts again (the
-next epoch), so no document is left out and the weights hold to the end. Blocks have
-``block_bytes`` of text, or more where the mix would take more than SLOTS slots:
-then it is cut into SLOTS. So the schedule has a bounded size whatever the corpus
-and however many sources there are.
+Every block has ``block_bytes`` of its source's text, or more where the mix would take more than SLOTS slots: then it is cut into SLOTS.
+So the schedule has a bounded size whatever the corpus and however many sources there are. The schedule covers the whole mix: as many slots as
+it takes until each source has been through once at its weight. A source's blocks follow one another through its bytes and begin again at its
+end (the next epoch), in the middle of a block if need be, so no document is left out and weights hold in bytes, to the end and for sources smaller than a block.
+What the slowest source has left after its last block, less than one, goes with that block.
 
 A source whose target is less than one block in the whole mix can't fill a block.
 All such sources share the blocks of a pool that has the sum of their weights and spreads over the
-whole mix; each of them comes once, so it is less than one block off its target too.
+whole mix; each comes once, or as often as its target holds its bytes, rounded up or down by a hash of its name, so it is less than one block off its target too,
+and the pool as a whole near its own.
 
 A null source counts as the source "". Empty and null texts have no
-bytes and go with the block where they stand; repeated rows each get a place. A document is
-never cut: it stands in the block where it begins, and blocks that begin and end within one document have no rows.
+bytes and go with the block where they stand, those of a source without any bytes once; repeated rows each get a place. A document is
+never cut: it stands in the block where it begins, so a text longer than a block brings its source ahead by what is beyond, and blocks that begin and end within one document have no rows.
+Columns of docs may have any names but those with two leading underscores that mix() adds.
 """
 
 from __future__ import annotations
@@ -44,8 +45,8 @@ SLOTS = 1 << 17
 TEMPERATURE = 0.9
 #: Documents of a source that are ordered together, about.
 CHUNK = 2_000
-#: What pooled sources have in place of a number.
-POOL = -1
+#: What pooled sources have in place of a number; repetitions of a row that are made at once.
+POOL, RUN = -1, 1024
 
 
 def schedule(weights: Sequence[Fraction], slots: int) -> list[list[int]]:
@@ -97,12 +98,17 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block_bytes
         lanes.append((POOL, None, Fraction(pool["w"]), pool["bytes"]))
     whole = sum(w for _, _, w, _ in lanes)
     served = schedule([w / whole for _, _, w, _ in lanes], slots)
+    # how often a pooled source comes: its target over its bytes, rounded by a hash so that sums keep the pool's target
+    often = F.floor(F.col("w") / F.lit(float(whole or 1)) * F.lit(float(slots) * block) / F.col("bytes") + F.pmod(F.xxhash64("__source"), F.lit(1 << 20)) / F.lit(float(1 << 20)))
+    pooled = totals.filter(~big).select("__source", F.when(F.col("bytes") > 0, F.greatest(often, F.lit(1))).otherwise(F.lit(1)).cast("long").alias("__times"), "bytes")
+    pool_bytes = (pooled.agg(F.sum(F.col("bytes") * F.col("__times"))).first()[0] or 0) if pool["w"] is not None else 0
     plan, places = [], []
     for (lane, name, _, size), at in zip(lanes, served, strict=True):
-        n = len(at) if lane == POOL else min(max(1, size // block), len(at))
-        plan.append((name, lane, n, max(1, -(-size // n)), 1 if lane == POOL else -(-len(at) // n)))
+        n = max(1, len(at))
+        total = pool_bytes if lane == POOL else size
+        plan.append((name, lane, n, max(1, -(-total // n)) if lane == POOL else block, total, 1 if lane == POOL or not total else max(1, -(-n * block // total))))
         places.append(np.stack([np.full(len(at), lane), np.arange(len(at)), np.array(at, np.int64)]))
-    plan = spark.createDataFrame(plan, "__source string, __lane long, __blocks long, __size long, __epochs long")
+    plan = spark.createDataFrame(plan, "__source string, __lane long, __blocks long, __size long, __total long, __epochs long")
     flat = np.concatenate(places, axis=1).astype(np.int64) if places else np.zeros((3, 0), np.int64)
     places = spark.createDataFrame(pa.table({"__lane": flat[0], "__j": flat[1], "__slot": flat[2]}))
 
@@ -111,19 +117,30 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block_bytes
     known = F.broadcast(plan.filter("__source IS NOT NULL").select("__source", "__lane"))
     rows = rows.join(known, "__source", "left").withColumn("__lane", F.coalesce("__lane", F.lit(POOL)))
     ties = [f.name for f in docs.schema.fields if not isinstance(f.dataType, T.MapType)]
-    rows = rows.withColumn("__hash", F.xxhash64(id, text)).withColumn("__chunk", F.shiftright("__hash", 64 - bits))
+    again = _counted(rows.filter(F.col("__lane") == POOL).join(pooled.select("__source", "__times"), "__source"), "__times", "__epoch").drop("__times")
+    rows = rows.filter(F.col("__lane") != POOL).withColumn("__epoch", F.lit(0).cast("long")).unionByName(again)
+    rows = rows.withColumn("__hash", F.when(F.col("__epoch") == 0, F.xxhash64(id, text)).otherwise(F.xxhash64(id, text, "__epoch"))).withColumn("__chunk", F.shiftright("__hash", 64 - bits))
     chunks = rows.groupBy("__lane", "__chunk").agg(F.sum("__bytes").alias("__sum"))
     before = Window.partitionBy("__lane").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     chunks = chunks.select("__lane", "__chunk", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base"))
     within = Window.partitionBy("__lane", "__chunk").orderBy("__hash", id, F.xxhash64(*ties)).rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("__within", F.coalesce(F.sum("__bytes").over(within), F.lit(0))).join(chunks, ["__lane", "__chunk"])
     placed = placed.withColumn("__offset", F.col("__base") + F.col("__within")).join(F.broadcast(plan.drop("__source")), "__lane")
-    # an empty document after the last byte stays in the last block
-    turn = F.least(F.expr("__offset div __size"), F.col("__blocks") - 1)
-    placed = placed.withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.col("__epochs") - 1).cast("array<long>"))).withColumn("__j", F.col("__epoch") * F.col("__blocks") + turn)
+    large = F.col("__lane") != POOL
+    placed = _counted(placed.withColumn("__from", F.col("__epoch")), "__epochs", "__epoch")
+    turn = F.expr("(__epoch * __total + __offset) div __size")
+    # in the first epoch what is left after the last block stays in it; later ones end there
+    j = F.when(large & (F.col("__epoch") > 0), turn).otherwise(F.least(F.expr("__offset div __size"), F.col("__blocks") - 1))
+    placed = placed.withColumn("__j", j).withColumn("__epoch", F.when(large, F.col("__epoch")).otherwise(F.col("__from")))
     return placed.join(F.broadcast(places), ["__lane", "__j"]).select(*docs.columns, "__source", "__epoch", "__slot", "__offset")
 
 
+def _counted(rows: DataFrame, times: str, out: str) -> DataFrame:
+    """Each row as often as times says, with out from 0 on; in runs, so that no array is long."""
+    runs = rows.withColumn("__run", F.explode(F.sequence(F.lit(0).cast("long"), F.col(times) - 1, F.lit(RUN).cast("long"))))
+    return runs.withColumn(out, F.explode(F.sequence("__run", F.least(F.col(times) - 1, F.col("__run") + RUN - 1)))).drop("__run")
+
+
 def op10_pfair_mix(spark, sf_dir: str) -> DataFrame:
     """Every document's slots in the mix, of all epochs; see the module for nulls, ties and repeated rows."""
     got = mix(table(spark, sf_dir, "documents"))

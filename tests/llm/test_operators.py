@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from streetloom.llm import bpe, mixing, neardup, ngram_join, quality, secrets, substrings, token_counts, topk, windows
 
@@ -360,6 +361,45 @@ def test_small_sources_share_blocks_and_none_is_too_many(spark):
         assert abs(served - 0.7 * (t + 1)) < 1
 
 
+@pytest.mark.parametrize("size", [7_600, 400, 1, 52_000])
+def test_weights_hold_in_bytes(spark, size):
+    """At every slot each source's served bytes are within a block and a document of its target, over many epochs."""
+    step = min(100, size)
+    docs = [(n, "x" * 100, "a") for n in range(4000)] + [(10_000 + n, "y" * step, "b") for n in range(size // step)]
+    if size == 1:
+        docs = [(n, "x" * 100, "a") for n in range(400)] + docs[4000:]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    block = 4000
+    got = mixing.mix(df, {"a": 0.9, "b": 0.1}, block_bytes=block).select("doc_id", "source", "__epoch", "__slot", F.length("text").alias("n")).collect()
+    assert {r["doc_id"] for r in got} == {d for d, *_ in docs} == {r["doc_id"] for r in got if r["__epoch"] == 0}
+    slots = max(r["__slot"] for r in got) + 1
+    served = {s: np.zeros(slots) for s in "ab"}
+    for r in got:
+        served[r["source"]][r["__slot"]] += r["n"]
+    for s, w in (("a", 0.9), ("b", 0.1)):
+        off = np.abs(np.cumsum(served[s]) - w * block * np.arange(1, slots + 1))
+        assert off.max() <= block + 100, (s, off.max())
+    share = served["b"].sum() / (served["a"].sum() + served["b"].sum())
+    assert abs(share - 0.1) <= 2 * (block + 100) / (slots * block)
+
+
+def test_pooled_sources_keep_their_targets(spark):
+    rnd = random.Random(6)
+    sizes = {f"p{n}": rnd.randint(0, 900) for n in range(200)}
+    docs = [(n, "y" * size, s) for n, (s, size) in enumerate(sizes.items())] + [(1000 + n, "x" * 100, "a") for n in range(6000)]
+    weights = {s: 0.3 / 200 for s in sizes} | {"a": 0.7}
+    block = 4000
+    got = mixing.mix(spark.createDataFrame(docs, "doc_id long, text string, source string"), weights, block_bytes=block).select("doc_id", "source", "__slot", "__epoch", F.length("text").alias("n")).collect()
+    slots = max(r["__slot"] for r in got) + 1
+    served = dict.fromkeys(weights, 0)
+    for r in got:
+        served[r["source"]] += r["n"]
+    assert {r["doc_id"] for r in got if r["__epoch"] == 0} == {d for d, *_ in docs}
+    assert all(abs(served[s] - w * slots * block) <= block for s, w in weights.items() if sizes.get(s, 1))
+    pool = sum(v for s, v in served.items() if s != "a")
+    assert abs(pool - 0.3 * slots * block) < 0.1 * 0.3 * slots * block
+
+
 def test_mix(spark, rows):
     df = docs_frame(spark, rows)
     got = mixing.mix(df, block_bytes=200).collect()
