@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import functools
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,8 +12,9 @@ from ..functions import geo
 from ..operators import cluster, nearest, routing, search, steiner, traverse
 from ..operators.components import connected_components
 from ..operators.graph import FULL_WEIGHT, Graph, exploded_refs, faults
-from ..sources.files import inside_box, read_id_list, road_segments, stringify_complex
-from ..storage import written
+from ..sources.files import inside_box, read_connectors, read_id_list, read_roads, road_segments, stringify_complex, write_csv
+from ..sources.geoparquet import SRID, read_geoparquet, srid_of, write_geoparquet
+from ..storage import shared_dir, written
 from . import derived as d
 from .derived import LIMIT, SQL
 
@@ -80,21 +81,60 @@ def explode_refs(spark, sf_dir):
 
 def _id_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as a list file has them: names of nations, padded, with comments and blanks between."""
-    return d.table(spark, sf_dir, "nation").select(F.explode(F.array(F.concat(F.lit("  "), "n_name", F.lit(" ")), F.concat(F.lit("# "), "n_name"), F.lit(" "))).alias("value"))
+    return d.table(spark, sf_dir, "nation").select("n_nationkey", F.explode(F.array(F.concat(F.lit("  "), "n_name", F.lit(" ")), F.concat(F.lit("# "), "n_name"), F.lit(" "))).alias("value"))
+
+
+def _shared_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/streetloom-{name}-{uuid.uuid4().hex}"
 
 
 @query("SELECT DISTINCT id FROM (SELECT n_name AS id FROM nation UNION ALL SELECT r_name FROM region)")
 def id_list_union_distinct(spark, sf_dir):
     inline = [r[0] for r in d.table(spark, sf_dir, "region").select("r_name").collect()]
-    path = tempfile.mkdtemp() + "/ids" if spark.sparkContext.master.startswith("local[") else None
-    if path is None:
-        from ..storage import shared_dir
-
-        path = f"{shared_dir(spark)}/streetloom-ids"
-    _id_file(spark, sf_dir).write.mode("overwrite").text(path)
+    path = _shared_path(spark, "ids")
+    _id_file(spark, sf_dir).select("value").write.text(path)
     return read_id_list(spark, path, inline).select("id")
 
 
+@query("""WITH lines AS (SELECT n_name AS id, 1 AS part, n_nationkey AS n FROM nation UNION ALL SELECT n_name, 2, -n_nationkey FROM nation UNION ALL SELECT r_name, 0, r_regionkey FROM region)
+SELECT id, row_number() OVER (ORDER BY part, n) AS place FROM (SELECT id, min((part, n)) AS f, f[1] AS part, f[2] AS n FROM lines GROUP BY id)""")
+def id_list_order(spark, sf_dir):
+    """Places of ids at their first appearance in several files of different lengths: regions inline, nations by key, then all again backwards."""
+    inline = [r[0] for r in d.table(spark, sf_dir, "region").orderBy("r_regionkey").select("r_name").collect()]
+    path = _shared_path(spark, "ids")
+    names = _id_file(spark, sf_dir)
+    backwards = names.select(F.lit(2).alias("part"), (-F.col("n_nationkey")).alias("n"), "value").unionByName(names.select(F.lit(3).alias("part"), F.lit(0).alias("n"), F.lit("# the end").alias("value")))
+    lines = names.select(F.lit(1).alias("part"), F.col("n_nationkey").alias("n"), "value").unionByName(backwards)
+    lines.repartitionByRange(5, "part", "n").sortWithinPartitions("part", "n").select("value").write.text(path)
+    return read_id_list(spark, path, inline).select("id", F.row_number().over(Window.orderBy("ord")).cast("long").alias("place"))  # names of nations and regions
+
+
+@query(f"WITH {SQL} SELECT CAST(road_id AS VARCHAR) AS id, CAST(max(len) AS DOUBLE) AS length_m, string_agg(CAST(connector_id AS VARCHAR), ',' ORDER BY k // 2, k) AS connectors FROM refs GROUP BY road_id")
+def csv_roads_over_files(spark, sf_dir):
+    """Refs of every road lie in several CSV files, two at each place, and keep the order of the files."""
+    path = _shared_path(spark, "refs")
+    refs = d.refs(spark, sf_dir).select("road_id", "connector_id", F.expr("cast(ord div 2 as double)").alias("at"), F.col("road_length_m").cast("double").alias("road_length_m"), "ord")
+    write_csv(refs.repartitionByRange(6, "ord", "road_id").sortWithinPartitions("ord", "road_id").drop("ord"), path)
+    s = read_roads(spark, path)
+    return s.select("id", "length_m", F.array_join(F.transform("connectors", lambda c: c["connector_id"]), ",").alias("connectors"))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS id, CAST((p_partkey * 37) % 1009 AS DOUBLE) AS x, CAST((p_partkey * 91) % 997 AS DOUBLE) AS y FROM part")
+def csv_connectors(spark, sf_dir):
+    path = _shared_path(spark, "connectors")
+    write_csv(d.connectors(spark, sf_dir), path)
+    return read_connectors(spark, path)
+
+
+@query("SELECT p_partkey AS id, 3857 AS srid, CAST((p_partkey * 37) % 1009 AS DOUBLE) AS px, CAST((p_partkey * 91) % 997 AS DOUBLE) AS py FROM part")
+def geoparquet_round_trip(spark, sf_dir):
+    """Points in web Mercator, whose system is read from the files."""
+    path = _shared_path(spark, "geo").removeprefix("file://")
+    write_geoparquet(d.connectors(spark, sf_dir).select("id", geo.point_wkb(F.col("x"), F.col("y")).alias("geometry")).withMetadata("geometry", {SRID: 3857}), path)
+    got = read_geoparquet(spark, path)
+    return got.select("id", F.lit(srid_of(got)).alias("srid"), geo.centroid_xy(F.col("geometry")).alias("p")).select("id", "srid", F.col("p.x").alias("px"), F.col("p.y").alias("py"))
+
+
 @query(f"WITH {SQL} SELECT road_id AS id, max(len) AS length_m, count(*) AS n_refs, string_agg(CAST(connector_id AS VARCHAR), ',' ORDER BY k) AS connectors FROM refs GROUP BY road_id")
 def read_roads_grouped(spark, sf_dir):
     s = road_segments(d.refs(spark, sf_dir))

@@ -12,10 +12,10 @@ from pyspark.sql import types as T
 BOX = (-1.4973, 51.5835, -0.9893, 51.8528)
 
 
-def _csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A CSV file with a header, columns by position; an empty or malformed cell is an error."""
+def _csv(spark: SparkSession, path: str, schema: str, ordered: bool = False) -> DataFrame:
+    """A CSV file with a header, columns by position; an empty or malformed cell is an error. ordered adds ord."""
     df = spark.read.schema(schema).csv(path, header=True, mode="FAILFAST", enforceSchema=True)
-    return df.select(*(F.when(F.col(c).isNull(), F.raise_error(F.lit(f"empty cell in column {c}"))).otherwise(F.col(c)).alias(c) for c in df.columns))
+    return df.select(*([file_order().alias("ord")] if ordered else []), *(F.when(F.col(c).isNull(), F.raise_error(F.lit(f"empty cell in column {c}"))).otherwise(F.col(c)).alias(c) for c in df.columns))
 
 
 def read_connectors(spark: SparkSession, path: str) -> DataFrame:
@@ -30,10 +30,14 @@ def read_building_links(spark: SparkSession, path: str) -> DataFrame:
     return _csv(spark, path, "building_id string, connector_id string, distance_m double")
 
 
+def file_order() -> Column:
+    """Where a row stands in the files that were read: by file name, place of the split in it, and row. Spark deals files out by length, so their rows come in any order."""
+    return F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+
+
 def read_roads(spark: SparkSession, path: str) -> DataFrame:
-    """Segments (id, length_m, connectors) from rows (road_id, connector_id, at, road_length_m) in file order."""
-    refs = _csv(spark, path, "road_id string, connector_id string, at double, road_length_m double")
-    return road_segments(refs.withColumn("ord", F.monotonically_increasing_id()))
+    """Segments (id, length_m, connectors) from rows (road_id, connector_id, at, road_length_m) in file order; several files count in order of their names."""
+    return road_segments(_csv(spark, path, "road_id string, connector_id string, at double, road_length_m double", ordered=True))
 
 
 def road_segments(refs: DataFrame) -> DataFrame:
@@ -50,12 +54,13 @@ def road_segments(refs: DataFrame) -> DataFrame:
 
 
 def read_id_list(spark: SparkSession, path: str | None, inline: Iterable[str] = ()) -> DataFrame:
-    """(id, ord): the inline ids, then the file's lines; trimmed, without blanks and # comments, each id at its first place."""
-    ids = spark.createDataFrame([(i, n) for n, i in enumerate(inline)], "value string, n long").select("value", F.lit(0).alias("part"), "n")
+    """(id, ord): the inline ids, then the file's lines (of several files in order of their names); trimmed, without blanks and # comments, each id at its first place."""
+    place = "struct<path:string,start:bigint,row:bigint>"
+    ids = spark.createDataFrame([(i, ("", 0, n)) for n, i in enumerate(inline)], f"value string, place {place}")
     if path:
-        lines = spark.read.text(path).select(F.trim("value").alias("value"), F.lit(1).alias("part"), F.monotonically_increasing_id().alias("n"))
+        lines = spark.read.text(path).select(F.trim("value").alias("value"), file_order().cast(place).alias("place"))
         ids = ids.unionByName(lines.filter((F.col("value") != "") & ~F.col("value").startswith("#")))
-    return ids.groupBy(F.col("value").alias("id")).agg(F.min(F.struct("part", "n")).alias("ord"))
+    return ids.groupBy(F.col("value").alias("id")).agg(F.min("place").alias("ord"))
 
 
 def inside_box(box: tuple[float, float, float, float] = BOX, bbox: str = "bbox") -> Column:

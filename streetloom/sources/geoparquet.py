@@ -9,13 +9,21 @@ from pyspark.sql import functions as F
 
 SRID = "srid"
 
+#: The number of a reference system that is there but isn't known by an EPSG code; nothing is projected from it.
+UNKNOWN = -1
+
 
 def geo_srid(geo: str | bytes | None, column: str = "geometry") -> int:
-    """The EPSG code in a file's geo metadata; without one longitude and latitude (4326)."""
-    crs = (json.loads(geo or "{}").get("columns", {}).get(column) or {}).get("crs")
-    if isinstance(crs, dict) and crs.get("id", {}).get("authority") == "EPSG":
-        return int(crs["id"]["code"])
-    return 4326
+    """The EPSG code in a file's geo metadata; without a system there, longitude and latitude (4326), as the format says; UNKNOWN for one without a code, or null."""
+    found = json.loads(geo or "{}").get("columns", {}).get(column) or {}
+    crs = found.get("crs")
+    if isinstance(crs, dict):
+        id = crs.get("id") or {}
+        authority, code = str(id.get("authority", "")).upper(), str(id.get("code", ""))
+        if authority == "EPSG" and code.isdigit():
+            return int(code)
+        return 4326 if (authority, code) == ("OGC", "CRS84") else UNKNOWN
+    return UNKNOWN if "crs" in found else 4326
 
 
 def read_geoparquet(spark: SparkSession, path: str, column: str = "geometry", srid: int | None = None) -> DataFrame:
@@ -34,10 +42,10 @@ def _geo_entry(path: str) -> bytes | None:
     from pyarrow import fs
 
     try:
-        where, at = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        where, at = _opened(path)
         info = where.get_file_info(at)
         if info.type == fs.FileType.Directory:
-            files = [f.path for f in where.get_file_info(fs.FileSelector(at)) if f.path.endswith(".parquet")]
+            files = [f.path for f in where.get_file_info(fs.FileSelector(at)) if f.path.endswith(".parquet") and not f.base_name.startswith("_")]
             at = min(files, default=None)
         return (pq.read_metadata(at, filesystem=where).metadata or {}).get(b"geo") if at else None
     except (OSError, ValueError):
@@ -49,33 +57,46 @@ def srid_of(df: DataFrame, column: str = "geometry") -> int:
 
 
 def write_geoparquet(df: DataFrame, path: str, column: str = "geometry") -> None:
-    """Parquet whose footers hold the geo entry: a task writes its rows with it through Arrow at one file a partition.
+    """Parquet whose footers hold the geo entry: a task writes its rows with it, one file a partition.
 
-    The folder must be one that every executor can write to as files; elsewhere use write_parquet, which keeps the srid in Spark's own metadata.
+    Files are opened through Arrow's file systems, so path may be a local or mounted folder that every executor reaches, or a URI of a store that Arrow knows (hdfs, s3, gs).
     """
-    import os
     import uuid
 
+    from pyarrow import fs
+
     srid = srid_of(df, column)
-    crs = None if srid == 4326 else {"id": {"authority": "EPSG", "code": srid}}
-    entry = {"version": "1.0.0", "primary_column": column, "columns": {column: {"encoding": "WKB", "geometry_types": []} | ({"crs": crs} if crs else {})}}
-    os.makedirs(path, exist_ok=True)
-    names = df.columns
+    known = {} if srid == 4326 else {"crs": None if srid == UNKNOWN else {"id": {"authority": "EPSG", "code": srid}}}
+    entry = {"version": "1.0.0", "primary_column": column, "columns": {column: {"encoding": "WKB", "geometry_types": []} | known}}
+    where, base = _opened(path)
+    where.create_dir(base, recursive=True)
 
     def run(it):
         import pyarrow as pa
         import pyarrow.parquet as pq
 
-        writer, at, rows = None, f"{path}/part-{uuid.uuid4().hex}.parquet", 0
+        files, base = _opened(path)
+        writer, name, rows = None, f"part-{uuid.uuid4().hex}.parquet", 0
         for b in it:
+            t = pa.Table.from_batches([b]).replace_schema_metadata({b"geo": json.dumps(entry).encode()})
             if writer is None:
-                writer = pq.ParquetWriter(f"{at}.tmp", b.schema.with_metadata({b"geo": json.dumps(entry).encode()}), compression="snappy")
-            writer.write_table(pa.Table.from_batches([b]).replace_schema_metadata({b"geo": json.dumps(entry).encode()}))
+                # an underscore hides a file from readers until it is put in place
+                writer = pq.ParquetWriter(f"{base}/_{name}", t.schema, compression="snappy", filesystem=files)
+            writer.write_table(t)
             rows += b.num_rows
         if writer is not None:
             writer.close()
-            yield pa.RecordBatch.from_pydict({"file": [at], "rows": [rows]})
+            yield pa.RecordBatch.from_pydict({"file": [name], "rows": [rows]})
+
+    # a task that is run twice leaves a file that isn't named here, so only the named ones are put in place, and the others go
+    for r in df.mapInArrow(run, "file string, rows long").collect():
+        where.move(f"{base}/_{r['file']}", f"{base}/{r['file']}")
+    for f in where.get_file_info(fs.FileSelector(base)):
+        if f.base_name.startswith("_part-"):
+            where.delete_file(f.path)
+
+
+def _opened(path: str):
+    from pyarrow import fs
 
-    # a task that is run twice leaves a file that isn't named here, so only the named ones are put in place
-    for r in df.select(*names).mapInArrow(run, "file string, rows long").select("file", F.col("rows")).collect():
-        os.rename(f"{r['file']}.tmp", r["file"])
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)

@@ -68,6 +68,35 @@ def test_csv_tables(spark, tmp_path):
     assert [r["id"] for r in sources.read_id_list(spark, str(tmp_path / "ids"), ["x", "b2"]).orderBy("ord").collect()] == ["x", "b2", "b1"]
 
 
+def test_rows_keep_the_order_of_files(spark, tmp_path):
+    """Spark reads the longest file first; order is by name all the same."""
+    (tmp_path / "l").mkdir()
+    (tmp_path / "l" / "part-0").write_text("a1\nb1\n")
+    (tmp_path / "l" / "part-1").write_text("".join(f"b{k}\n" for k in range(300)))
+    got = [r["id"] for r in sources.read_id_list(spark, str(tmp_path / "l"), ["b7"]).orderBy("ord").collect()]
+    assert got == ["b7", "a1", "b1"] + [f"b{k}" for k in range(300) if k not in (1, 7)]
+    (tmp_path / "r").mkdir()
+    head = "road_id,connector_id,at,road_length_m\n"
+    (tmp_path / "r" / "part-0.csv").write_text(head + "r,c0,0,5\n")
+    (tmp_path / "r" / "part-1.csv").write_text(head + "r,c1,0,7\n" + "".join(f"q{k},c,0,1\n" for k in range(300)))
+    (r,) = sources.read_roads(spark, str(tmp_path / "r")).filter("id = 'r'").collect()
+    assert [c["connector_id"] for c in r["connectors"]] == ["c0", "c1"] and r["length_m"] == 7.0
+
+
+def test_unknown_reference_systems(spark, tmp_path):
+    entry = lambda **c: '{"columns": {"geometry": %s}}' % __import__("json").dumps(c)
+    assert sources.geo_srid(None) == sources.geo_srid(entry(encoding="WKB")) == 4326
+    assert sources.geo_srid(entry(crs={"id": {"authority": "OGC", "code": "CRS84"}})) == 4326
+    assert sources.geo_srid(entry(crs={"id": {"authority": "EPSG", "code": 27700}})) == 27700
+    assert sources.geo_srid(entry(crs={"name": "British National Grid"})) == sources.geo_srid(entry(crs=None)) == -1
+    df = spark.createDataFrame([(1, bytearray(polygon(SQUARE)))], "id long, geometry binary").withMetadata("geometry", {"srid": -1})
+    sources.write_geoparquet(df, str(tmp_path / "u"))
+    got = sources.read_geoparquet(spark, str(tmp_path / "u"))
+    assert got.schema["geometry"].metadata["srid"] == -1 and got.count() == 1
+    with pytest.raises(ValueError):
+        pipeline.reproject_points(got, 4326)
+
+
 def test_geopackage_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, "a'é", 2.5, True, bytearray(polygon(SQUARE)), {"k": [1]}), (2, None, None, None, None, None)], "id long, name string, v double, ok boolean, geometry binary, m map<string, array<int>>")
     path = str(tmp_path / "x.gpkg")
