@@ -7,13 +7,14 @@ binary geometry has no built-in that is on by default, so it goes through Arrow
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import wkb
+
 #: Spherical radius of web Mercator, and the WGS 84 ellipsoid.
 MERCATOR_RADIUS = 6378137.0
 SEMI_MAJOR, FLATTENING = 6378137.0, 1 / 298.257223563
@@ -177,17 +178,19 @@ def line_length(raw: bytes | None, axis_order: str = "xy") -> float | None:
 def centroid_xy(geometry: Column) -> Column:
     """struct<x, y> of a geometry's centroid; of a point, itself."""
 
-    @F.pandas_udf("x double, y double")
-    def run(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([c or (None, None) for c in map(centroid, s)], columns=["x", "y"], dtype=float)
+    @F.arrow_udf("struct<x:double,y:double>")
+    def run(g: pa.Array) -> pa.Array:
+        return wkb.centroids(g)
 
     return run(geometry)
 
 
 def length_spheroid(geometry: Column, axis_order: str = "xy") -> Column:
-    @F.pandas_udf("double")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda g: line_length(g, axis_order), na_action="ignore").astype(float)
+    """Metres of a geometry's lines along the ellipsoid."""
+
+    @F.arrow_udf("double")
+    def run(g: pa.Array) -> pa.Array:
+        return wkb.lengths(g, geodesic, axis_order == "yx")
 
     return run(geometry)
 
@@ -195,14 +198,11 @@ def length_spheroid(geometry: Column, axis_order: str = "xy") -> Column:
 def _encoded(head: bytes, *coordinates: Column) -> Column:
     """head and the coordinates' doubles; null if one is null."""
 
-    @F.pandas_udf("binary")
-    def run(it: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for cols in it:
-            m = np.column_stack([c.to_numpy(float, na_value=np.nan) for c in cols])
-            known = ~np.column_stack([c.isna() for c in cols]).any(1)
-            yield pd.Series([head + r.tobytes() if k else None for r, k in zip(m.astype("<f8"), known, strict=True)], dtype=object)
+    @F.arrow_udf("binary")
+    def run(c: pa.Array) -> pa.Array:
+        return wkb.encoded(head, c.flatten())
 
-    return run(*coordinates)
+    return run(F.struct(*(c.cast("double").alias(f"c{k}") for k, c in enumerate(coordinates))))
 
 
 def point_wkb(x: Column, y: Column) -> Column:
@@ -215,6 +215,17 @@ def line_wkb(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     return _encoded(struct.pack("<BII", 1, 2, 2), x1, y1, x2, y2)
 
 
+def polygon_wkb(*rings: list[tuple[Column, Column]]) -> Column:
+    """A polygon of rings of points, the shell first; rings end where they begin."""
+    parts = [_encoded(struct.pack("<I", len(r)), *(c for p in r for c in p)) for r in rings]
+    return F.concat(F.lit(struct.pack("<BII", 1, 3, len(rings))), *parts)
+
+
+def multi_wkb(kind: int, *parts: Column) -> Column:
+    """A multi geometry (4 points, 5 lines, 6 polygons, 7 of any) of geometries."""
+    return F.concat(F.lit(struct.pack("<BII", 1, kind, len(parts))), *parts)
+
+
 def line_points(raw: bytes) -> list[np.ndarray]:
     """The points of each line of a (multi) line."""
     kind, parts, _ = parse_wkb(raw)

@@ -212,6 +212,62 @@ def geodesic_length(spark, sf_dir):
     return g.select("id", F.round(geo.length_spheroid(F.col("g")), 3).alias("metres"))
 
 
+#: Squares of side s with a square hole of side h, and a second square beside; and the centroid that areas give.
+SQUARES = """WITH p AS (SELECT p_partkey AS id, (p_partkey * 37) % 1009 * 1.0::DOUBLE AS x, (p_partkey * 91) % 997 * 1.0::DOUBLE AS y, 4.0::DOUBLE + p_size AS s, 1.0::DOUBLE + p_partkey % 3 AS h FROM part)
+"""
+
+
+def squares(spark, sf_dir) -> DataFrame:
+    p = d.connectors(spark, sf_dir).join(d.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") + 4.0).alias("s"), (F.col("p_partkey") % 3 + 1.0).alias("h")), "id")
+
+    def ring(x, y, side):
+        return [(x, y), (x + side, y), (x + side, y + side), (x, y + side), (x, y)]
+
+    x, y, s, h = (F.col(c) for c in ("x", "y", "s", "h"))
+    holed = geo.polygon_wkb(ring(x, y, s), ring(x + 0.5, y + 0.5, h))
+    return p.select("id", holed.alias("one"), geo.multi_wkb(6, holed, geo.polygon_wkb(ring(x + 100, y, h))).alias("two"))
+
+
+@query(SQUARES + """SELECT id, round((s * s * (x + s / 2) - h * h * (x + 0.5 + h / 2)) / (s * s - h * h), 6) AS cx, round((s * s * (y + s / 2) - h * h * (y + 0.5 + h / 2)) / (s * s - h * h), 6) AS cy FROM p""")
+def polygon_centroid(spark, sf_dir):
+    """A shell and a hole."""
+    g = squares(spark, sf_dir).select("id", geo.centroid_xy(F.col("one")).alias("p"))
+    return g.select("id", F.round("p.x", 6).alias("cx"), F.round("p.y", 6).alias("cy"))
+
+
+@query(SQUARES + """SELECT id, round((s * s * (x + s / 2) - h * h * (x + 0.5 + h / 2) + h * h * (x + 100 + h / 2)) / (s * s), 6) AS cx, round((s * s * (y + s / 2) - h * h * (y + 0.5 + h / 2) + h * h * (y + h / 2)) / (s * s), 6) AS cy FROM p""")
+def multi_polygon_centroid(spark, sf_dir):
+    g = squares(spark, sf_dir).select("id", geo.centroid_xy(F.col("two")).alias("p"))
+    return g.select("id", F.round("p.x", 6).alias("cx"), F.round("p.y", 6).alias("cy"))
+
+
+#: Vincenty's inverse formula, ten steps for every line; lines go in any direction and are far from antipodal.
+VINCENTY = """WITH RECURSIVE p AS (
+    SELECT c_custkey AS id, c_custkey * 53 % 1013 / 1013.0::DOUBLE * 100 - 50 AS lon1, c_custkey * 29 % 991 / 991.0::DOUBLE * 100 - 50 AS lat1, 1 + c_nationkey AS dx, 10 - c_custkey % 21 AS dy FROM customer
+), u AS (SELECT id, radians(dx) AS l, atan((1 - f) * tan(radians(lat1))) AS u1, atan((1 - f) * tan(radians(lat1 + dy))) AS u2, f FROM p, (SELECT 1 / 298.257223563::DOUBLE AS f)),
+v(id, k, l, u1, u2, f, lam) AS (
+    SELECT id, 0, l, u1, u2, f, l FROM u
+    UNION ALL
+    SELECT id, k + 1, l, u1, u2, f, l + (1 - c) * f * sa * (sg + c * ss * (m + c * cs * (2 * m * m - 1)))
+    FROM (SELECT *, f / 16 * q * (4 + f * (4 - 3 * q)) AS c FROM (SELECT *, CASE WHEN q = 0 THEN 0 ELSE cs - 2 * sin(u1) * sin(u2) / q END AS m FROM (SELECT *, 1 - sa * sa AS q FROM (
+        SELECT *, atan2(ss, cs) AS sg, cos(u1) * cos(u2) * sin(lam) / ss AS sa FROM (
+            SELECT *, sqrt(pow(cos(u2) * sin(lam), 2) + pow(cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(lam), 2)) AS ss, sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(lam) AS cs FROM v WHERE k < 10)))))
+), w AS (
+    SELECT *, q * (1 / pow(1 - f, 2) - 1) AS uu, CASE WHEN q = 0 THEN 0 ELSE cs - 2 * sin(u1) * sin(u2) / q END AS m FROM (SELECT *, atan2(ss, cs) AS sg, 1 - pow(cos(u1) * cos(u2) * sin(lam) / ss, 2) AS q FROM (
+        SELECT *, sqrt(pow(cos(u2) * sin(lam), 2) + pow(cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(lam), 2)) AS ss, sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(lam) AS cs FROM v WHERE k = 10))
+), x AS (SELECT *, 1 + uu / 16384 * (4096 + uu * (-768 + uu * (320 - 175 * uu))) AS a, uu / 1024 * (256 + uu * (-128 + uu * (74 - 47 * uu))) AS b FROM w)
+SELECT id, round(6378137 * (1 - f) * a * (sg - b * ss * (m + b / 4 * (cs * (2 * m * m - 1) - b / 6 * m * (4 * ss * ss - 3) * (4 * m * m - 3)))), 3) AS metres FROM x
+"""
+
+
+@query(VINCENTY)
+def oblique_length(spark, sf_dir):
+    """Lines in all directions, each in a multi line."""
+    b = d.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") * 53 % 1013 / 1013 * 100 - 50).alias("lon"), (F.col("c_custkey") * 29 % 991 / 991 * 100 - 50).alias("lat"), (F.col("c_nationkey") + 1).alias("dx"), (10 - F.col("c_custkey") % 21).alias("dy"))
+    g = b.select("id", geo.multi_wkb(5, geo.line_wkb(F.col("lon"), F.col("lat"), F.col("lon") + F.col("dx"), F.col("lat") + F.col("dy"))).alias("g"))
+    return g.select("id", F.round(geo.length_spheroid(F.col("g")), 3).alias("metres"))
+
+
 # Nearest joins
 
 

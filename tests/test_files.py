@@ -36,6 +36,48 @@ def test_centroids():
     assert geo.centroid(polygon(ring((1, 1), (3, 1), (1, 1)))) == pytest.approx((2.0, 1.0))  # no area: its line counts
 
 
+def some_geometry(rnd, depth=2, kind=None):
+    """Any kind, byte order and number of dimensions, with empty parts."""
+    o, dims = rnd.choice("<>"), rnd.choice([2, 2, 3, 4])
+    kind = kind or rnd.randint(1, 7 if depth else 3)
+    head = struct.pack(o + "BI", o == "<", kind + {2: 0, 3: 1000, 4: 3000}[dims])
+
+    def points(n, closed=False):
+        p = [[rnd.uniform(-5, 5) for _ in range(dims)] for _ in range(n)]
+        p += p[:1] if closed else []
+        return struct.pack(o + "I", len(p)) + b"".join(struct.pack(o + "d" * dims, *q) for q in p)
+
+    if kind == 1:
+        return head + struct.pack(o + "d" * dims, *([float("nan")] * dims if rnd.random() < 0.1 else [rnd.uniform(-5, 5) for _ in range(dims)]))
+    if kind == 2:
+        return head + points(rnd.randint(0, 5))
+    n = rnd.randint(0, 3)
+    parts = [points(rnd.choice([0, 1, 2, 3, 6]), True) for _ in range(n)] if kind == 3 else [some_geometry(rnd, depth - 1, {4: 1, 5: 2, 6: 3}.get(kind)) for _ in range(n)]
+    return head + struct.pack(o + "I", n) + b"".join(parts)
+
+
+def test_columns_of_geometries_are_rows_of_them():
+    import random
+
+    import pyarrow as pa
+
+    from streetloom.functions import wkb
+
+    rnd = random.Random(4)
+    rows = [None if rnd.random() < 0.05 else some_geometry(rnd) for _ in range(1500)]
+    for column, want in ((pa.array(rows, pa.binary()), rows), (pa.array(rows, pa.large_binary()).slice(7), rows[7:]), (pa.array([None, b""], pa.binary()), [None, None]), (pa.array([], pa.binary()), [])):
+        got = wkb.centroids(column).to_pylist()
+        assert len(got) == len(want)
+        for g, raw in zip(got, want, strict=True):
+            w = geo.centroid(raw)
+            assert (w is None) == (g is None) and (w is None or (g["x"], g["y"]) == pytest.approx(w, rel=1e-6, abs=1e-6))
+    lines = [geo.lines_wkb([np.array([[rnd.uniform(-9, 9), rnd.uniform(-9, 9)] for _ in range(rnd.randint(0, 4))]) .reshape(-1, 2) for _ in range(rnd.randint(0, 3))]) for _ in range(200)]
+    for order in ("xy", "yx"):
+        assert wkb.lengths(pa.array(lines, pa.binary()), geo.geodesic, order == "yx").to_pylist() == pytest.approx([geo.line_length(x, order) for x in lines])
+    with pytest.raises(ValueError):
+        wkb.runs(pa.array([struct.pack("<BI", 1, 99)], pa.binary()))
+
+
 def test_geodesic_known_distances():
     assert float(geo.geodesic(0.0, 0.0, 1.0, 0.0)) == pytest.approx(111319.4908, abs=1e-3)
     assert float(geo.geodesic(0.0, 0.0, 0.0, 1.0)) == pytest.approx(110574.3886, abs=1e-3)
