@@ -158,6 +158,16 @@ def lengths(column: pa.Array, measure, swapped: bool = False) -> pa.Array:
     return pa.array(np.bincount(r.row[of[step]], far, len(column)), mask=~column.is_valid().to_numpy(zero_copy_only=False))
 
 
+def boxes(column: pa.Array) -> np.ndarray:
+    """(west, east, south, north) of each geometry; NaN for null and empty ones."""
+    r = runs(column)
+    row = r.row[r.of]
+    out = np.full((len(column), 4), np.nan)
+    for k, (values, least) in enumerate(((r.x, np.fmin), (r.x, np.fmax), (r.y, np.fmin), (r.y, np.fmax))):
+        least.at(out[:, k], row, values)
+    return out
+
+
 def encoded(head: bytes, coordinates: list[pa.Array]) -> pa.Array:
     """head and the coordinates as little-endian doubles, a row at a time; null where one is null."""
     n, wide = len(coordinates[0]), len(head) + 8 * len(coordinates)

@@ -13,6 +13,7 @@ from ..operators import cluster, nearest, routing, search, steiner, traverse
 from ..operators.components import connected_components
 from ..operators.graph import FULL_WEIGHT, Graph, exploded_refs, faults
 from ..sources.files import inside_box, read_connectors, read_id_list, read_roads, road_segments, stringify_complex, write_csv
+from ..sources.geopackage import read_geopackage, write_geopackage
 from ..sources.geoparquet import SRID, read_geoparquet, srid_of, write_geoparquet
 from ..storage import shared_dir, written
 from . import derived as d
@@ -135,6 +136,17 @@ def geoparquet_round_trip(spark, sf_dir):
     return got.select("id", F.lit(srid_of(got)).alias("srid"), geo.centroid_xy(F.col("geometry")).alias("p")).select("id", "srid", F.col("p.x").alias("px"), F.col("p.y").alias("py"))
 
 
+@query("SELECT p_partkey AS id, p_name AS name, p_size > 25 AS big, CAST((p_partkey * 37) % 1009 AS DOUBLE) AS px, CAST((p_partkey * 91) % 997 AS DOUBLE) AS py FROM part")
+def geopackage_round_trip(spark, sf_dir):
+    """Points with columns of several types, written by several tasks and read again."""
+    path = _shared_path(spark, "layer").removeprefix("file://") + ".gpkg"
+    names = d.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), (F.col("p_size") > 25).alias("big"))
+    rows = d.connectors(spark, sf_dir).join(names, "id").repartition(4, "id").select("id", "name", "big", geo.point_wkb(F.col("x"), F.col("y")).alias("geometry"))
+    write_geopackage(rows.withMetadata("geometry", {SRID: 3857}), path, "places")
+    got = read_geopackage(spark, path)
+    return got.select("id", "name", "big", geo.centroid_xy(F.col("geometry")).alias("p")).select("id", "name", "big", F.col("p.x").alias("px"), F.col("p.y").alias("py"))
+
+
 @query(f"WITH {SQL} SELECT road_id AS id, max(len) AS length_m, count(*) AS n_refs, string_agg(CAST(connector_id AS VARCHAR), ',' ORDER BY k) AS connectors FROM refs GROUP BY road_id")
 def read_roads_grouped(spark, sf_dir):
     s = road_segments(d.refs(spark, sf_dir))

@@ -148,6 +148,17 @@ def test_geopackage_round_trip(spark, tmp_path):
     a, b = got.orderBy("id").collect()
     assert (a["name"], a["v"], a["ok"], bytes(a["geometry"]), a["m"]) == ("a'é", 2.5, True, polygon(SQUARE), '{"k":[1]}')
     assert (b["name"], b["v"], b["ok"], b["geometry"], b["m"]) == (None,) * 5
+    import sqlite3
+
+    with sqlite3.connect(path) as db:
+        assert db.execute("SELECT min_x, min_y, max_x, max_y, srs_id FROM gpkg_contents").fetchone() == (0.0, 0.0, 4.0, 4.0, 3857)
+        assert db.execute("SELECT minx, maxx, miny, maxy FROM rtree_things_geometry").fetchall() == [(0.0, 4.0, 0.0, 4.0)]
+        (blob,) = db.execute("SELECT geometry FROM things WHERE id = 1").fetchone()
+        assert struct.unpack("<2s2BI4d", blob[:40]) == (b"GP", 0, 3, 3857, 0.0, 4.0, 0.0, 4.0) and blob[40:] == polygon(SQUARE)
+    empty = struct.pack("<BII", 1, 3, 0)
+    many = spark.range(25).selectExpr("id", "CAST(NULL AS binary) AS geometry").unionByName(spark.createDataFrame([(99, bytearray(empty))], "id long, geometry binary")).repartition(5)
+    sources.write_geopackage(many, path)
+    assert sorted((r["id"], r["geometry"] and bytes(r["geometry"])) for r in sources.read_geopackage(spark, path).collect()) == [*((k, None) for k in range(25)), (99, empty)]
     sources.write_geopackage(df.limit(0), path)
     assert sources.read_geopackage(spark, path).count() == 0
     with pytest.raises(Exception):  # noqa: B017
