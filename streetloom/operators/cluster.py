@@ -11,6 +11,10 @@ from .graph import BUILDING, FREE_ACCESS, FULL_WEIGHT, Graph
 from .traverse import frontier_links, nearest_source, shortest
 
 
+#: Buildings in one list of a cluster's members.
+LISTED = 10_000
+
+
 def cluster_buildings(graph: Graph, limit=100.0) -> DataFrame:
     """(node, building_id, cluster_id): buildings chained by road distances of limit or less; access costs nothing.
 
@@ -43,6 +47,13 @@ def cluster_sizes(clusters: DataFrame) -> DataFrame:
     return clusters.groupBy("cluster_id").agg(F.count("*").alias("building_count"))
 
 
+def cluster_members(clusters: DataFrame) -> DataFrame:
+    """(cluster_id, part, members): each cluster's building ids in order of their nodes, in lists of LISTED at most, so that no list grows with the cluster."""
+    ordered = written(clusters.repartitionByRange("cluster_id", "node").sortWithinPartitions("cluster_id", "node").select("cluster_id", "node", "building_id", F.monotonically_increasing_id().alias("row")), "members")
+    lists = ordered.groupBy("cluster_id", F.expr(f"row div {LISTED}").alias("run")).agg(F.transform(F.array_sort(F.collect_list(F.struct("node", "building_id"))), lambda m: m["building_id"]).alias("members"))
+    return lists.select("cluster_id", (F.row_number().over(Window.partitionBy("cluster_id").orderBy("run")) - 1).alias("part"), "members")
+
+
 def cluster_count(clusters: DataFrame) -> DataFrame:
     """The greatest id and one, which is 1 for no clusters."""
     return clusters.agg((F.coalesce(F.max("cluster_id"), F.lit(0)) + 1).cast("long").alias("cluster_count"))

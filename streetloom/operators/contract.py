@@ -28,8 +28,8 @@ class Contracted:
 
 
 def exact(kind: str) -> str:
-    """A type in which sums of weights don't depend on their order."""
-    return "bigint" if kind in ("tinyint", "smallint", "int", "bigint") else "decimal(38,15)"
+    """A type in which sums of weights don't depend on their order; with one digit more, a sum of two would lose its last place."""
+    return "bigint" if kind in ("tinyint", "smallint", "int", "bigint") else "decimal(37,15)"
 
 
 def sound(edges: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from .steiner import both_ways
 from .traverse import closure
 
 #: Most candidates for brute force, most terminals whose closure the driver holds, and most links of a reduced graph there.
-BRUTE_FORCE, CLOSURE, LINKS = 20, 5_000, 5_000_000
+BRUTE_FORCE, CLOSURE, LINKS = 20, 3_000, 5_000_000
 #: Fixed values of the budgeted search: states kept in a round, candidates tried from each.
 BEAM, FANOUT = 24, 32
 
@@ -56,8 +56,14 @@ def distance_matrix(edges: DataFrame, terminals: Sequence) -> np.ndarray:
     out = np.full((len(terminals), len(terminals)), inf)
     for ks in place.values():
         out[np.ix_(ks, ks)] = 0.0
-    for r in closure(edges, named).collect():
-        out[np.ix_(place[r["a"]], place[r["b"]])] = float(r["dist"])
+    # places and distances come as columns, two numbers and a double a pair
+    first = named.sparkSession.createDataFrame([(t, ks[0]) for t, ks in place.items()], f"node {kind}, k int")
+    pairs = closure(edges, named).join(F.broadcast(first.withColumnsRenamed({"node": "a", "k": "i"})), "a").join(F.broadcast(first.withColumnsRenamed({"node": "b", "k": "j"})), "b")
+    found = pairs.select("i", "j", F.col("dist").cast("double").alias("dist")).toArrow()
+    out[found["i"].to_numpy(), found["j"].to_numpy()] = found["dist"].to_numpy()
+    for ks in place.values():  # a terminal that is named twice
+        for k in ks[1:]:
+            out[k, :], out[:, k] = out[ks[0], :], out[:, ks[0]]
     return out
 
 

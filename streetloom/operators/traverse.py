@@ -13,19 +13,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import dropped, written
-from .contract import STEPS, contract, sound
+from .contract import STEPS, Contracted, contract, sound
 
 #: Edges of a node that lie in one piece.
 HEAVY = 100_000
 
 
-def shortest(edges: DataFrame, seeds: DataFrame, limit=None, pinned: bool = False, by: tuple[str, ...] = (), until=None, parents: bool = True) -> DataFrame:
+def shortest(edges: DataFrame, seeds: DataFrame, limit=None, pinned: bool = False, by: tuple[str, ...] = (), until=None, parents: bool = True, over: Contracted | None = None) -> DataFrame:
     """(*by, node, dist, label, hops, parent) from seeds (*by, node, label) along edges (src, dst, w).
 
     Of equal distances the smallest label wins, then fewest hops, then the smallest
     parent. With pinned a seed keeps its own label even where another seed is at
     distance 0. limit bounds distances, inclusively. by separates independent searches. With until, a node, nodes farther than it
-    may be missing. Without parents that column is left out. Weights are summed exactly: whole numbers as such, others with 15 digits after the point.
+    may be missing. Without parents that column is left out. over is a contraction of sound(edges) made before, which must have kept the seeds and until. Weights are summed exactly: whole numbers as such, others with 15 digits after the point.
     """
     kind = dict(edges.dtypes)["w"]
     whole = sound(edges)
@@ -33,7 +33,7 @@ def shortest(edges: DataFrame, seeds: DataFrame, limit=None, pinned: bool = Fals
     keep = seeds.select("node")
     if until is not None:
         keep = keep.unionByName(edges.sparkSession.createDataFrame([(until,)], f"node {dict(seeds.dtypes)['node']}"))
-    parts = contract(whole, keep, limit)
+    parts = over or contract(whole, keep, limit)
     state = _searched(parts.core, seeds, dict(whole.dtypes)["w"], limit, pinned, by, until)
     for links in reversed(parts.links):
         state = state.unionByName(written(_hung(state, links, dict(whole.dtypes)["w"], limit, by), "state"))

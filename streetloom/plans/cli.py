@@ -6,12 +6,13 @@ import argparse
 import logging
 import sys
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.cluster import cluster_count
 from ..operators.graph import build_graph
-from ..sources import extract, read_building_links, read_buildings, read_connectors, read_geopackage, read_geoparquet, read_id_list, read_roads, write_csv, write_geopackage, write_geoparquet, write_parquet
+from ..sources import extract, read_building_links, read_buildings, read_connectors, read_geopackage, read_geoparquet, read_id_list, read_roads, read_sniffed_csv, write_csv, write_geopackage, write_geoparquet, write_parquet
+from ..sources.files import BOX
 from ..sources.geoparquet import srid_of
 from . import pipeline as p
 
@@ -26,8 +27,11 @@ def _session(args) -> SparkSession:
     return builder.getOrCreate()
 
 
-def _report(name: str, df: DataFrame) -> None:
-    log.info("%s: %d rows", name, df.count())
+def _counted(name: str, df: DataFrame, write) -> None:
+    """Write df and report its rows, counted as they are written."""
+    seen = Observation(name)
+    write(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    log.info("%s: %d rows", name, seen.get["rows"])
 
 
 def _any(spark: SparkSession, path: str) -> DataFrame:
@@ -36,21 +40,19 @@ def _any(spark: SparkSession, path: str) -> DataFrame:
 
 def _features(name: str):
     def run(spark: SparkSession, args) -> None:
-        df = extract(spark, args.source, tuple(args.box)).cache()
-        _report(name, df)
-        write_parquet(df, f"{args.data}/{name}.parquet")
-        if args.gpkg:
-            write_geopackage(df, f"{args.data}/{name}.gpkg", name)
+        path = f"{args.data}/{name}.parquet"
+        _counted(name, extract(spark, args.source, tuple(args.box)), lambda df: write_parquet(df, path))
+        if args.gpkg:  # from what was written, so the source is read once
+            write_geopackage(spark.read.parquet(path), f"{args.data}/{name}.gpkg", name)
 
     return run
 
 
 def extract_centroids(spark: SparkSession, args) -> None:
-    df = p.centroids(extract(spark, args.source, tuple(args.box)))
-    _report("centroids", df)
-    write_parquet(df, f"{args.data}/building_centroids.parquet")
+    path = f"{args.data}/building_centroids.parquet"
+    _counted("centroids", p.centroids(extract(spark, args.source, tuple(args.box))), lambda df: write_parquet(df, path))
     if args.gpkg:
-        write_geopackage(df, f"{args.data}/building_centroids.gpkg", "building_centroids")
+        write_geopackage(spark.read.parquet(path), f"{args.data}/building_centroids.gpkg", "building_centroids")
 
 
 def link_buildings(spark: SparkSession, args) -> None:
@@ -84,12 +86,12 @@ def run_graph(spark: SparkSession, args) -> None:
 
 
 def cluster_output(spark: SparkSession, args) -> None:
-    clusters = spark.read.csv(args.clusters, header=True, schema="building_id string, cluster_id long")
+    clusters = read_sniffed_csv(spark, args.clusters, infer=False).select("building_id", F.col("cluster_id").cast("long").alias("cluster_id"))
     write_geopackage(p.with_clusters(_any(spark, args.buildings), clusters), args.output, "clusters")
 
 
 def reduced_output(spark: SparkSession, args) -> None:
-    nodes = spark.read.csv(args.nodes, header=True, inferSchema=True)
+    nodes = read_sniffed_csv(spark, args.nodes)
     write_geopackage(p.reduced_points(nodes), args.output, "reduced_nodes")
 
 
@@ -117,7 +119,7 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument(*names, **options)
 
     one = lambda *names, **options: (names, options)
-    box = one("--box", type=float, nargs=4, default=(-1.4973, 51.5835, -0.9893, 51.8528), metavar=("WEST", "SOUTH", "EAST", "NORTH"))
+    box = one("--box", type=float, nargs=4, default=BOX, metavar=("WEST", "SOUTH", "EAST", "NORTH"))
     source, gpkg = one("--source", required=True, help="parquet glob"), one("--gpkg", action="store_true", help="write a GeoPackage too")
     for name in ("routes", "connectors", "buildings"):
         command(f"extract-{name}", _features(name), source, box, gpkg)

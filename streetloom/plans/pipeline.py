@@ -88,7 +88,8 @@ def with_selection(buildings: DataFrame, selected: DataFrame) -> DataFrame:
 
 
 def tree_segments(segments: DataFrame, ids: DataFrame) -> DataFrame:
-    return segments.join(ids.select(F.col("segment_id").alias("id")), "id", "left_semi")
+    """Whole segments of the tree; an id that is listed twice gives its segment twice, as an inner join does."""
+    return segments.join(ids.select(F.col("segment_id").alias("id")), "id")
 
 
 def reduced_points(nodes: DataFrame) -> DataFrame:

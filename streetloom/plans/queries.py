@@ -12,7 +12,7 @@ from ..functions import geo
 from ..operators import cluster, nearest, routing, search, steiner, traverse
 from ..operators.components import connected_components
 from ..operators.graph import FULL_WEIGHT, Graph, exploded_refs, faults
-from ..sources.files import inside_box, read_connectors, read_id_list, read_roads, road_segments, stringify_complex, write_csv
+from ..sources.files import inside_box, read_connectors, read_id_list, read_roads, read_sniffed_csv, road_segments, stringify_complex, write_csv
 from ..sources.geopackage import read_geopackage, write_geopackage
 from ..sources.geoparquet import SRID, read_geoparquet, srid_of, write_geoparquet
 from ..storage import shared_dir, written
@@ -161,6 +161,26 @@ def road_length_fold(spark, sf_dir):
     return road_segments(rows).select("id", "length_m")
 
 
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS id, o_totalprice AS price FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber <= 2")
+def tree_segments_join(spark, sf_dir):
+    """Segments by listed ids, once for each time that an id is listed."""
+    from .pipeline import tree_segments
+
+    segments = d.table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_totalprice").alias("price"))
+    ids = d.table(spark, sf_dir, "lineitem").filter("l_linenumber <= 2").select(F.col("l_orderkey").cast("string").alias("segment_id"))
+    return tree_segments(segments, ids)
+
+
+@query("SELECT CAST(s_suppkey AS BIGINT) AS key, s_name AS name, s_acctbal AS balance FROM supplier")
+def sniffed_csv(spark, sf_dir):
+    """Semicolons and single quotes, told from the file."""
+    path = _shared_path(spark, "sniffed")
+    rows = d.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
+    rows.write.csv(path, header=True, sep=";", quote="'", quoteAll=True)
+    got = read_sniffed_csv(spark, path)
+    return got.select(F.col("key").cast("long").alias("key"), "name", F.col("balance").cast("double").alias("balance"))
+
+
 # Graph construction
 
 
@@ -437,6 +457,13 @@ def cluster_left_join(spark, sf_dir):
     return with_clusters(b, clusters_of(spark, sf_dir)).drop("id")
 
 
+@query(CLUSTERS + "SELECT cluster_id, count(*) AS building_count, string_agg(building_id, ' ' ORDER BY node) AS members FROM clusters GROUP BY cluster_id")
+def cluster_members(spark, sf_dir):
+    m = cluster.cluster_members(clusters_of(spark, sf_dir)).groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("part", "members"))).alias("parts"))
+    whole = F.flatten("parts.members")
+    return m.select("cluster_id", F.size(whole).cast("long").alias("building_count"), F.array_join(whole, " ").alias("members"))
+
+
 BIG = ", big AS (SELECT cluster_id FROM clusters GROUP BY cluster_id HAVING count(*) >= 3) "
 
 

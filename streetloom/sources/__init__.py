@@ -9,6 +9,7 @@ from .files import (
     read_connectors,
     read_id_list,
     read_roads,
+    read_sniffed_csv,
     road_segments,
     stringify_complex,
     write_csv,
@@ -19,5 +20,5 @@ from .geoparquet import geo_srid, read_geoparquet, write_geoparquet
 
 __all__ = [
     "GeoPackageSource", "extract", "geo_srid", "gpkg_safe", "inside_box", "read_building_links", "read_buildings", "read_connectors", "read_geopackage", "read_geoparquet",
-    "read_id_list", "read_roads", "register", "road_segments", "stringify_complex", "write_csv", "write_geopackage", "write_geoparquet", "write_parquet",
+    "read_id_list", "read_roads", "read_sniffed_csv", "register", "road_segments", "stringify_complex", "write_csv", "write_geopackage", "write_geoparquet", "write_parquet",
 ]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -63,6 +64,34 @@ def read_id_list(spark: SparkSession, path: str | None, inline: Iterable[str] =
     return ids.groupBy(F.col("value").alias("id")).agg(F.min("place").alias("ord"))
 
 
+#: Lines from which a CSV file's dialect is told.
+SNIFFED = 50
+
+
+def read_sniffed_csv(spark: SparkSession, path: str, infer: bool = True) -> DataFrame:
+    """A CSV file whose delimiter, quote and header are told from its first lines, types from all (strings if not infer); without a header columns are column0, column1 and so on."""
+    lines = [r[0] for r in spark.read.text(path).limit(SNIFFED).collect()]
+    sample = "\n".join(lines)
+    try:
+        dialect = csv.Sniffer().sniff(sample, ",;\t|")
+        sep, quote = dialect.delimiter, dialect.quotechar or '"'
+    except csv.Error:  # a single column
+        sep, quote = ",", '"'
+    rows = list(csv.reader(lines, delimiter=sep, quotechar=quote))
+    # a header has no empty or numeric name, and no name twice
+    header = bool(rows) and len(set(rows[0])) == len(rows[0]) and not any(c.strip() == "" or _number(c) for c in rows[0])
+    df = spark.read.csv(path, sep=sep, quote=quote, header=header, inferSchema=infer)
+    return df if header else df.toDF(*(f"column{k}" for k in range(len(df.columns))))
+
+
+def _number(text: str) -> bool:
+    try:
+        float(text)
+    except ValueError:
+        return False
+    return True
+
+
 def inside_box(box: tuple[float, float, float, float] = BOX, bbox: str = "bbox") -> Column:
     """Whether a feature's bounding box lies strictly inside; pushed down to parquet."""
     west, south, east, north = box

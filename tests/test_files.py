@@ -125,6 +125,19 @@ def test_rows_keep_the_order_of_files(spark, tmp_path):
     assert [c["connector_id"] for c in r["connectors"]] == ["c0", "c1"] and r["length_m"] == 7.0
 
 
+def test_sniffed_csv(spark, tmp_path):
+    def got(text, **o):
+        (tmp_path / "x.csv").write_text(text)
+        df = sources.read_sniffed_csv(spark, str(tmp_path / "x.csv"), **o)
+        return df.columns, [tuple(r) for r in df.collect()]
+
+    assert got("building_id;cluster_id\n007;1\n'a;b';2\n", infer=False) == (["building_id", "cluster_id"], [("007", "1"), ("a;b", "2")])
+    assert got("x\ty\n1\t2.5\n") == (["x", "y"], [(1, 2.5)])
+    assert got("1,2\n3,4\n") == (["column0", "column1"], [(1, 2), (3, 4)])
+    assert got("segment_id\ns1\ns2\n") == (["segment_id"], [("s1",), ("s2",)])
+    assert got("a|b\n") == (["a", "b"], [])
+
+
 def test_unknown_reference_systems(spark, tmp_path):
     entry = lambda **c: '{"columns": {"geometry": %s}}' % __import__("json").dumps(c)
     assert sources.geo_srid(None) == sources.geo_srid(entry(encoding="WKB")) == 4326

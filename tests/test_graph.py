@@ -123,6 +123,17 @@ def test_reduced_graph_counts_access(spark):
     assert {r["node"]: r["cluster_id"] for r in near.collect()}["c:c2"] == 0
 
 
+def test_members_come_in_bounded_lists(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "LISTED", 3)
+    rows = [(f"b:{k:02}", f"{k:02}", k % 2 if k < 4 else 2) for k in range(24)]
+    lists = cluster.cluster_members(spark.createDataFrame(rows, "node string, building_id string, cluster_id long")).orderBy("cluster_id", "part").collect()
+    got = {}
+    for r in lists:
+        assert len(r["members"]) <= 3 and r["part"] == len(got.setdefault(r["cluster_id"], []))
+        got[r["cluster_id"]].append(r["members"])
+    assert {c: sum(m, []) for c, m in got.items()} == {c: [b for _, b, d in rows if d == c] for c in range(3)}
+
+
 def dijkstra(adj, sources, limit=inf):
     dist, heap = dict.fromkeys(sources, 0), [(0, s) for s in sources]
     heapq.heapify(heap)
@@ -258,6 +269,32 @@ def test_sources_and_tree(spark):
     assert routing.road_tree(g, ["b:b1"]).count() == 0
 
 
+def test_road_tree_against_plain_paths(spark):
+    """Streets of many pieces, dead ends, and hubs within them; all lengths differ by powers of two, so there is one shortest way each."""
+    rnd = random.Random(21)
+    ways, names = town(rnd, streets=9, length=6, ends=8)
+    ways = list({(min(a, b), max(a, b)): (a, b) for a, b, _ in ways if a != b and "far" not in a and a[0] != "r"}.values())
+    length = {frozenset(w): 1.0 + 2.0 ** -(k + 1) for k, w in enumerate(rnd.sample(ways, len(ways)))} if len(ways) < 45 else {frozenset(w): rnd.uniform(1, 2) for w in ways}
+    g = make(spark, [(f"r{k}", length[frozenset(w)], [(w[0], 0.0), (w[1], 1.0)]) for k, w in enumerate(ways)], [(n, 0.0, 0.0) for n in {x for w in ways for x in w}])
+    near = {}
+    for a, b in ways:
+        near.setdefault(a, []).append((b, length[frozenset((a, b))]))
+        near.setdefault(b, []).append((a, length[frozenset((a, b))]))
+    reach = dijkstra(near, [ways[0][0]])
+    hubs = rnd.sample(sorted(reach), 3)
+    tree, want = {hubs[0]}, set()
+    for h in hubs[1:]:
+        dist = dijkstra(near, sorted(tree))
+        at = h
+        while at not in tree:
+            up = min((dist[v] + w, v) for v, w in near[at] if v in dist)[1]
+            want.add(frozenset((at, up)))
+            tree.add(at)
+            at = up
+    got = {frozenset(ways[int(r["segment_id"][1:])]) for r in routing.road_tree(g, [f"c:{h}" for h in hubs]).collect()}
+    assert got == want
+
+
 def test_nearest(spark):
     rnd = random.Random(3)
     left = [(f"b{k}", rnd.uniform(0, 50) if k else 5000.0, rnd.uniform(0, 50)) for k in range(80)] + [("tie", 0.5, -3.0), ("null", None, 1.0), ("nan", math.nan, 1.0)]
