@@ -8,6 +8,7 @@ one another while they take out a share worth a pass; trees are gone after a log
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -32,6 +33,13 @@ def exact(kind: str) -> str:
     return "bigint" if kind in ("tinyint", "smallint", "int", "bigint") else "decimal(37,15)"
 
 
+def bound(limit, kind: str) -> str | None:
+    """A limit of distances as SQL of an exact type; none for none and infinity."""
+    if limit is None or limit == math.inf:
+        return None
+    return f"CAST('{math.floor(limit) if kind == 'bigint' else limit}' AS {kind})"
+
+
 def sound(edges: DataFrame) -> DataFrame:
     """Edges (src, dst, w) with exact weights; loops, and weights that no path can have (null, infinite, NaN), are left out."""
     kind = dict(edges.dtypes)["w"]
@@ -80,10 +88,10 @@ def _least(arcs: DataFrame, end: str) -> DataFrame:
 def _walked(arcs: DataFrame, thin: DataFrame, kind: str, limit) -> DataFrame:
     """(src, to, next, dead, inner, f, r): arcs followed through chains to where they end; inner ones begin at a node that goes, dead ones end at a dead end."""
     way = f"struct<w:{kind},h:bigint>"
-    most = None if limit is None else F.lit(limit).cast(kind)
+    most = bound(limit, kind)
 
     def short(c: Column) -> Column:
-        return c if most is None else F.when(c["w"] <= most, c)
+        return c if most is None else F.when(c["w"] <= F.expr(most), c)
 
     def both(a: Column, b: Column) -> Column:
         total = F.struct((a["w"] + b["w"]).cast(kind).alias("w"), (a["h"] + b["h"]).alias("h")).cast(way)
@@ -94,8 +102,8 @@ def _walked(arcs: DataFrame, thin: DataFrame, kind: str, limit) -> DataFrame:
     onward = F.when(F.col("n2") == 2, F.when(F.col("lo") == F.col("src"), F.col("hi")).otherwise(F.col("lo")))
     first = tagged.select("src", "dst", F.col("dst").alias("to"), onward.alias("next"), (F.coalesce("n2", F.lit(0)) == 1).alias("dead"), F.coalesce("inner", F.lit(False)).alias("inner"), short(F.col("f")).alias("f"), short(F.col("r")).alias("r"))
     walks = written(first, "walks")
-    bound, reach = 2 * thin.count() + 2, 1
-    while reach < bound and not walks.filter("next IS NOT NULL").isEmpty():
+    longest, reach = 2 * thin.count() + 2, 1
+    while reach < longest and not walks.filter("next IS NOT NULL").isEmpty():
         reach *= 2
         over = walks.filter("inner").select(F.col("src").alias("to"), F.col("dst").alias("next"), F.col("to").alias("to2"), F.col("next").alias("next2"), F.col("dead").alias("dead2"), F.col("f").alias("f2"), F.col("r").alias("r2"))
         jumped = walks.filter("next IS NOT NULL").join(over, ["to", "next"]).select("src", "dst", F.col("to2").alias("to"), F.col("next2").alias("next"), F.col("dead2").alias("dead"), "inner", both(F.col("f"), F.col("f2")).alias("f"), both(F.col("r2"), F.col("r")).alias("r"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import dropped, written
-from .contract import STEPS, Contracted, contract, sound
+from .contract import STEPS, Contracted, bound, contract, sound
 
 #: Edges of a node that lie in one piece.
 HEAVY = 100_000
@@ -83,7 +83,7 @@ def _searched(core: DataFrame, seeds: DataFrame, kind: str, limit, pinned: bool,
 
     spark = state.sparkSession
     while True:
-        bounds = [f"CAST('{limit}' AS {kind})"] if limit is not None else []
+        bounds = [b for b in [bound(limit, kind)] if b]
         if until is not None:
             bounds += [f"CAST('{r[0]}' AS {kind})" for r in state.filter(F.col("node") == F.lit(until)).agg(F.max("dist").alias("d")).filter("d IS NOT NULL").collect()]
         steps = STEPS if heavy is None else 1
@@ -105,8 +105,8 @@ def _hung(state: DataFrame, links: DataFrame, kind: str, limit, by: tuple[str, .
     ways = links.select(F.col("node").alias("inner"), F.col("via").alias("node"), "w", "h")
     best = F.struct((F.col("dist") + F.col("w")).cast(kind).alias("dist"), "label", (F.col("hops") + F.col("h")).alias("hops"))
     found = state.join(ways, "node").select(*by, F.col("inner").alias("node"), best.alias("best"))
-    if limit is not None:
-        found = found.filter(F.col("best.dist") <= F.lit(limit).cast(kind))
+    if most := bound(limit, kind):
+        found = found.filter(F.col("best.dist") <= F.expr(most))
     return found.groupBy(*by, "node").agg(F.min("best").alias("best")).select(*by, "node", "best.*")
 
 
