@@ -2,13 +2,14 @@
 
 Base kinds are fixed patterns. Beyond them every long run of key-like
 characters that mixes letters and digits at high entropy is a candidate. All
-candidates' hashes are looked up by owner over the whole corpus: what several
-owners hold is a widely copied example, what one owner holds, in however many
-documents, looks like a live credential. Candidates of the second sort become
-spans of the kind ``owned``.
+candidates' hashes are counted by distinct owners and repositories (an owner's
+distinct texts) over the whole corpus: what several owners hold is a widely
+copied example, what one owner holds, in however many repositories, looks like
+a live credential. Candidates of the second sort become spans of the kind
+``owned``.
 
 Null and empty texts hold nothing; a null owner counts as one more owner;
-repeated rows are reported each. Offsets are code points. A text is scanned as a
+repeated rows are reported each and make one repository. Offsets are code points. A text is scanned as a
 whole, however long. Other columns are passed on as they are.
 """
 
@@ -111,35 +112,56 @@ def scan(text: str) -> list[tuple[int, int, int, int, str]]:
 SPAN = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("hash", pa.int64())])
 
 
+#: Pieces that the rows of one value are dealt in where they meet its counts, so that a value in a third of all documents isn't one task's.
+PIECES = 128
+
+
+def ownership(values: DataFrame) -> DataFrame:
+    """(hash, owners, repos) of values (owner, repo, hash): how many distinct owners hold a value, and in how many distinct repositories.
+
+    A repository is one owner's text, so copies of it count once. Repositories are made distinct first, which
+    spreads a value that many hold, and counted by owner before values meet; each step combines before it shuffles.
+    """
+    repos = values.select("hash", "owner", "repo").distinct()
+    held = repos.groupBy("hash", "owner").agg(F.count("*").alias("n"))
+    return held.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("n").alias("repos"))
+
+
 def find_secrets(docs: DataFrame, owner: str = "source", id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The id, base (spans of base kinds), spans (all), and of the candidates: live and copied, how many there are of each; a span is (start, kind, end, hash of the value)."""
+    """The id, base (spans of base kinds), spans (all), and of the candidates: live and copied, how many there are of each.
+
+    A span is (start, kind, end, hash of the value, owners, repos), the last two as ownership() counts them; a candidate with one owner is live.
+    """
     prepare(docs.sparkSession)
-    source = docs.select(F.col(id).alias("id"), F.xxhash64(owner).alias("owner"), blank(text).alias("text"))
+    source = docs.select(F.col(id).alias("id"), F.xxhash64(owner).alias("owner"), F.xxhash64(blank(text)).alias("repo"), blank(text).alias("text"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it, 4 << 20):
-            col = b.column(2)
+            col = b.column(3)
             data, offsets = text_buffer(col)
             spans: list[list] = [[]] * b.num_rows
             for k in np.flatnonzero(_likely(data, offsets)).tolist():
                 spans[k] = [{"start": s, "kind": kind, "end": e, "hash": xxhash.xxh64_intdigest(v.encode()) - 2**63} for s, kind, e, v in scan(col[k].as_py())]
-            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(spans, pa.list_(SPAN))], ["id", "owner", "found"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(spans, pa.list_(SPAN))], ["id", "owner", "repo", "found"])
 
     span = "struct<start long, kind int, end long, hash long>"
-    scanned = source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, owner long, found array<{span}>")
+    scanned = source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, owner long, repo long, found array<{span}>")
     scanned = written(scanned.withColumn("row", F.monotonically_increasing_id()), "scanned")
-    # one row for each value in a document; the least and greatest owner tell whether there is one, so a value copied everywhere stays a few rows
-    values = scanned.filter(F.size("found") > 0).select("row", "owner", F.explode(F.array_distinct(F.col("found.hash"))).alias("hash"))
-    owned = values.groupBy("hash").agg(F.min("owner").alias("least"), F.max("owner").alias("most"))
-    live = written(owned.filter("least = most").select("hash"), "live")
-    mine = values.select("row", "hash").join(live, "hash").groupBy("row").agg(F.collect_set("hash").alias("__live"))
-    got = scanned.join(mine, "row", "left").withColumn("__live", F.coalesce("__live", F.array().cast("array<long>")))
+    found = scanned.select("row", "owner", "repo", F.inline("found")).withColumn("piece", F.pmod(F.xxhash64("row"), F.lit(PIECES)))
+    # a value's counts go to those of its pieces that exist: one for most values, PIECES for one that everybody holds
+    counts = found.select("hash", "piece").distinct().join(ownership(found), "hash")
+    met = found.join(written(counts, "ownership"), ["hash", "piece"])
+    spans = met.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "hash", "owners", "repos"))).alias("all"))
+    none = F.array().cast(spans.schema["all"].dataType)
+    got = scanned.select("row", "id").join(spans, "row", "left").withColumn("all", F.coalesce("all", none))
     return got.select(
         "id",
-        F.filter("found", lambda s: s["kind"] < 3).alias("base"),
-        F.array_sort(F.filter("found", lambda s: (s["kind"] < 3) | F.array_contains("__live", s["hash"]))).alias("spans"),
-        F.size(F.filter("found", lambda s: F.array_contains("__live", s["hash"]))).cast("long").alias("live"),
-        F.size(F.filter("found", lambda s: ~F.array_contains("__live", s["hash"]))).cast("long").alias("copied"),
+        F.filter("all", lambda s: s["kind"] < 3).alias("base"),
+        F.filter("all", lambda s: (s["kind"] < 3) | (s["owners"] == 1)).alias("spans"),
+        F.size(F.filter("all", lambda s: s["owners"] == 1)).cast("long").alias("live"),
+        F.size(F.filter("all", lambda s: s["owners"] > 1)).cast("long").alias("copied"),
+        F.coalesce(F.array_max(F.transform("all", lambda s: s["owners"])), F.lit(0)).cast("long").alias("owners"),
+        F.coalesce(F.array_max(F.transform("all", lambda s: s["repos"])), F.lit(0)).cast("long").alias("repos"),
     )
 
 
@@ -209,4 +231,4 @@ def op3_secret_scan(spark, sf_dir: str) -> DataFrame:
     """Secrets of every document, with the owner-specific candidates among the spans; see the module for nulls and repeated rows."""
     got = find_secrets(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
-    return got.select(F.col("id").alias("doc_id"), count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(named("base").cast("binary"), 256).alias("base_sha256"), named("spans").alias("spans"), F.col("live").alias("n_live"), F.col("copied").alias("n_copied"))
+    return got.select(F.col("id").alias("doc_id"), count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(named("base").cast("binary"), 256).alias("base_sha256"), named("spans").alias("spans"), F.col("live").alias("n_live"), F.col("copied").alias("n_copied"), F.col("owners").alias("max_owners"), F.col("repos").alias("max_repositories"))
