@@ -550,7 +550,19 @@ def spanning_tree_size(spark, sf_dir):
     return steiner.spanning_tree(links).agg(F.count("*").alias("joined"))
 
 
-@query()
+#: Every cluster is a terminal, so the tree of their distances weighs what the links' own tree does; grown a cluster at a time from the least.
+REDUCED_PRIM = """, ways AS (SELECT a, b, dist FROM links UNION ALL SELECT b, a, dist FROM links), ids AS (SELECT DISTINCT cluster_id FROM clusters),
+prim(k, done, total) AS (
+    SELECT 1, [(SELECT min(cluster_id) FROM ids)], CAST(0 AS DOUBLE)
+    UNION ALL
+    SELECT k + 1, list_append(done, best.n), total + best.w
+    FROM (SELECT k, done, total, (SELECT min({'w': CAST(dist AS DOUBLE), 'n': b}) FROM ways WHERE list_contains(done, a) AND NOT list_contains(done, b)) AS best FROM prim)
+    WHERE best IS NOT NULL)
+SELECT CASE WHEN (SELECT count(*) FROM ids) < 2 THEN 0.0 WHEN max(k) < (SELECT count(*) FROM ids) THEN CAST('inf' AS DOUBLE) ELSE max(total) END AS tree_weight FROM prim
+"""
+
+
+@query(LINKS + REDUCED_PRIM)
 def reduced_steiner(spark, sf_dir):
     nodes, links = reduced(spark, sf_dir)
     return steiner.reduced_steiner_weight(links, nodes.select(F.col("cluster_id").alias("node")))
@@ -662,7 +674,30 @@ def cluster_hubs(spark, sf_dir):
     return routing.hubs(clusters_of(spark, sf_dir))
 
 
-@query()
+#: One hub after another: distances from the tree so far, then the way back by nearer neighbours, the smallest of several.
+JOINED = """, v{k}(node, dist, hops) USING KEY (node) AS (
+    SELECT node, CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM tree{before}
+    UNION
+    SELECT o.dst, o.best.d, o.best.h FROM (SELECT u.dst, min({{'d': v.dist + u.w, 'h': v.hops + 1}}) AS best FROM v{k} v JOIN und u ON u.src = v.node GROUP BY u.dst) o LEFT JOIN recurring.v{k} r ON r.node = o.dst
+    WHERE r.dist IS NULL OR o.best.d < r.dist OR (o.best.d = r.dist AND o.best.h < r.hops)),
+way{k}(src, dst) AS (
+    SELECT CAST(NULL AS VARCHAR), h.node FROM hubs h JOIN v{k} USING (node) WHERE h.n = {k}
+    UNION ALL
+    SELECT w.dst, (SELECT min(u.src) FROM und u JOIN v{k} a ON a.node = u.src JOIN v{k} b ON b.node = u.dst WHERE u.dst = w.dst AND a.dist + u.w = b.dist AND a.hops + 1 = b.hops) AS up FROM way{k} w WHERE up IS NOT NULL),
+tree{k} AS (SELECT node FROM tree{before} UNION SELECT dst FROM way{k})"""
+
+
+def road_tree_sql(starts: str, hubs: int) -> str:
+    """The roads of the ways that join so many hubs, by their cheapest edge of each step: a road before an access, then the smallest segment."""
+    ways = "".join(JOINED.format(k=k, before=k - 1) for k in range(1, hubs))
+    steps = " UNION ".join(f"SELECT least(src, dst) AS a, greatest(src, dst) AS b FROM way{k} WHERE src IS NOT NULL" for k in range(1, hubs))
+    return on_graph(f""", hubs AS (SELECT node, row_number() OVER (ORDER BY length(node), node) - 1 AS n FROM ({starts})), tree0 AS (SELECT node FROM hubs WHERE n = 0){ways},
+    steps AS ({steps}), best AS (
+        SELECT a, b, min({{'w': length_m, 'k': CASE kind WHEN 'road' THEN 0 ELSE 1 END, 's': segment_id}}) AS e FROM steps JOIN edges ON a = least(src, dst) AND b = greatest(src, dst) GROUP BY a, b)
+    SELECT DISTINCT e.s AS segment_id FROM best WHERE e.k = 0""")
+
+
+@query(road_tree_sql(REGIONS, 5))
 def routing_tree(spark, sf_dir):
     """The road tree that joins the regions' connectors."""
     return routing.road_tree(d.graph(spark, sf_dir), listed(regions(spark, sf_dir)))
