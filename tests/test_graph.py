@@ -532,3 +532,66 @@ def test_budgeted_search_against_a_plain_one(spark):
             near.setdefault(b, []).append((a, w))
         weight = mst(list(chosen), {a: dijkstra(near, [a]) for a in chosen})
         assert got["tree_weight"] == pytest.approx(weight) or isinf(weight) and isinf(got["tree_weight"])
+
+
+def plain_greedy(dist, sizes=None, stop=False):
+    """(picked, weight) a step: every candidate's whole tree is weighed anew; the last in the list takes a picked one's place."""
+    left, picked, before, out = list(range(len(dist))), [], 0.0, []
+    while left:
+        weight = [mst([*picked, c], dist) for c in left]
+        score = weight if sizes is None else [(w - before) / sizes[c] for w, c in zip(weight, left, strict=True)]
+        usable = [k for k in range(len(left)) if not stop or not isinf(score[k])]
+        if not usable:
+            break
+        k = min(usable, key=lambda k: score[k])
+        before = weight[k]
+        picked = [*picked, left[k]]
+        left[k] = left[-1]
+        left.pop()
+        out.append((picked, before))
+    return out
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_greedy_fronts_against_plain_ones(spark, seed):
+    rnd = random.Random(seed)
+    n = 24
+    tree = [(rnd.randrange(k), k) for k in range(1, n)]
+    more = [tuple(sorted(rnd.sample(range(n), 2))) for _ in range(20)]
+    length = {p: float(rnd.randint(1, 500)) for p in [*tree, *more]}  # whole: a cluster on a way that is there adds nothing, exactly
+    near = {}
+    for (a, b), w in length.items():
+        near.setdefault(a, []).append((b, w))
+        near.setdefault(b, []).append((a, w))
+    dist = {a: dijkstra(near, [a]) for a in range(n)}
+
+    # candidates in an order of their own
+    order = rnd.sample(range(n), 11)
+    edges = spark.createDataFrame([(a, b, w) for a in near for b, w in near[a]], "src int, dst int, w double")
+    got = [(r["selected"], r["tree_weight"]) for r in search.greedy_pareto(edges, order).orderBy("step").collect()]
+    want = plain_greedy({i: {j: dist[a].get(b, inf) for j, b in enumerate(order)} for i, a in enumerate(order)})
+    assert [s for s, _ in got] == [[order[i] for i in p] for p, _ in want]
+    assert [w for _, w in got] == pytest.approx([w for _, w in want])
+
+    # a reduced graph with two clusters that nothing reaches
+    sizes = [rnd.randint(1, 9) for _ in range(n + 2)]
+    links = [(a, b, w) for (a, b), w in length.items()] + [(n, n + 1, 5.0)]
+    reach = {**dist, n: {n: 0, n + 1: 5.0}, n + 1: {n: 5.0, n + 1: 0}}
+    got = [(r["selected"], r["total_buildings"], r["tree_weight"]) for r in search.greedy_reduced_pareto(*reduced(spark, sizes, links)).orderBy("step").collect()]
+    want = plain_greedy(reach, sizes, stop=True)
+    assert [(s, b) for s, b, _ in got] == [(p, sum(sizes[i] for i in p)) for p, _ in want] and len(got) == n
+    assert [w for *_, w in got] == pytest.approx([w for _, w in want])
+
+    # clusters, each with its buildings beside their hub
+    connectors = [(f"{k:02}", 0.0, 0.0) for k in range(n)]
+    roads = [(f"r{a}-{b}", w, [(f"{a:02}", 0.0), (f"{b:02}", 1.0)]) for (a, b), w in length.items()]
+    houses = [(k, i) for k in rnd.sample(range(n), 9) for i in range(rnd.randint(1, 4))]
+    far = {k: float(rnd.randint(1, 30)) for k, _ in houses}
+    g = make(spark, roads, connectors, [(f"{k:02}-{i}", 0.0, 0.0) for k, i in houses], [(f"{k:02}-{i}", f"{k:02}", far[k]) for k, i in houses])
+    clusters = spark.createDataFrame([(f"b:{k:02}-{i}", f"{k:02}-{i}", k) for k, i in houses], "node string, building_id string, cluster_id long")
+    ids = sorted(far)
+    apart = {i: {j: dist[a][b] + far[a] + far[b] for j, b in enumerate(ids) if a != b} for i, a in enumerate(ids)}
+    want = plain_greedy(apart, [sum(k == c for k, _ in houses) for c in ids])
+    got = [(r["selected"], r["tree_weight"]) for r in search.greedy_cluster_pareto(g, clusters).orderBy("step").collect()]
+    assert [s for s, _ in got] == [[ids[i] for i in p] for p, _ in want]
+    assert [w for _, w in got] == pytest.approx([w for _, w in want])
