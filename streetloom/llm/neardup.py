@@ -7,6 +7,10 @@ neighbouring cells that lie nearest. Vectors that meet are verified by cosine
 in double precision, and links become components. The number of blocks follows
 the number of vectors, so that a cell's expected occupancy doesn't grow.
 
+What travels to the cells isn't the vector but its direction in 16 bits a component, whose
+error is bounded: a pair that it certifies is a link, one that it rules out is none, and the few pairs within the error
+that no certain link joins yet are compared by the vectors themselves afterwards.
+
 Cells are counted first. One that holds more than a bounded number of entries,
 be it a dense region or the neighbour of one, is cut into pieces of owners and
 pieces of entries that meet in tasks of their own, so no cell is one task's work.
@@ -30,6 +34,7 @@ from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +57,8 @@ TILE, STRIP, BUCKET = 4_096, 512, 10_000
 #: Entries of one cell that are compared in one piece; the owners and the entries of a fuller cell are cut into pieces
 #: of about this size, and every piece of owners meets every piece of entries.
 CROWD = 4_096
+#: Components of a direction are whole numbers of this part of one, in 16 bits.
+GRAIN = 32_767
 
 
 @lru_cache(1)
@@ -158,41 +165,61 @@ def _sizes(blocks: int):
     return run
 
 
+def coarse(unit: np.ndarray) -> pa.Array:
+    """Unit vectors as 16 bits a component."""
+    width = 2 * unit.shape[1]
+    offsets = np.arange(len(unit) + 1) * width
+    return pa.Array.from_buffers(pa.binary(), len(unit), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.rint(unit * GRAIN).astype("<i2").tobytes())])
+
+
+def slack(dim: int) -> float:
+    """How far a product of two coarse vectors may be off: each is off by half a grain a component at most, and single precision adds its own."""
+    off = np.sqrt(dim) / 2 / GRAIN
+    return 2 * off + off * off + dim * 2.0**-22
+
+
 def _listed(blocks: int):
+    """key, own, rep, h and v, the coarse vector, of every entry."""
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            ids, col = b.column(0).to_numpy(), b.column(1)
+            ids, hashes, col = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2)
             for keys, own, who in _entries(col, blocks):
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(own), pa.array(ids[who]), col.take(pa.array(who))], ["key", "own", "rep", "v"])
+                rows = np.unique(who)
+                small = coarse(units(_matrix(col, rows)))
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(own), pa.array(ids[who]), pa.array(hashes[who]), small.take(pa.array(np.searchsorted(rows, who)))], ["key", "own", "rep", "h", "v"])
 
     return run
 
 
 def _dealt(listed: DataFrame, crowds: DataFrame) -> DataFrame:
-    """key, own, asks, rep and v: entries of crowded cells under a key for each pair of a piece of owners and a piece of entries."""
+    """key, own, asks, rep, h and v: entries of crowded cells under a key for each pair of a piece of owners and a piece of entries."""
     x = listed.join(crowds, "key", "left").filter("owners IS NULL OR owners > 0")  # without owners nothing is met
-    i, j = F.pmod(F.xxhash64("v"), F.col("owners")), F.pmod(F.xxhash64("v", F.lit(1)), F.col("entries"))
+    i, j = F.pmod(F.xxhash64("h"), F.col("owners")), F.pmod(F.xxhash64("h", F.lit(1)), F.col("entries"))
     place = lambda i, j, own: F.struct(F.xxhash64("key", i, j).alias("key"), F.lit(own).alias("own"), F.lit(not own).alias("asks"))
     up_to = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     asking = F.transform(up_to("owners"), lambda k: place(k, j, False))
     owning = F.when(F.col("own"), F.transform(up_to("entries"), lambda k: place(i, k, True))).otherwise(F.array().cast("array<struct<key:bigint,own:boolean,asks:boolean>>"))
     plain = F.array(F.struct("key", "own", F.lit(True).alias("asks")))
-    return x.select(F.explode(F.when(F.col("owners").isNull(), plain).otherwise(F.concat(asking, owning))).alias("at"), "rep", "v").select("at.key", "at.own", "at.asks", "rep", "v")
+    return x.select(F.explode(F.when(F.col("owners").isNull(), plain).otherwise(F.concat(asking, owning))).alias("at"), "rep", "h", "v").select("at.key", "at.own", "at.asks", "rep", "h", "v")
 
 
 def _met(least: float):
-    """Links among the rows of a bucket of cells; for each vector, the smallest one it is joined to."""
+    """Links among the rows of a bucket of cells: for each vector the smallest one it is joined to, and as (ha, hb) the pairs of vectors that have to be compared exactly."""
 
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         col = t.column("v").combine_chunks()
-        lengths = col.value_lengths().to_numpy()
-        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for dim in np.unique(lengths):
-            rows = np.flatnonzero(lengths == dim)
-            key, own, asks, rep = (t.column(c).to_numpy()[rows] for c in ("key", "own", "asks", "rep"))
-            unit = units(_matrix(col, rows))
-            rough = unit.astype(np.float32)
+        lengths = pc.binary_length(col).to_numpy()
+        nothing = np.zeros(0, np.int64)
+        sure_a, sure_b, open_a, open_b, open_ha, open_hb = ([nothing] for _ in range(6))
+        for wide in np.unique(lengths):
+            rows = np.flatnonzero(lengths == wide)
+            key, own, asks, rep, h = (t.column(c).to_numpy()[rows] for c in ("key", "own", "asks", "rep", "h"))
+            some = col.take(pa.array(rows)) if len(rows) < len(col) else col
+            first = np.frombuffer(some.buffers()[1], np.int32)[some.offset]
+            rough = np.frombuffer(some.buffers()[2], "<i2", len(rows) * wide // 2, int(first)).reshape(len(rows), wide // 2).astype(np.float32) / np.float32(GRAIN)
+            off = slack(wide // 2)
             owners = np.flatnonzero(own)
             owners = owners[np.argsort(key[owners], kind="stable")]
             low, high = np.searchsorted(key[owners], key, "left"), np.searchsorted(key[owners], key, "right")
@@ -206,14 +233,15 @@ def _met(least: float):
                 right = owners[np.arange(len(left)) - np.repeat(np.cumsum(n[at]) - n[at], n[at]) + np.repeat(low[at], n[at])]
                 new = rep[left] != rep[right]
                 left, right = left[new], right[new]
-                maybe = np.einsum("ij,ij->i", rough[left], rough[right]) >= least - 1e-4
-                left, right = left[maybe], right[maybe]
-                sure = np.einsum("ij,ij->i", unit[left], unit[right]) >= least
-                out_a.append(rep[left[sure]])
-                out_b.append(rep[right[sure]])
-        a, b = np.concatenate(out_a), np.concatenate(out_b)
-        names, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
-        label, x, y = np.arange(len(names)), flat[: len(a)], flat[len(a) :]
+                near = np.einsum("ij,ij->i", rough[left], rough[right])
+                sure, maybe = near >= least + off, (near >= least - off) & (near < least + off)
+                sure_a.append(rep[left[sure]])
+                sure_b.append(rep[right[sure]])
+                for out, x in zip((open_a, open_b, open_ha, open_hb), (rep[left[maybe]], rep[right[maybe]], h[left[maybe]], h[right[maybe]]), strict=True):
+                    out.append(x)
+        a, b, ask_a, ask_b, ha, hb = (np.concatenate(x) for x in (sure_a, sure_b, open_a, open_b, open_ha, open_hb))
+        names, flat = np.unique(np.concatenate([a, b, ask_a, ask_b]), return_inverse=True)
+        label, (x, y, p, q) = np.arange(len(names)), np.split(flat, np.cumsum([len(a), len(b), len(ask_a)]))
         while True:
             before = label.copy()
             low = np.minimum(label[x], label[y])
@@ -223,7 +251,28 @@ def _met(least: float):
             if (label == before).all():
                 break
         moved = np.flatnonzero(label != np.arange(len(names)))
-        return pa.table({"a": names[label[moved]], "b": names[moved]})
+        # pairs that certain links join already need no comparison
+        apart = label[p] != label[q]
+        pairs = np.unique(np.column_stack([np.minimum(ha[apart], hb[apart]), np.maximum(ha[apart], hb[apart])]), axis=0)
+        none = pa.nulls(len(pairs), pa.int64()), pa.nulls(len(moved), pa.int64())
+        cols = [(names[label[moved]], none[0]), (names[moved], none[0]), (none[1], pairs[:, 0]), (none[1], pairs[:, 1])]
+        return pa.table({c: pa.concat_arrays([pa.array(u, pa.int64()), pa.array(w, pa.int64())]) for c, (u, w) in zip(("a", "b", "ha", "hb"), cols, strict=True)})
+
+    return run
+
+
+def _verified(least: float):
+    """Links (a, b) of pairs with their vectors (a, b, va, vb)."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            va, vb = batch.column(2), batch.column(3)
+            lengths = va.value_lengths().to_numpy()
+            keep = np.zeros(batch.num_rows, bool)
+            for dim in np.unique(lengths):
+                rows = np.flatnonzero(lengths == dim)
+                keep[rows] = np.einsum("ij,ij->i", units(_matrix(va, rows)), units(_matrix(vb, rows))) >= least
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return run
 
@@ -274,15 +323,18 @@ def near_duplicates(df: DataFrame, least: float = 0.9, id: str = "vec_id", vec:
     rows = df.select(F.col(id).cast("long").alias("id"), F.col(vec).alias("v"))
     good = rows.filter(F.col("id").isNotNull() & sound("v") & F.exists("v", lambda x: x != 0))
     # ids of classes are their smallest; equal ids of different vectors meet again as links below
-    classes = written(good.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "vectors")
+    classes = written(good.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).withColumn("h", F.xxhash64("v")), "vectors")
     n = classes.count()
     blocks = min(len(TABLES), max(1, round(log(max(n / OCCUPANCY, 1)) / log(CELLS))))
-    listed = classes.select("rep", "v").mapInArrow(_listed(blocks), classes.selectExpr("rep AS key", "true AS own", "rep", "v").schema)
+    listed = classes.select("rep", "h", "v").mapInArrow(_listed(blocks), "key long, own boolean, rep long, h long, v binary")
     buckets = max(1, ceil(n * TABLES[blocks - 1] * (1 + PROBES * blocks) / BUCKET))
     sizes = classes.select("v").mapInArrow(_sizes(blocks), "key long, owners long, entries long").groupBy("key").agg(F.sum("owners").alias("owners"), F.sum("entries").alias("entries"))
     # written, so that Spark knows its size and broadcasts it only if it is small
     crowds = written(sizes.filter(F.col("entries") > CROWD).select("key", *(F.ceil(F.col(c) / CROWD).alias(c) for c in ("owners", "entries"))), "crowds")
-    links = _dealt(listed, crowds).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).groupBy("bucket").applyInArrow(_met(least), "a long, b long")
+    met = written(_dealt(listed, crowds).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).groupBy("bucket").applyInArrow(_met(least), "a long, b long, ha long, hb long"), "met")
+    one, two = (classes.select(F.col("h").alias(f"h{c}"), F.col("rep").alias(c), F.col("v").alias(f"v{c}")) for c in "ab")
+    open_pairs = met.filter("ha IS NOT NULL").select("ha", "hb").distinct().join(one, "ha").join(two, "hb").select("a", "b", "va", "vb")
+    links = met.filter("ha IS NULL").select("a", "b").unionByName(open_pairs.mapInArrow(_verified(least), "a long, b long"))
     shared_ids = good.join(classes.select("v", "rep"), "v").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b").select("a", "b")
     named = written(connected_components(links.unionByName(shared_ids)), "components")
     members = classes.join(named.withColumnRenamed("node", "rep"), "rep")
@@ -291,7 +343,7 @@ def near_duplicates(df: DataFrame, least: float = 0.9, id: str = "vec_id", vec:
     tiles = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("component", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", F.xxhash64("v").alias("rep"), "copies", "v")
     spread = max(1, ceil(n / 20_000))
     counts = tiles.withColumn("bucket", F.when((F.col("i") == 0) & (F.col("j") == 0), F.pmod(F.xxhash64("component"), F.lit(spread))).otherwise(F.xxhash64("component", "i", "j"))).groupBy("bucket").applyInArrow(_counted(least), "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
-    known = written(classes.withColumn("h", F.xxhash64("v")).select("v", "rep", "copies", "h").join(counts.withColumnRenamed("rep", "h"), "h", "left").join(named.withColumnRenamed("node", "rep"), "rep", "left").select("v", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("c")), "known")
+    known = written(classes.select("v", "rep", "copies", "h").join(counts.withColumnRenamed("rep", "h"), "h", "left").join(named.withColumnRenamed("node", "rep"), "rep", "left").select("v", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("c")), "known")
     return rows.join(known, ["v"], "left").select(
         F.col("id").alias("vec_id"),
         F.when(F.col("id").isNotNull(), F.coalesce("n", F.lit(0))).otherwise(0).cast("long").alias("n_links"),

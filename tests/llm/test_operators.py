@@ -157,6 +157,21 @@ def test_near_duplicates(spark, monkeypatch):
     same(neardup.near_duplicates(vector_frame(spark, rows)).collect(), brute.cosines(rows))
 
 
+def test_pairs_within_the_error_of_coarse_vectors(spark):
+    """Cosines around the threshold, some nearer to it than 16 bits tell; pairs that nothing else joins."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for n, off in enumerate([0.0, 1e-9, -1e-9, 1e-6, -1e-6, 1e-5, -1e-5, 1e-4, -1e-4, 3e-4, -3e-4, 1e-2, -1e-2]):
+        a = neardup.units(rng.normal(size=(1, 64)))[0]
+        o = rng.normal(size=64)
+        o -= (o @ a) * a
+        c = 0.9 + (off or 1e-12)
+        rows += [(2 * n, (3 * a).tolist()), (2 * n + 1, (c * a + np.sqrt(1 - c * c) * o / np.linalg.norm(o)).tolist())]
+    assert neardup.slack(64) < 1e-3
+    same(neardup.near_duplicates(vector_frame(spark, rows)).collect(), brute.cosines(rows))
+
+
+
 @pytest.mark.parametrize("crowd", [1, 3, 50])
 def test_near_duplicates_in_crowded_cells(spark, monkeypatch, crowd):
     monkeypatch.setattr(neardup, "CROWD", crowd)
