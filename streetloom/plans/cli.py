@@ -18,6 +18,9 @@ from . import pipeline as p
 
 log = logging.getLogger("streetloom")
 DATA = "data"
+#: The names under which tables are exchanged with earlier runs and other programs.
+CONNECTORS, BUILDINGS, ROAD_REFS, BUILDING_LINKS = "rust_connectors.csv", "rust_buildings.csv", "rust_road_connector_refs.csv", "rust_building_links.csv"
+CLUSTERS, REDUCED_NODES, SELECTED, TREE = "rust_clusters.csv", "reduced_nodes.csv", "selected_buildings.csv", "optimized_tree_segments.csv"
 
 
 def _session(args) -> SparkSession:
@@ -65,24 +68,23 @@ def link_buildings(spark: SparkSession, args) -> None:
 
 def prepare_graph(spark: SparkSession, args) -> None:
     read = lambda n: read_geoparquet(spark, f"{args.data}/{n}.parquet")
-    write_csv(p.points(read("connectors")), f"{args.data}/connectors.csv")
-    write_csv(p.points(read("building_centroids")), f"{args.data}/buildings.csv")
-    write_csv(p.road_refs(read("routes")).orderBy("road_id", "ord").drop("ord").select("road_id", "connector_id", "at", "road_length_m"), f"{args.data}/road_connector_refs.csv")
-    write_csv(read("building_to_connector_lines").select("building_id", "connector_id", "distance_m"), f"{args.data}/building_links.csv")
+    save = lambda df, name: write_csv(df, f"{args.data}/{name}", args.one_file)
+    save(p.points(read("connectors")), CONNECTORS)
+    save(p.points(read("building_centroids")), BUILDINGS)
+    save(p.road_refs(read("routes")).orderBy("road_id", "ord").drop("ord").select("road_id", "connector_id", "at", "road_length_m"), ROAD_REFS)
+    save(read("building_to_connector_lines").select("building_id", "connector_id", "distance_m"), BUILDING_LINKS)
 
 
 def run_graph(spark: SparkSession, args) -> None:
     if not args.sources_file and not args.source_id:
         raise SystemExit("at least one source is needed: --sources-file or --source-id")
     d = args.data
-    graph = build_graph(read_roads(spark, f"{d}/road_connector_refs.csv"), read_connectors(spark, f"{d}/connectors.csv"), read_buildings(spark, f"{d}/buildings.csv"), read_building_links(spark, f"{d}/building_links.csv"))
+    graph = build_graph(read_roads(spark, f"{d}/{ROAD_REFS}"), read_connectors(spark, f"{d}/{CONNECTORS}"), read_buildings(spark, f"{d}/{BUILDINGS}"), read_building_links(spark, f"{d}/{BUILDING_LINKS}"))
     log.info("graph: %s", graph.counts().first())
     out = p.optimise(graph, read_id_list(spark, args.sources_file, args.source_id))
     log.info("clusters: %s; solution: %s", cluster_count(out.clusters).first(), out.solution.first())
-    write_csv(out.clusters.select("building_id", "cluster_id"), f"{d}/clusters.csv")
-    write_csv(out.reduced_nodes, f"{d}/reduced_nodes.csv")
-    write_csv(out.buildings, f"{d}/selected_buildings.csv")
-    write_csv(out.segments, f"{d}/optimized_tree_segments.csv")
+    for df, name in ((out.clusters.select("building_id", "cluster_id"), CLUSTERS), (out.reduced_nodes, REDUCED_NODES), (out.buildings, SELECTED), (out.segments, TREE)):
+        write_csv(df, f"{d}/{name}", args.one_file)
 
 
 def cluster_output(spark: SparkSession, args) -> None:
@@ -125,8 +127,9 @@ def parser() -> argparse.ArgumentParser:
         command(f"extract-{name}", _features(name), source, box, gpkg)
     command("extract-building-centroids", extract_centroids, source, box, gpkg)
     command("building-to-connector", link_buildings, gpkg)
-    command("prepare-graph", prepare_graph)
-    command("build-graph", run_graph, one("--sources-file"), one("--source-id", action="append", default=[]))
+    one_file = one("--one-file", action="store_true", help="CSV tables as one file each, not folders of parts")
+    command("prepare-graph", prepare_graph, one_file)
+    command("build-graph", run_graph, one_file, one("--sources-file"), one("--source-id", action="append", default=[]))
     command("cluster-buildings", cluster_output, one("--clusters", required=True), one("--buildings", required=True), one("--output", required=True))
     command("create-reduced-gpkg", reduced_output, one("--nodes", required=True), one("--output", required=True))
     names = ("--buildings-gpkg", "--selected-csv", "--segments-csv", "--segments-parquet", "--out-buildings", "--out-tree")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import io
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -128,6 +129,35 @@ def write_parquet(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("compression", "snappy").parquet(path)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header; a folder of part files."""
-    df.write.mode("overwrite").csv(path, header=True)
+def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
+    """CSV with a header; a folder of part files, or one file for programs that can't read a folder.
+
+    For one file the tasks write parts as well; the file system's streams then append them in order, a buffer at a time.
+    """
+    if not one_file:
+        df.write.mode("overwrite").csv(path, header=True)
+        return
+    spark, parts = df.sparkSession, f"{path}.parts"
+    df.write.mode("overwrite").csv(parts, header=False)
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+    target, folder = hadoop.fs.Path(path), hadoop.fs.Path(parts)
+    fs = target.getFileSystem(conf)
+    fs.delete(target, True)
+    out = fs.create(target, True)
+    try:
+        out.write(bytearray(_header(df.columns).encode()))
+        for part in sorted(s.getPath().toString() for s in fs.globStatus(hadoop.fs.Path(folder, "part-*"))):
+            rows = fs.open(hadoop.fs.Path(part))
+            try:
+                hadoop.io.IOUtils.copyBytes(rows, out, conf, False)
+            finally:
+                rows.close()
+    finally:
+        out.close()
+    fs.delete(folder, True)
+
+
+def _header(names: list[str]) -> str:
+    line = io.StringIO()
+    csv.writer(line, lineterminator="\n", escapechar="\\", doublequote=False).writerow(names)
+    return line.getvalue()

@@ -1,5 +1,6 @@
 """Geometry functions, file formats, and a whole run from files to GeoPackages."""
 
+import csv
 import struct
 
 import numpy as np
@@ -211,15 +212,22 @@ def test_whole_run(spark, tmp_path):
     run("extract-building-centroids", "--source", f"{d}/src_buildings")
     run("building-to-connector", "--gpkg")
     run("prepare-graph")
+    folders = {n: sorted(map(tuple, spark.read.csv(f"{d}/{n}", header=True).collect())) for n in (cli.CONNECTORS, cli.BUILDINGS, cli.ROAD_REFS, cli.BUILDING_LINKS)}
+    run("prepare-graph", "--one-file")  # a file takes the folder's place
+    for n, rows in folders.items():
+        with open(f"{d}/{n}", newline="") as f:
+            names, *got = csv.reader(f)
+        assert names == spark.read.csv(f"{d}/{n}", header=True).columns and sorted(map(tuple, got)) == rows
     with pytest.raises(SystemExit):
         run("build-graph")
-    run("build-graph", "--source-id", "h0")
-    links = sources.read_building_links(spark, f"{d}/building_links.csv")
+    run("build-graph", "--source-id", "h0", "--one-file")
+    assert all((tmp_path / n).is_file() for n in (cli.CLUSTERS, cli.REDUCED_NODES, cli.SELECTED, cli.TREE)) and not list(tmp_path.glob("*.parts"))
+    links = sources.read_building_links(spark, f"{d}/rust_building_links.csv")
     assert {r["building_id"]: r["connector_id"] for r in links.collect()} == {"h0": "c0", "h1": "c1", "h2": "c2", "h3": "c3", "h4": "c0"}
-    clusters = spark.read.csv(f"{d}/clusters.csv", header=True)
+    clusters = spark.read.csv(f"{d}/rust_clusters.csv", header=True)
     assert clusters.count() == 5 and clusters.select("cluster_id").distinct().count() == 1  # 69 m apart
     assert spark.read.csv(f"{d}/selected_buildings.csv", header=True).count() == 5
-    run("cluster-buildings", "--clusters", f"{d}/clusters.csv", "--buildings", f"{d}/buildings.gpkg", "--output", f"{d}/clusters.gpkg")
+    run("cluster-buildings", "--clusters", f"{d}/rust_clusters.csv", "--buildings", f"{d}/buildings.gpkg", "--output", f"{d}/clusters.gpkg")
     got = sources.read_geopackage(spark, f"{d}/clusters.gpkg")
     assert got.filter("cluster_id = 0").count() == 5
     run("create-reduced-gpkg", "--nodes", f"{d}/reduced_nodes.csv", "--output", f"{d}/reduced.gpkg")
@@ -234,6 +242,16 @@ def test_whole_run(spark, tmp_path):
     assert out.solution.first()["total_buildings"] == 5
 
 
+def test_one_csv_file_keeps_the_order_of_parts(spark, tmp_path):
+    path = str(tmp_path / "one.csv")
+    for n in (0, 25, 1):  # an empty table is a header; a file takes a file's place
+        df = spark.range(n).select("id", F.concat(F.lit('a, "'), "id").alias("name")).repartitionByRange(7, "id").sortWithinPartitions("id")
+        sources.write_csv(df, path, one_file=True)
+        assert [tuple(r) for r in spark.read.csv(path, header=True, schema="id long, name string").collect()] == [(k, f'a, "{k}') for k in range(n)]
+        with open(path) as f:
+            assert f.readline() == "id,name\n"
+
+
 def test_arguments():
     with pytest.raises(SystemExit) as e:
         cli.parser().parse_args(["--help"])
