@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..storage import written
 from .contract import contract, sound
 from .graph import FULL_WEIGHT, ROAD, Graph, building_node, connector_node
-from .traverse import path_to_sources, shortest
+from .traverse import dealt, path_to_sources, released, shortest
 
 log = logging.getLogger(__name__)
 
@@ -61,18 +61,20 @@ def road_tree(graph: Graph, hub_nodes: Sequence[str]) -> DataFrame:
     if len(order) < 2:
         return none
     edges = written(graph.both_ways(FULL_WEIGHT), "edges")
-    # contracted once for all hubs. A way through a chain has both its ends in the tree, so nodes within it needn't be sources
+    # contracted and dealt once for all hubs. A way through a chain has both its ends in the tree, so nodes within it needn't be sources
     kept = spark.createDataFrame([(h,) for h in order], "node string")
     parts = contract(sound(edges), kept)
     sources = written(parts.core.select(F.col("src").alias("node")).unionByName(kept).distinct(), "core")
+    ways = dealt(parts.core)
     inside = kept.filter(F.col("node") == order[0])
     steps = []
     for hub in order[1:]:
         target = spark.createDataFrame([(hub,)], "node string")
-        tree = shortest(edges, inside.join(sources, "node", "left_semi").select("node", F.lit(0).alias("label")), until=hub, over=parts)
+        tree = shortest(edges, inside.join(sources, "node", "left_semi").select("node", F.lit(0).alias("label")), until=hub, over=parts, ways=ways)
         path = written(path_to_sources(tree, target), "path")
         inside = written(inside.unionByName(path.select("node")).distinct(), "inside")
         steps.append(path)
+    released(ways)
     pairs = None
     for path in steps:
         a, b = path.select("target", "pos", F.col("node").alias("src")), path.select("target", (F.col("pos") - 1).alias("pos"), F.col("node").alias("dst"))

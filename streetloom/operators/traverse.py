@@ -19,13 +19,13 @@ from .contract import STEPS, Contracted, bound, contract, sound
 HEAVY = 100_000
 
 
-def shortest(edges: DataFrame, seeds: DataFrame, limit=None, pinned: bool = False, by: tuple[str, ...] = (), until=None, parents: bool = True, over: Contracted | None = None) -> DataFrame:
+def shortest(edges: DataFrame, seeds: DataFrame, limit=None, pinned: bool = False, by: tuple[str, ...] = (), until=None, parents: bool = True, over: Contracted | None = None, ways: tuple[DataFrame, DataFrame | None] | None = None) -> DataFrame:
     """(*by, node, dist, label, hops, parent) from seeds (*by, node, label) along edges (src, dst, w).
 
     Of equal distances the smallest label wins, then fewest hops, then the smallest
     parent. With pinned a seed keeps its own label even where another seed is at
     distance 0. limit bounds distances, inclusively. by separates independent searches. With until, a node, nodes farther than it
-    may be missing. Without parents that column is left out. over is a contraction of sound(edges) made before, which must have kept the seeds and until. Weights are summed exactly: whole numbers as such, others with 15 digits after the point.
+    may be missing. Without parents that column is left out. over is a contraction of sound(edges) made before, which must have kept the seeds and until, and ways its core as dealt() left it, for several searches over one. Weights are summed exactly: whole numbers as such, others with 15 digits after the point.
     """
     kind = dict(edges.dtypes)["w"]
     whole = sound(edges)
@@ -34,7 +34,7 @@ def shortest(edges: DataFrame, seeds: DataFrame, limit=None, pinned: bool = Fals
     if until is not None:
         keep = keep.unionByName(edges.sparkSession.createDataFrame([(until,)], f"node {dict(seeds.dtypes)['node']}"))
     parts = over or contract(whole, keep, limit)
-    state = _searched(parts.core, seeds, dict(whole.dtypes)["w"], limit, pinned, by, until)
+    state = _searched(parts.core, seeds, dict(whole.dtypes)["w"], limit, pinned, by, until, ways)
     for links in reversed(parts.links):
         state = state.unionByName(written(_hung(state, links, dict(whole.dtypes)["w"], limit, by), "state"))
     here = [*by, "node", F.col("dist").cast(kind).alias("dist"), "label", "hops"]
@@ -43,8 +43,8 @@ def shortest(edges: DataFrame, seeds: DataFrame, limit=None, pinned: bool = Fals
     return _with_parents(whole, state, by).select(*here, "parent")
 
 
-def _dealt(core: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Core edges where a state's rows lie, and apart from them, in pieces, those of nodes with more than HEAVY."""
+def dealt(core: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Core edges where a state's rows lie, and apart from them, in pieces, those of nodes with more than HEAVY; kept until released()."""
     parts = int(core.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     heavy = written(core.groupBy("src").agg(F.count("*").alias("n")).filter(F.col("n") > HEAVY).select("src", F.ceil(F.col("n") / HEAVY).cast("int").alias("pieces")), "heavy")
     if heavy.isEmpty():
@@ -54,10 +54,16 @@ def _dealt(core: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return light.persist(StorageLevel.MEMORY_AND_DISK), rest.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def _searched(core: DataFrame, seeds: DataFrame, kind: str, limit, pinned: bool, by: tuple[str, ...], until) -> DataFrame:
+def released(ways: tuple[DataFrame, DataFrame | None]) -> None:
+    for df in ways:
+        if df is not None:
+            df.unpersist()
+
+
+def _searched(core: DataFrame, seeds: DataFrame, kind: str, limit, pinned: bool, by: tuple[str, ...], until, ways=None) -> DataFrame:
     """The state (*by, node, dist, label, hops) of the core's nodes and the seeds."""
     keys = [*by, "node"]
-    edges, heavy = _dealt(core)
+    edges, heavy = mine = ways or dealt(core)
     pieces = None if heavy is None else written(heavy.groupBy("src").agg(F.collect_set("piece").alias("pieces")), "pieces")
     state = written(seeds.select(*keys, F.lit(0).cast(kind).alias("dist"), "label", F.lit(0).cast("bigint").alias("hops"), F.lit(True).alias("seed"), F.lit(True).alias("fresh")), "state")
     places = int(state.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -94,9 +100,8 @@ def _searched(core: DataFrame, seeds: DataFrame, kind: str, limit, pinned: bool,
         state = after
         if state.filter("fresh").isEmpty():
             break
-    if heavy is not None:
-        heavy.unpersist()
-    edges.unpersist()
+    if ways is None:
+        released(mine)
     return state.select(*keys, "dist", "label", "hops")
 
 
