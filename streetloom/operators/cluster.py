@@ -21,10 +21,11 @@ def cluster_buildings(graph: Graph, limit=100.0) -> DataFrame:
     One search from all buildings at once cuts the graph into cells. The least
     crossings between cells hold a minimum spanning tree of all building
     distances, so crossings of limit or less have the clusters as components.
+    An edge longer than limit lies on no such crossing and is left out before anything moves.
     Cluster ids count from 0 by the smallest building node. A negative limit leaves every building alone.
     """
     buildings = graph.nodes.filter(F.col("kind") == BUILDING).select("node", "id")
-    edges = written(graph.both_ways(FREE_ACCESS), "edges")
+    edges = written(graph.both_ways(FREE_ACCESS, limit), "edges")
     # beyond the limit from every building no crossing can count
     cells = shortest(edges, buildings.select("node", F.col("node").alias("label")), limit, pinned=True, parents=False)
     links = frontier_links(edges, cells).filter(F.col("dist") <= limit).select("a", "b")

@@ -43,9 +43,11 @@ class Graph:
         n = self.nodes.agg(F.count("*").alias("node_count"))
         return n.crossJoin(F.broadcast(self.edges.agg(F.count("*").alias("edge_count"))))  # one row each
 
-    def both_ways(self, weight: str) -> DataFrame:
-        """(src, dst, w): the cheapest edge between neighbours, both ways, without loops."""
+    def both_ways(self, weight: str, limit=None) -> DataFrame:
+        """(src, dst, w): the cheapest edge between neighbours, both ways, without loops; with a limit, none that is longer."""
         e = self.edges.select("src", "dst", F.expr(weight).alias("w")).filter("src <> dst")
+        if limit is not None:
+            e = e.filter(F.col("w") <= F.lit(limit))
         if self.directed:
             return e.groupBy("src", "dst").agg(F.min("w").alias("w"))
         pairs = e.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.min("w").alias("w"))

@@ -2,7 +2,8 @@
 
 import random
 
-from streetloom.operators import contract, traverse
+from streetloom.operators import cluster, contract, traverse
+from streetloom.operators.graph import Graph
 
 
 def dense(spark, n=30, leaves=25, seed=3):
@@ -49,3 +50,39 @@ def test_closure_searches_half_ways(spark, monkeypatch):
                     dist[e, b] = min(dist.get((e, b), 1e9), dist[e, a] + w)
     assert got == {(a, b): round(dist[a, b], 9) for a in ends for b in ends if a != b and (a, b) in dist}
     assert any(by and limit is not None for by, limit in limits)
+
+
+def test_clusters_move_no_edge_beyond_the_limit(spark, monkeypatch):
+    """Edges longer than the limit are gone before the search, and the clusters are those of all pairs' distances."""
+    rnd = random.Random(11)
+    roads = [(f"c:{a}", f"c:{b}", rnd.choice([0, 1, 2, 5, 9])) for a in range(25) for b in range(a) if rnd.random() < 0.3]
+    homes = [(f"b:{k}", f"c:{rnd.randrange(25)}") for k in range(12)]
+    edges = [(a, b, "road", "s", w) for a, b, w in roads] + [(b, c, "access", None, 50) for b, c in homes]
+    names = sorted({n for e in edges for n in e[:2]})
+    nodes = spark.createDataFrame([(n, "building" if n[0] == "b" else "connector", n[2:], 0.0, 0.0) for n in names], "node string, kind string, id string, x double, y double")
+    g = Graph(nodes, spark.createDataFrame(edges, "src string, dst string, kind string, segment_id string, length_m long"))
+    searched, real = [], cluster.shortest
+    monkeypatch.setattr(cluster, "shortest", lambda e, *a, **o: (searched.append(e.agg({"w": "max"}).first()[0]), real(e, *a, **o))[1])
+    dist = {(a, b): 0 if a == b else 10**6 for a in names for b in names}
+    for a, b, kind, _, w in edges:
+        dist[a, b] = dist[b, a] = min(dist[a, b], 0 if kind == "access" else w)
+    for k in names:
+        for a in names:
+            for b in names:
+                dist[a, b] = min(dist[a, b], dist[a, k] + dist[k, b])
+    for limit in (-1, 1):
+        got = {}
+        for r in cluster.cluster_buildings(g, limit).collect():
+            got.setdefault(r["cluster_id"], set()).add(r["node"])
+        want, left = [], sorted(b for b, _ in homes)
+        while left:
+            group, todo = set(), [left[0]]
+            while todo:
+                b = todo.pop()
+                if b not in group:
+                    group.add(b)
+                    todo += [c for c in left if c != b and dist[b, c] <= limit]
+            want.append(group)
+            left = [b for b in left if b not in group]
+        assert [got[k] for k in sorted(got)] == want
+        assert searched.pop() in (None, *range(limit + 1))
