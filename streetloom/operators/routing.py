@@ -16,11 +16,16 @@ from .traverse import dealt, path_to_sources, released, shortest
 log = logging.getLogger(__name__)
 
 
-def resolved_sources(ids: DataFrame, graph: Graph, clusters: DataFrame, near: DataFrame) -> DataFrame:
-    """(id, ord, node, cluster_id) of ids (id, ord): a building if there is one of that id, else a connector; its own cluster, else the nearest one's. Nulls where there is none."""
+def named_sources(ids: DataFrame, graph: Graph) -> DataFrame:
+    """(id, ord, node) of ids (id, ord): a building if there is one of that id, else a connector, else null. It takes the graph's nodes alone."""
     nodes = graph.nodes.select("node")
     b, c = nodes.withColumnRenamed("node", "bn"), nodes.withColumnRenamed("node", "cn")
-    named = ids.join(b, building_node("id") == F.col("bn"), "left").join(c, connector_node("id") == F.col("cn"), "left").select("id", "ord", F.coalesce("bn", "cn").alias("node"))
+    return ids.join(b, building_node("id") == F.col("bn"), "left").join(c, connector_node("id") == F.col("cn"), "left").select("id", "ord", F.coalesce("bn", "cn").alias("node"))
+
+
+def resolved_sources(ids: DataFrame, graph: Graph, clusters: DataFrame, near: DataFrame) -> DataFrame:
+    """(id, ord, node, cluster_id) of ids (id, ord): named_sources() with the node's own cluster, else the nearest one's. Nulls where there is none."""
+    named = named_sources(ids, graph)
     own = clusters.select("node", F.col("cluster_id").alias("own"))
     nearest = near.select("node", F.col("cluster_id").alias("nearest"))
     return named.join(own, "node", "left").join(nearest, "node", "left").select("id", "ord", "node", F.coalesce("own", "nearest").alias("cluster_id"))

@@ -545,8 +545,7 @@ def steiner_weight(spark, sf_dir):
 @query(COMPONENTS + "SELECT CAST(count(*) - count(DISTINCT component) AS BIGINT) AS joined FROM c")
 def spanning_tree_size(spark, sf_dir):
     """A forest has an edge for each node but one a component."""
-    g = d.graph(spark, sf_dir)
-    links = weighted(g).filter("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("w").alias("dist"))
+    links = d.graph(spark, sf_dir).edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col(FULL_WEIGHT).alias("dist"))
     return steiner.spanning_tree(links).agg(F.count("*").alias("joined"))
 
 
@@ -666,7 +665,8 @@ def resolve_sources(spark, sf_dir):
 
 @query(RESOLVED + "SELECT id FROM resolved WHERE node IS NULL")
 def unresolved_sources(spark, sf_dir):
-    return resolved(spark, sf_dir).filter("node IS NULL").select("id")
+    """Which ids name a node doesn't hang on clusters."""
+    return routing.named_sources(source_ids(spark, sf_dir), d.graph(spark, sf_dir)).filter("node IS NULL").select("id")
 
 
 @query(CLUSTERS + "SELECT cluster_id, min(node) AS hub FROM clusters GROUP BY cluster_id")

@@ -2,8 +2,9 @@
 
 import random
 
-from streetloom.operators import cluster, contract, traverse
+from streetloom.operators import cluster, contract, steiner, traverse
 from streetloom.operators.graph import Graph
+from streetloom.plans import queries
 
 
 def dense(spark, n=30, leaves=25, seed=3):
@@ -86,3 +87,28 @@ def test_clusters_move_no_edge_beyond_the_limit(spark, monkeypatch):
             left = [b for b in left if b not in group]
         assert [got[k] for k in sorted(got)] == want
         assert searched.pop() in (None, *range(limit + 1))
+
+
+def test_dense_links_leave_few_for_later_rounds(spark, monkeypatch):
+    """The light links' forest goes first; of the others only those between its trees are left."""
+    rnd = random.Random(5)
+    links = [(a, b, rnd.randint(0, 40)) for a in range(40) for b in range(40) if a != b and (a < 30) == (b < 30)] + [(0, 35, 99), (1, 36, 99)]
+    counts, real = [], steiner._forest
+    monkeypatch.setattr(steiner, "_forest", lambda live, named: (counts.append(live.count()), real(live, named))[1])
+    tree = sorted(tuple(r) for r in steiner.spanning_tree(spark.createDataFrame(links, "a long, b long, dist long")).collect())
+    want = []
+    find = lambda v: v if up[v] == v else find(up[v])
+    up = list(range(40))
+    for w, a, b in sorted((w, min(a, b), max(a, b)) for a, b, w in links):
+        if find(a) != find(b):
+            up[find(a)] = find(b)
+            want.append((a, b, w))
+    assert tree == sorted(want)
+    assert len(counts) == 2 and counts[0] < len(links) / 2 and counts[1] < len(links) / 10
+
+
+def test_unresolved_sources_take_no_clusters(spark, monkeypatch):
+    monkeypatch.setattr(queries, "clusters_of", lambda *a: 1 / 0)
+    got = sorted(r["id"] for r in queries.unresolved_sources(spark, "/root/testdata/sf0.001").collect())
+    names = sorted(r["n_name"] for r in spark.read.parquet("/root/testdata/sf0.001/nation.parquet").collect())
+    assert set(names) <= set(got)
