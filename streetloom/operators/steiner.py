@@ -16,16 +16,42 @@ from .graph import FULL_WEIGHT, Graph
 from .traverse import frontier_links, nearest_source
 
 
+#: Links a node among the light ones, about; the shares of all links that they are taken from.
+LIGHT, SHARES = 3, [k / 32 for k in range(1, 17)]
+
+
 def spanning_tree(links: DataFrame) -> DataFrame:
     """(a, b, dist): a minimum spanning forest of links, by Boruvka's rounds; equal lengths are ordered by the ends.
 
+    Where a node has many links, the light ones go first, about LIGHT a node: their forest is part of the whole one's, as all others are longer. Of the
+    others only those between its trees are left, which are few, so rounds work on a number of links that goes with the nodes.
+    """
+    links = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "dist").filter("a < b"), "tree-links")
+    r = links.agg(F.count("*").alias("n"), F.approx_count_distinct("a").alias("nodes"), F.percentile_approx("dist", SHARES).alias("most")).first()
+    share = next((k for k, s in enumerate(SHARES) if s * r["n"] >= LIGHT * r["nodes"]), None)
+    if share is None or r["most"] is None:
+        return _forest(_live(links), False)[0]
+    light = F.coalesce(F.col("dist") <= F.lit(r["most"][share]), F.lit(True))
+    tree, trees = _forest(_live(links.filter(light)), True)
+    if trees is None:
+        return _forest(_live(links), False)[0]
+    one, two = (trees.select(F.col("node").alias(c), F.col("root").alias(f"c{c}")) for c in ("a", "b"))
+    rest = links.filter(~light).join(one, "a", "left").join(two, "b", "left").select("a", "b", "dist", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+    return tree.unionByName(_forest(written(rest.filter("ca <> cb"), "live"), False)[0])
+
+
+def _live(links: DataFrame) -> DataFrame:
+    return written(links.select("a", "b", "dist", F.col("a").alias("ca"), F.col("b").alias("cb")), "live")
+
+
+def _forest(live: DataFrame, named: bool) -> tuple[DataFrame, DataFrame | None]:
+    """(forest (a, b, dist); if named, its trees (node, root)) of links (a, b, dist) between trees (ca, cb).
+
     In a round each tree picks its least link, which makes a forest over the trees once the smaller of two that picked one link is a root;
     pointers double to the roots, and the live links are named by them. Links between the same two trees leave all but the least, so a round
     works on what is live alone, at most half as many trees as the one before.
     """
-    least = F.min(F.struct("dist", "a", "b")).alias("m")
-    links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "dist").filter("a < b").groupBy("a", "b").agg(F.min("dist").alias("dist"))
-    live = written(links.select("a", "b", "dist", F.col("a").alias("ca"), F.col("b").alias("cb")), "live")
+    least, trees = F.min(F.struct("dist", "a", "b")).alias("m"), None
     picks = [live.limit(0).select("a", "b", "dist")]
     while not live.isEmpty():
         ways = live.select("ca", "cb", "a", "b", "dist").unionByName(live.select(F.col("cb").alias("ca"), F.col("ca").alias("cb"), "a", "b", "dist"))
@@ -34,6 +60,9 @@ def spanning_tree(links: DataFrame) -> DataFrame:
         mutual = picked.select(F.col("ca").alias("cb"), F.col("cb").alias("back"))
         up = picked.join(mutual, "cb", "left").select(F.col("ca").alias("node"), F.when((F.col("back") == F.col("ca")) & (F.col("ca") < F.col("cb")), F.col("ca")).otherwise(F.col("cb")).alias("up"))
         names = roots(up)
+        if named:
+            on = names.select(F.col("node").alias("root"), F.col("root").alias("over"))
+            trees = names if trees is None else written(trees.join(on, "root", "left").select("node", F.coalesce("over", "root").alias("root")), "trees")
         one, two = (names.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in ("ca", "cb"))
         between = live.join(one, "ca").join(two, "cb").filter("rca <> rcb").groupBy(F.least("rca", "rcb").alias("ca"), F.greatest("rca", "rcb").alias("cb")).agg(least)
         rest = written(between.select("m.a", "m.b", "m.dist", "ca", "cb"), "live")
@@ -42,7 +71,7 @@ def spanning_tree(links: DataFrame) -> DataFrame:
     tree = picks[0]
     for p in picks[1:]:
         tree = tree.unionByName(p)
-    return tree.distinct()
+    return tree.distinct(), trees
 
 
 def tree_weight(terminals: DataFrame, links: DataFrame) -> DataFrame:
