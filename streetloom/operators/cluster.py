@@ -67,14 +67,19 @@ def reduced_nodes(graph: Graph, clusters: DataFrame) -> DataFrame:
     return placed.groupBy("cluster_id").agg(F.count("*").alias("size"), mean("x").alias("centroid_x"), mean("y").alias("centroid_y"))
 
 
-def nearest_cluster(graph: Graph, clusters: DataFrame) -> DataFrame:
-    """(node, dist, cluster_id): the cluster whose building is nearest, access included; ties go to the smaller id."""
-    cells = nearest_source(written(graph.both_ways(FULL_WEIGHT), "edges"), clusters.select("node", F.col("cluster_id").alias("label")))
+def nearest_cluster(graph: Graph, clusters: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """(node, dist, cluster_id): the cluster whose building is nearest, access included; ties go to the smaller id. edges are graph's both ways, if they are there."""
+    if edges is None:
+        edges = written(graph.both_ways(FULL_WEIGHT), "edges")
+    cells = nearest_source(edges, clusters.select("node", F.col("cluster_id").alias("label")), mutual=not graph.directed)
     return cells.withColumnRenamed("label", "cluster_id")
 
 
 def reduced_graph(graph: Graph, clusters: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges (a, b, dist), nearest cluster of each node): edges are the least crossings between the clusters' cells."""
-    near = written(nearest_cluster(graph, clusters), "near")
-    edges = frontier_links(graph.both_ways(FULL_WEIGHT), near.withColumnRenamed("cluster_id", "label"))
+    edges = written(graph.both_ways(FULL_WEIGHT), "edges")
+    near = written(nearest_cluster(graph, clusters, edges), "near")
+    if not graph.directed:
+        edges = edges.filter("src < dst")  # a crossing is as long from its other end
+    edges = frontier_links(edges, near.withColumnRenamed("cluster_id", "label"))
     return reduced_nodes(graph, clusters), edges, near

@@ -84,8 +84,8 @@ def tree_weight(terminals: DataFrame, links: DataFrame) -> DataFrame:
 
 def steiner_weight_of(edges: DataFrame, terminals: DataFrame) -> DataFrame:
     """Of terminals (node) along edges (src, dst, w), both ways."""
-    cells = written(nearest_source(edges, terminals.select("node", F.col("node").alias("label"))), "cells")
-    return tree_weight(terminals, frontier_links(edges, cells))
+    cells = written(nearest_source(edges, terminals.select("node", F.col("node").alias("label")), mutual=True), "cells")
+    return tree_weight(terminals, frontier_links(edges.filter("src < dst"), cells))
 
 
 def steiner_weight(graph: Graph, terminals: DataFrame) -> DataFrame:

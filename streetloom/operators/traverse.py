@@ -2,7 +2,8 @@
 
 Dead ends and chains are taken out first (contract.py). On the core a round joins the nodes that improved last with their edges and
 keeps the best offer of each node; STEPS rounds make one job, and the state is written once a job. Core edges are
-dealt by their source once, as one list a node, and stay in place; edges of a node with more than HEAVY are dealt in pieces. Nodes that were taken out then get their
+dealt by their source once, as one list a node by weight, and stay in place; edges of a node with more than HEAVY are dealt in pieces. Where nodes have many
+edges, the first jobs relax along the FEW lightest of each alone, so most distances are near their last values before all edges are taken, once. Nodes that were taken out then get their
 distances level by level, and parents come from one join of the original edges with the whole state.
 """
 
@@ -17,17 +18,20 @@ from pyspark.sql import functions as F
 from ..storage import dropped, written
 from .contract import STEPS, Contracted, bound, contract, sound
 
-#: Edges of a node that lie in one piece.
-HEAVY = 100_000
+#: Edges of a node that lie in one piece; ranges of hashes by which nodes with more are found.
+HEAVY, RANGES = 100_000, 1 << 16
 
+#: Edges of a node in the first jobs; how many times the nodes that have a distance must grow in one for another of its kind.
+FEW, GROWN = 6, 4
 
-def shortest(edges: DataFrame, seeds: DataFrame, limit=None, pinned: bool = False, by: tuple[str, ...] = (), until=None, parents: bool = True, over: Contracted | None = None, ways: tuple[DataFrame, DataFrame | None] | None = None) -> DataFrame:
+
+def shortest(edges: DataFrame, seeds: DataFrame, limit=None, pinned: bool = False, by: tuple[str, ...] = (), until=None, parents: bool = True, over: Contracted | None = None, ways: tuple[DataFrame, DataFrame | None] | None = None, mutual: bool = False) -> DataFrame:
     """(*by, node, dist, label, hops, parent) from seeds (*by, node, label) along edges (src, dst, w).
 
     Of equal distances the smallest label wins, then fewest hops, then the smallest
     parent. With pinned a seed keeps its own label even where another seed is at
     distance 0. limit bounds distances, inclusively. by separates independent searches. With until, a node, nodes farther than it
-    may be missing. Without parents hops and parents are left out, and seeds may be without labels, which are left out then. over is a contraction of sound(edges) made before, which must have kept the seeds and until, and ways its core as dealt() left it, for several searches over one. Weights are summed exactly: whole numbers as such, others with 15 digits after the point.
+    may be missing. Without parents hops and parents are left out, and seeds may be without labels, which are left out then. over is a contraction of sound(edges) made before, which must have kept the seeds and until, and ways its core as dealt() left it, for several searches over one. mutual says that edges lead both ways. Weights are summed exactly: whole numbers as such, others with 15 digits after the point.
     """
     kind = dict(edges.dtypes)["w"]
     whole = sound(edges)
@@ -36,30 +40,45 @@ def shortest(edges: DataFrame, seeds: DataFrame, limit=None, pinned: bool = Fals
     keep = seeds.select("node")
     if until is not None:
         keep = keep.unionByName(edges.sparkSession.createDataFrame([(until,)], f"node {dict(seeds.dtypes)['node']}"))
+    if over is None and (most := bound(limit, dict(whole.dtypes)["w"])):
+        whole = whole.filter(F.col("w") <= F.expr(most))  # no way within the limit takes a longer edge
     parts = over or contract(whole, keep, limit)
-    state = _searched(parts.core, seeds, dict(whole.dtypes)["w"], limit, pinned, by, until, told, ways)
+    state = _searched(parts.core, seeds, dict(whole.dtypes)["w"], limit, pinned, by, until, told, ways, mutual)
     for links in reversed(parts.links):
         state = state.unionByName(written(_hung(state, links, dict(whole.dtypes)["w"], limit, by, told), "state"))
     here = [*by, "node", F.col("dist").cast(kind).alias("dist"), *told]
     if not parents:
         return state.select(*here)
+    if until is not None and (most := _farthest(state.filter(F.col("node") == F.lit(until)), dict(whole.dtypes)["w"])):
+        state, whole = state.filter(F.col("dist") <= F.expr(most)), whole.filter(F.col("w") <= F.expr(most))
     return _with_parents(whole, state, by).select(*here, "parent")
 
 
+def _farthest(state: DataFrame, kind: str) -> str | None:
+    """The greatest distance as SQL; none of no rows."""
+    d = state.agg(F.max("dist").alias("d")).first()["d"]
+    return None if d is None else f"CAST('{d}' AS {kind})"
+
+
 def dealt(core: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(src, ways) of core edges, one list (dst, w, h) a node, where a state's rows lie, and apart from them (src, piece, ways) of nodes with more than HEAVY; kept until released().
+    """(src, ways) of core edges, one list (w, dst, h) a node in this order, where a state's rows lie, and apart from them (src, piece, ways) of nodes with more than HEAVY; kept until released().
 
-    A light node's list holds the node itself too, without a weight: the row by which a state keeps what it has.
+    A light node's list begins with the node itself, without a weight: the row by which a state keeps what it has.
     """
     parts = int(core.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    way = F.struct("dst", "w", "h").alias("way")
-    heavy = written(core.groupBy("src").agg(F.count("*").alias("n")).filter(F.col("n") > HEAVY).select("src", F.ceil(F.col("n") / HEAVY).cast("int").alias("pieces")), "heavy")
+    way = F.struct("w", "dst", "h").alias("way")
+    # counts of ranges of hashes merge where they are made, counts of nodes hardly; only a range with more than HEAVY can hold such a node
+    spread = F.pmod(F.xxhash64("src"), F.lit(RANGES)).alias("range")
+    crowded = written(core.groupBy(spread).agg(F.count("*").alias("n")).filter(F.col("n") > HEAVY).select("range"), "crowded")
+    some = core.limit(0) if crowded.isEmpty() else core.withColumn("range", spread).join(F.broadcast(crowded), "range", "left_semi")
+    heavy = written(some.groupBy("src").agg(F.count("*").alias("n")).filter(F.col("n") > HEAVY).select("src", F.ceil(F.col("n") / HEAVY).cast("int").alias("pieces")), "heavy")
     rest = None
     if not heavy.isEmpty():
         rest = core.join(heavy, "src").withColumn("piece", F.pmod(F.xxhash64("dst"), F.col("pieces")).cast("int")).repartition(parts, "src", "piece").groupBy("src", "piece").agg(F.collect_list(way).alias("ways"))
         core = core.join(heavy, "src", "left_anti")
-    own = F.array(F.struct(F.col("src").alias("dst"), *(F.lit(None).cast(dict(core.dtypes)[c]).alias(c) for c in ("w", "h"))))
-    light = core.repartition(parts, "src").groupBy("src").agg(F.collect_list(way).alias("ways")).select("src", F.concat("ways", own).alias("ways")).sortWithinPartitions("src")
+    nothing = {c: F.lit(None).cast(dict(core.dtypes)[c]).alias(c) for c in ("w", "h")}
+    own = F.array(F.struct(nothing["w"], F.col("src").alias("dst"), nothing["h"]))
+    light = core.repartition(parts, "src").groupBy("src").agg(F.collect_list(way).alias("ways")).select("src", F.sort_array(F.concat(own, "ways")).alias("ways")).sortWithinPartitions("src")
     kept = [df if df is None else df.persist(StorageLevel.MEMORY_AND_DISK) for df in (light, rest)]
     for df in kept:
         if df is not None:
@@ -73,7 +92,7 @@ def released(ways: tuple[DataFrame, DataFrame | None]) -> None:
             df.unpersist()
 
 
-def _searched(core: DataFrame, seeds: DataFrame, kind: str, limit, pinned: bool, by: tuple[str, ...], until, told: list[str], ways=None) -> DataFrame:
+def _searched(core: DataFrame, seeds: DataFrame, kind: str, limit, pinned: bool, by: tuple[str, ...], until, told: list[str], ways=None, mutual: bool = False) -> DataFrame:
     """The state (*by, node, dist, *told) of the core's nodes and the seeds, told being label, hops, both or neither."""
     keys = [*by, "node"]
     edges, heavy = mine = ways or dealt(core)
@@ -87,13 +106,14 @@ def _searched(core: DataFrame, seeds: DataFrame, kind: str, limit, pinned: bool,
     best = kind if one else f"struct<{','.join(f'{c}:{kinds[c]}' for c in fields)}>"
     met = {"dist": "dist + e.w", "label": "label", "hops": "hops + e.h"}
     held, offered = ("dist", met["dist"]) if one else (f"struct({', '.join(fields)})", f"struct({', '.join(met[c] for c in fields)})")
-    itself = f"array(CAST(struct(node, NULL, NULL) AS struct<dst:{dict(seeds.dtypes)['node']},w:{kind},h:bigint>))"
+    itself = f"array(CAST(struct(NULL, node, NULL) AS struct<w:{kind},dst:{dict(seeds.dtypes)['node']},h:bigint>))"
     better = "offer IS NOT NULL AND (old IS NULL OR offer < old" + (" AND NOT seed)" if pinned else ")")
 
-    def relaxed(source: DataFrame, bounds: list) -> DataFrame:
+    def relaxed(source: DataFrame, bounds: list, few: bool) -> DataFrame:
         """A state's row and its offers come out of one join, so that rounds of a job stand in line and no plan is doubled."""
-        spread = source.join(edges, (F.col("node") == F.col("src")) & F.col("fresh"), "left").select(*by, "dist", *told, "seed", F.explode(F.expr(f"coalesce(ways, {itself})")).alias("e"))
-        if heavy is not None:
+        taken = f"slice(ways, 1, {FEW + 1})" if few else "ways"
+        spread = source.join(edges, (F.col("node") == F.col("src")) & F.col("fresh"), "left").select(*by, "dist", *told, "seed", F.explode(F.expr(f"coalesce({taken}, {itself})")).alias("e"))
+        if heavy is not None and not few:
             cut = source.filter("fresh").join(pieces.withColumnRenamed("src", "node"), "node").withColumn("p", F.explode("pieces"))
             spread = spread.unionByName(cut.join(heavy, (F.col("node") == F.col("src")) & (F.col("p") == F.col("piece"))).select(*by, "dist", *told, "seed", F.explode("ways").alias("e")))
         if bounds:
@@ -103,18 +123,32 @@ def _searched(core: DataFrame, seeds: DataFrame, kind: str, limit, pinned: bool,
         after = merged.select(*keys, F.expr(f"CASE WHEN {better} THEN offer ELSE old END").alias("b"), "seed", F.expr(better).alias("fresh"))
         return after.select(*keys, *([F.col("b").alias("dist")] if one else [F.col(f"b.{c}").alias(c) for c in fields]), "seed", "fresh")
 
+    size = edges.agg(F.count("*").alias("n"), F.max(F.size("ways")).alias("most")).first()
+    few, had = (size["most"] or 0) > FEW + 1, state.count()
+    whole = False
     while True:
         bounds = [b for b in [bound(limit, kind)] if b]
         if until is not None:
-            bounds += [f"CAST('{r[0]}' AS {kind})" for r in state.filter(F.col("node") == F.lit(until)).agg(F.max("dist").alias("d")).filter("d IS NOT NULL").collect()]
+            bounds += [b for b in [_farthest(state.filter(F.col("node") == F.lit(until)), kind)] if b]
+        if mutual and not few and not by and heavy is None:
+            # once all nodes have a distance, no offer beyond the greatest one betters any
+            whole = whole or had >= size["n"] and edges.select(F.col("src").alias("node")).join(state, "node", "left_anti").isEmpty()
+            bounds += [b for b in [_farthest(state, kind) if whole else None] if b]
         after = state.repartition(places, "node")
         for _ in range(STEPS if heavy is None else 1):
-            after = relaxed(after, bounds)
+            after = relaxed(after, bounds, few)
         after = written(after, "state")
         dropped(state)
         state = after
-        if state.filter("fresh").isEmpty():
+        done = state.filter("fresh").isEmpty()
+        if few:
+            before, had = had, state.count()
+            if done or had < GROWN * before or 2 * had > size["n"]:
+                few, state = False, state.withColumn("fresh", F.lit(True))
+        elif done:
             break
+        else:
+            had = state.count()
     if ways is None:
         released(mine)
     return state.select(*keys, *fields)
@@ -146,9 +180,9 @@ def distances(edges: DataFrame, source, limit=None) -> DataFrame:
     return shortest(edges, seeds.select("node"), limit, parents=False)
 
 
-def nearest_source(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """(node, dist, label) by the nearest of sources (node, label), each of which keeps its own."""
-    return shortest(edges, sources, pinned=True, parents=False).select("node", "dist", "label")
+def nearest_source(edges: DataFrame, sources: DataFrame, mutual: bool = False) -> DataFrame:
+    """(node, dist, label) by the nearest of sources (node, label), each of which keeps its own; mutual says that edges lead both ways."""
+    return shortest(edges, sources, pinned=True, parents=False, mutual=mutual).select("node", "dist", "label")
 
 
 def path_to_sources(tree: DataFrame, targets: DataFrame) -> DataFrame:

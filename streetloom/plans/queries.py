@@ -384,7 +384,7 @@ def pairs_sql(starts: str, edges: str = "und", bound: int = FAR) -> str:
 @query(pairs_sql(NATIONS) + "SELECT node, min(dist) AS dist, CASE WHEN node IN (SELECT node FROM starts) THEN node ELSE arg_min(start, (dist, start)) END AS label FROM p GROUP BY node")
 def multi_source_labels(spark, sf_dir):
     n = nations(spark, sf_dir)
-    return traverse.nearest_source(weighted(d.graph(spark, sf_dir)), n.select("node", F.col("node").alias("label")))
+    return traverse.nearest_source(weighted(d.graph(spark, sf_dir)), n.select("node", F.col("node").alias("label")), mutual=True)
 
 
 @query(pairs_sql(REGIONS) + "SELECT start AS a, p.node AS b, dist FROM p JOIN starts s ON s.node = p.node WHERE start <> p.node")

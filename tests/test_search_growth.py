@@ -112,3 +112,21 @@ def test_unresolved_sources_take_no_clusters(spark, monkeypatch):
     got = sorted(r["id"] for r in queries.unresolved_sources(spark, "/root/testdata/sf0.001").collect())
     names = sorted(r["n_name"] for r in spark.read.parquet("/root/testdata/sf0.001/nation.parquet").collect())
     assert set(names) <= set(got)
+
+
+def test_first_jobs_take_the_lightest_edges_alone(spark, monkeypatch):
+    """Right distances and labels with lists cut in the first jobs, and fewer offers in all than edges a node and round."""
+    rnd = random.Random(8)
+    rows = [(f"n{a}", f"n{b}", rnd.randint(1, 500)) for a in range(60) for b in range(a) if rnd.random() < 0.6] + [("x0", "x1", 3)]
+    rows += [(b, a, w) for a, b, w in rows]
+    sliced, real = [], traverse.F.expr
+    monkeypatch.setattr(traverse.F, "expr", lambda e: (sliced.append(e) if "slice(ways" in e else None, real(e))[1])
+    seeds = ["n3", "n50", "x1"]
+    got = {r["node"]: (r["dist"], r["label"]) for r in traverse.nearest_source(spark.createDataFrame(rows, "src string, dst string, w long"), spark.createDataFrame([(s, s) for s in seeds], "node string, label string"), mutual=True).collect()}
+    want, moved = {s: (0, s) for s in seeds}, True
+    while moved:
+        moved = False
+        for a, b, w in rows:
+            if a in want and b not in seeds and (b not in want or (want[a][0] + w, want[a][1]) < want[b]):
+                want[b], moved = (want[a][0] + w, want[a][1]), True
+    assert got == want and sliced
