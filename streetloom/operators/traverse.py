@@ -21,8 +21,11 @@ from .contract import STEPS, Contracted, bound, contract, sound
 #: Edges of a node that lie in one piece; ranges of hashes by which nodes with more are found.
 HEAVY, RANGES = 100_000, 1 << 16
 
-#: Edges of a node in the first jobs; how many times the nodes that have a distance must grow in one for another of its kind.
-FEW, GROWN = 6, 4
+#: Edges of a node in the first jobs, where nodes have DENSE on average; how many times the nodes that have a distance must grow in one for another of its kind.
+FEW, DENSE, GROWN = 6, 24, 4
+
+#: Edges a node among the light ones that bound a closure, about; the shares of all edges that they are taken from.
+LIGHT, SHARES = 10, [k / 64 for k in range(1, 33)]
 
 
 def shortest(edges: DataFrame, seeds: DataFrame, limit=None, pinned: bool = False, by: tuple[str, ...] = (), until=None, parents: bool = True, over: Contracted | None = None, ways: tuple[DataFrame, DataFrame | None] | None = None, mutual: bool = False) -> DataFrame:
@@ -31,14 +34,14 @@ def shortest(edges: DataFrame, seeds: DataFrame, limit=None, pinned: bool = Fals
     Of equal distances the smallest label wins, then fewest hops, then the smallest
     parent. With pinned a seed keeps its own label even where another seed is at
     distance 0. limit bounds distances, inclusively. by separates independent searches. With until, a node, nodes farther than it
-    may be missing. Without parents hops and parents are left out, and seeds may be without labels, which are left out then. over is a contraction of sound(edges) made before, which must have kept the seeds and until, and ways its core as dealt() left it, for several searches over one. mutual says that edges lead both ways. Weights are summed exactly: whole numbers as such, others with 15 digits after the point.
+    may be missing; it may be a DataFrame (node) too, with over: all distances are bounds then, which no job would better by a tenth for the farthest of these nodes. Without parents hops and parents are left out, and seeds may be without labels, which are left out then, and have a dist to begin with. over is a contraction of sound(edges) made before, which must have kept the seeds and until, and ways its core as dealt() left it, for several searches over one. mutual says that edges lead both ways. Weights are summed exactly: whole numbers as such, others with 15 digits after the point.
     """
     kind = dict(edges.dtypes)["w"]
     whole = sound(edges)
     told = [c for c in ("label",) if c in seeds.columns] + (["hops"] if parents else [])
-    seeds = seeds.groupBy(*by, "node").agg(F.min("label").alias("label")) if "label" in told else seeds.select(*by, "node").distinct()
+    seeds = seeds.groupBy(*by, "node").agg(F.min("label").alias("label")) if "label" in told else seeds.select(*by, "node", *(c for c in ("dist",) if c in seeds.columns)).distinct()
     keep = seeds.select("node")
-    if until is not None:
+    if over is None and until is not None:
         keep = keep.unionByName(edges.sparkSession.createDataFrame([(until,)], f"node {dict(seeds.dtypes)['node']}"))
     if over is None and (most := bound(limit, dict(whole.dtypes)["w"])):
         whole = whole.filter(F.col("w") <= F.expr(most))  # no way within the limit takes a longer edge
@@ -98,7 +101,7 @@ def _searched(core: DataFrame, seeds: DataFrame, kind: str, limit, pinned: bool,
     edges, heavy = mine = ways or dealt(core)
     pieces = None if heavy is None else written(heavy.groupBy("src").agg(F.collect_set("piece").alias("pieces")), "pieces")
     start = {"label": F.col("label") if "label" in told else None, "hops": F.lit(0).cast("bigint").alias("hops")}
-    state = written(seeds.select(*keys, F.lit(0).cast(kind).alias("dist"), *(start[c] for c in told), F.lit(True).alias("seed"), F.lit(True).alias("fresh")), "state")
+    state = written(seeds.select(*keys, (F.col("dist") if "dist" in seeds.columns else F.lit(0)).cast(kind).alias("dist"), *(start[c] for c in told), F.lit(True).alias("seed"), F.lit(True).alias("fresh")), "state")
     places = int(state.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kinds = {"dist": kind, "label": dict(seeds.dtypes).get("label"), "hops": "bigint"}
     fields = ["dist", *told]
@@ -118,18 +121,27 @@ def _searched(core: DataFrame, seeds: DataFrame, kind: str, limit, pinned: bool,
             spread = spread.unionByName(cut.join(heavy, (F.col("node") == F.col("src")) & (F.col("p") == F.col("piece"))).select(*by, "dist", *told, "seed", F.explode("ways").alias("e")))
         if bounds:
             spread = spread.filter("e.w IS NULL OR " + " AND ".join(f"dist + e.w <= {b}" for b in bounds))
+        if by:  # dealt once for the merge and the next round's join
+            spread = spread.repartition(places, F.col("e.dst"))
         offers = spread.select(*by, F.col("e.dst").alias("node"), F.expr(f"CASE WHEN e.w IS NULL THEN CAST({held} AS {best}) END").alias("old"), F.expr(f"CASE WHEN e.w IS NOT NULL THEN CAST({offered} AS {best}) END").alias("offer"), F.expr("e.w IS NULL AND seed").alias("seed"))
         merged = offers.groupBy(*keys).agg(F.min("old").alias("old"), F.min("offer").alias("offer"), F.max("seed").alias("seed"))
         after = merged.select(*keys, F.expr(f"CASE WHEN {better} THEN offer ELSE old END").alias("b"), "seed", F.expr(better).alias("fresh"))
         return after.select(*keys, *([F.col("b").alias("dist")] if one else [F.col(f"b.{c}").alias(c) for c in fields]), "seed", "fresh")
 
-    size = edges.agg(F.count("*").alias("n"), F.max(F.size("ways")).alias("most")).first()
-    few, had = (size["most"] or 0) > FEW + 1, state.count()
+    size = edges.agg(F.count("*").alias("n"), F.avg(F.size("ways")).alias("mean")).first()
+    few, had = not by and (size["mean"] or 0) > DENSE, state.count()
+    ends, far = until.count() if isinstance(until, DataFrame) else 1, None
     whole = False
     while True:
         bounds = [b for b in [bound(limit, kind)] if b]
         if until is not None:
-            bounds += [b for b in [_farthest(state.filter(F.col("node") == F.lit(until)), kind)] if b]
+            met_ends = state.join(until, "node", "left_semi") if isinstance(until, DataFrame) else state.filter(F.col("node") == F.lit(until))
+            r = met_ends.agg(F.count("*").alias("n"), F.max("dist").alias("d")).first()
+            if r["n"] == ends:
+                if isinstance(until, DataFrame) and far is not None and 10 * r["d"] >= 9 * far:
+                    break
+                far = r["d"]
+                bounds.append(f"CAST('{far}' AS {kind})")
         if mutual and not few and not by and heavy is None:
             # once all nodes have a distance, no offer beyond the greatest one betters any
             whole = whole or had >= size["n"] and edges.select(F.col("src").alias("node")).join(state, "node", "left_anti").isEmpty()
@@ -210,46 +222,90 @@ def path_to_sources(tree: DataFrame, targets: DataFrame) -> DataFrame:
 def closure(edges: DataFrame, terminals: DataFrame) -> DataFrame:
     """(a, b, dist): the distance from each terminal (node) to each other one that it reaches, along edges (src, dst, w) that lead both ways.
 
-    A way of 2r or less has an edge by which it leaves the ball of radius r around its one end and enters the one around its other end, so balls of half the
-    distances do. A search from one terminal bounds them: r begins at five eighths of its farthest one and grows until all pairs that the bounds leave open are
-    2r apart at most. Terminals that it doesn't reach are searched from without a bound.
+    Distances count from where a terminal's least edge ends: a way between two that is 2r or less beyond their least edges has an edge by which it leaves the ball
+    of radius r around its one end and enters the one around its other end, so balls of half the distances do, however long the ways to the terminals are. A search
+    from one terminal bounds them, along the light edges alone where they lead to all: r begins at five eighths of its farthest one and grows until all pairs that
+    the bounds leave open are 2r apart at most. Where the light edges lead to all and r is no longer than they, none but they and the terminals' own are dealt. Terminals that this search doesn't reach are searched from without a bound.
     """
     kind, whole = dict(edges.dtypes)["w"], sound(edges)
     sums = dict(whole.dtypes)["w"]
-    ends = written(terminals.select("node").distinct(), "ends")
-    parts = contract(whole, ends)
-    ways = dealt(parts.core)
-    search = lambda seeds, **o: shortest(whole, seeds, parents=False, over=parts, ways=ways, **o)
-    pairs = lambda df: df.join(ends, "node").filter("start <> node").select(F.col("start").alias("a"), F.col("node").alias("b"), "dist")
-    first = ends.agg(F.min("node").alias("node")).filter("node IS NOT NULL")
-    near = written(search(first).join(ends, "node").select("node", "dist"), "near")
-    apart = written(ends.join(near.select("node"), "node", "left_anti"), "apart")
-    left, right = near.select(F.col("node").alias("a"), F.col("dist").alias("da")), near.select(F.col("node").alias("b"), F.col("dist").alias("db"))
-    # by the first terminal; of each pair, as the result has
-    around = left.join(right, F.col("a") != F.col("b")).select("a", "b", (F.col("da") + F.col("db")).cast(sums).alias("dist"))
-    far = near.agg(F.max("dist")).first()[0] or 0
-    half = (lambda d: (d + 1) // 2) if sums == "bigint" else (lambda d: d / 2 * Decimal("1.000001"))
-    r = half(far + far / 4) if sums != "bigint" else half(far + far // 4)  # pairs may be farther apart than the first one is from any
+    named = written(terminals.select("node").distinct(), "ends")
+    own = whole.join(named.withColumnRenamed("node", "src"), "src").groupBy(F.col("src").alias("node")).agg(F.min("w").alias("m"))
+    ends = written(named.join(own, "node", "left").select("node", F.coalesce("m", F.lit(0)).cast(sums).alias("m")), "ends")
+    names = ends.select("node")
+    pairs = lambda df: df.join(names, "node").filter("start <> node").select(F.col("start").alias("a"), F.col("node").alias("b"), "dist")
+    first = names.agg(F.min("node").alias("node")).filter("node IS NOT NULL")
+    told = lambda df: written(df.join(ends, "node").select("node", "dist", "m"), "near")
+    within, light = _light(whole, names)
+    near = None
+    if light is not None:
+        parts = contract(light, names)
+        ways = dealt(parts.core)
+        near = told(shortest(light, first, parents=False, over=parts, ways=ways, until=names))
+        if near.count() < ends.count():
+            released(ways)
+            near = None
+    if near is None:
+        within, light = None, whole
+        parts = contract(whole, names)
+        ways = dealt(parts.core)
+        near = told(shortest(whole, first, parents=False, over=parts, ways=ways))
+    apart = written(names.join(near.select("node"), "node", "left_anti"), "apart")
+    left, right = near.select(F.col("node").alias("a"), F.col("dist").alias("da"), F.col("m").alias("ma")), near.select(F.col("node").alias("b"), F.col("dist").alias("db"), F.col("m").alias("mb"))
+    # by the first terminal; of each pair, as the result has, and what of it lies beyond the least edges
+    around = left.join(right, F.col("a") != F.col("b")).select("a", "b", (F.col("da") + F.col("db")).cast(sums).alias("dist"), (F.col("ma") + F.col("mb")).cast(sums).alias("m"))
+    start = near.join(first.select(F.col("node").alias("one")), F.col("node") == F.col("one"), "left")
+    far = start.agg(F.max(F.when(F.col("one").isNull(), F.col("dist") - F.col("m"))) - F.max(F.when(F.col("one").isNotNull(), F.col("m"))), F.max("m"))
+    far, longest = (x or 0 for x in far.first())
+    half = (lambda d: (d + 1) // 2) if sums == "bigint" else (lambda d: Decimal(d) / 2 * Decimal("1.000001"))
+    far = max(far, 0)
+    r = half(far + far // 4) if sums == "bigint" else half(Decimal(far) * 5 / 4)  # pairs may be farther apart than the first one is from any
+    seeds = near.select(F.col("node").alias("start"), "node", (-F.col("m")).alias("dist"))
     while True:
-        balls = written(search(near.select(F.col("node").alias("start"), "node"), limit=r, by=("start",)), "balls")
+        if within is not None and r > within:  # the light edges don't do
+            released(ways)
+            within, light = r, written(_short(whole, names, r, sums), "short")
+            parts = contract(light, names, r + longest)
+            ways = dealt(parts.core)
+        balls = written(shortest(light, seeds, limit=r, by=("start",), parents=False, over=parts, ways=ways).withColumn("dist", F.col("dist").cast(sums)), "balls")
         out = balls.select(F.col("start").alias("a"), F.col("node").alias("src"), F.col("dist").alias("da"))
         back = balls.select(F.col("start").alias("b"), F.col("node").alias("dst"), F.col("dist").alias("db"))
-        leaving = whole.join(out, "src").filter(F.col("da") + F.col("w") > F.expr(bound(r, sums))).select("a", "dst", (F.col("da") + F.col("w")).cast(sums).alias("da"))
+        leaving = _short(whole, names, 2 * r, sums).join(out, "src").filter(F.col("da") + F.col("w") > F.expr(bound(r, sums))).select("a", "dst", (F.col("da") + F.col("w")).cast(sums).alias("da"))
         # of the edges by which a ball's ways enter a node, the least
         crossing = leaving.groupBy("a", "dst").agg(F.min("da").alias("da")).join(back, "dst").filter("a <> b").select("a", "b", (F.col("da") + F.col("db")).cast(sums).alias("dist"))
-        found = written(around.unionByName(crossing).unionByName(pairs(balls)).groupBy("a", "b").agg(F.min("dist").alias("dist")), "pairs")
+        inside = pairs(balls).join(ends.select(F.col("node").alias("b"), "m"), "b").select("a", "b", (F.col("dist") - F.col("m")).cast(sums).alias("dist"))
+        both = crossing.unionByName(inside).groupBy("a", "b").agg(F.min("dist").alias("beyond"))
+        total = around.join(both, ["a", "b"], "left").select("a", "b", F.least("dist", F.col("beyond") + F.col("m")).cast(sums).alias("dist"), "m")
+        found = written(total.withColumn("beyond", F.col("dist") - F.col("m")), "pairs")
         dropped(balls)
-        most = found.agg(F.max("dist")).first()[0]
+        most = found.agg(F.max("beyond")).first()[0]
         if most is None or most <= 2 * r:
             break
         dropped(found)
         r = min(half(most), 2 * r or half(most))
-    if not apart.isEmpty():
-        found = found.unionByName(written(pairs(search(apart.select(F.col("node").alias("start"), "node"), by=("start",))), "pairs"))
+    found = found.select("a", "b", "dist")
+    if not apart.isEmpty():  # the search was along all edges
+        found = found.unionByName(written(pairs(shortest(whole, apart.select(F.col("node").alias("start"), "node"), parents=False, over=parts, ways=ways, by=("start",))), "pairs"))
     released(ways)
     return found.select("a", "b", F.col("dist").cast(kind).alias("dist"))
 
 
+def _short(edges: DataFrame, ends: DataFrame, most, kind: str) -> DataFrame:
+    """Edges (src, dst, w) of a length or less, and all of ends (node); those may stand twice."""
+    short = edges.filter(F.col("w") <= F.expr(bound(most, kind)))
+    long = edges.filter(F.col("w") > F.expr(bound(most, kind)))
+    return short.unionByName(long.join(ends.withColumnRenamed("node", "src"), "src", "left_semi")).unionByName(long.join(ends.withColumnRenamed("node", "dst"), "dst", "left_semi"))
+
+
+def _light(edges: DataFrame, ends: DataFrame) -> tuple:
+    """(length, edges (src, dst, w) of it or less and all of ends (node)): about LIGHT a node; nones where nodes don't have twice as many. Distances along them are bounds of those along all."""
+    r = edges.agg(F.count("*").alias("n"), F.approx_count_distinct("src").alias("nodes"), F.percentile_approx("w", SHARES).alias("most")).first()
+    share = next((k for k, s in enumerate(SHARES) if s * r["n"] >= LIGHT * r["nodes"]), None)
+    if share is None or r["most"] is None:
+        return None, None
+    return r["most"][share], written(_short(edges, ends, r["most"][share], dict(edges.dtypes)["w"]), "light")
+
+
 def frontier_links(edges: DataFrame, cells: DataFrame) -> DataFrame:
     """(a, b, dist), a < b: the least way through an edge whose ends lie in cells (node, dist, label) of different labels."""
     left = cells.select(F.col("node").alias("src"), F.col("dist").alias("du"), F.col("label").alias("lu"))

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from streetloom.operators import cluster, contract, steiner, traverse
 from streetloom.operators.graph import Graph
 from streetloom.plans import queries
@@ -130,3 +132,28 @@ def test_first_jobs_take_the_lightest_edges_alone(spark, monkeypatch):
             if a in want and b not in seeds and (b not in want or (want[a][0] + w, want[a][1]) < want[b]):
                 want[b], moved = (want[a][0] + w, want[a][1]), True
     assert got == want and sliced
+
+
+@pytest.mark.parametrize("ring", [False, True])
+def test_closure_of_far_terminals_takes_light_edges(spark, monkeypatch, ring):
+    """Terminals at the end of long edges don't widen the balls, and only light edges are dealt; where these don't lead to all, all are. Distances are those along all edges."""
+    rnd = random.Random(9)
+    rows = [(f"n{a}", f"n{b}", rnd.randint(1, 500)) for a in range(60) for b in range(a) if rnd.random() < 0.7]
+    rows += [(f"t{k}", f"n{7 * k}", 4000 + k) for k in range(5)] + [("n1", "n2", 1), ("t0", "n9", 4100)]
+    if ring:  # behind a heavy edge that isn't a terminal's own, and in a part of its own
+        rows += [("n5", "y", 9000), ("y", "t9", 2), ("z0", "z1", 700)]
+    rows += [(b, a, w) for a, b, w in rows]
+    ends = ["t0", "t1", "t2", "t3", "t4", "n30", *(["t9", "z0", "z1"] if ring else [])]
+    counts, limits, deal, real = [], [], traverse.dealt, traverse.shortest
+    monkeypatch.setattr(traverse, "dealt", lambda core: (counts.append(core.count()), deal(core))[1])
+    monkeypatch.setattr(traverse, "shortest", lambda e, s, *a, **o: (limits.append(o["limit"]) if o.get("by") and o.get("limit") is not None else None, real(e, s, *a, **o))[1])
+    got = {(r["a"], r["b"]): r["dist"] for r in traverse.closure(spark.createDataFrame(rows, "src string, dst string, w long"), spark.createDataFrame([(e,) for e in ends], "node string")).collect()}
+    dist = {(e, e): 0 for e in ends}
+    for _ in range(70):
+        for a, b, w in rows:
+            for e in ends:
+                if (e, a) in dist:
+                    dist[e, b] = min(dist.get((e, b), 1 << 60), dist[e, a] + w)
+    assert got == {(a, b): dist[a, b] for a in ends for b in ends if a != b and (a, b) in dist}
+    if not ring:
+        assert max(limits) < 500 and max(counts) < len(rows) / 2
