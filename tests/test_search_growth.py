@@ -157,3 +157,9 @@ def test_closure_of_far_terminals_takes_light_edges(spark, monkeypatch, ring):
     assert got == {(a, b): dist[a, b] for a in ends for b in ends if a != b and (a, b) in dist}
     if not ring:
         assert max(limits) < 500 and max(counts) < len(rows) / 2
+
+
+def test_reached_nodes_need_no_distances(spark):
+    rows = [("a", "b", 7), ("b", "c", 9), ("x", "y", 1)]
+    edges = spark.createDataFrame(rows + [(b, a, w) for a, b, w in rows], "src string, dst string, w long")
+    assert sorted(r["node"] for r in traverse.reached(edges, "a").collect()) == ["a", "b", "c"]
