@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from streetloom.operators import cluster, contract, steiner, traverse
+from streetloom.operators import cluster, contract, routing, steiner, traverse
 from streetloom.operators.graph import Graph
 from streetloom.plans import queries
 
@@ -159,6 +159,21 @@ def test_closure_of_far_terminals_takes_light_edges(spark, monkeypatch, ring):
         assert max(limits) < 500 and max(counts) < len(rows) / 2
 
 
+def test_road_tree_deals_no_edge_beyond_the_farthest_hub(spark, monkeypatch):
+    """The same tree with the bound and without, and with it no longer edges."""
+    rnd = random.Random(6)
+    edges = [(f"c:{a}", f"c:{b}", "road", f"s{a}-{b}", rnd.randint(1, 3000)) for a in range(60) for b in range(a) if rnd.random() < 0.8]
+    nodes = spark.createDataFrame([(f"c:{k}", "connector", str(k), 0.0, 0.0) for k in range(60)], "node string, kind string, id string, x double, y double")
+    g = Graph(nodes, spark.createDataFrame(edges, "src string, dst string, kind string, segment_id string, length_m long"))
+    longest, real = [], routing.dealt
+    monkeypatch.setattr(routing, "dealt", lambda core: (longest.append(core.agg({"w": "max"}).first()[0]), real(core))[1])
+    hubs = ["c:3", "c:41", "c:17"]
+    got = sorted(r[0] for r in routing.road_tree(g, hubs).collect())
+    monkeypatch.setattr(routing, "farthest", lambda *a: None)
+    assert got == sorted(r[0] for r in routing.road_tree(g, hubs).collect()) and len(got) >= 2
+    assert longest[0] < 1000 < longest[1]
+
+
 def test_reached_nodes_need_no_distances(spark):
     rows = [("a", "b", 7), ("b", "c", 9), ("x", "y", 1)]
     edges = spark.createDataFrame(rows + [(b, a, w) for a, b, w in rows], "src string, dst string, w long")
