@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from streetloom.operators import cluster, contract, steiner, traverse
+from streetloom.operators import cluster, contract, search, steiner, traverse
 from streetloom.operators.graph import Graph
 from streetloom.plans import queries
 
@@ -163,3 +163,29 @@ def test_reached_nodes_need_no_distances(spark):
     rows = [("a", "b", 7), ("b", "c", 9), ("x", "y", 1)]
     edges = spark.createDataFrame(rows + [(b, a, w) for a, b, w in rows], "src string, dst string, w long")
     assert sorted(r["node"] for r in traverse.reached(edges, "a").collect()) == ["a", "b", "c"]
+
+
+@pytest.mark.parametrize("held", [0, 100])
+def test_beam_search_of_a_graph_that_the_driver_does_not_hold(spark, monkeypatch, held):
+    """The same selection, in order, from searches in Spark, from the part that matters, and from a graph held whole; many ways tie."""
+    rnd = random.Random(6)
+    sizes = [rnd.randint(1, 9) for _ in range(80)]
+    links = {(min(p), max(p)): rnd.randint(1, 20) for p in (rnd.sample(range(80), 2) for _ in range(160))}
+    n = spark.createDataFrame(list(enumerate(sizes)), "cluster_id long, size long")
+    e = spark.createDataFrame([(a, b, w) for (a, b), w in links.items()], "a long, b long, dist long")
+    run = lambda: search.budgeted_search(n, e, [3, 40], 4.0, 1.5, 2).first()
+    want = run()
+    for name in ("LINKS", "HELD"):
+        monkeypatch.setattr(search, name, held, raising=False)
+    monkeypatch.setattr(search, "ROOM", 4, raising=False)
+    assert run() == want and want["size"] > 3
+
+
+def test_beam_states_share_ways(spark, monkeypatch):
+    """Arrays of all clusters are made for few states: a round takes no time for clusters that it brings no nearer."""
+    made, real = [], search.Ways
+    monkeypatch.setattr(search, "Ways", lambda *a: (made.append(1), real(*a))[1])
+    n = spark.range(4000).selectExpr("id AS cluster_id", "1L AS size")
+    e = spark.range(1, 400).selectExpr("0L AS a", "id AS b", "double(id) AS dist")
+    got = search.budgeted_search(n, e, [0], 30.0, 1.5, 25).first()
+    assert got["selected"][0] == 0 and got["size"] > 20 and 0 < len(made) < 10
