@@ -189,3 +189,14 @@ def test_beam_states_share_ways(spark, monkeypatch):
     e = spark.range(1, 400).selectExpr("0L AS a", "id AS b", "double(id) AS dist")
     got = search.budgeted_search(n, e, [0], 30.0, 1.5, 25).first()
     assert got["selected"][0] == 0 and got["size"] > 20 and 0 < len(made) < 10
+
+
+@pytest.mark.parametrize("spread", [9, 2])
+def test_reached_nodes_deal_no_edges_at_first(spark, monkeypatch, spread):
+    """Rounds over edges as they lie; ways of more rounds than SPREAD take a search from all that is found."""
+    monkeypatch.setattr(traverse, "SPREAD", spread, raising=False)
+    dealing, deal = [], traverse.dealt
+    monkeypatch.setattr(traverse, "dealt", lambda core: (dealing.append(1), deal(core))[1])
+    rows = [(f"n{k}", f"n{k + 1}", 3) for k in range(7)] + [("n2", "n2", 1), ("x", "n0", 1), ("n1", "bad", None)]
+    got = [r["node"] for r in traverse.reached(spark.createDataFrame(rows, "src string, dst string, w long"), "n0").collect()]
+    assert sorted(got) == [f"n{k}" for k in range(8)] and bool(dealing) == (spread == 2)
