@@ -231,17 +231,15 @@ def path_to_sources(tree: DataFrame, targets: DataFrame) -> DataFrame:
     Paths double: with all places before 2^k and every node's 2^k-th ancestor, one join gives all places before 2^(k + 1).
     """
     up = written(tree.select("node", F.col("parent").alias("over")), "tree")
-    found = written(targets.select(F.col("node").alias("target")).distinct().join(up.select(F.col("node").alias("target")), "target").select("target", F.lit(0).cast("long").alias("pos"), F.col("target").alias("node")), "path")
-    step = 1
+    places = [written(targets.select(F.col("node").alias("target")).distinct().join(up.select(F.col("node").alias("target")), "target").select("target", F.lit(0).cast("long").alias("pos"), F.col("target").alias("node")), "path")]
     up = up.filter("over IS NOT NULL")
     while True:
-        more = found.join(up, "node").select("target", (F.col("pos") + step).alias("pos"), F.col("over").alias("node"))
-        after = written(found.unionByName(more), "path")
-        if after.count() == found.count():
-            dropped(after)
+        step = 1 << len(places) - 1
+        found = reduce(DataFrame.unionByName, places)
+        more = written(found.join(up, "node").select("target", (F.col("pos") + step).alias("pos"), F.col("over").alias("node")), "path")  # places before aren't written again
+        if more.isEmpty():
             return found
-        dropped(found)
-        found, step = after, 2 * step
+        places.append(more)
         next_up = written(up.join(up.select(F.col("node").alias("over"), F.col("over").alias("over2")), "over").select("node", F.col("over2").alias("over")), "tree")
         dropped(up)
         up = next_up

@@ -397,10 +397,10 @@ def path_to_source(spark, sf_dir):
     """The lengths of all paths, edge by edge along the parents."""
     edges = weighted(d.graph(spark, sf_dir))
     tree = written(traverse.shortest(edges, node_frame(spark, ["c:0"]).withColumn("label", F.lit(0))), "tree")
-    path = written(traverse.path_to_sources(tree, tree.select("node")), "path")
-    a, b = path.select("target", "pos", F.col("node").alias("dst")), path.select("target", (F.col("pos") - 1).alias("pos"), F.col("node").alias("src"))
-    steps = a.join(b, ["target", "pos"], "left").join(edges, ["src", "dst"], "left")
-    return steps.groupBy("target").agg(F.coalesce(F.sum("w"), F.lit(0)).cast("long").alias("length"))
+    path = traverse.path_to_sources(tree, tree.select("node"))
+    # a node's edge from its parent is looked up once, not for each path that takes it
+    up = written(tree.select(F.col("node").alias("dst"), F.col("parent").alias("src")).join(edges, ["src", "dst"]).select(F.col("dst").alias("node"), "w"), "up")
+    return path.join(up, "node", "left").groupBy("target").agg(F.coalesce(F.sum("w"), F.lit(0)).cast("long").alias("length"))
 
 
 # Components and clusters

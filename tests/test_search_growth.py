@@ -200,3 +200,12 @@ def test_reached_nodes_deal_no_edges_at_first(spark, monkeypatch, spread):
     rows = [(f"n{k}", f"n{k + 1}", 3) for k in range(7)] + [("n2", "n2", 1), ("x", "n0", 1), ("n1", "bad", None)]
     got = [r["node"] for r in traverse.reached(spark.createDataFrame(rows, "src string, dst string, w long"), "n0").collect()]
     assert sorted(got) == [f"n{k}" for k in range(8)] and bool(dealing) == (spread == 2)
+
+
+def test_paths_write_each_place_once(spark, monkeypatch):
+    wrote, real = [], traverse.written
+    monkeypatch.setattr(traverse, "written", lambda df, label: (wrote.append((label, real(df, label))), wrote[-1][1])[1])
+    tree = spark.createDataFrame([(k, k - 1 if k else None) for k in range(40)], "node long, parent long")
+    got = sorted(tuple(r) for r in traverse.path_to_sources(tree, tree.select("node")).collect())
+    assert got == sorted((t, p, t - p) for t in range(40) for p in range(t + 1))
+    assert sum(df.count() for label, df in wrote if label == "path") == len(got)
